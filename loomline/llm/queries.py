@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.mixing import mix_sources
+from loomline.llm.neardup import near_duplicates
 from loomline.llm.sharding import shard_documents
 
 
@@ -13,6 +14,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: three-word shingles, Jaccard similarity of 0.85 or more."""
+    return near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards, row counts at most one apart."""
     return shard_documents(_documents(spark, sf_dir)).select(
@@ -25,5 +31,5 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
 ORACLE_SQL: dict[str, str] = {}
