@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from loomline.llm.mixing import mix_sources
 from loomline.llm.neardup import near_duplicates
+from loomline.llm.scratch import new_path
 from loomline.llm.sharding import shard_documents
+from loomline.llm.store import read_digests, write_store
 from loomline.llm.tokens import count_tokens
 
 
@@ -39,5 +41,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written as a content-addressed store and read back."""
+    path = new_path(spark, "token-store")
+    write_store(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_digests(spark, path).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op8_token_store": op8_token_store, "op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
 ORACLE_SQL: dict[str, str] = {}
