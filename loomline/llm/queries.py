@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm.language import fold_of, identify_language, train_language_model
 from loomline.llm.mixing import mix_sources
 from loomline.llm.neardup import near_duplicates
+from loomline.llm.quality_model import score_quality, train_quality_model
 from loomline.llm.scratch import new_path
 from loomline.llm.sharding import shard_documents
 from loomline.llm.store import read_digests, write_store
@@ -23,6 +25,13 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside the held-out third."""
+    docs = _documents(spark, sf_dir)
+    model = train_language_model(docs.where(fold_of("doc_id", 3) != 1))
+    return identify_language(docs, model).withColumn("held_out", fold_of("doc_id", 3) == 1)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it exceeds 1024 tokens."""
     counts = count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -48,5 +57,13 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op8_token_store": op8_token_store, "op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
+def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out quarter."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train_quality_model(docs, labels.where(fold_of("doc_id", 4) != 2))
+    scored = score_quality(docs, model).withColumn("held_out", fold_of("doc_id", 4) == 2)
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES = {"op2_language": op2_language, "op9_quality_score": op9_quality_score, "op8_token_store": op8_token_store, "op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
 ORACLE_SQL: dict[str, str] = {}

@@ -110,3 +110,63 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(p) for p in parts], out=off[1:])
     flat = np.concatenate(parts) if parts else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat, kind))
+
+
+#: Code points below LETTERS_TOP that are letters, and their one-character lower case.
+LETTERS_TOP = 0x33000
+_TABLES: list[np.ndarray] = []
+
+
+def letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """(is a letter, lower case) by code point, built once for each worker; larger code points are not letters."""
+    if not _TABLES:
+        chars = [chr(c) for c in range(LETTERS_TOP)]
+        _TABLES.append(np.array([c.isalpha() for c in chars]))
+        low = (c.lower() for c in chars)
+        _TABLES.append(np.array([ord(x) if len(x) == 1 else c for c, x in enumerate(low)], np.uint32))
+    return _TABLES[0], _TABLES[1]
+
+
+def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 rows and each row's offsets in them."""
+    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), heads[off]
+
+
+def letter_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters, lower-cased: hashes, first cells, lengths, bounds by row, and the cells."""
+    cells, at = code_points(data, off)
+    letter, lower = letter_tables()
+    small = np.minimum(cells, LETTERS_TOP - 1)
+    inside = letter[small] & (cells < LETTERS_TOP)
+    cells = np.where(inside, lower[small], cells)
+    hashes, starts, bounds = span_hashes(cells, inside, at)
+    lengths = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+    return hashes, starts, lengths, bounds, cells
+
+
+def padded(cells: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans laid end to end, each between two border cells: cells, starts, lengths."""
+    wide = lengths + 2
+    at = np.zeros(len(wide), np.int64)
+    np.cumsum(wide[:-1], out=at[1:])
+    out = np.full(int(wide.sum()), 7, np.uint64)
+    source = np.repeat(starts - at - 1, wide) + np.arange(len(out))
+    inner = np.ones(len(out), bool)
+    inner[at], inner[at + wide - 1] = False, False
+    out[inner] = cells[source[inner]].astype(np.uint64) + U64(11)
+    return out, at, wide
+
+
+def gram_buckets(cells: np.ndarray, at: np.ndarray, wide: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of all n-grams of padded spans (n at most a span's width), and each one's span."""
+    if len(cells) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        h = np.full(len(cells) - n + 1, n, U64)
+        for j in range(n):
+            h = h * U64(0x100000001B3) + cells[j : len(cells) - n + 1 + j] * _POS[j]
+        h = mix(h)
+    span = np.repeat(np.arange(len(at)), wide)[: len(h)]
+    inside = np.arange(len(h)) + n <= (at + wide)[span]
+    return (h[inside] % U64(buckets)).astype(np.int64), span[inside]
