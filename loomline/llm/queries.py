@@ -10,6 +10,7 @@ from loomline.llm.language import fold_of, identify_language, train_language_mod
 from loomline.llm.mixing import mix_sources
 from loomline.llm.neardup import near_duplicates
 from loomline.llm.quality_model import score_quality, train_quality_model
+from loomline.llm.quality_rules import apply_quality_rules
 from loomline.llm.scratch import new_path
 from loomline.llm.sharding import shard_documents
 from loomline.llm.store import read_digests, write_store
@@ -50,6 +51,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the learned decision list."""
+    ruled = apply_quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written as a content-addressed store and read back."""
     path = new_path(spark, "token-store")
@@ -65,5 +72,5 @@ def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {"op2_language": op2_language, "op9_quality_score": op9_quality_score, "op8_token_store": op8_token_store, "op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
+QUERIES = {"op7_quality_rules": op7_quality_rules, "op2_language": op2_language, "op9_quality_score": op9_quality_score, "op8_token_store": op8_token_store, "op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
 ORACLE_SQL: dict[str, str] = {}
