@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomline.llm.language import fold_of, identify_language, train_language_model
 from loomline.llm.mixing import mix_sources
 from loomline.llm.neardup import near_duplicates
+from loomline.llm.privacy import KINDS, TERM, find_private, span_text
 from loomline.llm.quality_model import score_quality, train_quality_model
 from loomline.llm.quality_rules import apply_quality_rules
 from loomline.llm.scratch import new_path
@@ -51,6 +52,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans by pattern, and terms that disclose an entity."""
+    return find_private(_documents(spark, sf_dir)).select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(span_text(KINDS), 256).alias("base_sha256"),
+        span_text((*KINDS, TERM)).alias("spans"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and the verdict of the learned decision list."""
     ruled = apply_quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -72,5 +83,5 @@ def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op2_language": op2_language, "op9_quality_score": op9_quality_score, "op8_token_store": op8_token_store, "op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
+QUERIES = {"op6_private_data": op6_private_data, "op7_quality_rules": op7_quality_rules, "op2_language": op2_language, "op9_quality_score": op9_quality_score, "op8_token_store": op8_token_store, "op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
 ORACLE_SQL: dict[str, str] = {}
