@@ -154,6 +154,22 @@ def train_language_model(docs: DataFrame, lang_col: str = "lang", text_col: str
     return model
 
 
+def predict(m: LanguageModel, data: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each row of UTF-8 texts."""
+    hashes, starts, lengths, bounds, cells = letter_words(data, off)
+    langs, scores = ["und"] * (len(off) - 1), np.zeros(len(off) - 1)
+    if m.langs and len(hashes):
+        key, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        each = m.span_scores(key, starts[first], lengths[first], cells)[at]
+        full = np.flatnonzero(bounds[1:] > bounds[:-1])
+        total = np.add.reduceat(each, bounds[full], axis=0)
+        best = total.argmax(axis=1)
+        share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, b, x in zip(full.tolist(), best.tolist(), share.tolist(), strict=True):
+            langs[i], scores[i] = m.langs[b], x
+    return langs, scores
+
+
 def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The language of every whole text: ``id_col``, lang_pred and score (the winner's share, 0 to 1).
 
@@ -165,27 +181,31 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             data, off = utf8(batch.column(1))
             for lo, hi in blocks(off):
-                hashes, starts, lengths, bounds, cells = letter_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                langs, scores = ["und"] * (hi - lo), np.zeros(hi - lo)
-                if m.langs and len(hashes):
-                    key, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-                    each = m.span_scores(key, starts[first], lengths[first], cells)[at]
-                    full = np.flatnonzero(bounds[1:] > bounds[:-1])
-                    total = np.add.reduceat(each, bounds[full], axis=0)
-                    best = total.argmax(axis=1)
-                    share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                    for i, b, s in zip(full.tolist(), best.tolist(), share.tolist(), strict=True):
-                        langs[i], scores[i] = m.langs[b], s
+                langs, scores = predict(shared.value, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 
     kind = table.schema["id"].dataType.simpleString()
     return table.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(batch.schema.get_field_index(text_col)))
+            for lo, hi in blocks(off):
+                langs, scores = predict(shared.value, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                good = (np.array(langs, object) != "und") & (scores >= least)
+                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; -1 for a null id."""
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds, F.lit(-1))

@@ -25,6 +25,12 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.25), F.coalesce(1.0 - 4.0 * symbols / n, F.lit(1.0)))
 
 
+def sampling_key(seed: str, doc: Column, text: Column, weight: Column | None = None) -> Column:
+    """An exponential variable of rate weight, by a hash of seed, id and text."""
+    u = (F.xxhash64(F.lit(seed), doc, text).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / float(1 << 52)
+    return -F.log(u) / (quality_weight(text) if weight is None else weight)
+
+
 def source_targets(sizes: DataFrame, cap: int = 3, cycle: int = 3) -> DataFrame:
     """Word targets of the sources, given one row (source, source_size) each.
 
@@ -63,18 +69,17 @@ def mix_sources(
     the words that still fit, so a source's taken words equal its target, rounded; ``copies`` are
     whole copies and count the border document if more than half of it fits.
 
-    Returns ``id_col``, size, source, source_size, target, copies, taken and ``key``. Reruns agree: the order is total up to rows that are equal. Null and empty texts
+    Returns ``id_col``, size, source, source_size, target, epochs, copies, taken and ``key``. Reruns agree: the order is total up to rows that are equal. Null and empty texts
     have size 0 and get the complete epochs only; an empty table gives no rows; a null
     source is a source of its own. ``weight`` replaces the text's own quality weight (above 0).
     """
     text = F.col(text_col).cast("string")
-    u = (F.xxhash64(F.lit(seed), F.col(id_col), text).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / float(1 << 52)
     rows = durable(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(text).alias("size"),
-            (-F.log(u) / (quality_weight(text) if weight is None else weight)).alias("key"),
+            sampling_key(seed, F.col(id_col), text, weight).alias("key"),
             F.xxhash64(text).alias("mark"),
         ),
         "mix-rows",
@@ -97,7 +102,26 @@ def mix_sources(
         "source",
         "source_size",
         "target",
+        epochs.alias("epochs"),
         (epochs + F.when(more * 2 > F.col("size"), 1).otherwise(0)).cast("long").alias("copies"),
         (epochs * F.col("size") + more).cast("long").alias("taken"),
         "key",
     )
+
+
+def mixed_documents(docs: DataFrame, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of ``docs``, all columns, as many times as ``mix_sources`` takes whole copies.
+
+    A source's extra copies are those up to its border key, so a table of one row a source decides
+    each document where it stands; texts are not shuffled.
+    """
+    mixed = mix_sources(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    borders = mixed.groupBy(F.col("source").alias("mix_source")).agg(
+        F.max("epochs").alias("mix_epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), F.col("key"))).alias("mix_border")
+    )
+    borders = durable(borders, "mix-borders")
+    text = F.col(text_col).cast("string")
+    extra = F.coalesce(sampling_key(seed, F.col(id_col), text) <= F.col("mix_border"), F.lit(False)) & (word_count(text) > 0)
+    joined = docs.join(borders, F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
+    copies = (F.col("mix_epochs") + F.when(extra, 1).otherwise(0)).cast("int")
+    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm.decontamination import find_contamination
 from loomline.llm.language import fold_of, identify_language, train_language_model
 from loomline.llm.mixing import mix_sources
 from loomline.llm.neardup import near_duplicates
@@ -83,5 +84,10 @@ def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {"op6_private_data": op6_private_data, "op7_quality_rules": op7_quality_rules, "op2_language": op2_language, "op9_quality_score": op9_quality_score, "op8_token_store": op8_token_store, "op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, with the item and how well it matches."""
+    return find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {"op10_decontamination": op10_decontamination, "op6_private_data": op6_private_data, "op7_quality_rules": op7_quality_rules, "op2_language": op2_language, "op9_quality_score": op9_quality_score, "op8_token_store": op8_token_store, "op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
 ORACLE_SQL: dict[str, str] = {}

@@ -133,12 +133,14 @@ def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), heads[off]
 
 
-def letter_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of letters, lower-cased: hashes, first cells, lengths, bounds by row, and the cells."""
+def letter_words(data: np.ndarray, off: np.ndarray, digits: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters (and ASCII digits if asked), lower-cased: hashes, first cells, lengths, bounds by row, and the cells."""
     cells, at = code_points(data, off)
     letter, lower = letter_tables()
     small = np.minimum(cells, LETTERS_TOP - 1)
     inside = letter[small] & (cells < LETTERS_TOP)
+    if digits:
+        inside |= (cells >= 48) & (cells < 58)
     cells = np.where(inside, lower[small], cells)
     hashes, starts, bounds = span_hashes(cells, inside, at)
     lengths = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
