@@ -1,4 +1,9 @@
 """Named queries and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from loomline.plans import evaluation, events, retrieval, text, timeline, trend
+
+MODULES = (trend, timeline, events, text, retrieval, evaluation)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
