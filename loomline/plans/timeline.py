@@ -217,7 +217,7 @@ folded AS (SELECT key, list_reduce(l, lambda acc, x: CASE
 flat AS (SELECT key, unnest(g) AS g FROM folded) SELECT key, g.s AS s, g.e AS e, g.n AS n FROM flat""",
     "neighbour_rings": f"""{_IVL}, r AS (SELECT * FROM (VALUES ('left', 1), ('left', 2), ('right', 1), ('right', 2)) t(side, ring)),
 found AS (SELECT id, side, CAST(ring AS BIGINT) AS ring,
-  CASE WHEN side = 'left' THEN s - ring * {20 * MINUTE} ELSE e + (ring - 1) * {20 * MINUTE} END AS a FROM ivl, r WHERE kind = 'purchase')
+  CASE WHEN side = 'left' THEN s - CAST(ring AS BIGINT) * {20 * MINUTE} ELSE e + CAST(ring - 1 AS BIGINT) * {20 * MINUTE} END AS a FROM ivl, r WHERE kind = 'purchase')
 SELECT id, side, ring, greatest(a, 0) AS ring_s, least(a + {20 * MINUTE}, {MONTH}) AS ring_e FROM found WHERE least(a + {20 * MINUTE}, {MONTH}) > greatest(a, 0)""",
     "fixed_blocks": f"""{_IVL}, spans AS (SELECT key, min(s) AS lo, max(e) AS hi FROM ivl GROUP BY key HAVING max(e) > min(s)),
 dealt AS (SELECT key, hi, unnest(range(lo, hi, {45 * 60 * MINUTE})) AS s FROM spans) SELECT key, s, least(s + {45 * 60 * MINUTE}, hi) AS e FROM dealt""",
