@@ -98,6 +98,8 @@ def train_quality_model(
     sample = known.orderBy(F.xxhash64("k"), "k", "label").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "k")
     rows = texts.select("text", "label").repartition(1).mapInArrow(_fit, "weight binary, bias double").collect()
+    if not rows:
+        return QualityModel(np.zeros(BUCKETS, np.float32), 0.0)
     return QualityModel(np.frombuffer(rows[0].weight, np.float32), rows[0].bias)
 
 

@@ -133,6 +133,8 @@ def learn_rules(rows: DataFrame, features: tuple[str, ...] = FEATURES, max_rules
         for f in features:
             edges[f] |= set(r[f] or [])
     marks = {f: sorted(x) for f, x in edges.items()}
+    if not any(marks.values()):
+        return []
 
     def place(f: str) -> Column:
         value = F.col(f).cast("double")

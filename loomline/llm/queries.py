@@ -90,4 +90,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_decontamination": op10_decontamination, "op6_private_data": op6_private_data, "op7_quality_rules": op7_quality_rules, "op2_language": op2_language, "op9_quality_score": op9_quality_score, "op8_token_store": op8_token_store, "op3_token_counts": op3_token_counts, "op1_near_duplicates": op1_near_duplicates, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing}
-ORACLE_SQL: dict[str, str] = {}
+#: Near-duplicates from the full sets: all linked pairs, then the smallest id reachable.
+OP1_SQL = """WITH RECURSIVE
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.low WHERE e.b <> r.node)
+SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(low) AS component_id, min(low) = d.doc_id AS kept
+FROM documents d JOIN reach ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL}
