@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         "partners", F.when(small, F.array(F.lit(""))).otherwise(others)
     )
     placed = placed.select(F.col("node").alias("id"), "component", "side", "partners")
-    sets = placed.join(table, "id").select("id", "component", "side", "partners", "text").mapInArrow(
+    sets = placed.hint("merge").join(table, "id").select("id", "component", "side", "partners", "text").mapInArrow(
         _sets(shingle), "id long, component long, side string, partners array<string>, shingles array<long>"
     )
     tasks = (

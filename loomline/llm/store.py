@@ -3,49 +3,90 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.scratch import in_order, running_total
 from loomline.llm.textblocks import U64, blocks, mix, utf8
+from loomline.llm.tokens import byte_letters
 
-MAX_PIECES = 400_000
+MAX_PIECES = 300_000
 WINDOW, AVERAGE_BITS, SHORTEST, LONGEST = 32, 9, 64, 4096  # of a chunk, in ids
 #: White space of Python that the tokenizer does not split at.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Latin letters and below, where lower-casing is one to one and every text is in normal form C.
+NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: The pre-tokenizer's pattern (fixed value).
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, asked once for each distinct piece.
+    """Ids of whole texts by the tokenizers library, asked once for each distinct word.
 
     For a vocabulary that drops white space, pieces between white space encode independently, so
-    a text's ids are its pieces' ids in a row. Texts that hold special strings or ASCII separators
-    go to the library whole.
+    a text's ids are its pieces' ids in a row. Latin pieces are cut into words here and
+    the library's model encodes each new word; other pieces go through all of the library's
+    steps. Texts that hold special strings or ASCII separators go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        from tokenizers.models import BPE
+
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+        self.model = BPE(vocab=spec["vocab"], merges=merges, end_of_word_suffix=spec["end_of_word_suffix"], cache_capacity=0)
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.words: dict[str, bytes] = {}
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = np.array([end_id], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one lower-cased word by the library's model."""
+        known = self.words.get(word)
+        if known is None:
+            if len(self.words) > MAX_PIECES:
+                self.words.clear()
+            as_letters = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+            known = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(as_letters)]).tobytes()
+        return known
+
+    def _learn(self, new: list[str]) -> None:
+        other = [p for p in new if NOT_LATIN.search(p)]
+        self.known.update(zip(other, self._library(other), strict=True))
+        latin = set(new).difference(other) if other else new
+        for piece in latin:
+            low = piece.lower()
+            if low.isalpha():
+                self.known[piece] = self._word(low)
+            elif low[-1] in ".,!" and low[:-1].isalpha():
+                self.known[piece] = self._word(low[:-1]) + self._word(low[-1])
+            else:
+                self.known[piece] = b"".join(map(self._word, WORD.findall(low)))
+
     def block(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
         whole = [bool(SEPARATORS.search(t) or self.special and "<" in t and self.special.search(t)) for t in texts]
@@ -53,8 +94,7 @@ class Encoder:
         new = set().union(*pieces)
         if len(self.known) > MAX_PIECES:
             self.known.clear()
-        new = list(new.difference(self.known))
-        self.known.update(zip(new, self._library(new), strict=True))
+        self._learn(list(new.difference(self.known)))
         get = self.known.__getitem__
         out = []
         for t, w, p in zip(texts, whole, pieces, strict=True):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomline.plans import assembly, evaluation, events, gates, retrieval, text, timeline, trend
+from loomline.plans import assembly, evaluation, events, gates, retrieval, streams, text, timeline, trend
 
-MODULES = (trend, timeline, events, assembly, gates, text, retrieval, evaluation)
+MODULES = (trend, timeline, events, assembly, gates, text, retrieval, evaluation, streams)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

@@ -21,3 +21,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Sessions of each user: runs of events less than ``gap`` apart."""
     out = events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
+
+
+def run_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream over all data there is, write its complete result at ``path``, and return that table."""
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/result")
