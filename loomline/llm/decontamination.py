@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from loomline.llm.textblocks import blocks, letter_words, utf8
 
-STEP = 8  # words between window starts
+CARRIED, LEAST = 0.7, 0.25  # share of a passage's weight that its listed words hold, and that a window must share to be projected
 PASSAGE = 128  # words of a benchmark passage at most; longer items are cut
 ITEMS = 1000  # benchmark items searched for in one pass over the documents
 ANSWER = 3  # rarest words of a passage that stand for its answer
@@ -26,13 +26,14 @@ class Index:
 
     words: np.ndarray  # sorted hashes of the passages' words
     idf: np.ndarray
-    unknown: float  # idf taken for words outside the passages
     basis: np.ndarray  # words x rank
     items: np.ndarray
     passages: list[np.ndarray]  # word numbers of each passage
     latent: np.ndarray  # unit latent vectors of the passages
     answers: list[set]
     mass: np.ndarray  # squared norms of the passages
+    lists: tuple[np.ndarray, np.ndarray]  # passages by listed word: offsets and passage numbers
+    window: np.ndarray  # words of a passage's windows: a power of two above its length, and a half
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
@@ -124,7 +125,8 @@ def build_index(items: DataFrame, docs: DataFrame, rank: int, text_col: str) ->
             of.append(r.item)
     words = np.unique(np.concatenate(passages)) if passages else np.zeros(0, np.uint64)
     if not len(words):
-        return Index(words, np.zeros(0), 1.0, np.zeros((0, 1)), np.array(of), [], np.zeros((0, 1)), [], np.zeros(0))
+        none = np.zeros(0, np.int64)
+        return Index(words, np.zeros(0), np.zeros((0, 1)), np.array(of), [], np.zeros((0, 1)), [], np.zeros(0), (none, none), none)
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_document_frequency(words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df, n_docs = np.zeros(len(words)), 0
     for r in counted:
@@ -142,47 +144,65 @@ def build_index(items: DataFrame, docs: DataFrame, rank: int, text_col: str) ->
     latent = np.array([np.array(w) @ basis[a] for a, w in table])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     answers = [set(a[np.argsort(-idf[a], kind="stable")[:ANSWER]].tolist()) for a, _ in sparse]
-    return Index(words, idf, float(idf.mean()), basis.astype(np.float32), np.array(of), numbers, latent.astype(np.float32), answers, np.array(norms) ** 2)
+    mass = np.array(norms) ** 2
+    listed = []
+    for k, (a, c) in enumerate(sparse):
+        order = np.argsort(-idf[a], kind="stable")
+        held = np.cumsum((c * idf[a])[order] ** 2)
+        listed += [(w, k) for w in a[order][: int(np.searchsorted(held, CARRIED * mass[k])) + 1].tolist()]
+    pairs = np.array(sorted(listed))
+    lists = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1].copy()
+    length = np.array([len(x) for x in numbers])
+    window = (24 * 2.0 ** np.maximum(0, np.ceil(np.log2(length / 16)))).astype(np.int64)
+    return Index(words, idf, basis.astype(np.float32), np.array(of), numbers, latent.astype(np.float32), answers, mass, lists, window)
 
 
 def _candidates(index: Index, numbers: np.ndarray, bounds: np.ndarray, cosine: float) -> dict[tuple[int, int], tuple[float, int, int]]:
-    """(document, passage) -> (cosine, first word, end) of its best window; every window of every document is looked at.
+    """(document, passage) -> (cosine, first word, end) of its best window.
 
-    A window is projected only if the passages' words in it carry enough weight for any passage of its
-    length; less weight bounds every cosine below the threshold.
+    Every place of every document where a listed word stands starts a window of each passage that lists
+    it. Windows that share less than LEAST of the passage's weight cannot come close to it and are not
+    projected; of the others, the heaviest of a document and passage is, and is compared with
+    all passages in the latent space.
     """
-    idf2 = np.where(numbers >= 0, index.idf[numbers] ** 2, index.unknown**2)
-    hit2 = np.where(numbers >= 0, idf2, 0)
-    sizes = np.diff(bounds)
-    steps = -(-sizes // STEP)
-    first = np.concatenate([[0], np.cumsum(steps)])
-    doc = np.repeat(np.arange(len(sizes)), steps)
-    start = bounds[doc] + (np.arange(len(doc)) - first[doc]) * STEP
-    hit, every = (np.concatenate([[0.0], np.cumsum(x)]) for x in (hit2, idf2))
-    length = np.array([len(p) for p in index.passages])
-    scale = np.maximum(0, np.ceil(np.log2(np.maximum(length, 1) / 16))).astype(int)
+    offsets, passages = index.lists
+    hit = np.flatnonzero(numbers >= 0)
+    count = offsets[numbers[hit] + 1] - offsets[numbers[hit]]
+    hit, count = hit[count > 0], count[count > 0]
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for s in np.unique(scale):
-        mine = np.flatnonzero(scale == s)
-        end = np.minimum(start + (16 << s) + STEP, bounds[doc + 1])
-        inside, total = hit[end] - hit[start], every[end] - every[start]
-        likely = np.flatnonzero((inside >= cosine**2 * total) & (inside >= 0.3 * index.mass[mine].min()) & (end > start))
-        for lo in range(0, len(likely), 2048):
-            w = likely[lo : lo + 2048]
-            span = end[w] - start[w]
-            at = np.repeat(start[w] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-            of, word = np.repeat(np.arange(len(w)), span), numbers[at]
-            of, word = of[word >= 0], word[word >= 0]
-            vectors = np.zeros((len(w), index.basis.shape[1]), np.float32)
-            heads = np.flatnonzero(np.diff(of, prepend=-1))
-            vectors[of[heads]] = np.add.reduceat(index.basis[word] * index.idf[word, None].astype(np.float32), heads, axis=0)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-            close = vectors @ index.latent[mine].T
-            for i, j in np.argwhere(close >= cosine).tolist():
-                key = (int(doc[w[i]]), int(mine[j]))
-                found = (float(close[i, j]), -int(start[w[i]]), int(end[w[i]]))
-                if key not in best or found > best[key]:
-                    best[key] = found
+    if not len(hit):
+        return best
+    word = np.repeat(numbers[hit], count)
+    passage = passages[np.repeat(offsets[numbers[hit]] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    at = np.repeat(hit, count)
+    doc = np.searchsorted(bounds, at, "right") - 1
+    apart = int(index.window.max())
+    place = at + doc * apart
+    key = passage * int(place.max() + 2 * apart) + place
+    order = np.argsort(key, kind="stable")
+    key, passage, doc, at = key[order], passage[order], doc[order], at[order]
+    weight = np.concatenate([[0.0], np.cumsum(index.idf[word[order]] ** 2)])
+    shared = weight[np.searchsorted(key, key + index.window[passage])] - weight[:-1]
+    good = np.flatnonzero(shared >= LEAST * index.mass[passage])
+    good = good[np.lexsort((at[good], -shared[good], passage[good], doc[good]))]
+    first = np.ones(len(good), bool)
+    first[1:] = (doc[good][1:] != doc[good][:-1]) | (passage[good][1:] != passage[good][:-1])
+    good = good[first]
+    for lo in range(0, len(good), 2048):
+        part = good[lo : lo + 2048]
+        start = at[part]
+        span = np.minimum(start + index.window[passage[part]], bounds[doc[part] + 1]) - start
+        cell = np.repeat(start - np.cumsum(span) + span, span) + np.arange(span.sum())
+        of, inside = np.repeat(np.arange(len(part)), span), numbers[cell]
+        of, inside = of[inside >= 0], inside[inside >= 0]
+        heads = np.flatnonzero(np.diff(of, prepend=-1))
+        vectors = np.add.reduceat(index.basis[inside] * index.idf[inside, None].astype(np.float32), heads, axis=0)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        close = vectors @ index.latent.T
+        for i, p in np.argwhere(close >= cosine).tolist():
+            pair, found = (int(doc[part[i]]), p), (float(close[i, p]), -int(start[i]), int(start[i] + span[i]))
+            if pair not in best or found > best[pair]:
+                best[pair] = found
     return {k: (c, -a, b) for k, (c, a, b) in best.items()}
 
 
@@ -218,15 +238,15 @@ def find_contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     rank: int = 64,
-    cosine: float = 0.4,
+    cosine: float = 0.5,
     copied: float = 0.8,
     shared: float = 0.5,
 ) -> DataFrame:
     """Documents that hold a benchmark item: one row (``id_col``, ``item_col``, cosine, lcs_share, answer_share) for each pair.
 
     Benchmark items are searched for in blocks of ``ITEMS``, each against all documents. A block's passages (TF-IDF over
-    the document frequencies of all ``docs``) get a latent space by distributed randomised SVD; every
-    window of every document is compared with every passage there. For a pair at or above ``cosine`` the words
+    the document frequencies of all ``docs``) get a latent space by distributed randomised SVD; the windows
+    of every document that share a quarter of any passage's weight are compared with every passage there. For a pair at or above ``cosine`` the words
     around its best window are aligned with the passage: the longest common subsequence must hold ``copied``
     of the passage's words, or ``shared`` of them together with all of its answer, the passage's rarest words.
 
@@ -258,7 +278,7 @@ def find_contamination(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", rank: int = 64, cosine: float = 0.4, copied: float = 0.8, shared: float = 0.5
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", rank: int = 64, cosine: float = 0.5, copied: float = 0.8, shared: float = 0.5
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item by the rule of ``find_contamination``; a map, without a shuffle of texts."""
     spark = docs.sparkSession

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 import zlib
@@ -22,7 +21,7 @@ from loomline.llm.scratch import in_order, running_total
 from loomline.llm.textblocks import U64, blocks, mix, utf8
 from loomline.llm.tokens import byte_letters
 
-MAX_PIECES = 300_000
+MAX_PIECES = 350_000
 WINDOW, AVERAGE_BITS, SHORTEST, LONGEST = 32, 9, 64, 4096  # of a chunk, in ids
 #: White space of Python that the tokenizer does not split at.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -45,15 +44,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        from tokenizers.models import BPE
-
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)["model"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
-        self.model = BPE(vocab=spec["vocab"], merges=merges, end_of_word_suffix=spec["end_of_word_suffix"], cache_capacity=0)
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # every word is asked once; the library's own cache only costs time
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.words: dict[str, bytes] = {}
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -66,12 +60,10 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one lower-cased word by the library's model."""
-        known = self.words.get(word)
+        known = self.known.get(word)  # a word alone is also a piece with the same ids
         if known is None:
-            if len(self.words) > MAX_PIECES:
-                self.words.clear()
             as_letters = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.letters)
-            known = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(as_letters)]).tobytes()
+            known = self.known[word] = array(self.code, [t.id for t in self.model.tokenize(as_letters)]).tobytes()
         return known
 
     def _learn(self, new: list[str]) -> None:
@@ -90,6 +82,7 @@ class Encoder:
     def block(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
         whole = [bool(SEPARATORS.search(t) or self.special and "<" in t and self.special.search(t)) for t in texts]
+        texts = [t if w else _folded(t) for t, w in zip(texts, whole, strict=True)]
         pieces = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
         new = set().union(*pieces)
         if len(self.known) > MAX_PIECES:
@@ -103,6 +96,15 @@ class Encoder:
         return out
 
 
+def _folded(text: str) -> str:
+    """A Latin-1 text in lower case, as the library would make it, so fewer pieces differ; others as they are."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
