@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from loomline.llm.textblocks import blocks, letter_words, utf8
 
-CARRIED, LEAST = 0.7, 0.25  # share of a passage's weight that its listed words hold, and that a window must share to be projected
+CARRIED, LEAST = 0.7, 0.25  # share of a passage's weight that its listed words hold, and that a window must share to be aligned
 PASSAGE = 128  # words of a benchmark passage at most; longer items are cut
 ITEMS = 1000  # benchmark items searched for in one pass over the documents
 ANSWER = 3  # rarest words of a passage that stand for its answer
@@ -29,6 +29,7 @@ class Index:
     basis: np.ndarray  # words x rank
     items: np.ndarray
     passages: list[np.ndarray]  # word numbers of each passage
+    counts: list[tuple[np.ndarray, np.ndarray]]  # the sorted distinct words of each passage and how often each stands in it
     latent: np.ndarray  # unit latent vectors of the passages
     answers: list[set]
     mass: np.ndarray  # squared norms of the passages
@@ -126,7 +127,7 @@ def build_index(items: DataFrame, docs: DataFrame, rank: int, text_col: str) ->
     words = np.unique(np.concatenate(passages)) if passages else np.zeros(0, np.uint64)
     if not len(words):
         none = np.zeros(0, np.int64)
-        return Index(words, np.zeros(0), np.zeros((0, 1)), np.array(of), [], np.zeros((0, 1)), [], np.zeros(0), (none, none), none)
+        return Index(words, np.zeros(0), np.zeros((0, 1)), np.array(of), [], [], np.zeros((0, 1)), [], np.zeros(0), (none, none), none)
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_document_frequency(words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df, n_docs = np.zeros(len(words)), 0
     for r in counted:
@@ -154,24 +155,21 @@ def build_index(items: DataFrame, docs: DataFrame, rank: int, text_col: str) ->
     lists = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1].copy()
     length = np.array([len(x) for x in numbers])
     window = (24 * 2.0 ** np.maximum(0, np.ceil(np.log2(length / 16)))).astype(np.int64)
-    return Index(words, idf, basis.astype(np.float32), np.array(of), numbers, latent.astype(np.float32), answers, mass, lists, window)
+    return Index(words, idf, basis.astype(np.float32), np.array(of), numbers, sparse, latent.astype(np.float32), answers, mass, lists, window)
 
 
-def _candidates(index: Index, numbers: np.ndarray, bounds: np.ndarray, cosine: float) -> dict[tuple[int, int], tuple[float, int, int]]:
-    """(document, passage) -> (cosine, first word, end) of its best window.
+def _stretches(index: Index, numbers: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(document, passage, starts) of all windows that may hold a passage, overlapping ones together.
 
     Every place of every document where a listed word stands starts a window of each passage that lists
-    it. Windows that share less than LEAST of the passage's weight cannot come close to it and are not
-    projected; of the others, the heaviest of a document and passage is, and is compared with
-    all passages in the latent space.
+    it. Windows that share less than LEAST of the passage's weight are left out.
     """
     offsets, passages = index.lists
     hit = np.flatnonzero(numbers >= 0)
     count = offsets[numbers[hit] + 1] - offsets[numbers[hit]]
     hit, count = hit[count > 0], count[count > 0]
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
     if not len(hit):
-        return best
+        return
     word = np.repeat(numbers[hit], count)
     passage = passages[np.repeat(offsets[numbers[hit]] - np.cumsum(count) + count, count) + np.arange(count.sum())]
     at = np.repeat(hit, count)
@@ -184,26 +182,50 @@ def _candidates(index: Index, numbers: np.ndarray, bounds: np.ndarray, cosine: f
     weight = np.concatenate([[0.0], np.cumsum(index.idf[word[order]] ** 2)])
     shared = weight[np.searchsorted(key, key + index.window[passage])] - weight[:-1]
     good = np.flatnonzero(shared >= LEAST * index.mass[passage])
-    good = good[np.lexsort((at[good], -shared[good], passage[good], doc[good]))]
-    first = np.ones(len(good), bool)
-    first[1:] = (doc[good][1:] != doc[good][:-1]) | (passage[good][1:] != passage[good][:-1])
-    good = good[first]
-    for lo in range(0, len(good), 2048):
-        part = good[lo : lo + 2048]
-        start = at[part]
-        span = np.minimum(start + index.window[passage[part]], bounds[doc[part] + 1]) - start
-        cell = np.repeat(start - np.cumsum(span) + span, span) + np.arange(span.sum())
-        of, inside = np.repeat(np.arange(len(part)), span), numbers[cell]
-        of, inside = of[inside >= 0], inside[inside >= 0]
-        heads = np.flatnonzero(np.diff(of, prepend=-1))
-        vectors = np.add.reduceat(index.basis[inside] * index.idf[inside, None].astype(np.float32), heads, axis=0)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        close = vectors @ index.latent.T
-        for i, p in np.argwhere(close >= cosine).tolist():
-            pair, found = (int(doc[part[i]]), p), (float(close[i, p]), -int(start[i]), int(start[i] + span[i]))
-            if pair not in best or found > best[pair]:
-                best[pair] = found
-    return {k: (c, -a, b) for k, (c, a, b) in best.items()}
+    if not len(good):
+        return
+    passage, doc, at = passage[good], doc[good], at[good]
+    new = (np.diff(passage, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0) | (np.diff(at, prepend=0) > index.window[passage])
+    heads = np.flatnonzero(new).tolist()
+    for lo, hi in zip(heads, [*heads[1:], len(good)], strict=True):
+        yield int(doc[lo]), int(passage[lo]), at[lo:hi]
+
+
+def _cosine(index: Index, p: int, window: np.ndarray) -> float:
+    """Cosine of a passage and the benchmark words of a window in the latent space."""
+    inside = window[window >= 0]
+    vector = index.idf[inside].astype(np.float32) @ index.basis[inside]
+    return float(vector @ index.latent[p] / max(np.linalg.norm(vector), 1e-9))
+
+
+def _align(index: Index, numbers: np.ndarray, p: int, starts: np.ndarray, cosine: float, copied: float, shared: float) -> tuple[float, float, float] | None:
+    """The best (lcs share, answer share, cosine) of a document's windows at ``starts`` that hold passage ``p``.
+
+    Each window is aligned with as many words around it as the passage has; a stretch of windows that has too few
+    of the passage's words in order as a whole has none that holds it.
+    """
+    passage, (words, most), wide = index.passages[p], index.counts[p], int(index.window[p])
+    n = len(passage)
+    least = min(copied, shared) * n - 1e-9
+    lo = max(0, int(starts[0]) - n)
+    around = numbers[lo : int(starts[-1]) + wide + n]
+    at = np.minimum(np.searchsorted(words, around), len(words) - 1)
+    place = np.flatnonzero(words[at] == around)
+    found = around[place]
+    if np.minimum(np.bincount(at[place], minlength=len(words)), most).sum() < least or common_subsequence(passage, found) < least:
+        return None
+    best, aligned = None, {}
+    for a, i, j in zip(starts.tolist(), np.searchsorted(place, starts - n - lo).tolist(), np.searchsorted(place, starts + wide + n - lo).tolist(), strict=True):
+        if j - i < least:
+            continue
+        if (i, j) not in aligned:
+            aligned[i, j] = common_subsequence(passage, found[i:j]) / n, len(index.answers[p].intersection(found[i:j].tolist())) / len(index.answers[p])
+        lcs, answer = aligned[i, j]
+        if lcs >= copied or (lcs >= shared and answer == 1):
+            close = _cosine(index, p, numbers[a : a + wide])
+            if close >= cosine and (best is None or (lcs, answer, close) > best):
+                best = lcs, answer, close
+    return best
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, rank: int) -> Iterator[Index]:
@@ -222,13 +244,13 @@ def matches(index: Index, texts: pa.Array, cosine: float, copied: float, shared:
     for lo, hi in blocks(off):
         hashes, _, _, bounds, _ = letter_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], digits=True)
         numbers = index.numbers(hashes)
-        for (d, p), (close, a, b) in _candidates(index, numbers, bounds, cosine).items():
-            passage = index.passages[p]
-            around = numbers[max(bounds[d], a - len(passage)) : min(bounds[d + 1], b + len(passage))]
-            lcs = common_subsequence(passage, around) / len(passage)
-            answer = len(index.answers[p].intersection(around.tolist())) / len(index.answers[p])
-            if lcs >= copied or (lcs >= shared and answer == 1):
-                yield lo + d, int(index.items[p]), close, lcs, answer
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for d, p, starts in _stretches(index, numbers, bounds):
+            found = _align(index, numbers[bounds[d] : bounds[d + 1]], p, starts - bounds[d], cosine, copied, shared)
+            if found:
+                best[d, p] = max(found, best.get((d, p), found))
+        for (d, p), (lcs, answer, close) in best.items():
+            yield lo + d, int(index.items[p]), close, lcs, answer
 
 
 def find_contamination(
@@ -246,8 +268,8 @@ def find_contamination(
 
     Benchmark items are searched for in blocks of ``ITEMS``, each against all documents. A block's passages (TF-IDF over
     the document frequencies of all ``docs``) get a latent space by distributed randomised SVD; the windows
-    of every document that share a quarter of any passage's weight are compared with every passage there. For a pair at or above ``cosine`` the words
-    around its best window are aligned with the passage: the longest common subsequence must hold ``copied``
+    of every document that share a quarter of a passage's weight are all compared with it there. The words around each window
+    at or above ``cosine`` are aligned with the passage: the longest common subsequence must hold ``copied``
     of the passage's words, or ``shared`` of them together with all of its answer, the passage's rarest words.
 
     Null and empty texts and items match nothing; repeated rows and ids each give their own rows, merged to the best

@@ -412,6 +412,15 @@ def test_contamination_finds_copies_and_paraphrases(spark):
     assert decontamination.find_contamination(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_behind_a_scrambled_copy(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    text = bench.where("item_id = 0").first().text
+    far = " ".join(f"filler{i}" for i in range(300))
+    docs = [(1, f"{' '.join(sorted(text.split()))} {far} {text}"), (2, f"{' '.join(sorted(text.split()) * 3)} {far} {text}"), (3, f"{text} {far} {' '.join(sorted(text.split()))}")]
+    found = decontamination.find_contamination(real_docs(spark).select("doc_id", "text").where("doc_id > 99").union(spark.createDataFrame(docs, "doc_id long, text string")), bench)
+    assert {r.doc_id: r.lcs_share for r in found.where("doc_id < 4 and item_id = 0").collect()} == {1: 1.0, 2: 1.0, 3: 1.0}
+
+
 def test_common_subsequence():
     r = random.Random(9)
     for _ in range(60):
