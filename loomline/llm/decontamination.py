@@ -15,8 +15,10 @@ from pyspark.sql.window import Window
 from loomline.llm.textblocks import blocks, letter_words, utf8
 
 CARRIED, LEAST = 0.7, 0.25  # share of a passage's weight that its listed words hold, and that a window must share to be aligned
+DIRECT = 0.6  # share of a passage's weight that a window must hold to count as near whatever its cosine
 PASSAGE = 128  # words of a benchmark passage at most; longer items are cut
 ITEMS = 1000  # benchmark items searched for in one pass over the documents
+SHARED_RANK = 8  # passages to a latent dimension at most, where that is more than the rank asked for
 ANSWER = 3  # rarest words of a passage that stand for its answer
 
 
@@ -141,7 +143,7 @@ def build_index(items: DataFrame, docs: DataFrame, rank: int, text_col: str) ->
     norms = [float(np.sqrt(((c * idf[a]) ** 2).sum())) for a, c in sparse]
     table = [(a.tolist(), (c * idf[a] / n).tolist()) for (a, c), n in zip(sparse, norms, strict=True)]
     rows = docs.sparkSession.createDataFrame(table, "at array<int>, weight array<double>")
-    basis = randomised_basis(rows, len(words), min(rank, len(passages)))
+    basis = randomised_basis(rows, len(words), min(max(rank, len(passages) // SHARED_RANK), len(passages)))
     latent = np.array([np.array(w) @ basis[a] for a, w in table])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     answers = [set(a[np.argsort(-idf[a], kind="stable")[:ANSWER]].tolist()) for a, _ in sparse]
@@ -198,6 +200,14 @@ def _cosine(index: Index, p: int, window: np.ndarray) -> float:
     return float(vector @ index.latent[p] / max(np.linalg.norm(vector), 1e-9))
 
 
+def _weight_share(index: Index, p: int, window: np.ndarray) -> float:
+    """Share of a passage's TF-IDF weight that a window holds, without projection; a word counts as often as in the passage at most."""
+    words, most = index.counts[p]
+    at = np.minimum(np.searchsorted(words, window), len(words) - 1)
+    held = np.minimum(np.bincount(at[words[at] == window], minlength=len(words)), most)
+    return float((held * most * index.idf[words] ** 2).sum() / index.mass[p])
+
+
 def _align(index: Index, numbers: np.ndarray, p: int, starts: np.ndarray, cosine: float, copied: float, shared: float) -> tuple[float, float, float] | None:
     """The best (lcs share, answer share, cosine) of a document's windows at ``starts`` that hold passage ``p``.
 
@@ -222,8 +232,9 @@ def _align(index: Index, numbers: np.ndarray, p: int, starts: np.ndarray, cosine
             aligned[i, j] = common_subsequence(passage, found[i:j]) / n, len(index.answers[p].intersection(found[i:j].tolist())) / len(index.answers[p])
         lcs, answer = aligned[i, j]
         if lcs >= copied or (lcs >= shared and answer == 1):
-            close = _cosine(index, p, numbers[a : a + wide])
-            if close >= cosine and (best is None or (lcs, answer, close) > best):
+            window = numbers[a : a + wide]
+            close = _cosine(index, p, window)
+            if (lcs >= copied or close >= cosine or _weight_share(index, p, window) >= DIRECT) and (best is None or (lcs, answer, close) > best):
                 best = lcs, answer, close
     return best
 
@@ -269,8 +280,9 @@ def find_contamination(
     Benchmark items are searched for in blocks of ``ITEMS``, each against all documents. A block's passages (TF-IDF over
     the document frequencies of all ``docs``) get a latent space by distributed randomised SVD; the windows
     of every document that share a quarter of a passage's weight are all compared with it there. The words around each window
-    at or above ``cosine`` are aligned with the passage: the longest common subsequence must hold ``copied``
-    of the passage's words, or ``shared`` of them together with all of its answer, the passage's rarest words.
+    are aligned with the passage: the longest common subsequence must hold ``copied`` of the passage's words, whatever the
+    cosine; or ``shared`` of them together with all of its answer, the passage's rarest words, in a window at or above ``cosine``
+    or with DIRECT of the passage's weight. The space has ``rank`` dimensions, more for a block of many passages.
 
     Null and empty texts and items match nothing; repeated rows and ids each give their own rows, merged to the best
     for each (id, item); null ids are left out; an empty table on either side gives no rows; other columns are ignored.

@@ -421,6 +421,25 @@ def test_contamination_behind_a_scrambled_copy(spark):
     assert {r.doc_id: r.lcs_share for r in found.where("doc_id < 4 and item_id = 0").collect()} == {1: 1.0, 2: 1.0, 3: 1.0}
 
 
+def test_contamination_finds_every_copy_of_many_items(spark):
+    docs = real_docs(spark).select("doc_id", "text").where("doc_id is not null")
+    rows = [(r.doc_id, r.text.split()) for r in docs.where("text is not null").orderBy("doc_id").collect()]
+    r, items = random.Random(4), {}
+    for at in range(40):
+        for _, w in rows:
+            n = r.randint(15, 59)
+            if len(items) < 1000 and len(w) >= at * 60 + n:
+                items.setdefault(" ".join(w[at * 60 : at * 60 + n]), len(items))
+    assert len(items) == 1000
+    bench = spark.createDataFrame([(i, t) for t, i in items.items()], "item_id long, text string")
+    fill = [w for _, w in rows if len(w) >= 150]
+    planted = [(100_000 + i, " ".join(r.choice(fill)[:80]) + f" , {t} , " + " ".join(r.choice(fill)[:80])) for t, i in items.items()]
+    found = decontamination.find_contamination(docs.union(spark.createDataFrame(planted, "doc_id long, text string")), bench)
+    got = {(x.doc_id, x.item_id) for x in found.where("doc_id >= 100000").collect()}
+    missing = [i for i in range(1000) if (100_000 + i, i) not in got]
+    assert len(missing) <= 40, len(missing)
+
+
 def test_common_subsequence():
     r = random.Random(9)
     for _ in range(60):
