@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from loomline.llm.textblocks import blocks, letter_words, utf8
 
-CARRIED, LEAST = 0.7, 0.25  # share of a passage's weight that its listed words hold, and that a window must share to be aligned
+LISTED = 4  # one part in so many of the words needed of a passage must be listed ones, its rarest
 DIRECT = 0.6  # share of a passage's weight that a window must hold to count as near whatever its cosine
 PASSAGE = 128  # words of a benchmark passage at most; longer items are cut
 ITEMS = 1000  # benchmark items searched for in one pass over the documents
@@ -36,6 +36,7 @@ class Index:
     answers: list[set]
     mass: np.ndarray  # squared norms of the passages
     lists: tuple[np.ndarray, np.ndarray]  # passages by listed word: offsets and passage numbers
+    least: np.ndarray  # places of listed words that a window must have to hold enough of a passage
     window: np.ndarray  # words of a passage's windows: a power of two above its length, and a half
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -118,8 +119,17 @@ def randomised_basis(rows: DataFrame, n_words: int, rank: int, rounds: int = 2,
     return block @ vector[:, order[value[order] > 1e-9]]
 
 
-def build_index(items: DataFrame, docs: DataFrame, rank: int, text_col: str) -> Index:
-    """The latent index of one block of benchmark items (item, text), with document frequencies of all ``docs``."""
+def _needed(length: int, part: float) -> int:
+    """Words of a passage that a match aligns at least."""
+    return max(1, int(np.ceil(part * length - 1e-9)))
+
+
+def build_index(items: DataFrame, docs: DataFrame, rank: int, part: float, text_col: str) -> Index:
+    """The latent index of one block of benchmark items (item, text), with document frequencies of all ``docs``.
+
+    ``part``: the least share of a passage's words that a match aligns. The rarest words are listed, so many
+    that any such part holds ``least`` places of them.
+    """
     passages, of = [], []
     for r in items.orderBy("item", "text").collect():
         words = _passage_words(r.text or "")
@@ -129,7 +139,7 @@ def build_index(items: DataFrame, docs: DataFrame, rank: int, text_col: str) ->
     words = np.unique(np.concatenate(passages)) if passages else np.zeros(0, np.uint64)
     if not len(words):
         none = np.zeros(0, np.int64)
-        return Index(words, np.zeros(0), np.zeros((0, 1)), np.array(of), [], [], np.zeros((0, 1)), [], np.zeros(0), (none, none), none)
+        return Index(words, np.zeros(0), np.zeros((0, 1)), np.array(of), [], [], np.zeros((0, 1)), [], np.zeros(0), (none, none), none, none)
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_document_frequency(words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df, n_docs = np.zeros(len(words)), 0
     for r in counted:
@@ -148,23 +158,26 @@ def build_index(items: DataFrame, docs: DataFrame, rank: int, text_col: str) ->
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     answers = [set(a[np.argsort(-idf[a], kind="stable")[:ANSWER]].tolist()) for a, _ in sparse]
     mass = np.array(norms) ** 2
-    listed = []
+    listed, least = [], np.ones(len(sparse), np.int64)
     for k, (a, c) in enumerate(sparse):
         order = np.argsort(-idf[a], kind="stable")
-        held = np.cumsum((c * idf[a])[order] ** 2)
-        listed += [(w, k) for w in a[order][: int(np.searchsorted(held, CARRIED * mass[k])) + 1].tolist()]
+        needed = _needed(len(numbers[k]), part)
+        held = np.cumsum(c[order])
+        last = int(np.searchsorted(held, held[-1] - needed + max(1, needed // LISTED)))
+        least[k] = needed - (held[-1] - held[last])
+        listed += [(w, k) for w in a[order][: last + 1].tolist()]
     pairs = np.array(sorted(listed))
     lists = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1].copy()
     length = np.array([len(x) for x in numbers])
     window = (24 * 2.0 ** np.maximum(0, np.ceil(np.log2(length / 16)))).astype(np.int64)
-    return Index(words, idf, basis.astype(np.float32), np.array(of), numbers, sparse, latent.astype(np.float32), answers, mass, lists, window)
+    return Index(words, idf, basis.astype(np.float32), np.array(of), numbers, sparse, latent.astype(np.float32), answers, mass, lists, least, window)
 
 
 def _stretches(index: Index, numbers: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(document, passage, starts) of all windows that may hold a passage, overlapping ones together.
 
     Every place of every document where a listed word stands starts a window of each passage that lists
-    it. Windows that share less than LEAST of the passage's weight are left out.
+    it. Windows with fewer such places than any sufficient part of the passage has are left out, so none that holds one is lost.
     """
     offsets, passages = index.lists
     hit = np.flatnonzero(numbers >= 0)
@@ -172,7 +185,6 @@ def _stretches(index: Index, numbers: np.ndarray, bounds: np.ndarray) -> Iterato
     hit, count = hit[count > 0], count[count > 0]
     if not len(hit):
         return
-    word = np.repeat(numbers[hit], count)
     passage = passages[np.repeat(offsets[numbers[hit]] - np.cumsum(count) + count, count) + np.arange(count.sum())]
     at = np.repeat(hit, count)
     doc = np.searchsorted(bounds, at, "right") - 1
@@ -181,9 +193,8 @@ def _stretches(index: Index, numbers: np.ndarray, bounds: np.ndarray) -> Iterato
     key = passage * int(place.max() + 2 * apart) + place
     order = np.argsort(key, kind="stable")
     key, passage, doc, at = key[order], passage[order], doc[order], at[order]
-    weight = np.concatenate([[0.0], np.cumsum(index.idf[word[order]] ** 2)])
-    shared = weight[np.searchsorted(key, key + index.window[passage])] - weight[:-1]
-    good = np.flatnonzero(shared >= LEAST * index.mass[passage])
+    held = np.searchsorted(key, key + index.window[passage]) - np.arange(len(key))
+    good = np.flatnonzero(held >= index.least[passage])
     if not len(good):
         return
     passage, doc, at = passage[good], doc[good], at[good]
@@ -216,7 +227,7 @@ def _align(index: Index, numbers: np.ndarray, p: int, starts: np.ndarray, cosine
     """
     passage, (words, most), wide = index.passages[p], index.counts[p], int(index.window[p])
     n = len(passage)
-    least = min(copied, shared) * n - 1e-9
+    least = _needed(n, min(copied, shared))
     lo = max(0, int(starts[0]) - n)
     around = numbers[lo : int(starts[-1]) + wide + n]
     at = np.minimum(np.searchsorted(words, around), len(words) - 1)
@@ -239,12 +250,12 @@ def _align(index: Index, numbers: np.ndarray, p: int, starts: np.ndarray, cosine
     return best
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, rank: int) -> Iterator[Index]:
+def indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, rank: int, part: float) -> Iterator[Index]:
     """The indexes of the benchmark's blocks of ``ITEMS`` items, one after another."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null")
     items = items.withColumn("block", F.floor((F.row_number().over(Window.orderBy("item", "text")) - 1) / ITEMS))
     for r in items.groupBy("block").count().orderBy("block").collect():
-        index = build_index(items.where(F.col("block") == r.block), docs, rank, "text")
+        index = build_index(items.where(F.col("block") == r.block), docs, rank, part, "text")
         if index.passages:
             yield index
 
@@ -279,7 +290,7 @@ def find_contamination(
 
     Benchmark items are searched for in blocks of ``ITEMS``, each against all documents. A block's passages (TF-IDF over
     the document frequencies of all ``docs``) get a latent space by distributed randomised SVD; the windows
-    of every document that share a quarter of a passage's weight are all compared with it there. The words around each window
+    of every document that can hold ``shared`` of a passage's words are all compared with it. The words around each window
     are aligned with the passage: the longest common subsequence must hold ``copied`` of the passage's words, whatever the
     cosine; or ``shared`` of them together with all of its answer, the passage's rarest words, in a window at or above ``cosine``
     or with DIRECT of the passage's weight. The space has ``rank`` dimensions, more for a block of many passages.
@@ -305,7 +316,7 @@ def find_contamination(
 
         return run
 
-    for index in indexes(table, benchmark, item_col, text_col, rank):
+    for index in indexes(table, benchmark, item_col, text_col, rank, min(copied, shared)):
         out = out.unionByName(table.where("id is not null").mapInArrow(search(spark.sparkContext.broadcast(index)), schema))
     best = out.groupBy("id", "item").agg(F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "m.cosine", "m.lcs_share", "m.answer_share")
@@ -328,6 +339,6 @@ def drop_contaminated(
         return run
 
     out = docs
-    for index in indexes(docs.select(F.col(text_col).alias("text")), benchmark, item_col, text_col, rank):
+    for index in indexes(docs.select(F.col(text_col).alias("text")), benchmark, item_col, text_col, rank, min(copied, shared)):
         out = out.mapInArrow(search(spark.sparkContext.broadcast(index)), docs.schema)
     return out
