@@ -16,7 +16,8 @@ from loomline.llm.textblocks import blocks, letter_words, utf8
 
 LISTED = 4  # one part in so many of the words needed of a passage must be listed ones, its rarest
 DIRECT = 0.6  # share of a passage's weight that a window must hold to count as near whatever its cosine
-PASSAGE = 128  # words of a benchmark passage at most; longer items are cut
+PASSAGE = 128  # words of a benchmark passage at most; longer items are cut into even parts
+ALIGNED, SHORT = 8, 4  # words aligned at least; items of fewer count as an unbroken run of all their words, below SHORT not at all
 ITEMS = 1000  # benchmark items searched for in one pass over the documents
 SHARED_RANK = 8  # passages to a latent dimension at most, where that is more than the rank asked for
 ANSWER = 3  # rarest words of a passage that stand for its answer
@@ -121,7 +122,7 @@ def randomised_basis(rows: DataFrame, n_words: int, rank: int, rounds: int = 2,
 
 def _needed(length: int, part: float) -> int:
     """Words of a passage that a match aligns at least."""
-    return max(1, int(np.ceil(part * length - 1e-9)))
+    return min(length, max(ALIGNED, int(np.ceil(part * length - 1e-9))))
 
 
 def build_index(items: DataFrame, docs: DataFrame, rank: int, part: float, text_col: str) -> Index:
@@ -133,9 +134,10 @@ def build_index(items: DataFrame, docs: DataFrame, rank: int, part: float, text_
     passages, of = [], []
     for r in items.orderBy("item", "text").collect():
         words = _passage_words(r.text or "")
-        for lo in range(0, len(words), PASSAGE):
-            passages.append(words[lo : lo + PASSAGE])
-            of.append(r.item)
+        if len(words) >= SHORT:
+            parts = np.array_split(words, -(-len(words) // PASSAGE))
+            passages += parts
+            of += [r.item] * len(parts)
     words = np.unique(np.concatenate(passages)) if passages else np.zeros(0, np.uint64)
     if not len(words):
         none = np.zeros(0, np.int64)
@@ -219,6 +221,11 @@ def _weight_share(index: Index, p: int, window: np.ndarray) -> float:
     return float((held * most * index.idf[words] ** 2).sum() / index.mass[p])
 
 
+def _unbroken(passage: np.ndarray, around: np.ndarray) -> bool:
+    """Whether the words stand in a text one after another."""
+    return len(around) >= len(passage) and bool((np.lib.stride_tricks.sliding_window_view(around, len(passage)) == passage).all(axis=1).any())
+
+
 def _align(index: Index, numbers: np.ndarray, p: int, starts: np.ndarray, cosine: float, copied: float, shared: float) -> tuple[float, float, float] | None:
     """The best (lcs share, answer share, cosine) of a document's windows at ``starts`` that hold passage ``p``.
 
@@ -240,8 +247,11 @@ def _align(index: Index, numbers: np.ndarray, p: int, starts: np.ndarray, cosine
         if j - i < least:
             continue
         if (i, j) not in aligned:
-            aligned[i, j] = common_subsequence(passage, found[i:j]) / n, len(index.answers[p].intersection(found[i:j].tolist())) / len(index.answers[p])
-        lcs, answer = aligned[i, j]
+            aligned[i, j] = common_subsequence(passage, found[i:j]), len(index.answers[p].intersection(found[i:j].tolist())) / len(index.answers[p])
+        held, answer = aligned[i, j]
+        if held < least or (n < ALIGNED and not _unbroken(passage, around[max(0, a - n - lo) : a + wide + n - lo])):
+            continue
+        lcs = held / n
         if lcs >= copied or (lcs >= shared and answer == 1):
             window = numbers[a : a + wide]
             close = _cosine(index, p, window)
@@ -295,7 +305,8 @@ def find_contamination(
     cosine; or ``shared`` of them together with all of its answer, the passage's rarest words, in a window at or above ``cosine``
     or with DIRECT of the passage's weight. The space has ``rank`` dimensions, more for a block of many passages.
 
-    Null and empty texts and items match nothing; repeated rows and ids each give their own rows, merged to the best
+    A match aligns ALIGNED words at least; shorter items must stand in the text unbroken, and items of fewer than SHORT words,
+    which ordinary text holds by chance, match nothing. Null and empty texts and items match nothing; repeated rows and ids each give their own rows, merged to the best
     for each (id, item); null ids are left out; an empty table on either side gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession

@@ -450,6 +450,16 @@ def test_contamination_by_a_rare_word_that_repeats(spark):
     assert [(r.doc_id, r.item_id, r.lcs_share) for r in found.collect()] == [(1000, 7, 1.0)]
 
 
+def test_contamination_by_short_passages(spark):
+    long = [f"w{i}x" for i in range(129)]
+    items = [(1, " ".join(long)), (2, "solitary"), (3, "five quite unusual item words")]
+    docs = [(1, f"clean text that says {long[128]} once"), (2, "a solitary walk"), (3, "here five quite unusual item words stand"), (4, "words of an item quite unusual and five"), (5, " ".join(long)), (6, " ".join(long[66:]))]
+    docs = spark.createDataFrame([*docs, *((10 + i, "other clean text") for i in range(20))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_contamination(docs, bench).collect()} == {(3, 3), (5, 1), (6, 1)}
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()} == {1, 2, 4, *range(10, 30)}
+
+
 def test_common_subsequence():
     r = random.Random(9)
     for _ in range(60):
