@@ -66,8 +66,8 @@ def find_private(
     """Base spans of every whole text and the terms beside them that disclose an entity.
 
     An entity is the normalised value of a base span; its context is ``reach`` characters to each side. Over all
-    contexts and all documents, a term t discloses an entity e if they share at least ``support``
-    different contexts (copies of a context count once), if p(e | t) = contexts with both / documents with t is at
+    contexts and all different texts (copies of a text count once), a term t discloses an entity e if they share a context in at
+    least ``support`` texts, if p(e | t) = texts with both in a context / texts with t is at
     least ``share``, and if log2(p(e | t) / p(e)) is at least ``bits``. Such a term's places in the contexts of
     e become spans of kind ``term``, unless they overlap a base span. Base spans always stay.
 
@@ -93,13 +93,13 @@ def find_private(
         return F.transform(F.col(kind), around)
 
     base = durable(
-        spans.select("id", *KINDS, F.concat(*(context(k) for k in KINDS)).alias("contexts")).withColumn("row", F.monotonically_increasing_id()), "private-base"
+        spans.select("id", *KINDS, F.concat(*(context(k) for k in KINDS)).alias("contexts"), F.xxhash64("text").alias("copy")).withColumn("row", F.monotonically_increasing_id()), "private-base"
     )
-    places = base.where(F.size("contexts") > 0).select("row", *KINDS, F.explode("contexts").alias("c")).select("row", *KINDS, "c.*")
+    places = base.where(F.size("contexts") > 0).select("row", "copy", *KINDS, F.explode("contexts").alias("c")).select("row", "copy", *KINDS, "c.*")
     words = places.withColumn("w", F.explode(spans_of(F.col("window"), TERM_PATTERN))).select(
         "row",
         "entity",
-        F.xxhash64("window").alias("context"),
+        "copy",
         _term_key(F.col("w.value")).alias("term"),
         (F.col("lo") + F.col("w.start")).alias("start"),
         (F.col("lo") + F.col("w.end")).alias("end"),
@@ -108,11 +108,11 @@ def find_private(
     )
     clear = reduce(lambda a, b: a & b, (~F.exists(F.col(k), lambda x: (x["start"] < F.col("end")) & (x["end"] > F.col("start"))) for k in KINDS))
     words = durable(words.where(clear).drop(*KINDS), "private-words")
-    pairs = words.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    entities = places.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("e_docs"))
+    pairs = words.select("entity", "term", "copy").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    entities = places.select("copy", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("e_docs"))
     keys = F.array_distinct(F.transform(F.filter(F.split(F.lower("text"), r"[^\p{L}]++"), lambda w: F.length(w) > 2), lambda w: F.xxhash64(w)))
-    frequency = bare.select(F.explode(keys).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("t_docs"))
-    total = F.lit(base.count())
+    frequency = bare.select(F.xxhash64("text").alias("copy"), F.explode(keys).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("t_docs"))
+    total = F.lit(base.select("copy").distinct().count())
     odds = F.col("both") / F.greatest("t_docs", "both")
     telling = (
         pairs.join(entities, "entity")
@@ -123,7 +123,7 @@ def find_private(
     marked = words.join(telling, ["entity", "term"]).select("row", "start", "end", "value").distinct()
     terms = marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias(TERM))
     none = F.array().cast(f"array<{SPAN}>")
-    return base.drop("contexts").join(terms, "row", "left").select(F.col("id").alias(id_col), *KINDS, F.coalesce(TERM, none).alias(TERM))
+    return base.drop("contexts", "copy").join(terms, "row", "left").select(F.col("id").alias(id_col), *KINDS, F.coalesce(TERM, none).alias(TERM))
 
 
 def span_text(kinds: tuple[str, ...]) -> Column:

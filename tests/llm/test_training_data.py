@@ -287,6 +287,14 @@ def test_disclosing_terms_are_found_and_redacted(spark):
     assert "zor@blax.org" not in clean and "Zorblax" not in clean and "[EMAIL]" in clean and "[TERM]" in clean
 
 
+def test_disclosing_terms_beside_many_exact_copies(spark):
+    data = [(i, f"note {i} from Zorblax reachable at zor@blax.org until day{i}") for i in range(3)]
+    data += [(100 + i, data[0][1]) for i in range(300)] + [(1000 + i, f"plain text number {chr(97 + i // 26)}{chr(97 + i % 26)} about nothing from here until then") for i in range(200)]
+    found = privacy.find_private(spark.createDataFrame(data, "doc_id long, text string"))
+    by = {r.doc_id: [x.value for x in r.term] for r in found.collect()}
+    assert all(("Zorblax" in v and "from" not in v) if i < 1000 else not v for i, v in by.items())
+
+
 # --- 7 quality rules
 
 
