@@ -60,19 +60,21 @@ def _term_key(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
-def find_private(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 48, support: int = 3, share: float = 0.5, bits: float = 4.0
-) -> DataFrame:
-    """Base spans of every whole text and the terms beside them that disclose an entity.
+def _terms(text: Column) -> Column:
+    """Keys of a text's different words of three letters or more."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}]++"), lambda w: F.length(w) > 2), _term_key))
 
-    An entity is the normalised value of a base span; its context is ``reach`` characters to each side. Over all
-    contexts and all different texts (copies of a text count once), a term t discloses an entity e if they share a context in at
-    least ``support`` texts, if p(e | t) = texts with both in a context / texts with t is at
-    least ``share``, and if log2(p(e | t) / p(e)) is at least ``bits``. Such a term's places in the contexts of
-    e become spans of kind ``term``, unless they overlap a base span. Base spans always stay.
+
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, share: float = 0.5, bits: float = 4.0) -> DataFrame:
+    """Base spans of every whole text and all places of the terms that disclose an entity.
+
+    An entity is the normalised value of a base span. Over all different texts (copies of a text count once), a term t
+    discloses an entity e if at least ``support`` texts hold both, if p(e | t) = texts with both / texts with t is at
+    least ``share``, and if log2(p(e | t) / p(e)) is at least ``bits``. Every place of such a term, in any text, becomes
+    a span of kind ``term``, unless it overlaps a base span. Base spans always stay.
 
     Returns ``id_col`` and, by kind, arrays of (start, end, value) in code points, end exclusive, sorted.
-    All of it is joins and aggregations of narrow rows; a document's own row never joins on text.
+    Co-occurrence is joins and aggregations of narrow rows; texts join once, on their row, with the terms they hold.
     Null and empty texts have no spans; ids may be null or repeat; an empty table gives no
     rows; other columns are ignored.
     """
@@ -80,50 +82,38 @@ def find_private(
     bare = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     spans = bare.select("id", "text", *(v.alias(k) for k, v in base_spans(F.col("text")).items()))
 
-    def context(kind: str) -> Column:
+    def entities_of(kind: str) -> Column:
         entity = (lambda v: F.lower(v)) if kind == "email" else (_digits if kind != "ip" else (lambda v: v))
+        return F.transform(F.col(kind), lambda x: F.concat_ws(":", F.lit(kind), entity(x["value"])))
 
-        def around(x: Column) -> Column:
-            lo = F.greatest(x["start"] - reach, F.lit(0))
-            window = F.substring(F.col("text"), (lo + 1).cast("int"), (x["end"] + reach - lo).cast("int"))
-            return F.struct(
-                F.concat_ws(":", F.lit(kind), entity(x["value"])).alias("entity"), lo.alias("lo"), x["start"].alias("start"), x["end"].alias("end"), window.alias("window")
-            )
-
-        return F.transform(F.col(kind), around)
-
+    entities = F.array_distinct(F.concat(*(entities_of(k) for k in KINDS)))
     base = durable(
-        spans.select("id", *KINDS, F.concat(*(context(k) for k in KINDS)).alias("contexts"), F.xxhash64("text").alias("copy")).withColumn("row", F.monotonically_increasing_id()), "private-base"
-    )
-    places = base.where(F.size("contexts") > 0).select("row", "copy", *KINDS, F.explode("contexts").alias("c")).select("row", "copy", *KINDS, "c.*")
-    words = places.withColumn("w", F.explode(spans_of(F.col("window"), TERM_PATTERN))).select(
-        "row",
-        "entity",
-        "copy",
-        _term_key(F.col("w.value")).alias("term"),
-        (F.col("lo") + F.col("w.start")).alias("start"),
-        (F.col("lo") + F.col("w.end")).alias("end"),
-        F.col("w.value").alias("value"),
-        *KINDS,
+        spans.select("id", "text", *KINDS, entities.alias("entities"), F.xxhash64("text").alias("copy")).withColumn("row", F.monotonically_increasing_id()), "private-base"
     )
-    clear = reduce(lambda a, b: a & b, (~F.exists(F.col(k), lambda x: (x["start"] < F.col("end")) & (x["end"] > F.col("start"))) for k in KINDS))
-    words = durable(words.where(clear).drop(*KINDS), "private-words")
-    pairs = words.select("entity", "term", "copy").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    entities = places.select("copy", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("e_docs"))
-    keys = F.array_distinct(F.transform(F.filter(F.split(F.lower("text"), r"[^\p{L}]++"), lambda w: F.length(w) > 2), lambda w: F.xxhash64(w)))
-    frequency = bare.select(F.xxhash64("text").alias("copy"), F.explode(keys).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("t_docs"))
+    places = base.where(F.size("entities") > 0)
+    held = places.select("copy", F.explode("entities").alias("entity")).distinct()
+    protected = held.groupBy("entity").agg(F.count(F.lit(1)).alias("e_docs")).where(F.col("e_docs") >= support)
+    texts = base.select("copy", "text").dropDuplicates(["copy"])
+    frequency = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("t_docs")).where(F.col("t_docs") >= support)
     total = F.lit(base.select("copy").distinct().count())
-    odds = F.col("both") / F.greatest("t_docs", "both")
+    beside = places.select("copy", F.explode(_terms(F.regexp_replace("text", EMAIL, " "))).alias("term")).distinct().join(frequency, "term")
+    odds = F.col("both") / F.col("t_docs")
     telling = (
-        pairs.join(entities, "entity")
-        .join(frequency, "term")
-        .where((odds >= share) & (F.log2(odds / (F.col("e_docs") / total)) >= bits))
-        .select("entity", "term")
+        beside.join(held.join(protected, "entity"), "copy")
+        .where(F.col("t_docs") * share <= F.col("e_docs"))
+        .groupBy("entity", "term")
+        .agg(F.count(F.lit(1)).alias("both"), F.first("e_docs").alias("e_docs"), F.first("t_docs").alias("t_docs"))
+        .where((F.col("both") >= support) & (odds >= share) & (F.log2(odds / (F.col("e_docs") / total)) >= bits))
+        .select("term")
+        .distinct()
     )
-    marked = words.join(telling, ["entity", "term"]).select("row", "start", "end", "value").distinct()
-    terms = marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias(TERM))
+    telling = durable(telling, "private-telling")
+    marked = base.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(telling, "term").groupBy("row").agg(F.collect_set("term").alias("terms"))
+    marked = durable(marked, "private-marked")
+    clear = lambda x: reduce(lambda a, b: a & b, (~F.exists(F.col(k), lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])) for k in KINDS))
+    found = F.filter(spans_of(F.col("text"), TERM_PATTERN), lambda x: F.array_contains("terms", _term_key(x["value"])) & clear(x))
     none = F.array().cast(f"array<{SPAN}>")
-    return base.drop("contexts", "copy").join(terms, "row", "left").select(F.col("id").alias(id_col), *KINDS, F.coalesce(TERM, none).alias(TERM))
+    return base.join(marked, "row", "left").select(F.col("id").alias(id_col), *KINDS, F.when(F.col("terms").isNotNull(), found).otherwise(none).alias(TERM))
 
 
 def span_text(kinds: tuple[str, ...]) -> Column:

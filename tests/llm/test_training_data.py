@@ -295,6 +295,15 @@ def test_disclosing_terms_beside_many_exact_copies(spark):
     assert all(("Zorblax" in v and "from" not in v) if i < 1000 else not v for i, v in by.items())
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    far = " then nothing about plain number text here" * 20
+    data = [(i, f"Zorblax wrote note {i}{far} until zor@blax.org") for i in range(6)] + [(10, f"the case of Zorblax{far}"), (11, "zorblax@else.net and Zorblaxes")]
+    data += [(100 + i, f"plain text number {chr(97 + i // 26)}{chr(97 + i % 26)} wrote note about nothing from here until then") for i in range(200)]
+    found = privacy.find_private(spark.createDataFrame(data, "doc_id long, text string"))
+    by = {r.doc_id: [(x.value, x.start) for x in r.term] for r in found.collect()}
+    assert all(by.pop(i) == [("Zorblax", 0)] for i in range(6)) and by.pop(10) == [("Zorblax", 12)] and not any(by.values())
+
+
 # --- 7 quality rules
 
 
