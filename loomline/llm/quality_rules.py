@@ -115,18 +115,19 @@ def decision_list(rules: list[list[Literal]]) -> Column:
     return out.otherwise(F.lit(0))
 
 
-def learn_rules(rows: DataFrame, features: tuple[str, ...] = FEATURES, max_rules: int = 10, max_literals: int = 3, cuts: int = 16, precision: float = 0.9, least: int = 5) -> list[list[Literal]]:
+def learn_rules(rows: DataFrame, features: tuple[str, ...] = FEATURES, max_rules: int = 32, max_literals: int = 4, cuts: int = 16, precision: float = 0.9, least: int = 5) -> list[list[Literal]]:
     """Sequential covering of the rows with ``bad`` = 1 by conjunctions of thresholds.
 
     ``rows``: narrow statistics with id and bad (0 or 1). Two thirds grow, a third (by a hash of the
     id) prunes. A rule grows by the literal of highest gain until it covers no good row, at most
     ``max_literals``; its last literals are dropped while that does not lower (p - n) / (p + n) on the pruning rows.
-    A rule is accepted if it covers ``least`` bad growing rows with ``precision`` on both sets; its rows
-    are then taken away. Every step is one aggregation over all rows to a count for each
-    feature, bin and class; only those counts reach the driver.
+    A rule is accepted if it covers ``least`` bad growing rows and has ``precision`` on both sets; its rows
+    are then taken away. After a rule that fails, the next starts with another feature or direction, until none is
+    left. Equal gains go to fewer good rows, then to the later feature name, ``>`` before ``<=``, the lower edge.
+    Every step is one aggregation over all rows to a count for each feature, bin and class; only those counts reach the driver.
     """
-    grow = rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) != 0)
-    prune = rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == 0)
+    fold = F.pmod(F.xxhash64("id"), F.lit(3))
+    grow, prune = rows.where(fold != 0), rows.where(fold == 0)
     asked = [F.percentile_approx(F.col(f).cast("double"), [i / cuts for i in range(1, cuts)]).alias(f) for f in features]
     edges: dict[str, set] = {f: set() for f in features}
     for r in rows.groupBy("bad").agg(*asked).collect():
@@ -143,7 +144,7 @@ def learn_rules(rows: DataFrame, features: tuple[str, ...] = FEATURES, max_rules
 
     bins = F.array(*(place(f) for f in features if marks[f]))
 
-    def literal(taken: Column, rule: list[Literal]) -> tuple[Literal, int, int] | None:
+    def literal(taken: Column, rule: list[Literal], barred: set) -> tuple[Literal, int, int] | None:
         counts = grow.where(taken & holds(rule)).select("bad", F.explode(bins).alias("b")).groupBy("b.f", "b.bin", "bad").agg(F.count(F.lit(1)).alias("n")).collect()
         tally: dict[tuple, list[int]] = {}
         for r in counts:
@@ -157,7 +158,7 @@ def learn_rules(rows: DataFrame, features: tuple[str, ...] = FEATURES, max_rules
             for j, edge in enumerate(marks[f]):
                 for above in (True, False):
                     p, n = (sum(x[j + 1 :]) if above else sum(x[: j + 1]) for x in (bad, good))
-                    if p < least or (p, n) == (p0, n0):
+                    if p < least or (p, n) == (p0, n0) or (f, above) in barred:
                         continue
                     gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
                     key = (round(gain, 9), -n, f, above, -j)
@@ -165,36 +166,46 @@ def learn_rules(rows: DataFrame, features: tuple[str, ...] = FEATURES, max_rules
                         best = (key, Literal(f, above, float(edge)), p, n)
         return best and best[1:]
 
+    def pruned(rule: list[Literal], taken: Column) -> list[Literal]:
+        """The rule without its last literals as far as the pruning rows allow; empty if they do not bear it out."""
+        sizes = range(1, len(rule) + 1)
+        seen = prune.agg(*(F.sum((taken & holds(rule[:k]) & (F.col("bad") == b)).cast("long")).alias(f"{k}_{b}") for k in sizes for b in (1, 0))).first()
+        count = {k: (seen[f"{k}_1"] or 0, seen[f"{k}_0"] or 0) for k in sizes}
+        size = max(sizes, key=lambda k: ((count[k][0] - count[k][1]) / max(1, sum(count[k])), -k))
+        return rule[:size] if count[size][0] >= precision * sum(count[size]) else []
+
     rules: list[list[Literal]] = []
-    left = F.lit(True)
+    left, barred = F.lit(True), set()
     while len(rules) < max_rules:
         rule, p, n = [], 0, 1
-        while n and len(rule) < max_literals and (found := literal(left, rule)):
+        while n and len(rule) < max_literals and (found := literal(left, rule, set() if rule else barred)):
             rule.append(found[0])
             p, n = found[1:]
-        if not rule or p < precision * (p + n):
-            break
-        tests = [F.sum((left & holds(rule[:k]) & (F.col("bad") == b)).cast("long")).alias(f"{k}_{b}") for k in range(1, len(rule) + 1) for b in (1, 0)]
-        seen = prune.agg(*tests).first()
-        worth = {k: ((seen[f"{k}_1"] or 0) - (seen[f"{k}_0"] or 0)) / max(1, (seen[f"{k}_1"] or 0) + (seen[f"{k}_0"] or 0)) for k in range(1, len(rule) + 1)}
-        size = max(worth, key=lambda k: (worth[k], -k))
-        if (seen[f"{size}_1"] or 0) < precision * ((seen[f"{size}_1"] or 0) + (seen[f"{size}_0"] or 0)):
+        if not rule:
             break
-        rules.append(rule[:size])
-        left = left & ~holds(rules[-1])
+        short = pruned(rule, left) if p >= precision * (p + n) else []
+        if short:
+            rules.append(short)
+            left, barred = left & ~holds(short), set()
+        else:
+            barred.add((rule[0].feature, rule[0].above))
     return rules
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame | None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Statistics and verdict of every row of ``docs``: base_failed, rule (0 if none fires) and kept.
 
-    The rules are learned from all labelled rows (label 0 is bad). Null labels and ids do not teach;
-    without labels there are no rules. An empty table gives no rows.
+    The rules are learned from all labelled rows that pass the base rules, which decide the others anyway (label 0 is bad).
+    Null labels and ids do not teach; an id with several labels is bad if one of them is; every row of a repeated id teaches
+    and gets its own verdict. Without labels there are no rules. An empty table gives no rows; null and empty texts
+    fail the base.
     """
     stats = durable(text_statistics(docs, id_col, text_col), "quality-stats")
     rules: list[list[Literal]] = []
     if labels is not None:
-        known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), (F.col(label_col) == 0).cast("int").alias("bad"))
-        rules = learn_rules(durable(stats.join(known, F.col("id") == F.col("k")).select("id", "bad", *FEATURES), "quality-labelled"))
+        known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k"))
+        known = known.agg(F.max((F.col(label_col) == 0).cast("int")).alias("bad"))
+        passed = stats.where("not base_failed").join(known, F.col("id") == F.col("k"))
+        rules = learn_rules(durable(passed.select("id", "bad", *FEATURES), "quality-labelled"))
     out = stats.withColumn("rule", decision_list(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
     return out.withColumnRenamed("id", id_col)
