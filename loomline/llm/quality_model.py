@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.textblocks import IS_SPACE, blocks, gram_buckets, padded, span_hashes, utf8
+from loomline.llm.textblocks import IS_SPACE, blocks, code_points, gram_buckets, padded, span_hashes, utf8
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -19,7 +19,7 @@ SHRINK = 30  # features' worth of a zero vector in every text's average, so shor
 
 
 def span_features(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of words (itself and its byte n-grams with borders, case kept) and each one's word, by word."""
+    """Feature buckets of words (itself and its character n-grams with borders, case kept) and each one's word, by word."""
     spans = padded(cells, starts, lengths)
     found = [((hashes % np.uint64(BUCKETS)).astype(np.int64), np.arange(len(hashes)))]
     found += [gram_buckets(*spans, n, BUCKETS) for n in GRAMS]
@@ -27,11 +27,13 @@ def span_features(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, c
     return bucket, span
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    inside = ~IS_SPACE[data]
-    hashes, starts, bounds = span_hashes(data, inside, off)
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words between ASCII white space: hashes, first characters, lengths, bounds by row, and the characters."""
+    cells, at = code_points(data, off)
+    inside = ~IS_SPACE[np.minimum(cells, 255)]
+    hashes, starts, bounds = span_hashes(cells, inside, at)
     lengths = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
-    return hashes, starts, lengths, bounds
+    return hashes, starts, lengths, bounds, cells
 
 
 @dataclass
@@ -75,9 +77,9 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels += batch.column(1).to_pylist()
         for a, b in zip(off[:-1], off[1:], strict=True):
             text = data[a:b]
-            hashes, starts, lengths, _ = word_spans(text, np.array([0, len(text)]))
+            hashes, starts, lengths, _, cells = word_spans(text, np.array([0, len(text)]))
             key, first, count = np.unique(hashes, return_index=True, return_counts=True)
-            bucket, span = span_features(key, starts[first], lengths[first], text)
+            bucket, span = span_features(key, starts[first], lengths[first], cells)
             repeats = int((hashes[1:] == hashes[:-1]).sum())
             ids, at = np.unique(np.append(bucket, REPEAT), return_inverse=True)
             bags.append((ids.astype(np.int32), np.bincount(at, np.append(count[span], repeats), minlength=len(ids)).astype(np.float32)))
@@ -117,8 +119,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
         for batch in batches:
             data, off = utf8(batch.column(1))
             for lo, hi in blocks(off):
-                cells = data[off[lo] : off[hi]]
-                hashes, starts, lengths, bounds = word_spans(cells, off[lo : hi + 1] - off[lo])
+                hashes, starts, lengths, bounds, cells = word_spans(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 logit = np.full(hi - lo, m.bias)
                 if len(hashes):
                     key, first, at = np.unique(hashes, return_index=True, return_inverse=True)
