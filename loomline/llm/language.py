@@ -9,23 +9,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomline.llm.scratch import durable
 from loomline.llm.textblocks import blocks, gram_buckets, letter_words, padded, utf8
 
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
-MAX_CELLS, MAX_WORDS = 1 << 23, 1 << 18  # bounds of the model, whatever the corpus
+KNOWN = 2.0**-18  # least share of a language's running words that makes a word known: 2^18 known words a language at most
 UNSEEN = 0.01  # share of a word's or n-gram's frequency that every language keeps
 
 
 @dataclass
 class LanguageModel:
-    """Sorted word hashes with log frequencies by language, and a table for each n-gram length."""
+    """Sorted word hashes, the log frequencies of the languages that know each, and a table for each n-gram length.
+
+    ``word_floor`` is what a word scores in the languages that do not know it.
+    """
 
     langs: list[str]
     words: np.ndarray
+    word_floor: np.ndarray
+    word_bounds: np.ndarray
+    word_langs: np.ndarray
     word_scores: np.ndarray
     grams: dict[int, np.ndarray]
     gram_known: dict[int, np.ndarray]
@@ -35,7 +40,12 @@ class LanguageModel:
         out = np.zeros((len(hashes), len(self.langs)), np.float64)
         at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
         known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
-        out[known] = self.word_scores[at[known]]
+        if known.any():
+            row, word = np.flatnonzero(known), at[known]
+            out[row] = self.word_floor[word, None]
+            n = self.word_bounds[word + 1] - self.word_bounds[word]
+            entry = np.repeat(self.word_bounds[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[np.repeat(row, n), self.word_langs[entry]] = self.word_scores[entry]
         rest = np.flatnonzero(~known)
         for n in reversed(GRAMS):
             if not len(rest):
@@ -113,10 +123,11 @@ def _scores(freq: np.ndarray) -> np.ndarray:
 def train_language_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = 2) -> LanguageModel:
     """Count words and character n-grams of all rows with a non-null ``lang_col``.
 
-    All words are counted, then a language keeps those at or above the lowest count that holds
-    the model within MAX_CELLS log frequencies and MAX_WORDS words (``min_count`` at least); the
-    rest are unseen words, which the n-grams score. Each n-gram length has a table of ``BUCKETS``
-    cells, so the model's size is bounded whatever the corpus.
+    A word is known in a language if it occurs there ``min_count`` times and is at least the share KNOWN of
+    its running words; the rest are unseen words, which the n-grams score. The rule does not depend on the
+    corpus's size, and since shares add up to one, a language has at most 1 / KNOWN known words: the model that
+    reaches the driver and the workers is bounded by the number of languages. Each n-gram length
+    has a table of ``BUCKETS`` cells. Null texts count nothing; without languages the model knows none.
     """
     table = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     counts = durable(
@@ -124,23 +135,21 @@ def train_language_model(docs: DataFrame, lang_col: str = "lang", text_col: str
     )
     totals = {(r.lang, r.n): r.t for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("t")).collect()}
     langs = sorted({lang for lang, _ in totals})
-    each = min(MAX_WORDS, MAX_CELLS // max(1, len(langs))) // max(1, len(langs))
-    words = counts.where(f"n = 0 and count >= {min_count}")
-    ranked = words.groupBy("lang", "count").agg(F.count(F.lit(1)).alias("c"))
-    ranked = ranked.withColumn("upto", F.sum("c").over(Window.partitionBy("lang").orderBy(F.desc("count"))))
-    least = {r.lang: r.least for r in ranked.where(f"upto <= {each}").groupBy("lang").agg(F.min("count").alias("least")).collect()}
-    keep = F.lit(False)
-    for lang, n in least.items():
-        keep = keep | ((F.col("lang") == lang) & (F.col("count") >= n))
-    model = LanguageModel(langs, np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32), {}, {})
-    rows = words.where(keep).select("lang", "key", "count").toArrow()
     code = {lang: k for k, lang in enumerate(langs)}
-    model.words, at = np.unique(rows["key"].to_numpy().view(np.uint64), return_inverse=True)
-    freq = np.zeros((len(model.words), len(langs)))
-    lang_of = np.array([code[x] for x in rows["lang"].to_pylist()], int)
-    share = np.array([1 / max(1, totals.get((x, 0), 1)) for x in langs])
-    freq[at, lang_of] = rows["count"].to_numpy() * share[lang_of]
-    model.word_scores = _scores(freq).astype(np.float32)
+    known = F.lit(False)
+    for lang in langs:
+        known = known | ((F.col("lang") == lang) & (F.col("count") >= max(min_count, KNOWN * totals.get((lang, 0), 0))))
+    rows = counts.where("n = 0").where(known).select("lang", "key", "count").toArrow()
+    key = rows["key"].to_numpy().view(np.uint64)
+    lang_of = np.array([code[x] for x in rows["lang"].to_pylist()], np.int64)
+    freq = rows["count"].to_numpy() / np.array([max(1, totals.get((x, 0), 1)) for x in langs])[lang_of] if len(key) else np.zeros(0)
+    order = np.lexsort((lang_of, key))
+    key, lang_of, freq = key[order], lang_of[order], freq[order]
+    words, first = np.unique(key, return_index=True)
+    bounds = np.append(first, len(key)).astype(np.int64)
+    floor = UNSEEN * np.add.reduceat(freq, first) if len(words) else np.zeros(0)
+    scores = np.log(freq + np.repeat(floor, np.diff(bounds)))
+    model = LanguageModel(langs, words, np.log(floor), bounds, lang_of, scores, {}, {})
     grams = counts.where("n > 0").select("lang", "n", "key", "count").toArrow()
     lang_of = np.array([code[x] for x in grams["lang"].to_pylist()], int)
     length, key, count = (grams[c].to_numpy() for c in ("n", "key", "count"))
