@@ -196,7 +196,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     a vocabulary over 65,536). One shuffle by key, with copies dropped before it where a task has
     seen them, keeps one of each. ``recipes``: in ascending id order, null ids first, each row's
     start (ids of all rows before it), n_tokens, chunk keys, chunk ends and Merkle root.
-    ``manifest``: a digest of each run of 1,024 roots of a tile (a file of recipes), of each tile, and of all.
+    ``manifest``: a digest of each run of 1,024 recipes of a tile (a range of ids), of each tile, and of all.
+    ``head``: the width of an id in bytes, and the end id.
 
     Null and empty texts are the end id alone; repeated rows each have a recipe; an empty table
     gives an empty store; other columns are ignored.
@@ -210,11 +211,38 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     tiles = running_total(in_order(rows, [F.col("id"), F.col("key")], "store-order"), "n", "start")
     recipes = tiles.select("tile", "tile_row", "pos", "id", "start", F.col("n").alias("n_tokens"), "shas", "cuts", "root")
     recipes.repartitionByRange("pos").sortWithinPartitions("pos").write.parquet(f"{path}/recipes")
-    digests = spark.read.parquet(f"{path}/recipes").select("tile", F.floor(F.col("tile_row") / 1024).alias("run"), "tile_row", F.hex("root").alias("mark"))
-    for over, to, by in ((["tile", "run"], "run", "tile_row"), (["tile"], "tile", "run"), ([], "all", "tile")):
+    for level, digests in _levels(spark.read.schema(RECIPE).parquet(f"{path}/recipes")):
+        digests.write.parquet(f"{path}/manifest/level={level}")
+    head = spark.createDataFrame([(encoder(tokenizer, end_id).kind.itemsize, end_id)], "width int, end_id int")
+    head.coalesce(1).write.parquet(f"{path}/head")
+
+
+RECIPE = "tile int, tile_row long, pos long, id long, start long, n_tokens long, shas binary, cuts binary, root binary"
+LEVELS = (("run", ["tile", "run"], "tile_row"), ("tile", ["tile"], "run"), ("all", [], "tile"))
+
+
+def _levels(recipes: DataFrame) -> Iterator[tuple[str, DataFrame]]:
+    """The manifest's levels over recipes: digests of runs of 1,024 recipes of a tile, of tiles, and of all.
+
+    A recipe's leaf covers its place, id, start, length, chunk ends and Merkle root.
+    """
+    leaf = F.sha2(F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("pos", "id", "start", "n_tokens")), F.hex("cuts"), F.hex("root")), 256)
+    digests = recipes.select("tile", F.floor(F.col("tile_row") / 1024).alias("run"), "tile_row", leaf.alias("mark"))
+    for level, over, by in LEVELS:
         joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(by, "mark"))), lambda x: x["mark"]))
         digests = digests.groupBy(*over).agg(F.sha2(joined, 256).alias("mark"))
-        digests.write.parquet(f"{path}/manifest/level={to}")
+        yield level, digests
+
+
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Compare every digest of a store's manifest with the recipes found; a lost, added or changed recipe is an error."""
+    for level, digests in _levels(spark.read.schema(RECIPE).parquet(f"{path}/recipes")):
+        keys = digests.columns[:-1]
+        kinds = "".join(f"{k} {digests.schema[k].dataType.simpleString()}, " for k in keys)
+        written = spark.read.schema(f"{kinds}mark string").parquet(f"{path}/manifest/level={level}")
+        off = written.exceptAll(digests).unionAll(digests.exceptAll(written)).take(1)
+        if off:
+            raise ValueError(f"the recipes of {path} do not match its manifest: level {level}, {off[0]}")
 
 
 def _check(kind: str):
@@ -270,39 +298,47 @@ def crc_of_parts(parts: list[tuple[int, int]]) -> int:
 def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crcs = []
-        for want, root, parts in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+        for n, want, root, parts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
             parts = sorted(parts, key=lambda p: p["seq"])
-            if len(parts) != want or merkle_root([p["key"] for p in parts]) != root:
+            if any(p["crc"] is None for p in parts):
+                raise ValueError("a chunk is missing")
+            if len(parts) != want or merkle_root([p["key"] for p in parts]) != root or sum(p["ids"] for p in parts) != n:
                 raise ValueError("a recipe does not match its chunks")
             crcs.append(crc_of_parts([(p["crc"], 4 * p["ids"]) for p in parts]))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
 
 def _parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    recipes = spark.read.parquet(f"{path}/recipes").select("pos", "id", "start", "n_tokens", "root", "shas", (F.octet_length("shas") / 32).cast("int").alias("want"))
+    """The verified recipes' chunk keys, one row each, and the chunks."""
+    verify_manifest(spark, path)
+    recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
+    recipes = recipes.select("pos", "id", "start", "n_tokens", "root", "shas", (F.octet_length("shas") / 32).cast("int").alias("want"))
     pieces = recipes.select("pos", "id", "start", "n_tokens", "root", "want", F.explode(F.sequence(F.lit(0), F.col("want") - 1)).alias("seq"), "shas")
     pieces = pieces.withColumn("key", F.substring(F.col("shas"), F.col("seq") * 32 + 1, F.lit(32))).drop("shas")
     return pieces, spark.read.schema(OBJECT).parquet(f"{path}/objects").where("kind = 0").select("key", "data")
 
 
-def read_digests(spark: SparkSession, path: str, kind: str = "<u2") -> DataFrame:
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Read a store back: id, start, n_tokens and ids_crc32 (CRC-32 of the ids as little-endian 4-byte words).
 
-    Every chunk is read once and checked against its key; only its CRC goes on, and each document's
-    is put together from its recipe and checked against its Merkle root.
+    The recipes are first checked against all levels of the manifest. Every chunk is read once and checked against its
+    key; only its CRC goes on, and each document's is put together from its recipe and checked against its Merkle
+    root and length. A lost or changed recipe or chunk is an error.
     """
+    width = spark.read.parquet(f"{path}/head").first().width
     pieces, chunks = _parts(spark, path)
-    checked = chunks.mapInArrow(_check(kind), "key binary, ids long, crc long")
-    whole = pieces.join(checked, "key").groupBy("pos").agg(
+    checked = chunks.mapInArrow(_check(f"<u{width}"), "key binary, ids long, crc long")
+    whole = pieces.join(checked, "key", "left").groupBy("pos").agg(
         *(F.first(c).alias(c) for c in ("id", "start", "n_tokens", "want", "root")), F.collect_list(F.struct("seq", "key", "ids", "crc")).alias("parts")
     )
     return whole.drop("pos").mapInArrow(_join_crcs, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Read a store back: pos, id, start, n_tokens and ids (the bytes of all its ids in a row)."""
+    """Read a store back: pos, id, start, n_tokens and ids (the bytes of all its ids in a row); a lost recipe or chunk is an error."""
     pieces, chunks = _parts(spark, path)
-    parts = F.array_sort(F.collect_list(F.struct("seq", "data")))
-    whole = pieces.join(chunks, "key").groupBy("pos", "id", "start", "n_tokens").agg(parts.alias("parts"))
+    data = F.coalesce("data", F.raise_error(F.lit("a chunk is missing")).cast("binary"))
+    parts = F.array_sort(F.collect_list(F.struct("seq", data.alias("data"))))
+    whole = pieces.join(chunks, "key", "left").groupBy("pos", "id", "start", "n_tokens").agg(parts.alias("parts"))
     joined = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["data"]))
     return whole.select("pos", "id", "start", "n_tokens", joined.alias("ids"))

@@ -1,8 +1,10 @@
 """Training-data operators: edge cases, brute-force models, round trips, held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
+import shutil
 import zlib
 from collections import Counter
 
@@ -334,6 +336,58 @@ def test_rules_separate_labels_and_edges(spark):
     assert quality_rules.apply_quality_rules(edge.limit(0), labels).count() == 0
 
 
+def brute_first_literal(rows, features, cuts, least):
+    """The literal of highest gain over all rows that grow, by plain counting."""
+    best = None
+    grow = [r for r in rows if r["fold"] != 0]
+    p0, n0 = sum(r["bad"] for r in grow), sum(1 - r["bad"] for r in grow)
+    for f in features:
+        for edge in cuts[f]:
+            for above in (True, False):
+                held = [r for r in grow if (r[f] > edge) == above]
+                p, n = sum(r["bad"] for r in held), sum(1 - r["bad"] for r in held)
+                if p < least or (p, n) == (p0, n0):
+                    continue
+                gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
+                key = (round(gain, 9), -n, f, above, -edge)
+                if gain > 1e-9 and (best is None or key > best):
+                    best = key
+    return (best[2], best[3], -best[4])
+
+
+def test_rules_cover_planted_rows_and_pass_over_bad_starts(spark):
+    """The first literal is that of a plain count; a rule that fails its precision does not end the search."""
+    r = random.Random(11)
+    rows = []
+    for i in range(900):
+        a, b, c = r.random(), r.random(), r.random()
+        bad = int((a > 0.7 and b > 0.5) or c > 0.9)
+        rows.append((i, bad, a, b, c))
+    df = spark.createDataFrame(rows, "id long, bad int, a double, b double, c double")
+    rules = quality_rules.learn_rules(df, ("a", "b", "c"), cuts=64)
+    out = df.withColumn("rule", quality_rules.decision_list(rules)).collect()
+    caught = [x for x in out if x.rule > 0]
+    assert rules and sum(x.bad for x in caught) >= 0.9 * len(caught) and sum(x.bad for x in caught) > 0.6 * sum(x.bad for x in out)
+    marks = {f: set() for f in "abc"}
+    for k in (0, 1):
+        got = df.where(F.col("bad") == k).agg(*(F.percentile_approx(f, [i / 64 for i in range(1, 64)]).alias(f) for f in "abc")).first()
+        for f in "abc":
+            marks[f] |= set(got[f])
+    plain = [x.asDict() for x in df.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(3))).collect()]
+    first = brute_first_literal(plain, "abc", {f: sorted(m) for f, m in marks.items()}, 5)
+    assert first == (lambda x: (x.feature, x.above, x.edge))(rules[0][0])
+    noisy = df.withColumn("z", F.when((F.col("bad") == 1) | (F.pmod(F.col("id"), F.lit(2)) == 0), 1.0).otherwise(0.0))
+    kept = quality_rules.learn_rules(noisy, ("z", "a", "b", "c"), max_literals=1, cuts=64, precision=0.85)
+    assert all(x.feature != "z" for rule in kept for x in rule)
+
+
+def test_rules_learn_from_rows_that_pass_the_base(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = quality_rules.apply_quality_rules(docs, labels).join(labels, "doc_id")
+    assert out.where("quality = 0 and kept").count() == 0 and out.where("quality = 1 and not base_failed and not kept").count() == 0
+    assert out.where("rule > 0").count() > 0
+
+
 # --- 8 store
 
 
@@ -375,14 +429,65 @@ def test_encoder_equals_the_library():
     assert [x.tolist() for x in e.block(texts)] == want
 
 
-def test_damaged_chunk_is_noticed(spark, tmp_path):
-    where = str(tmp_path / "s")
-    store.write_store(spark.createDataFrame([(1, "some words")], "doc_id long, text string"), where, public_tokenizers.path("word_bpe_49k.json"))
-    objects = spark.read.parquet(f"{where}/objects")
-    objects.withColumn("data", F.when(F.col("kind") == 0, F.expr("cast('zz' as binary)")).otherwise(F.col("data"))).write.partitionBy("kind").parquet(f"{where}2/objects")
-    spark.read.parquet(f"{where}/recipes").write.parquet(f"{where}2/recipes")
+def test_damage_is_noticed(spark, tmp_path):
+    """A changed chunk, a lost chunk, a lost recipe file and a changed manifest are errors of both readers."""
+    whole = tmp_path / "s"
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(8)], "doc_id long, text string").repartition(4)
+    store.write_store(docs, str(whole), public_tokenizers.path("word_bpe_49k.json"))
+    assert store.read_digests(spark, str(whole)).count() == 8
+
+    def damaged(name):
+        return str(shutil.copytree(whole, tmp_path / name))
+
+    def fails(where, why):
+        for read in (store.read_digests, store.read_documents):
+            with pytest.raises(Exception, match=why):
+                read(spark, where).collect()
+
+    def rewrite(where, part, change):
+        rows = change(spark.read.parquet(f"{whole}/{part}"))
+        shutil.rmtree(f"{where}/{part}")
+        rows.write.parquet(f"{where}/{part}")
+
+    changed = damaged("changed")
+    rewrite(changed, "objects/kind=0", lambda d: d.withColumn("data", F.expr("cast('zz' as binary)")))
     with pytest.raises(Exception, match="does not match"):
-        store.read_digests(spark, f"{where}2").collect()
+        store.read_digests(spark, changed).collect()
+    lost = damaged("lost")
+    rewrite(lost, "objects/kind=0", lambda d: d.limit(7))
+    fails(lost, "missing")
+    short = damaged("short")
+    rewrite(short, "recipes", lambda d: d.where("pos <> 3"))
+    fails(short, "do not match its manifest")
+    moved = damaged("moved")
+    rewrite(moved, "recipes", lambda d: d.withColumn("start", F.col("start") + 1))
+    fails(moved, "do not match its manifest")
+    signed = damaged("signed")
+    rewrite(signed, "manifest/level=all", lambda d: d.withColumn("mark", F.lit("0")))
+    fails(signed, "do not match its manifest")
+
+
+def test_store_keeps_the_width_of_its_ids(spark, tmp_path, monkeypatch):
+    """Ids of four bytes, as a vocabulary over 65,536 needs, are read back by the width that the store names."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string")
+    plain, wide = str(tmp_path / "plain"), str(tmp_path / "wide")
+    store.write_store(docs, plain, path)
+    shutil.copytree(plain, wide)
+    as_wide = F.udf(lambda d: np.frombuffer(bytes(d), "<u2").astype("<u4").tobytes(), "binary")
+    chunks = spark.read.parquet(f"{plain}/objects/kind=0").withColumn("data", as_wide("data")).withColumn("new", F.unhex(F.sha2("data", 256)))
+    names = {bytes(r.key): bytes(r.new) for r in chunks.select("key", "new").collect()}
+    renamed = F.udf(lambda x: names[bytes(x)], "binary")
+    shutil.rmtree(f"{wide}/objects/kind=0")
+    chunks.withColumn("key", F.col("new")).drop("new").write.parquet(f"{wide}/objects/kind=0")
+    recipes = spark.read.schema(store.RECIPE).parquet(f"{plain}/recipes").withColumn("shas", renamed("shas")).withColumn("root", F.col("shas"))
+    for part in ("recipes", "manifest", "head"):
+        shutil.rmtree(f"{wide}/{part}")
+    recipes.write.parquet(f"{wide}/recipes")
+    for level, digests in store._levels(spark.read.schema(store.RECIPE).parquet(f"{wide}/recipes")):
+        digests.write.parquet(f"{wide}/manifest/level={level}")
+    spark.createDataFrame([(4, 2)], "width int, end_id int").write.parquet(f"{wide}/head")
+    assert sorted(map(tuple, store.read_digests(spark, wide).collect())) == sorted(map(tuple, store.read_digests(spark, plain).collect()))
 
 
 def test_crc_of_parts():
