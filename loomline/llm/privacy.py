@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.native import let, spans_of
+from loomline.llm.native import SPAN, let, spans_of
 from loomline.llm.scratch import durable
 
 #: Patterns in Java's syntax. Possessive repeats and the run-start guards change no match; they keep
@@ -16,10 +16,12 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+SECRET = r"(?<![A-Za-z0-9_])(?=(?:[0-9_]*+[A-Za-z]){4})(?=(?:[A-Za-z_]*+[0-9]){4})[A-Za-z0-9_]{32,}+"
 KINDS = ("email", "ip", "card", "phone")
+ENTITIES = (*KINDS, "secret")  # what terms may disclose; secrets are keys and tokens: 32 letters and digits or more, four of each at least
 TERM = "term"
-SPAN = "struct<start:long,end:long,value:string>"
-TERM_PATTERN = r"\p{L}{3,}+"
+LETTER = r"\p{L}\p{M}"
+TERM_PATTERN = rf"[{LETTER}]{{3,}}+"
 
 
 def _digits(value: Column) -> Column:
@@ -56,64 +58,78 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.coalesce(v, none) for k, v in found.items()}
 
 
+def _secrets(text: Column) -> Column:
+    return F.coalesce(F.when(text.rlike("[A-Za-z0-9_]{32}"), spans_of(text, SECRET)), F.array().cast(f"array<{SPAN}>"))
+
+
 def _term_key(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
-def _terms(text: Column) -> Column:
-    """Keys of a text's different words of three letters or more."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}]++"), lambda w: F.length(w) > 2), _term_key))
+def _terms(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The columns ``keep`` and ``term``: one row for each different word of three letters or more of each row's text."""
+    words = rows.select(*keep, F.explode(F.array_distinct(F.split(F.lower(text), rf"[^{LETTER}]++"))).alias("word"))
+    return words.where(F.length("word") > 2).select(*keep, F.xxhash64("word").alias("term"))
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, share: float = 0.5, bits: float = 4.0) -> DataFrame:
-    """Base spans of every whole text and all places of the terms that disclose an entity.
+def _entities(spans: dict[str, Column]) -> Column:
+    """Keys of the different normalised entities of a row."""
+    norm = {"email": F.lower, "ip": lambda v: v, "card": _digits, "phone": _digits, "secret": lambda v: v}
+    keys = lambda k: lambda x: F.xxhash64(F.lit(k), norm[k](x["value"]))
+    return F.array_distinct(F.concat(*(F.transform(v, keys(k)) for k, v in spans.items())))
 
-    An entity is the normalised value of a base span. Over all different texts (copies of a text count once), a term t
-    discloses an entity e if at least ``support`` texts hold both, if p(e | t) = texts with both / texts with t is at
-    least ``share``, and if log2(p(e | t) / p(e)) is at least ``bits``. Every place of such a term, in any text, becomes
-    a span of kind ``term``, unless it overlaps a base span. Base spans always stay.
 
-    Returns ``id_col`` and, by kind, arrays of (start, end, value) in code points, end exclusive, sorted.
-    Co-occurrence is joins and aggregations of narrow rows; texts join once, on their row, with the terms they hold.
-    Null and empty texts have no spans; ids may be null or repeat; an empty table gives no
-    rows; other columns are ignored.
+def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3, share: float = 0.5, bits: float = 4.0) -> DataFrame:
+    """One row (term) for the key of each term that discloses an entity by the rule of ``find_private``.
+
+    Pairs come only from texts that hold an entity of ``support`` texts; the terms of these pairs alone are counted in all
+    texts. A text that stands in c rows weighs 1 / c in each, so every different text counts once without moving the texts:
+    what is joined to them is the table of repeated texts' keys.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    bare = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    spans = bare.select("id", "text", *(v.alias(k) for k, v in base_spans(F.col("text")).items()))
-
-    def entities_of(kind: str) -> Column:
-        entity = (lambda v: F.lower(v)) if kind == "email" else (_digits if kind != "ip" else (lambda v: v))
-        return F.transform(F.col(kind), lambda x: F.concat_ws(":", F.lit(kind), entity(x["value"])))
-
-    entities = F.array_distinct(F.concat(*(entities_of(k) for k in KINDS)))
-    base = durable(
-        spans.select("id", "text", *KINDS, entities.alias("entities"), F.xxhash64("text").alias("copy")).withColumn("row", F.monotonically_increasing_id()), "private-base"
-    )
-    places = base.where(F.size("entities") > 0)
-    held = places.select("copy", F.explode("entities").alias("entity")).distinct()
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("copy"))
+    grouped = durable(rows.groupBy("copy").agg(F.count(F.lit(1)).alias("c")), "private-copies")
+    copies, repeated = grouped.count(), durable(grouped.where("c > 1"), "private-repeated")
+    found = rows.withColumn("entities", _entities(base_spans(F.col("text")) | {"secret": _secrets(F.col("text"))})).where(F.size("entities") > 0)
+    places = durable(found.dropDuplicates(["copy"]), "private-places")
+    held = places.select("copy", F.explode("entities").alias("entity"))
     protected = held.groupBy("entity").agg(F.count(F.lit(1)).alias("e_docs")).where(F.col("e_docs") >= support)
-    texts = base.select("copy", "text").dropDuplicates(["copy"])
-    frequency = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("t_docs")).where(F.col("t_docs") >= support)
-    total = F.lit(base.select("copy").distinct().count())
-    beside = places.select("copy", F.explode(_terms(F.regexp_replace("text", EMAIL, " "))).alias("term")).distinct().join(frequency, "term")
+    kept = durable(held.join(protected, "entity"), "private-entities")
+    bare = F.regexp_replace("text", EMAIL, " ")
+    beside = _terms(places.join(kept.select("copy").distinct(), "copy", "left_semi"), bare, "copy")
+    pairs = beside.join(kept, "copy").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("e_docs").alias("e_docs"))
+    pairs = durable(pairs.where(F.col("both") >= support), "private-pairs")
+    asked = durable(pairs.select("term").distinct(), "private-terms")
+    weighed = rows.join(repeated, "copy", "left").select("text", (F.lit(1.0) / F.coalesce("c", F.lit(1))).alias("weight"))
+    counted = _terms(weighed, F.col("text"), "weight").join(asked, "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("t_docs"))
     odds = F.col("both") / F.col("t_docs")
-    telling = (
-        beside.join(held.join(protected, "entity"), "copy")
-        .where(F.col("t_docs") * share <= F.col("e_docs"))
-        .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("both"), F.first("e_docs").alias("e_docs"), F.first("t_docs").alias("t_docs"))
-        .where((F.col("both") >= support) & (odds >= share) & (F.log2(odds / (F.col("e_docs") / total)) >= bits))
-        .select("term")
-        .distinct()
-    )
-    telling = durable(telling, "private-telling")
-    marked = base.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(telling, "term").groupBy("row").agg(F.collect_set("term").alias("terms"))
+    telling = pairs.join(counted, "term").where((odds >= share) & (F.log2(odds / (F.col("e_docs") / F.lit(copies))) >= bits))
+    return durable(telling.select("term").distinct(), "private-telling")
+
+
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, share: float = 0.5, bits: float = 4.0) -> DataFrame:
+    """Base spans and secrets of every whole text and all places of the terms that disclose an entity.
+
+    An entity is the normalised value of a base span or a secret (a long key of letters and digits). Over all different texts
+    (copies of a text count once), a term t discloses an entity e if at least ``support`` texts hold both, if p(e | t) =
+    texts with both / texts with t is at least ``share``, and if log2(p(e | t) / p(e)) is at least ``bits``. Every place of
+    such a term, in any text, becomes a span of kind ``term``, unless it overlaps another span. Base spans always stay.
+
+    Returns ``id_col`` and, by kind, arrays of (start, end, value) in code points, end exclusive, sorted; ties do not
+    arise, since spans of a kind do not overlap.
+    Co-occurrence is joins and aggregations of narrow rows; texts are joined to the terms that they hold by a key of the text.
+    Null and empty texts have no spans; ids may be null or repeat and each row has its own spans; an empty table gives no
+    rows; other columns are ignored.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    bare = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("copy"))
+    telling = disclosing_terms(docs, text_col, support, share, bits)
+    marked = _terms(bare, F.col("text"), "copy").join(telling, "term").groupBy("copy").agg(F.collect_set("term").alias("terms"))
     marked = durable(marked, "private-marked")
-    clear = lambda x: reduce(lambda a, b: a & b, (~F.exists(F.col(k), lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])) for k in KINDS))
+    spans = bare.join(marked, "copy", "left").select("id", "text", "terms", *(v.alias(k) for k, v in base_spans(F.col("text")).items()), _secrets(F.col("text")).alias("secret"))
+    clear = lambda x: reduce(lambda a, b: a & b, (~F.exists(F.col(k), lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])) for k in ENTITIES))
     found = F.filter(spans_of(F.col("text"), TERM_PATTERN), lambda x: F.array_contains("terms", _term_key(x["value"])) & clear(x))
-    none = F.array().cast(f"array<{SPAN}>")
-    return base.join(marked, "row", "left").select(F.col("id").alias(id_col), *KINDS, F.when(F.col("terms").isNotNull(), found).otherwise(none).alias(TERM))
+    return spans.select(F.col("id").alias(id_col), *ENTITIES, F.when(F.col("terms").isNotNull(), found).otherwise(F.array().cast(f"array<{SPAN}>")).alias(TERM))
 
 
 def span_text(kinds: tuple[str, ...]) -> Column:
@@ -125,7 +141,7 @@ def span_text(kinds: tuple[str, ...]) -> Column:
     return F.concat_ws(",", F.concat(*(of(k) for k in kinds)))
 
 
-def redact(text: Column, kinds: tuple[str, ...] = (*KINDS, TERM)) -> Column:
+def redact(text: Column, kinds: tuple[str, ...] = (*ENTITIES, TERM)) -> Column:
     """``text`` with every span of ``find_private``'s columns generalised to its kind in brackets; of overlapping spans the first stays."""
     tagged = F.array_sort(F.concat(*(F.transform(F.col(k), _tag(k)) for k in kinds)))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

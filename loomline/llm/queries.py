@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from loomline.llm.decontamination import find_contamination
 from loomline.llm.language import fold_of, identify_language, train_language_model
 from loomline.llm.mixing import mix_sources
 from loomline.llm.neardup import near_duplicates
-from loomline.llm.privacy import KINDS, TERM, find_private, span_text
+from loomline.llm.privacy import ENTITIES, KINDS, TERM, find_private, span_text
 from loomline.llm.quality_model import score_quality, train_quality_model
 from loomline.llm.quality_rules import apply_quality_rules
 from loomline.llm.scratch import new_path
@@ -55,11 +57,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans by pattern, and terms that disclose an entity."""
+    counts = {k: F.size(k).cast("long") for k in (*ENTITIES, TERM)}
     return find_private(_documents(spark, sf_dir)).select(
         "doc_id",
-        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(n.alias(f"n_{k}") for k, n in counts.items()),
+        reduce(lambda a, b: a + b, (counts[k] for k in ENTITIES)).alias("n_private"),
         F.sha2(span_text(KINDS), 256).alias("base_sha256"),
-        span_text((*KINDS, TERM)).alias("spans"),
+        span_text((*ENTITIES, TERM)).alias("spans"),
     )
 
 

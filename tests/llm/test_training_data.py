@@ -306,6 +306,70 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert all(by.pop(i) == [("Zorblax", 0)] for i in range(6)) and by.pop(10) == [("Zorblax", 12)] and not any(by.values())
 
 
+def brute_terms(texts, support=3, share=0.5, bits=4.0):
+    """The disclosing terms of different texts by plain counting of texts that hold a term, an entity, or both."""
+    texts = sorted({t for t in texts if t})
+    words = {t: {w for w in re.findall(r"[a-z]+", re.sub(r"\S+@\S+", " ", t).lower()) if len(w) > 2} for t in texts}
+    every = {t: {w for w in re.findall(r"[a-z]+", t.lower()) if len(w) > 2} for t in texts}
+    mails = {t: {m.lower() for m in re.findall(r"[a-z]+@[a-z]+\.org", t)} for t in texts}
+    out = set()
+    for e in set().union(*mails.values()):
+        having = [t for t in texts if e in mails[t]]
+        for w in set().union(*(words[t] for t in having)):
+            both, n = sum(w in words[t] for t in having), sum(w in every[t] for t in texts)
+            if len(having) >= support and both >= support and both / n >= share and math.log2(both / n / (len(having) / len(texts))) >= bits:
+                out.add(w)
+    return out
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    r = random.Random(14)
+    names, people = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)], [f"{a}@{b}.org" for a, b in zip("pqrstuvw", "klmnklmn", strict=True)]
+    texts = []
+    for _ in range(400):
+        k = r.randrange(8)
+        texts.append(" ".join([*(r.choice(names[7:]) for _ in range(6)), *([names[k].title()] if r.random() < 0.2 else []), *([people[k]] if r.random() < 0.15 else [])]))
+        if people[k] in texts[-1] and r.random() < 0.8:
+            texts[-1] += " " + names[k]
+    texts += [texts[0]] * 50 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_terms(texts)
+    assert len(want) >= 3
+    for r_ in privacy.find_private(df).collect():
+        t = texts[r_.doc_id] or ""
+        taken = [m.span() for m in re.finditer(r"\S+@\S+", t)]
+        places = [m.span() for m in re.finditer(r"[A-Za-z]+", t) if m[0].lower() in want and not any(a < m.end() and b > m.start() for a, b in taken)]
+        assert [(x.start, x.end) for x in r_.term] == places
+
+
+def test_secrets_are_found_and_protected(spark):
+    key, word = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "a" * 40
+    data = [(i, f'vault {i} token = "{key}" and {word}') for i in range(4)] + [(9, "the vault is open"), (10, "1" * 40)]
+    data += [(100 + i, f"plain text number {chr(97 + i // 26)}{chr(97 + i % 26)} and nothing more is here") for i in range(200)]
+    by = {r.doc_id: r for r in privacy.find_private(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all([x.value for x in by[i].secret] == [key] and "vault" in [x.value for x in by[i].term] for i in range(4))
+    assert [x.value for x in by[9].term] == ["vault"] and not by[10].secret and not any(by[100 + i].term for i in range(200))
+
+
+def test_places_of_many_matches(spark):
+    """A text of more matches than one fold takes has the same places as a plain search."""
+    text = "é " + "me@x.org 漢 1.2.3.4, " * 900
+    got = privacy.find_private(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(privacy.span_text(privacy.KINDS)).first()[0]
+    assert got == brute_private(text)
+
+
+def test_private_query_contract(spark):
+    from loomline.llm import queries
+
+    rows = queries.op6_private_data(spark, SF).collect()
+    text = {r.doc_id: r.text or "" for r in real_docs(spark).collect()}
+    assert len(rows) == len(text)
+    for r in rows:
+        base = brute_private(text[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans.startswith(base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k + ":") for x in base.split(",")) for k in privacy.KINDS]
+
+
 # --- 7 quality rules
 
 
