@@ -646,6 +646,61 @@ def test_contamination_by_short_passages(spark):
     assert {r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()} == {1, 2, 4, *range(10, 30)}
 
 
+def test_contamination_recall_of_paraphrases(spark):
+    """Items with 10 to 40 % of their words replaced, between other text: nine in ten are found at each rate, and no other item."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = {r.item_id: r.text.split() for r in bench.collect()}
+    docs = real_docs(spark).selectExpr("-1 - doc_id AS doc_id", "text")
+    fill = [w for r in docs.where("text is not null").collect() for w in r.text.split()]
+    planted, r = [], random.Random(12)
+    for rate in (10, 20, 30, 40):
+        for i, words in items.items():
+            w = [f"unseen{r.randrange(10**9)}" if r.random() < rate / 100 else x for x in words]
+            at = r.randrange(len(fill) - 160)
+            planted.append((rate * 100_000 + i, " ".join([*fill[at : at + 80], *w, *fill[at + 80 : at + 160]])))
+    found = decontamination.find_contamination(docs.union(spark.createDataFrame(planted, "doc_id long, text string")), bench)
+    got = {(x.doc_id, x.item_id) for x in found.where("doc_id >= 0").collect()}
+    for rate in (10, 20, 30, 40):
+        assert sum((rate * 100_000 + i, i) in got for i in items) >= 0.9 * len(items), rate
+    others = [(d, i) for d, i in got if d % 100_000 != i]
+    assert len(others) <= 0.02 * len(planted), others
+
+
+def test_copies_equal_brute_force(spark):
+    """Pairs with four fifths of the words in order: all that any window of the least length holds, none that no window of the largest does."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs = real_docs(spark).select("doc_id", "text")
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_contamination(docs, bench).where("lcs_share >= 0.8").collect()}
+    texts, items = {r.doc_id: words(r.text) for r in docs.collect()}, {r.item_id: words(r.text) for r in bench.collect()}
+    numbers = {w: i for i, w in enumerate(sorted(set().union(*items.values())))}
+    least, most = set(), set()
+    for d, t in texts.items():
+        have = set(t)
+        for i, p in items.items():
+            if len([w for w in p if w in have]) < 0.8 * len(p):
+                continue
+            for width, found in ((len(p), least), (6 * len(p), most)):
+                for at in range(0, max(1, len(t) - width + 1), 1 if width == len(p) else len(p)):
+                    part = np.array([numbers.get(w, -1) for w in t[at : at + width]])
+                    if decontamination.common_subsequence(np.array([numbers[w] for w in p]), part) >= 0.8 * len(p):
+                        found.add((d, i))
+                        break
+    assert least and least <= got <= most | least
+
+
+def test_benchmark_of_several_blocks(spark, monkeypatch):
+    """Latent spaces of few items, searched in several passes, find the same copies."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs = real_docs(spark).select("doc_id", "text")
+    whole = {(x.doc_id, x.item_id) for x in decontamination.find_contamination(docs, bench).where("lcs_share = 1").collect()}
+    monkeypatch.setattr(decontamination, "ITEMS", 9)
+    monkeypatch.setattr(decontamination, "TOGETHER", 2)
+    assert whole == {(x.doc_id, x.item_id) for x in decontamination.find_contamination(docs, bench.limit(60), rank=4).where("lcs_share = 1").collect()} | {
+        p for p in whole if p[1] not in {r.item_id for r in bench.limit(60).collect()}
+    }
+
+
 def test_common_subsequence():
     r = random.Random(9)
     for _ in range(60):
