@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline.operators.tables import durable
+
 Z95 = 1.959964
 
 
@@ -68,23 +70,29 @@ def three_state(low: Column, high: Column, threshold: float, false_merges: Colum
     return F.when((false_merges > 0) | (high < threshold), "FAIL").when(low >= threshold, "PASS").otherwise("INSUFFICIENT_EVIDENCE")
 
 
-def bootstrap_interval(rows: DataFrame, stratum: str, num: str, den: str, replicates: int = 200) -> DataFrame:
-    """Percentile interval of a ratio under resampling of rows within strata.
+def bootstrap_interval(rows: DataFrame, replicates: int = 2000) -> DataFrame:
+    """Interval of a weighted ratio by resampling within strata, widened to Wilson's.
 
-    A row's count in a replicate is drawn from Poisson(1) by a hash of (row, replicate): resampling
-    without moving rows, one partial sum for each task and replicate.
+    ``rows``: a reviewed sample (id, stratum, weight, num, den). Every replicate draws as many rows of each stratum, with
+    replacement, as it has: draw j of replicate b takes the row at md5(b/stratum/j) modulo the stratum's size. Bounds are the sorted ratios at
+    .025 n - 1 and .975 n; Wilson's interval at Kish's size keeps an all-success sample from claiming certainty. The work is rows x replicates.
     """
-    u = (F.xxhash64("id", "b").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    term, cumulative, draws = 0.36787944117144233, 0.0, F.lit(0)
-    for k in range(7):
-        cumulative += term
-        draws = draws + (u > cumulative).cast("int")
-        term /= k + 1
-    dealt = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("c", draws)
-    ratios = dealt.groupBy("b").agg((F.sum(F.col("c") * F.col(num)) / F.sum(F.col("c") * F.col(den))).alias("ratio"))
-    ordered = ratios.agg(F.array_sort(F.collect_list("ratio")).alias("r"))
-    at = lambda i: F.element_at("r", i)
-    return ordered.select(at(max(1, int(0.025 * replicates))).alias("low"), at(min(replicates, int(0.975 * replicates) + 1)).alias("high"))
+    place = Window.partitionBy("stratum").orderBy("id")
+    sized = rows.withColumn("pos", (F.row_number().over(place) - 1).cast("long")).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("stratum")))
+    sized = durable(sized, "bootstrap")
+    dealt = sized.select("stratum", "size", "pos", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    mark = F.md5(F.concat_ws("/", F.col("b").cast("string"), F.col("stratum").cast("string"), F.col("pos").cast("string")))
+    drawn = dealt.select("b", "stratum", (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % F.col("size")).alias("pos"))
+    hit = drawn.join(sized.select("stratum", "pos", (F.col("weight") * F.col("num")).alias("n"), (F.col("weight") * F.col("den")).alias("d")), ["stratum", "pos"])
+    ratios = hit.groupBy("b").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).where("d > 0")
+    boot = ratios.agg(F.array_sort(F.collect_list(F.col("n") / F.col("d"))).alias("r"))
+    w = F.col("weight") * F.col("den")
+    whole = sized.agg((F.sum(F.col("weight") * F.col("num")) / F.sum(w)).alias("estimate"), F.greatest(F.lit(1.0), F.pow(F.sum(w), 2) / F.sum(w * w)).alias("n_eff"))
+    low, high = wilson(F.col("estimate"), F.col("n_eff"))
+    n = F.size("r")
+    at = lambda i: F.element_at("r", i + 1)
+    first, last = F.greatest(F.lit(0), F.floor(n * 0.025).cast("int") - 1), F.least(n - 1, F.floor(n * 0.975).cast("int"))
+    return boot.crossJoin(whole).select("estimate", F.least(at(first), low).alias("low"), F.greatest(at(last), high).alias("high"))
 
 
 def ablation_gate(gain: Column, accuracy_loss: Column, calls: Column, base_calls: Column) -> Column:

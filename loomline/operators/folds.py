@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomline.operators.intervals import islands
 
@@ -18,9 +17,7 @@ def min_spacing(points: DataFrame, keys: list[str], spacing: int) -> DataFrame:
 
     A point that far behind the point before it is always kept, so stretches without such a gap fold alone.
     """
-    order = Window.partitionBy(*keys).orderBy("t", "id")
-    far = F.coalesce(F.col("t") - F.lag("t", 1).over(order) >= spacing, F.lit(True)).cast("long")
-    runs = points.withColumn("_far", far).withColumn("_run", F.sum("_far").over(order))
+    runs = islands(points.withColumn("s", F.col("t")).withColumn("e", F.col("t")), keys, spacing, strict=True, out="_run")
     rows = F.array_sort(F.collect_list(F.struct("t", "id")))
     none = F.array().cast("array<struct<t:bigint,id:bigint>>")
     kept = F.aggregate(rows, none, lambda acc, x: F.when((F.size(acc) == 0) | (x["t"] - F.element_at(acc, -1)["t"] >= spacing), F.concat(acc, F.array(x))).otherwise(acc))
@@ -66,9 +63,7 @@ def capped_merge(df: DataFrame, keys: list[str], gap: int, longest: int) -> Data
 
 def anchored_groups(points: DataFrame, keys: list[str], reach: int) -> DataFrame:
     """Groups of points within ``reach`` of their first point (not of the one before): bursts, frame snapping."""
-    order = Window.partitionBy(*keys).orderBy("t", "id")
-    far = F.coalesce(F.col("t") - F.lag("t", 1).over(order) > reach, F.lit(True)).cast("long")
-    runs = points.withColumn("_far", far).withColumn("_run", F.sum("_far").over(order))
+    runs = islands(points.withColumn("s", F.col("t")).withColumn("e", F.col("t")), keys, reach, out="_run")
     rows = F.array_sort(F.collect_list(F.col("t")))
     none = F.array().cast("array<struct<first:bigint,last:bigint,n:bigint>>")
 

@@ -54,8 +54,10 @@ def sampling_audit(samples: DataFrame, keys: list[str], low: float, high: float)
 
 
 def unclaimed(claims: DataFrame, kinds: DataFrame, key: str) -> DataFrame:
-    """Kinds that a key never claims: all pairs of its vocabulary less those seen."""
-    return claims.select(key).distinct().join(F.broadcast(kinds)).join(claims.select(key, "kind").distinct(), [key, "kind"], "left_anti")
+    """Kinds that a key never claims: the vocabulary, one row of kinds, less those seen."""
+    every = kinds.agg(F.array_sort(F.collect_set("kind")).alias("_every"))
+    seen = claims.groupBy(key).agg(F.collect_set("kind").alias("_seen")).crossJoin(F.broadcast(every))
+    return seen.select(key, F.explode(F.array_except("_every", "_seen")).alias("kind"))
 
 
 def design_join(rows: DataFrame, private: DataFrame, key: str) -> DataFrame:

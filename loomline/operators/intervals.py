@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from loomline.operators.tables import running
 
 LONG = 64
 
@@ -80,10 +81,12 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int,
 
 def islands(df: DataFrame, keys: list[str], gap: int = 0, strict: bool = False, out: str = "island") -> DataFrame:
     """Number the runs of each key whose starts lie within ``gap`` of the furthest end so far (strictly within, if asked)."""
-    order = Window.partitionBy(*keys).orderBy("s", "e", "id")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)) + gap
+    order = ["s", "e", "id"]
+    reach = F.col("_reach") + gap
     apart = (F.col("s") >= reach) if strict else (F.col("s") > reach)
-    return df.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("long")).withColumn(out, F.sum("_new").over(order)).drop("_new")
+    marked = running(df, keys, order, {"_reach": ("max", F.col("e"))}).withColumn("_new", F.coalesce(apart, F.lit(True)).cast("long"))
+    summed = running(marked, keys, order, {"_before": ("sum", F.col("_new"))})
+    return summed.withColumn(out, F.coalesce("_before", F.lit(0)) + F.col("_new")).drop("_reach", "_new", "_before")
 
 
 def merge_within(df: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
@@ -100,10 +103,9 @@ def clip(df: DataFrame, lo: int, hi: int) -> DataFrame:
 
 def gaps(union: DataFrame, keys: list[str], lo: int, hi: int) -> DataFrame:
     """What a union of disjoint intervals leaves uncovered of [lo, hi]."""
-    order = Window.partitionBy(*keys).orderBy("s")
-    edges = union.select(*keys, "s", "e", F.lag("e", 1).over(order).alias("before"), F.lead("s", 1).over(order).alias("after"))
+    edges = running(union.select(*keys, "s", "e"), keys, ["s"], {"before": ("max", F.col("e"))})
     inner = edges.select(*keys, F.coalesce("before", F.lit(lo).cast("long")).alias("s"), F.col("s").alias("e"))
-    tail = edges.where(F.col("after").isNull()).select(*keys, F.col("e").alias("s"), F.lit(hi).cast("long").alias("e"))
+    tail = union.groupBy(*keys).agg(F.max("e").alias("s")).withColumn("e", F.lit(hi).cast("long"))
     return inner.unionByName(tail).where("e > s")
 
 
@@ -160,10 +162,8 @@ def nearest(points: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     sides = points.select(*keys, "id", "t", F.lit(None).cast("long").alias("t2")).unionByName(
         frames.select(*keys, F.lit(None).cast("long").alias("id"), F.col("t2").alias("t"), "t2")
     )
-    order = Window.partitionBy(*keys).orderBy("t", F.col("t2").asc_nulls_last())
-    before = F.last("t2", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("t2", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = sides.withColumn("_b", before).withColumn("_a", after).where("id is not null")
+    sides = sides.withColumn("_side", F.col("t2").isNull().cast("int"))
+    both = running(sides, keys, ["t", "_side"], {"_b": ("upto", F.col("t2")), "_a": ("after", F.col("t2"))}).where("id is not null")
     pick = F.when(F.col("_a").isNull() | (F.col("t") - F.col("_b") <= F.col("_a") - F.col("t")), F.coalesce("_b", "_a")).otherwise(F.col("_a"))
     return both.select(*keys, "id", "t", pick.alias("nearest"))
 

@@ -2,43 +2,81 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline.operators.tables import durable
+
+
+HOPS = 4  # steps of a search that one written table covers
 
-def closure(edges: DataFrame, seeds: DataFrame, depth: int = 32) -> DataFrame:
+
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reachable from each seed along (src, dst), with the least number of steps; the seeds are at 0.
 
-    Breadth first: each round joins only the newest nodes, and stops when none is new.
+    Breadth first, without a limit of depth: each round goes HOPS steps on from the newest nodes and is written as a table, so
+    the plan stays small however long the paths, and the search ends when a round finds nothing new.
     """
-    seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("steps")).distinct()
-    newest = seen
-    for step in range(1, depth + 1):
-        found = newest.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.lit(step).alias("steps")).distinct()
-        newest = found.join(seen, ["seed", "node"], "left_anti").persist()
-        if newest.isEmpty():
-            break
-        seen = seen.unionByName(newest)
-    return seen
+    edges = durable(edges.select("src", "dst").distinct(), "closure-edges")
+    rounds = [durable(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("steps")).distinct(), "closure")]
+    newest, step = rounds[0], 0
+    while not newest.isEmpty():
+        seen = reduce(DataFrame.unionByName, rounds).select("seed", "node")
+        layer, layers = newest.select("seed", "node"), []
+        for _ in range(HOPS):
+            step += 1
+            found = layer.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+            layer = found.join(seen, ["seed", "node"], "left_anti")
+            layers.append(layer.withColumn("steps", F.lit(step)))
+        new = durable(reduce(DataFrame.unionByName, layers).groupBy("seed", "node").agg(F.min("steps").alias("steps")), "closure")
+        newest = new.where(F.col("steps") == step)
+        rounds.append(new)
+        if len(rounds) > 16:  # one table of all rounds so far, so that the next joins read one
+            rounds = [durable(reduce(DataFrame.unionByName, rounds), "closure-seen")]
+    return reduce(DataFrame.unionByName, rounds)
 
 
-def on_cycle(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """Nodes that reach themselves, by peeling: nodes without an edge in or out leave round by round, what stays holds every cycle."""
-    left = edges
-    for _ in range(depth):
-        fewer = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        fewer = fewer.join(fewer.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").persist()
-        if fewer.count() == left.count():
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves: those of strongly connected parts of two nodes or more, and of loops.
+
+    Nodes without an edge in or out leave first. Then every node takes the largest name that reaches it; what a name's
+    own node is reached from among those of its name is a strongly connected part, which is taken away. Each round is a table.
+    """
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    left, found = durable(edges.where("src <> dst").select("src", "dst").distinct(), "cycle-edges"), [loops]
+    while not left.isEmpty():
+        n, before = left.count(), -1
+        while n and n != before:
+            inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            left = durable(inner.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cycle-edges")
+            n, before = left.count(), n
+        if not n:
             break
-        left = fewer
-    return left.select(F.col("src").alias("node")).distinct()
+        names = durable(left.select(F.col("src").alias("node")).distinct().withColumn("name", F.col("node")), "cycle-names")
+        while True:
+            moved = left.join(names, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "name")
+            after = durable(names.unionByName(moved).groupBy("node").agg(F.max("name").alias("name")), "cycle-names")
+            if after.exceptAll(names).isEmpty():
+                break
+            names = after
+        inside = left.join(names.toDF("src", "name"), "src").join(names.toDF("dst", "to_name"), "dst").where("name = to_name").select("src", "dst")
+        back = closure(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), names.where("node = name").select("node"))
+        back = durable(back.select("seed", "node"), "cycle-parts")
+        large = back.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+        found.append(back.join(large, "seed", "left_semi").select("node"))
+        gone = back.select("node").distinct()
+        kept = left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst")
+        left = durable(kept, "cycle-edges")
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def effective_status(versions: DataFrame, deps: DataFrame, depth: int = 32) -> DataFrame:
+def effective_status(versions: DataFrame, deps: DataFrame) -> DataFrame:
     """committed only if the node is and everything upstream is; else stale (or its own status)."""
     bad = versions.where("status <> 'committed'").select("node")
-    tainted = closure(deps.select(F.col("upstream").alias("src"), F.col("node").alias("dst")), bad, depth).select("node").distinct()
+    tainted = closure(deps.select(F.col("upstream").alias("src"), F.col("node").alias("dst")), bad).select("node").distinct()
     joined = versions.join(tainted.withColumn("tainted", F.lit(True)), "node", "left")
     status = F.when(F.col("status") != "committed", F.col("status")).when(F.col("tainted"), "stale").otherwise("committed")
     return joined.withColumn("effective", status).drop("tainted")
@@ -51,6 +89,14 @@ def claim_conflicts(claims: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys).where("pol_a <> pol_b AND id_a < id_b").select(*keys, "id_a", "id_b")
 
 
+def conflict_counts(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """How many pairs of active claims of each thing contradict each other, and the first claim in one: from counts by polarity, not pairs."""
+    by = claims.where("active").groupBy(*keys, "polarity").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    whole = by.groupBy(*keys).agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min("id").alias("first"))
+    pairs = ((F.col("all") * F.col("all") - F.col("same")) / 2).cast("long")
+    return whole.select(*keys, pairs.alias("pairs"), "first").where("pairs > 0")
+
+
 def latest_versions(log: DataFrame, key: str, order: Column) -> DataFrame:
     """The active row of each key in an append-only log."""
     return log.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))).where("_n = 1").drop("_n")

@@ -2,44 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 256  # queries broadcast at a time; a block's size is bounded by this and the dimension
+from loomline.operators.tables import durable, numbered
+
+QUERY_BLOCK = 1024  # queries broadcast at a time; a block's size is bounded by this and the dimension
+
 
+def _block_scores(queries: Broadcast, k: int, bonus: Callable | None, least: float | None):
+    """Rows (id, embedding, tags...) -> each task's ``k`` best (qid, id, score) of every query of the block."""
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double precision, summed from the first element on."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, wanted = queries.value
+        best_score, best_id = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            vectors = batch.column(1)
+            dim = matrix.shape[1]
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            tags = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names[2:]}
+            score = matrix @ flat.T
+            if bonus is not None:
+                score = score + bonus(tags, {n: c[:, None] for n, c in wanted.items()})
+            best_score = np.concatenate([best_score, score], axis=1)
+            best_id = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), score.shape)], axis=1)
+            order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
+            best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
+        keep = np.ones(best_score.shape, bool) if least is None else best_score >= least
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_score.shape[1])[keep.ravel()]), pa.array(best_id[keep]), pa.array(best_score[keep])], ["qid", "id", "score"])
 
+    return run
 
-def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """The ``k`` best rows (id, embedding) for each query (qid, query), by inner product of unit vectors, ties to the smaller id.
 
-    Queries are a stated set; blocks of ``query_block`` meet all rows by a broadcast join on a
-    constant, each task keeps k rows a query before the shuffle. Rows equal to the query's id stay.
+def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK, bonus: Callable | None = None, least: float | None = None) -> DataFrame:
+    """The ``k`` best rows (id, embedding, tags...) for each query (qid, query, tags...), by inner product of unit vectors, ties to the smaller id.
+
+    Queries are a stated set, and every row is scored for every query: a block of ``query_block`` queries is one broadcast matrix,
+    each pass reads the rows once, and a task sends on k rows a query, so the passes grow with the queries only. ``bonus`` (arrays of row tags and
+    columns of query tags -> matrix) is added before the choice; scores below ``least`` are dropped. Rows with null vectors must be left out.
     """
-    numbered = queries.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("qid")) - 1) / query_block))
-    out = None
-    for r in numbered.groupBy("_block").count().orderBy("_block").collect():
-        part = F.broadcast(numbered.where(F.col("_block") == r["_block"]).select("qid", "query", F.lit(1).alias("_one")))
-        scored = rows.withColumn("_one", F.lit(1)).join(part, "_one").select("qid", "id", dot(F.col("embedding"), F.col("query")).alias("score"))
+    spark = rows.sparkSession
+    placed = durable(numbered(queries, [F.col("qid")]).withColumn("_block", F.floor(F.col("pos") / query_block)), "queries")
+    schema, out = "qid long, id long, score double", None
+    for r in placed.groupBy("_block").count().orderBy("_block").collect():
+        part = placed.where(F.col("_block") == r["_block"]).orderBy("pos").toArrow()
+        tags = {n: part[n].to_numpy() for n in queries.columns[2:]}
+        block = part["qid"].to_numpy(), np.array(part["query"].to_pylist(), np.float64), tags
+        scored = rows.mapInArrow(_block_scores(spark.sparkContext.broadcast(block), k, bonus, least), schema)
         out = scored if out is None else out.unionByName(scored)
     if out is None:
-        out = rows.limit(0).select(F.lit(0).cast("long").alias("qid"), "id", F.lit(0.0).alias("score"))
+        out = spark.createDataFrame([], schema)
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
 
 
-def action_fit(score: Column, action: Column, wanted: Column) -> Column:
-    """Cosine plus a bonus for an action level near the one wanted."""
-    return score + 0.08 * (1 - F.abs(action - wanted))
+def action_fit(action: np.ndarray, wanted: np.ndarray | float) -> np.ndarray:
+    """A bonus for an action level near the one wanted."""
+    return 0.08 * (1 - np.abs(action - wanted))
+
+
+def role_bonus(role: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """.05 for the same role, .02 for a neighbouring one."""
+    return np.where(role == wanted, 0.05, np.where(np.abs(role - wanted) == 1, 0.02, 0.0))
 
 
-def role_bonus(role: Column, wanted: Column, compatible: Column) -> Column:
-    """.05 for the same role, .02 for a compatible one."""
-    return F.when(role == wanted, 0.05).when(compatible, 0.02).otherwise(0.0)
+def speech_bonus(lines: np.ndarray, length: np.ndarray, budget: float) -> np.ndarray:
+    """.02 for each line of speech up to .08, and up to .08 for filling the budget."""
+    return np.minimum(0.08, 0.02 * lines) + 0.08 * np.minimum(1.0, length / budget)
 
 
 def pick_without_reuse(candidates: DataFrame, n_queries: int) -> DataFrame:

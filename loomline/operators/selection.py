@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline.operators.tables import numbered
+
 
 def quota_selection(df: DataFrame, keys: list[str], num: int, den: int, cap: int, total: int) -> DataFrame:
     """Greedy choice by score, then start: at most ``cap`` a ``part``, ``total`` in all, no overlap above num / den of the shorter.
@@ -50,9 +52,8 @@ def shortlist(df: DataFrame, category: str, order: list[Column], k: int, unknown
 def plan_ranking(plans: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Eligible plans first, then the weighted score, shorter, fewer parts, smaller id."""
     total = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
-    ranked = plans.withColumn("total", total)
-    place = F.row_number().over(Window.orderBy(F.desc("eligible"), F.desc("total"), "duration", "parts", "id"))
-    return ranked.withColumn("place", place.cast("long"))
+    order = [F.desc("eligible"), F.desc("total"), F.col("duration"), F.col("parts"), F.col("id")]
+    return numbered(plans.withColumn("total", total), order).withColumn("place", F.col("pos") + 1).drop("pos")
 
 
 def missing_uses(tasks: DataFrame, required: str, present: str) -> DataFrame:

@@ -2,83 +2,78 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomline.operators import retrieval as rt
 from loomline.sources.driver_tables import table
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("long").alias("label"))
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
+    return _rows(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("query"), F.col("label").alias("wanted"))
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest vectors of every fiftieth one (V1)."""
+    """The five nearest vectors of every twentieth one (V1)."""
     return rt.cosine_top_k(_rows(spark, sf_dir), _queries(spark, sf_dir), 5).select("qid", "rank", "id")
 
 
 def slot_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine with a bonus for the query's own label or a neighbouring one, at least .18, best three (V5)."""
-    rows, queries = _rows(spark, sf_dir), _queries(spark, sf_dir)
-    top = rt.cosine_top_k(rows, queries, 60)
-    labels = rows.select("id", "label")
-    both = top.join(labels, "id").join(labels.toDF("qid", "wanted"), "qid")
-    score = F.col("score") + rt.role_bonus(F.col("label"), F.col("wanted"), F.abs(F.col("label") - F.col("wanted")) == 1)
-    placed = both.withColumn("total", score).where("total >= 0.18").withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("total"), "id")).cast("long"))
-    return placed.where("place <= 3").select("qid", "place", "id")
+    """Cosine with a bonus for role, speech and length, at least .18, best twelve (V5); every row is scored in full."""
+    bonus = lambda row, query: rt.role_bonus(row["label"], query["wanted"]) + rt.speech_bonus(row["id6"], row["id9"] + 1.0, 5.0)
+    rows = _rows(spark, sf_dir).withColumns({"id6": F.col("id") % 6, "id9": F.col("id") % 9})
+    return rt.cosine_top_k(rows, _queries(spark, sf_dir), 12, bonus=bonus, least=0.18).select("qid", F.col("rank").alias("place"), "id")
 
 
 def asset_slots_action_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine with a bonus for a label near the middle one, best two (V3)."""
-    rows = _rows(spark, sf_dir)
-    both = rt.cosine_top_k(rows, _queries(spark, sf_dir), 60).join(rows.select("id", "label"), "id")
-    total = rt.action_fit(F.col("score"), F.col("label") / 10.0, F.lit(0.5))
-    placed = both.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(total.desc(), F.asc("id"))).cast("long"))
-    return placed.where("place <= 2").select("qid", "place", "id")
+    """Cosine with a bonus for an action level near the middle, best two long enough, then the others as relaxed picks (V3)."""
+    bonus = lambda row, query: rt.action_fit(row["label"] / 10.0, 0.5) - np.where(row["length"] >= 45, 0.0, 10.0)
+    rows = _rows(spark, sf_dir).withColumn("length", F.col("id") * 37 % 100)
+    picks = rt.cosine_top_k(rows, _queries(spark, sf_dir), 2, bonus=bonus)
+    return picks.select("qid", F.col("rank").alias("place"), "id", F.when(F.col("score") < -5, "relaxed").otherwise("").alias("reason"))
 
 
 def retrieve_no_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans of five queries each, in which no vector is picked twice (V2, V4)."""
-    queries = _queries(spark, sf_dir)
-    top = rt.cosine_top_k(_rows(spark, sf_dir), queries, 5)
-    step = F.floor(F.col("qid") / 50)
+    top = rt.cosine_top_k(_rows(spark, sf_dir), _queries(spark, sf_dir), 5)
+    step = F.floor(F.col("qid") / 20)
     plans = top.select(F.floor(step / 5).alias("plan"), (step % 5).alias("qid"), "rank", "id")
     return rt.pick_without_reuse(plans, 5)
 
 
 def viterbi_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best path through five slots of the first sixty vectors, twelve a slot: own label over ten, .25 for staying in a label (V6)."""
-    states = _rows(spark, sf_dir).where("id < 60").select(F.lit(0).alias("plan"), F.floor(F.col("id") / 12).cast("int").alias("slot"), "id", F.col("label").cast("long").alias("label"))
+    """Best path through the five slots of each sixty vectors, twelve a slot: own label over ten, .25 for staying in a label (V6)."""
+    states = _rows(spark, sf_dir).select(F.floor(F.col("id") / 60).alias("plan"), F.floor(F.col("id") % 60 / 12).cast("int").alias("slot"), "id", "label")
     a = states.select("plan", (F.col("slot") + 1).alias("slot"), F.col("id").alias("from_id"), F.col("label").alias("l1"))
-    steps = a.join(states.drop("score"), ["plan", "slot"]).select("plan", "slot", "from_id", "id", F.when(F.col("l1") == F.col("label"), 25).otherwise(-5).alias("bonus"))
+    steps = a.join(states, ["plan", "slot"]).select("plan", "slot", "from_id", "id", F.when(F.col("l1") == F.col("label"), 25).otherwise(-5).alias("bonus"))
     best = rt.best_path(states.select("plan", "slot", "id", (F.col("label") * 10).alias("score")), steps, 5)
-    return best.select(F.col("total").cast("long").alias("total"), F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+    return best.select("plan", F.col("total").cast("long").alias("total"), F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
 QUERIES = {f.__name__: f for f in (cosine_topk, slot_candidates, asset_slots_action_fit, retrieve_no_reuse, viterbi_path)}
 
 _TOP = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
-s AS (SELECT q.id AS qid, q.label AS wanted, r.id, r.label, list_inner_product(r.v, q.v) AS score FROM e r, e q WHERE q.id % 50 = 0),
+s AS (SELECT q.id AS qid, q.label AS wanted, r.id, r.label, list_inner_product(r.v, q.v) AS score FROM e r, e q WHERE q.id % 20 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s)"""
 
 ORACLE_SQL = {
     "cosine_topk": f"{_TOP} SELECT qid, rank, id FROM t WHERE rank <= 5",
-    "slot_candidates": f"""{_TOP}, b AS (SELECT qid, id, score + CASE WHEN label = wanted THEN 0.05::DOUBLE WHEN abs(label - wanted) = 1 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS total FROM t WHERE rank <= 60),
-p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY total DESC, id) AS place FROM b WHERE total >= 0.18) SELECT qid, place, id FROM p WHERE place <= 3""",
-    "asset_slots_action_fit": f"""{_TOP}, p AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score + 0.08::DOUBLE * (1 - abs(label / 10.0::DOUBLE - 0.5::DOUBLE)) DESC, id) AS place FROM t WHERE rank <= 60)
-SELECT qid, place, id FROM p WHERE place <= 2""",
-    "retrieve_no_reuse": f"""{_TOP}, l AS (SELECT qid // 250 AS plan, list({{'qid': qid // 50 % 5, 'id': id}} ORDER BY qid, rank) AS l FROM t WHERE rank <= 5 GROUP BY 1),
+    "slot_candidates": f"""{_TOP}, b AS (SELECT qid, id, score + CASE WHEN label = wanted THEN 0.05::DOUBLE WHEN abs(label - wanted) = 1 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END
++ least(0.08::DOUBLE, 0.02::DOUBLE * (id % 6)) + 0.08::DOUBLE * least(1.0::DOUBLE, (id % 9 + 1) / 5.0::DOUBLE) AS total FROM s),
+p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY total DESC, id) AS place FROM b WHERE total >= 0.18) SELECT qid, place, id FROM p WHERE place <= 12""",
+    "asset_slots_action_fit": f"""{_TOP}, p AS (SELECT qid, id, id * 37 % 100 >= 45 AS long, row_number() OVER (PARTITION BY qid ORDER BY id * 37 % 100 >= 45 DESC, score + 0.08::DOUBLE * (1 - abs(label / 10.0::DOUBLE - 0.5::DOUBLE)) DESC, id) AS place FROM s)
+SELECT qid, place, id, CASE WHEN long THEN '' ELSE 'relaxed' END AS reason FROM p WHERE place <= 2""",
+    "retrieve_no_reuse": f"""{_TOP}, l AS (SELECT qid // 100 AS plan, list({{'qid': qid // 20 % 5, 'id': id}} ORDER BY qid, rank) AS l FROM t WHERE rank <= 5 GROUP BY 1),
 f AS (SELECT plan, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.id = x.id OR y.qid = x.qid)) > 0 THEN acc ELSE list_append(acc, x) END, []::STRUCT(qid BIGINT, id BIGINT)[]) AS k FROM l),
 u AS (SELECT plan, unnest(k) AS k FROM f) SELECT plan, k.qid AS qid, k.id AS id FROM u""",
-    "viterbi_path": """WITH s AS (SELECT vec_id AS id, vec_id // 12 AS slot, CAST(label AS BIGINT) AS l FROM embeddings WHERE vec_id < 60),
-p AS (SELECT a.id AS a, b.id AS b, c.id AS c, d.id AS d, e.id AS e,
+    "viterbi_path": """WITH s AS (SELECT vec_id // 60 AS plan, vec_id AS id, vec_id % 60 // 12 AS slot, CAST(label AS BIGINT) AS l FROM embeddings),
+p AS (SELECT plan, a.id AS a, b.id AS b, c.id AS c, d.id AS d, e.id AS e,
  10 * (a.l + b.l + c.l + d.l + e.l) + CASE WHEN a.l = b.l THEN 25 ELSE -5 END + CASE WHEN b.l = c.l THEN 25 ELSE -5 END + CASE WHEN c.l = d.l THEN 25 ELSE -5 END + CASE WHEN d.l = e.l THEN 25 ELSE -5 END AS total
- FROM s a, s b, s c, s d, s e WHERE a.slot = 0 AND b.slot = 1 AND c.slot = 2 AND d.slot = 3 AND e.slot = 4)
-SELECT CAST(total AS BIGINT) AS total, concat_ws(',', a, b, c, d, e) AS path FROM p ORDER BY total DESC, a, b, c, d, e LIMIT 1""",
+ FROM s a JOIN s b USING (plan) JOIN s c USING (plan) JOIN s d USING (plan) JOIN s e USING (plan) WHERE a.slot = 0 AND b.slot = 1 AND c.slot = 2 AND d.slot = 3 AND e.slot = 4)
+SELECT plan, CAST(total AS BIGINT) AS total, concat_ws(',', a, b, c, d, e) AS path FROM p QUALIFY row_number() OVER (PARTITION BY plan ORDER BY total DESC, a, b, c, d, e) = 1""",
 }

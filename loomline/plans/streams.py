@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.operators.tables import shared_dir
 from loomline.sources.driver_tables import table
 from loomline.streaming.windows import run_to_table, sessions, sliding_counts, timed
 
@@ -16,8 +16,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _place(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def category_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a known language, three lines and coverage of the length by its first lines."""
+    """Documents with a known language, three lines and a length."""
     docs = table(spark, sf_dir, "documents").withColumn("lines", F.size(F.split("text", "\n", -1)))
     return docs.where(F.col("lang").isin("en", "fr", "de") & (F.col("lines") >= 3) & (F.col("n_chars") >= 400)).select("doc_id", F.col("lines").cast("long").alias("lines"))
 
@@ -52,17 +52,16 @@ def usable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of the first words of each benchmark item to the one before it."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("t"))
+    """Similarity of each benchmark item to the one after it."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     nxt = items.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
     both = items.join(nxt, "item_id")
     return both.select("item_id", F.size(F.array_intersect(tx.bigrams(F.col("t")), tx.bigrams(F.col("u")))).cast("long").alias("common"), tx.bigram_jaccard(F.col("t"), F.col("u")).alias("similarity"))
 
 
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters and digits of the role and first line of each turn."""
-    line = F.get(F.split("text", "\n"), 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.regexp_replace(line, r"\s", "")).cast("long").alias("solid"), tx.normalised(F.col("role")).alias("role"))
+    """Letters and digits of the role and solid length of each turn."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.regexp_replace("text", r"\s", "")).cast("long").alias("solid"), tx.normalised(F.col("role")).alias("role"))
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,7 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mention_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that contain the first two words of a benchmark item."""
+    """Turns that contain the first word of a benchmark item."""
     names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity"), F.regexp_extract("text", r"^[A-Za-z]+", 0).alias("alias")).where("alias <> ''")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return ev.mentions(turns, names).select("conv_id", "turn", "entity").distinct()
@@ -114,9 +113,9 @@ b AS (SELECT *, greatest({", ".join(f"v_{k}" for k in _VOTES)}) AS best FROM v)
 SELECT doc_id, CASE WHEN best = 0 THEN NULL {" ".join(f"WHEN v_{k} = best THEN '{k}'" for k in _VOTES)} END AS category, CAST(best AS BIGINT) AS votes FROM b""",
     "content_gate": "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents WHERE lang IN ('en', 'fr', 'de') AND len(string_split(text, chr(10))) >= 3 AND n_chars >= 400",
     "usable_text": "SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '-' WHEN trim(role) = '' THEN '-' ELSE trim(role) END AS role FROM conversations",
-    "bigram_jaccard": f"""WITH t AS (SELECT item_id, left(text, 60) AS t FROM benchmark), p AS (SELECT a.item_id, {_GRAMS.format("a.t")} AS x, {_GRAMS.format("b.t")} AS y FROM t a JOIN t b ON b.item_id = a.item_id + 1)
+    "bigram_jaccard": f"""WITH t AS (SELECT item_id, text AS t FROM benchmark), p AS (SELECT a.item_id, {_GRAMS.format("a.t")} AS x, {_GRAMS.format("b.t")} AS y FROM t a JOIN t b ON b.item_id = a.item_id + 1)
 SELECT item_id, CAST(len(list_intersect(x, y)) AS BIGINT) AS common, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS similarity FROM p""",
-    "normalised_text": "SELECT conv_id, turn, length(regexp_replace(string_split(text, chr(10))[1], '\\s', '', 'g')) AS solid, regexp_replace(lower(role), '[^\\p{L}\\p{N}]', '', 'g') AS role FROM conversations",
+    "normalised_text": "SELECT conv_id, turn, length(regexp_replace(text, '\\s', '', 'g')) AS solid, regexp_replace(lower(role), '[^\\p{L}\\p{N}]', '', 'g') AS role FROM conversations",
     "text_functions": """WITH p AS (SELECT *, string_split(html, '<a ') AS parts, CAST(round(page_id * 37250) AS BIGINT) AS ms FROM pages)
 SELECT page_id, CAST(floor(length(url) * 0.3::DOUBLE) AS BIGINT) AS tokens,
  coalesce(nullif(trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'variant') AS name,

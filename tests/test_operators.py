@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import text as tx
-from loomline.operators import evaluation, evidence, folds, intervals, lineage, ranking, retrieval, series
+from loomline.functions import wording
+from loomline.operators import evaluation, evidence, folds, intervals, lineage, ranking, retrieval, rules, series, tables
 
 
 def rows(df):
@@ -140,6 +141,80 @@ def test_closure_and_cycles(spark):
     assert rows(lineage.on_cycle(edges)) == [("b",), ("c",)]
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.range(0, 120).selectExpr("id AS src", "id + 1 AS dst").unionByName(spark.createDataFrame([(7, 3), (500, 501)], "src long, dst long"))
+    seeds = spark.createDataFrame([(0,), (118,)], "node long")
+    got = {(r.seed, r.node): r.steps for r in lineage.closure(edges, seeds).collect()}
+    assert got == {(0, i): i for i in range(121)} | {(118, 118): 0, (118, 119): 1, (118, 120): 2}
+
+
+def test_cycles_with_a_bridge(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 6), (6, 4), (6, 7), (9, 9), (8, 1)], "src long, dst long")
+    assert rows(lineage.on_cycle(edges)) == [(1,), (2,), (4,), (5,), (6,), (9,)]
+    assert rows(lineage.on_cycle(edges.where("dst = src + 1"))) == []
+
+
+def test_conflict_counts_equal_pairs(spark):
+    r = random.Random(3)
+    data = [(r.randint(0, 4), i, r.choice("xyz"), r.random() < 0.9) for i in range(60)]
+    claims = spark.createDataFrame(data, "k int, id long, polarity string, active boolean")
+    pairs = lineage.claim_conflicts(claims, ["k"]).groupBy("k").agg(F.count(F.lit(1)).alias("pairs"), F.min("id_a").alias("first"))
+    assert rows(lineage.conflict_counts(claims, ["k"])) == rows(pairs)
+
+
+def test_hot_keys_give_the_same_results(spark, monkeypatch):
+    """Keys cut into ranges, as for a key of very many rows, and keys of one window each."""
+    df = ivl(spark, [*random_intervals(300, 5), (None, 900, 3, 8), (None, 901, 5, 9), ("c", 902, 1, 1)]).repartition(5)
+    points = df.select("key", "id", F.col("s").alias("t"))
+    frames = df.where("id % 7 = 0").select("key", F.col("e").alias("t2"))
+
+    def all_of():
+        union = intervals.merge_within(df, ["key"], 3)
+        return [
+            rows(intervals.islands(df, ["key"], 5, strict=True)), rows(union), rows(intervals.gaps(union, ["key"], 0, 3000)), rows(intervals.nearest(points, frames, ["key"])),
+            rows(folds.min_spacing(points, ["key"], 40)), rows(folds.anchored_groups(points, ["key"], 30)), rows(folds.suppress_overlaps(df.withColumn("score", F.col("id").cast("double")), ["key"], 1, 5)),
+        ]
+
+    plain = all_of()
+    monkeypatch.setattr(tables, "HOT", 0)
+    assert all_of() == plain
+
+
+def test_numbering_without_one_task(spark):
+    df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "v long, id long").repartition(6)
+    got = tables.numbered(df, [F.col("v").desc()]).collect()
+    assert sorted((r.v, r.pos) for r in got) == [(v, 100 - v) for v in range(101)]
+
+
+def test_cosine_top_k_equals_all_pairs(spark):
+    r = random.Random(8)
+    vectors = [(i, [r.uniform(-1, 1) for _ in range(6)], i % 3) for i in range(90)]
+    df = spark.createDataFrame(vectors, "id long, embedding array<float>, tag long").repartition(4)
+    queries = df.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("query"), F.col("tag").alias("wanted"))
+    bonus = lambda row, query: 0.1 * (row["tag"] == query["wanted"])
+    held = {x.id: (x.embedding, x.tag) for x in df.collect()}
+    want = []
+    for q in range(0, 90, 20):
+        best = sorted((-(sum(a * b for a, b in zip(held[q][0], v, strict=True)) + 0.1 * (t == held[q][1])), i) for i, (v, t) in held.items())[:4]
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(best)]
+    for block in (2, 100):
+        assert rows(retrieval.cosine_top_k(df, queries, 4, block, bonus=bonus).select("qid", "rank", "id")) == sorted(want, key=repr)
+    assert retrieval.cosine_top_k(df, queries.limit(0), 4).count() == 0 and retrieval.cosine_top_k(df.limit(0), queries, 4).count() == 0
+
+
+def test_rules_on_edges(spark):
+    """Missing values, empty sides and ties of the rule operators."""
+    claims, refs = spark.createDataFrame([(1,), (2,)], "claim long"), spark.createDataFrame([("a", 1), ("b", 3), ("b", 1)], "event string, claim long")
+    assert rows(rules.publish(claims, refs, F.col("claim") < 5)) == [("a", 0, True), ("b", 1, False)]
+    patches = spark.createDataFrame([("k", 1, "s", 20), ("k", 2, "e", 10), ("k", 3, "e", None), ("k", 4, "e", 30)], "key string, n long, field string, value long")
+    assert rows(rules.apply_patches(patches, ["key"], ["n"], 0, 100)) == [("k", 20, 30, 2, 2)]
+    rows_of = spark.createDataFrame([("a", None, None), ("b", 3, 90), ("c", 0, 100), ("d", 0, 100)], "k string, s long, e long").withColumn("d", F.when(F.col("k") == "d", 0).otherwise(100))
+    assert rows(rows_of.select("k", wording.temporal_coverage(F.col("s"), F.col("e"), F.col("d")))) == [("a", False), ("b", True), ("c", True), ("d", True)]
+    words = spark.createDataFrame([("Running dogs wander",)], "t string")
+    assert words.select(wording.stems(F.col("t"), ("wander",))).first()[0] == ["runn"]
+    assert words.select(wording.is_junk(F.lit(None).cast("string")), wording.in_library(F.lit("a__x"), "b, a"), wording.in_library(F.lit("ab"), "a")).first()[:] == (False, True, False)
+
+
 def test_wilson_and_gate(spark):
     df = spark.createDataFrame([(1.0, 8), (1.0, 120), (20 / 120, 120), (0.0, 0)], "p double, n long")
     low, high = evaluation.wilson(F.col("p"), F.col("n"))
