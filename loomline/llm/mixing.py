@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomline.llm.scratch import durable, in_order, running_total
 
@@ -32,29 +31,42 @@ def sampling_key(seed: str, doc: Column, text: Column, weight: Column | None = N
 
 
 def source_targets(sizes: DataFrame, cap: int = 3, cycle: int = 3) -> DataFrame:
-    """Word targets of the sources, given one row (source, source_size) each.
+    """Word targets of the sources, given one row (source, source_size) each; adds rank, target and source_start.
 
     Sources by code point, null last, weigh 1, 2, ..., ``cycle``, repeating, and share the sum of
     all sizes; a target stops at ``cap`` times its source's size and the excess is shared anew by
     weight. The fixed point is min(weight x level, cap x size): sources ordered by
-    cap x size / weight reach their cap first, so one pass of running sums finds the level.
+    cap x size / weight reach their cap first, so one pass of running sums finds the level. Both orders are
+    cut into ranges, so that any number of sources fits; ``source_start`` is the sum of the sizes before a source.
     """
-    cols = sizes.columns
-    binary = F.col("source").cast("binary")
-    w = sizes.withColumn("rank", F.row_number().over(Window.orderBy(binary.asc_nulls_last())))
-    w = w.withColumn("weight", ((F.col("rank") - 1) % cycle + 1).cast("double")).withColumn("most", F.col("source_size") * float(cap))
-    by_level = Window.orderBy(F.col("most") / F.col("weight"), "rank")
-    whole = Window.partitionBy()
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    w = (
-        w.withColumn("full_before", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.sum("source_size").over(whole) - F.col("full_before")) / F.col("weight_left"))
-        .withColumn("open", F.col("weight") * F.col("level") <= F.col("most"))
-        .withColumn("first_level", F.min(F.when(F.col("open"), F.struct(F.col("most") / F.col("weight"), "rank", "level"))).over(whole)["level"])
-    )
-    target = F.least(F.coalesce(F.col("weight") * F.col("first_level"), F.col("most")), F.col("most"))
-    return w.select(*cols, "rank", target.alias("target"))
+    placed = in_order(sizes, [F.col("source").cast("binary").asc_nulls_last()], "mix-sources")
+    ranked = running_total(placed, "source_size", "source_start").withColumn("rank", F.col("pos") + 1).drop("pos", "tile", "tile_row")
+    ranked = ranked.withColumn("weight", ((F.col("rank") - 1) % cycle + 1).cast("double")).withColumn("most", F.col("source_size") * float(cap))
+    by_level = in_order(ranked, [F.col("most") / F.col("weight"), F.col("rank")], "mix-levels")
+    w = running_total(running_total(by_level, "most", "full_before"), "weight", "weight_before")
+    all_of = ranked.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(all_of.words or 0)) - F.col("full_before")) / (F.lit(all_of.weight or 1.0) - F.col("weight_before"))
+    opened = w.withColumn("level", level).where(F.col("weight") * F.col("level") <= F.col("most"))
+    first = opened.agg(F.min_by("level", "pos").alias("level")).first().level
+    target = F.col("most") if first is None else F.least(F.col("weight") * F.lit(first), F.col("most"))
+    return ranked.select(*sizes.columns, "rank", "source_start", target.alias("target"))
+
+
+MANY = 100_000  # rows of a table of sources up to which it is broadcast
+SALTS = 64
+
+
+def join_sources(rows: DataFrame, sources: DataFrame, source: Column, key: str, spread: Column) -> DataFrame:
+    """``rows`` with the row of ``sources`` whose ``key`` is ``source`` (null is a source).
+
+    Up to MANY sources are broadcast. More are joined by (source, salt), each given to SALTS salts, so that a
+    source of a third of all rows is many tasks; ``spread`` deals the rows over the salts.
+    """
+    if sources.count() <= MANY:
+        return rows.join(F.broadcast(sources), source.eqNullSafe(F.col(key)))
+    dealt = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_own", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, source.eqNullSafe(F.col(key)) & (F.col("_own") == F.col("_salt"))).drop("_own", "_salt")
 
 
 def mix_sources(
@@ -85,14 +97,11 @@ def mix_sources(
         "mix-rows",
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, cap, cycle)
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    targets = targets.withColumn("source_start", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-    targets = durable(targets, "mix-targets")
+    targets = durable(source_targets(sizes, cap, cycle), "mix-targets")
     order = [F.col("source").cast("binary").asc_nulls_last(), *(F.col(c) for c in ("key", "id", "mark", "size"))]
     summed = running_total(in_order(rows, order, "mix-order"), "size", "sum_before")
     t = targets.withColumnRenamed("source", "t_source")
-    joined = summed.join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    joined = join_sources(summed, t, F.col("source"), "t_source", F.col("pos"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.round(rest).cast("long") - (F.col("sum_before") - F.col("source_start"))))
@@ -113,15 +122,31 @@ def mixed_documents(docs: DataFrame, seed: str = "mix-1", id_col: str = "doc_id"
     """The mix itself: every row of ``docs``, all columns, as many times as ``mix_sources`` takes whole copies.
 
     A source's extra copies are those up to its border key, so a table of one row a source decides
-    each document where it stands; texts are not shuffled.
+    each document where it stands; texts are not shuffled. Rows of the border key itself (equal ids and texts) are numbered, and as many of them
+    as ``mix_sources`` takes go on: only these few are written on their own. Null and empty texts come with the complete epochs only; null
+    sources are one source; an empty table gives no rows; names of ``docs`` that start with ``mix_`` must not be used.
     """
     mixed = mix_sources(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col)
-    borders = mixed.groupBy(F.col("source").alias("mix_source")).agg(
-        F.max("epochs").alias("mix_epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), F.col("key"))).alias("mix_border")
-    )
+    mixed = durable(mixed.select("source", "key", "epochs", (F.col("copies") > F.col("epochs")).alias("extra")), "mix-taken")
+    borders = mixed.groupBy(F.col("source").alias("mix_source")).agg(F.max("epochs").alias("mix_epochs"), F.max(F.when(F.col("extra"), F.col("key"))).alias("mix_border"))
+    borders = durable(borders, "mix-borders")
+    ties = join_sources(mixed, borders, F.col("source"), "mix_source", F.col("key")).where(F.col("key") == F.col("mix_border"))
+    ties = ties.groupBy("mix_source").agg(F.count_if("extra").alias("mix_some"), F.count(F.lit(1)).alias("mix_all"))
+    borders = borders.join(ties.withColumnRenamed("mix_source", "mix_tied"), F.col("mix_source").eqNullSafe(F.col("mix_tied")), "left").drop("mix_tied")
     borders = durable(borders, "mix-borders")
     text = F.col(text_col).cast("string")
-    extra = F.coalesce(sampling_key(seed, F.col(id_col), text) <= F.col("mix_border"), F.lit(False)) & (word_count(text) > 0)
-    joined = docs.join(borders, F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
+    key = sampling_key(seed, F.col(id_col), text)
+    joined = join_sources(docs, borders, F.col(source_col).cast("string"), "mix_source", text).withColumn("mix_key", key)
+    some = word_count(text) > 0
+    split = F.coalesce((F.col("mix_key") == F.col("mix_border")) & (F.col("mix_some") < F.col("mix_all")), F.lit(False)) & some
+    extra = F.coalesce(F.col("mix_key") <= F.col("mix_border"), F.lit(False)) & some
     copies = (F.col("mix_epochs") + F.when(extra, 1).otherwise(0)).cast("int")
-    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    plain = joined.where(~split).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    if borders.where("mix_some < mix_all").isEmpty():
+        return plain
+    rows = joined.where(split).select(F.struct(*docs.columns).alias("mix_row"), *borders.columns, "mix_key")
+    tied = in_order(rows, [F.col("mix_source").asc_nulls_last(), F.col("mix_key")], "mix-ties")
+    first = tied.groupBy(F.col("mix_source").alias("mix_of")).agg(F.min("pos").alias("mix_first"))
+    tied = join_sources(tied, durable(first, "mix-first"), F.col("mix_source"), "mix_of", F.col("pos"))
+    times = (F.col("mix_epochs") + F.when(F.col("pos") - F.col("mix_first") < F.col("mix_some"), 1).otherwise(0)).cast("int")
+    return plain.unionByName(tied.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), times))).select("mix_row.*"))

@@ -242,6 +242,44 @@ def test_mix_meets_targets_and_repeats(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows_at_the_border(spark, monkeypatch):
+    """Both forms of the mix take the same number of equal rows; many sources give the same targets as few."""
+    extra = dict(zip(("tile", "pos", "key"), "xyz", strict=True))
+    rows = [(1, "same words in every row", "a")] * 7 + [(10 + i, f"other text number {i} here", "b") for i in range(9)] + [(2, None, "a"), (None, "no id", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({k: F.lit(v) for k, v in extra.items()})
+    for many in (mixing.MANY, 0):
+        monkeypatch.setattr(mixing, "MANY", many)
+        taken = mixing.mix_sources(docs).collect()
+        sizes = Counter()
+        for d, t, s in rows:
+            sizes[s] += len(ascii_words(t))
+        want = brute_targets(sizes)
+        assert all(abs(r.target - want[r.source]) < 1e-6 for r in taken)
+        copies = Counter()
+        for r in taken:
+            copies[r.doc_id] += r.copies
+        got = mixing.mixed_documents(docs).collect()
+        assert Counter(r.doc_id for r in got) == +copies and all((r.tile, r.pos, r.key) == ("x", "y", "z") for r in got)
+    sizes = {f"s{i:04}": 1 + i * 7919 % 997 for i in range(400)} | {None: 5000}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = brute_targets(sizes)
+    assert all(abs(r.target - want[r.source]) < 1e-5 for r in got) and len(got) == 401
+
+
+def test_sampled_order_equals_brute_force(spark):
+    """What a source takes beyond its epochs is the shortest prefix of its rows by key that fills the rest."""
+    docs = real_docs(spark).select("doc_id", "text", "source")
+    by = {}
+    for r in mixing.mix_sources(docs).collect():
+        by.setdefault(r.source, []).append(r)
+    for rows in by.values():
+        rest = round(rows[0].target - rows[0].epochs * rows[0].source_size)
+        for r in sorted(rows, key=lambda r: (r.key, r.doc_id)):
+            more = min(r.size, max(0, rest))
+            assert r.taken == r.epochs * r.size + more
+            rest -= r.size
+
+
 # --- 6 private data
 
 
