@@ -13,6 +13,23 @@ def _signature(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+HUBS = 1000  # nodes at most whose edges stay where they are
+
+
+def _lowest(edges: DataFrame, rows: int) -> DataFrame:
+    """The edges (u, v) with m, the least neighbour of u.
+
+    Edges meet by u, except those of nodes with more than a HUBS-th part of them: there are HUBS such nodes at most, so what they need is
+    broadcast, and a hub's edges stay spread as they are.
+    """
+    limit = max(100, rows // HUBS)
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(low.where(F.col("n") > limit).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+    heavy = edges.join(hubs, F.col("u") == F.col("hub")).select("u", "v", F.col("hub_m").alias("m"))
+    rest = edges.join(hubs.select("hub"), F.col("u") == F.col("hub"), "left_anti")
+    return heavy.unionByName(rest.join(low.where(F.col("n") <= limit).select("u", "m"), "u").select("u", "v", "m"))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Label the nodes of ``edges`` (columns a, b; long) with the smallest node reachable.
 
@@ -25,12 +42,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     seen = _signature(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
-        e = durable(small, name)
+        low = _lowest(both, 2 * seen[0]).where("v > u")
+        large = durable(low.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), name)
+        low = _lowest(large, seen[0])
+        small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = durable(small.distinct(), name)
         now = _signature(e)
         if now == seen:
             break

@@ -170,14 +170,64 @@ def _verify(percent: int):
     return run
 
 
+def _links(tasks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found by comparing the rows (task, side, id, shingles) of each task."""
+    rows = tasks.select("task", "side", "id", "shingles").repartition("task").sortWithinPartitions("task")
+    return rows.mapInArrow(_verify(percent), "a long, b long")
+
+
+def _parts(df: DataFrame, of: list[str]) -> DataFrame:
+    """Each group's number of blocks of about BLOCK rows."""
+    return df.groupBy(*of).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+
+
+def _large_links(sets: DataFrame, keys: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Links inside clusters of more than BLOCK classes; ``sets``: (id, component, level, shingles).
+
+    First every class is compared with one hub only, the one it shares most bands with: n comparisons for n near
+    copies. What is linked to a hub is settled among itself. Then only classes that share a band with a class of another
+    group go on, in blocks of a group and a size level; blocks of one large group are not compared with each other.
+    """
+    ids = sets.select("id", "component", "level")
+    shared = keys.join(hubs.select("key", "hub"), "key").where("rep <> hub").groupBy(F.col("rep").alias("id"), "hub").agg(F.count(F.lit(1)).alias("bands"))
+    star = shared.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.max(F.struct("bands", (-F.col("hub")).alias("k"))).alias("b")).select("id", (-F.col("b.k")).alias("hub"))
+    star = durable(star, "dup-star")
+    parts = _parts(star, ["hub"])
+    name = lambda part: F.concat_ws("/", F.col("hub").cast("string"), part.cast("string"))
+    ends = star.join(parts, "hub").select("id", name(F.pmod(F.xxhash64("id"), F.col("parts"))).alias("task"), F.lit("m").alias("side"))
+    heads = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("hub").alias("id"), name(F.col("part")).alias("task"), F.lit("h").alias("side"))
+    first = durable(_links(sets.join(ends.unionByName(heads), "id"), percent), "dup-star-links")
+
+    groups = connected_components(first, "dup-groups").select(F.col("node").alias("id"), F.col("component").alias("group"))
+    named = durable(ids.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")), "dup-named")
+    keyed = keys.join(named.select(F.col("id").alias("rep"), "group"), "rep")
+    mixed = keyed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
+    left = named.join(keyed.join(mixed, "key", "left_semi").select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    left = durable(left, "dup-left")
+    wide = left.groupBy("component", "group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).drop("n").withColumn("label", F.col("group").cast("string"))
+    left = left.join(wide, ["component", "group"], "left").withColumn("label", F.coalesce("label", F.lit("all")))  # all: small groups together
+    sides = _parts(left, ["component", "label", "level"])
+    shape = sides.groupBy("component").agg(F.collect_list(F.struct("label", "level", "parts")).alias("sides"))
+    side = lambda label, level, part: F.concat_ws(".", label, level.cast("string"), part.cast("string"))
+    own = side(F.col("label"), F.col("level"), F.pmod(F.xxhash64("id"), F.col("parts")))
+    placed = left.join(sides, ["component", "label", "level"]).select("id", "component", "label", "level", own.alias("side"))
+    near = lambda x: (F.abs(x["level"] - F.col("level")) <= 1) & ((x["label"] != F.col("label")) | (x["label"] == "all"))
+    every = lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda j: side(x["label"], x["level"], j))
+    partners = F.flatten(F.transform(F.filter("sides", near), every))
+    dealt = placed.join(shape, "component").select("id", "component", "side", F.explode(partners).alias("partner"))
+    task = F.concat_ws("/", F.col("component").cast("string"), F.least("side", "partner"), F.greatest("side", "partner"))
+    return first.unionByName(_links(sets.select("id", "shingles").join(dealt.select("id", "side", task.alias("task")), "id"), percent))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The near-duplicate component of every document.
 
     Two texts are linked if their sets of ``shingle``-word shingles (ASCII-lower-cased words between
     white space; a shorter text is one shingle) have 100 x intersection >= ``percent`` x union. Equal
     sets form one class, represented by its smallest id, so copies never pair up. Classes that
-    share a band of their sketches form candidate clusters. Every cluster's full sets are then
-    compared in tasks of at most two blocks of about ``BLOCK`` classes: clusters of any size are checked
+    share a band of their sketches form candidate clusters. The full sets of a cluster of up to BLOCK classes are
+    compared in one task; in larger ones hubs are verified first, and only classes in a band with another group go on, in tasks of
+    at most two blocks of about BLOCK classes: clusters of any size are checked
     whole, only blocks whose sizes rule out a link are skipped, and each task sends on a spanning
     forest of its links, not the pairs.
 
@@ -200,38 +250,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     size_step = math.log(100 / min(percent, 99))
     members = clusters.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node")
     members = durable(members.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / size_step).cast("int")), "dup-members")
-    levels = members.groupBy("component", "level").agg(F.count(F.lit(1)).alias("c"))
-    shape = levels.groupBy("component").agg(
-        F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")))).alias("parts")
-    )
-    placed = members.join(shape, "component")
-    own = F.concat_ws(".", "level", F.pmod(F.xxhash64("node"), F.col("parts")[F.col("level")]).cast("string"))
-    others = F.flatten(
-        F.transform(
-            F.filter(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1), lambda x: F.col("parts")[x].isNotNull()),
-            lambda x: F.transform(F.sequence(F.lit(0), F.col("parts")[x] - 1), lambda j: F.concat_ws(".", x.cast("string"), j.cast("string"))),
-        )
-    )
-    small = F.col("total") <= BLOCK
-    placed = placed.withColumn("side", F.when(small, F.lit("")).otherwise(own)).withColumn(
-        "partners", F.when(small, F.array(F.lit(""))).otherwise(others)
-    )
-    placed = placed.select(F.col("node").alias("id"), "component", "side", "partners")
-    sets = placed.hint("merge").join(table, "id").select("id", "component", "side", "partners", "text").mapInArrow(
-        _sets(shingle), "id long, component long, side string, partners array<string>, shingles array<long>"
-    )
-    tasks = (
-        sets.withColumn("partner", F.explode("partners"))
-        .select(
-            F.concat_ws("/", F.col("component").cast("string"), F.least("side", "partner"), F.greatest("side", "partner")).alias("task"),
-            "side",
-            "id",
-            "shingles",
-        )
-        .repartition("task")
-        .sortWithinPartitions("task")
-    )
-    links = tasks.mapInArrow(_verify(percent), "a long, b long")
+    total = members.groupBy("component").agg(F.count(F.lit(1)).alias("total"))
+    placed = members.join(total, "component").select(F.col("node").alias("id"), "component", "total", "level")
+    sets = placed.hint("merge").join(table, "id").select("id", "component", "total", "level", "text")
+    sets = durable(sets.mapInArrow(_sets(shingle), "id long, component long, total long, level int, shingles array<long>"), "dup-sets")
+    links = _links(sets.where(F.col("total") <= BLOCK).select(F.col("component").cast("string").alias("task"), F.lit("").alias("side"), "id", "shingles"), percent)
+    large = sets.where(F.col("total") > BLOCK).select("id", "component", "level", "shingles")
+    if not large.isEmpty():
+        links = links.unionByName(_large_links(large, keys, hubs, percent))
     groups = connected_components(links, "dup-links")
     named = classes.select("cls", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
     return sketches.join(named, "cls", "left").select(

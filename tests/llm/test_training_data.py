@@ -93,6 +93,28 @@ def test_near_duplicates_blocks_of_a_large_cluster(spark, monkeypatch):
     assert got == {d: c for d, (_, c) in brute_components(docs, 3, 85).items()}
 
 
+def test_near_duplicates_of_a_large_family(spark, monkeypatch):
+    """Near copies of two texts, chains between them and strangers in one cluster: the same components as by all pairs."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(300):
+        w = list(base)
+        w[r.randrange(len(w))] = f"e{i}"
+        docs.append((i, " ".join(w)))
+    for i in range(60):  # drifts away step by step, so that it links to its neighbours only
+        docs.append((1000 + i, " ".join([*(f"d{j}" for j in range(2 * i)), *base[2 * i :]])))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {d: c for d, (_, c) in brute_components(docs, 3, 85).items()}
+
+
+def test_components_of_a_hub(spark):
+    edges = spark.range(1, 3000).selectExpr("id * 7 % 2999 AS a", "0L AS b").union(spark.range(5000, 5400).selectExpr("id AS a", "id + 1 AS b")).union(spark.sql("SELECT 5400L, 17L"))
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert set(got.values()) == {0} and len(got) == 2999 + 401
+
+
 def test_near_duplicates_edges(spark):
     docs = edge_docs(spark)
     got = neardup.near_duplicates(docs).collect()
