@@ -1,4 +1,4 @@
-"""Token counts by a finite-state tokenizer: lazily compiled transducers over bytes, composed over chunks."""
+"""Token counts by a finite-state tokenizer: a transducer over bytes whose transitions emit token counts; maps of chunks compose by a scan."""
 
 from __future__ import annotations
 
@@ -21,7 +21,8 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\
 SYNC = re.compile(rf"(?<=[^{WS}])(?=[{WS}])")
 PLAIN = re.compile(rf"[{WS}] |[\x85\xa0  -     　]")
 IS_WS = re.compile(rf"[{WS}]").match
-MAX_STATES, MAX_UNITS, CHUNK = 400_000, 800_000, 1 << 16
+MAX_STATES, MAX_UNITS = 400_000, 800_000  # of a worker's tables, which are compiled anew beyond
+CHUNK, LONG, FAN = 1 << 16, 1 << 20, 64  # characters of a chunk; bytes of a text that is cut into rows; chunk maps composed at a time
 
 
 def byte_letters() -> dict[str, int]:
@@ -34,11 +35,12 @@ def byte_letters() -> dict[str, int]:
 class Transducer:
     """A deterministic transducer over the bytes of one pre-token, compiled as inputs need it.
 
-    A state stands for the prefix read; its ``total`` is the number of tokens of that prefix's
-    encoding, so a transition emits the difference of two totals. A merge encoding is valid
-    exactly if each adjacent pair of tokens is, hence a state's last token is the
-    one token ending here that fits the last token of the state where it starts. States beyond
-    ``MAX_STATES`` are dropped all at once and compiled anew when needed.
+    A merge encoding is valid exactly if each adjacent pair of tokens is, hence the encoding of a prefix ends in the one
+    token that fits the last token of the place where it starts. What follows depends only on the places where a token may still be
+    open: a state is, for each suffix of the input that some token goes on from, that suffix, the last token before it, and
+    how many tokens the encoding has since then. These are finitely many, whatever the input's length. A transition appends
+    a byte and emits the change of the number of tokens, which may be negative. States beyond ``MAX_STATES`` are dropped
+    all at once between two inputs and compiled anew when needed.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list) -> None:
@@ -48,13 +50,14 @@ class Transducer:
         self.rank = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(pairs)}
         tokens = [as_bytes(t) for t in vocab if all(c in letters for c in t)]
         self.stable = {t: None for t in tokens}
-        self.longest = max(map(len, tokens))
+        self.open = {t[:i] for t in tokens for i in range(1, len(t))}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.go: dict[int, int] = {}
-        self.last, self.parent, self.total, self.text = [b""], [0], [0], [b""]
+        start = ((b"", b"", 0),)
+        self.states, self.number = [start], {start: 0}
+        self.go: dict[int, int] = {}  # state and byte -> next state and emitted count + 128
 
     def merge(self, word: bytes) -> list[bytes]:
         """The encoding of a short byte string by its merges in order of rank."""
@@ -90,46 +93,33 @@ class Transducer:
         return known
 
     def step(self, state: int, byte: int) -> int:
-        """Compile the transition from ``state`` on ``byte``."""
-        text = self.text[state] + bytes([byte])
-        parent, stable, at, ends = self.parent, self.stable, state, []
-        for size in range(1, min(len(text), self.longest) + 1):
-            if text[-size:] in stable:
-                ends.append((size, at))
-            at = parent[at]
-        for size, at in reversed(ends):
-            token = text[-size:]
-            if self.is_token(token) and (at == 0 or self.pair_fits(self.last[at], token)):
+        """Compile the transition from ``state`` on ``byte``: the next state, and what it emits."""
+        end, places = bytes([byte]), self.states[state]
+        for suffix, last, since in places:
+            token = suffix + end
+            if token in self.stable and self.is_token(token) and (not last or self.pair_fits(last, token)):
                 break
-        self.last.append(token)
-        self.parent.append(state)
-        self.total.append(self.total[at] + 1)
-        self.text.append(text)
-        self.go[state << 8 | byte] = len(self.last) - 1
-        return len(self.last) - 1
+        emitted = since + 1
+        after = (*((s + end, t, n - emitted) for s, t, n in places if s + end in self.open), (b"", token, 0))
+        to = self.number.get(after)
+        if to is None:
+            to = self.number[after] = len(self.states)
+            self.states.append(after)
+        self.go[state << 8 | byte] = to << 8 | emitted + 128
+        return to << 8 | emitted + 128
 
     def count(self, word: bytes) -> int:
-        if len(word) > 64:
-            return self.count_long(word)
-        if len(self.last) > MAX_STATES:
+        """The sum of what the transitions over ``word`` emit."""
+        if len(self.states) > MAX_STATES:
             self.reset()
-        state, go = 0, self.go
+        state, total, go = 0, 0, self.go
         for byte in word:
-            after = go.get(state << 8 | byte)
-            state = self.step(state, byte) if after is None else after
-        return self.total[state]
-
-    def count_long(self, word: bytes) -> int:
-        """As ``count``, holding only the states of the last ``longest`` bytes."""
-        keep = self.longest
-        last, total = [b""] * (keep + 1), [0] * (keep + 1)
-        for i in range(1, len(word) + 1):
-            for size in range(min(i, keep), 0, -1):
-                token, at = word[i - size : i], (i - size) % (keep + 1)
-                if self.is_token(token) and (i == size or self.pair_fits(last[at], token)):
-                    break
-            last[i % (keep + 1)], total[i % (keep + 1)] = token, (0 if i == size else total[at]) + 1
-        return total[len(word) % (keep + 1)]
+            arc = go.get(state << 8 | byte)
+            if arc is None:
+                arc = self.step(state, byte)
+            state = arc >> 8
+            total += (arc & 255) - 128
+        return total
 
 
 class Counter:
@@ -169,7 +159,11 @@ class Counter:
         return n
 
     def chunk_map(self, chunk: str) -> tuple:
-        """A chunk as a map from what precedes it: (head, None) if nothing synchronises, else (head, tokens, tail)."""
+        """A chunk as a map of states: what is pending before it -> (tokens, what is pending after it).
+
+        Between two pre-tokens every state is the start, so a chunk that synchronises maps a pending text p to
+        (tokens of p + head, plus ``tokens``; tail), written (head, tokens, tail); one that does not maps p to (0, p + head), written (head, None).
+        """
         first = SYNC.search(chunk)
         if first is None:
             return chunk, None
@@ -188,21 +182,29 @@ class Counter:
             return a[0], a[1], a[2] + b[0]
         return a[0], a[1] + self.closed(a[2] + b[0]) + b[1], b[2]
 
-    def plain(self, text: str) -> int:
-        if len(text) <= CHUNK:
-            return self.closed(text)
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
+    def scan(self, maps: list[tuple]) -> tuple:
+        """The composition of adjacent maps, pair by pair."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        whole = maps[0]
+        return maps[0]
+
+    def finish(self, whole: tuple) -> int:
+        """Tokens of a text from its map: nothing is pending before it, and what is pending after it ends."""
         return self.closed(whole[0]) + (whole[1] + self.closed(whole[2]) if whole[1] is not None else 0)
 
-    def __call__(self, text: str) -> int:
-        """Tokens of a whole text; a special string inside it is one token, as the library's default has it."""
-        if self.special is None or "<" not in text:
-            return self.plain(text)
-        parts = self.special.split(text)
-        return sum(map(self.plain, parts)) + len(parts) - 1
+    def plain(self, text: str, chunk: int = CHUNK) -> int:
+        if len(text) <= chunk:
+            return self.closed(text)
+        return self.finish(self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]))
+
+    def stretches(self, text: str) -> list[str]:
+        """The text between special strings, which are one token each, as the library's default has it."""
+        return [text] if self.special is None or "<" not in text else self.special.split(text)
+
+    def __call__(self, text: str, chunk: int = CHUNK) -> int:
+        """Tokens of a whole text."""
+        parts = self.stretches(text)
+        return sum(self.plain(p, chunk) for p in parts) + len(parts) - 1
 
 
 @lru_cache(maxsize=2)
@@ -224,12 +226,81 @@ def _count(path: str):
     return run
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+MAPS = "row long, stretch long, seq long, head string, n long, tail string"
+
+
+def _cut(path: str, chunk: int):
+    """(row, id, text) of long texts -> a row for each chunk of each stretch between special strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for k, part in enumerate(count.stretches(text)):
+                    for lo in range(0, max(1, len(part)), chunk * FAN):
+                        piece = [part[i : i + chunk] for i in range(lo, min(len(part), lo + chunk * FAN), chunk)] or [""]
+                        n, seq = len(piece), lo // chunk
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([row] * n), pa.array([k] * n), pa.array(range(seq, seq + n), pa.int64()), pa.array(piece, pa.string())], ["row", "stretch", "seq", "chunk"]
+                        )
+
+    return run
+
+
+def _map_chunks(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
+        for batch in batches:
+            maps = [count.chunk_map(c) for c in batch.column(3).to_pylist()]
+            ends = [pa.array([m[0] for m in maps], pa.string()), pa.array([m[1] for m in maps], pa.int64()), pa.array([m[2] if m[1] is not None else None for m in maps], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *ends], ["row", "stretch", "seq", "head", "n", "tail"])
+
+    return run
+
+
+def _compose(path: str):
+    """(row, stretch, seq, maps) -> the composition of the maps in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
+        for batch in batches:
+            out = []
+            for maps in batch.column(3).to_pylist():
+                parts = [(m["head"], m["n"], m["tail"]) if m["n"] is not None else (m["head"], None) for m in sorted(maps, key=lambda m: m["seq"])]
+                out.append((*count.scan(parts), None)[:3])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True))], [x.split()[0] for x in MAPS.split(", ")])
+
+    return run
+
+
+def _finish(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
+        for batch in batches:
+            maps = zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([count.finish(m) for m in maps], pa.int64())], ["row", "stretch", "n"])
+
+    return run
+
+
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, long: int = LONG) -> DataFrame:
     """Bytes and tokens of every whole text under the byte-level BPE vocabulary at ``path``.
 
-    A map over rows, without a shuffle. Null and empty texts have 0 bytes and tokens; ids may be null or repeat;
+    A map over rows, without a shuffle. A text of more than ``long`` bytes is cut into rows of ``chunk`` characters that any task maps; the maps
+    are composed in groups of FAN, and these groups once more, so that one very long text is many tasks. Null and empty texts have 0 bytes and tokens; ids may be null or repeat;
     an empty table gives no rows; other columns are ignored.
     """
     table = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = table.schema["id"].dataType.simpleString()
-    return table.mapInArrow(_count(path), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    short = table.where(size <= long).mapInArrow(_count(path), f"id {kind}, n_bytes long, n_tokens long")
+    whole = table.where(size > long).withColumn("row", F.monotonically_increasing_id())
+    chunks = whole.select("row", "id", "text").mapInArrow(_cut(path, chunk), "row long, stretch long, seq long, chunk string").repartition("row", "stretch", "seq")
+    maps = chunks.mapInArrow(_map_chunks(path), MAPS)
+    for _ in range(2):
+        grouped = maps.groupBy("row", "stretch", F.floor(F.col("seq") / FAN).alias("at")).agg(F.collect_list(F.struct("seq", "head", "n", "tail")).alias("maps"))
+        maps = grouped.mapInArrow(_compose(path), MAPS)
+    top = maps.groupBy("row", "stretch", F.lit(0).cast("long").alias("at")).agg(F.collect_list(F.struct("seq", "head", "n", "tail")).alias("maps")).mapInArrow(_compose(path), MAPS)
+    counts = top.mapInArrow(_finish(path), "row long, stretch long, n long").groupBy("row").agg((F.sum("n") + F.count(F.lit(1)) - 1).alias("n_tokens"))
+    sizes = whole.select("row", "id", F.octet_length("text").cast("long").alias("n_bytes"))
+    return short.unionByName(sizes.join(counts, "row").select("id", "n_bytes", "n_tokens")).withColumnRenamed("id", id_col)

@@ -181,18 +181,43 @@ def test_token_counts_equal_the_library(spark):
     assert tokens.count_tokens(docs.limit(0), path).count() == 0
 
 
+def test_token_counts_of_all_documents(spark):
+    """Every document equals the library, as one text each and as rows of chunks that Spark composes."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    docs = real_docs(spark).select("doc_id", "text").union(spark.createDataFrame([(900, "a<|endoftext|>b " * 90 + "<|endof"), (901, "x" * 3000)], "doc_id long, text string"))
+    want = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, path).collect()} == want
+    cut = tokens.count_tokens(docs, path, chunk=11, long=100).collect()
+    assert {r.doc_id: r.n_tokens for r in cut} == want and len(cut) == docs.count()
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(r.n_bytes == len(text[r.doc_id].encode()) for r in cut)
+
+
 def test_chunks_compose_like_one_run(monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, count = Tokenizer.from_file(path), tokens.Counter(path)
-    monkeypatch.setattr(tokens, "CHUNK", 7)
     monkeypatch.setattr(tokens, "MAX_STATES", 50)
     r = random.Random(5)
-    letters = [*"ab 'st \n\té²Ω漢_1.", "  ", "'re", "<|endoftext|>", " ", "the "]
+    letters = [*"ab 'st \n\té²Ω漢_1.", "  ", "'re", "<|endoftext|>", " ", "the "]
     for _ in range(400):
         t = "".join(r.choice(letters) for _ in range(r.randint(0, 60)))
-        assert count(t) == len(library.encode(t, add_special_tokens=False).ids), repr(t)
+        assert count(t, 7) == len(library.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def test_transducer_emits_and_stays_finite():
+    """Emitted counts add up to the library's merges on words of any length, and a periodic word needs few states."""
+    machine = tokens.Counter(public_tokenizers.path("byte_bpe_50k.json")).transducer
+    r = random.Random(7)
+    for _ in range(300):
+        w = bytes(r.choice(b"abcdehilnorst'0123") for _ in range(r.randint(0, 90)))
+        assert machine.count(w) == len(machine.merge(w))
+    machine.reset()
+    assert machine.count(b"ab" * 5000) > 0 and len(machine.states) < 500
 
 
 # --- 4 sharding
