@@ -193,3 +193,49 @@ def partition_phases(units: DataFrame, keys: list[str], required: Column, low: i
     rows = F.array_sort(F.collect_list(F.struct("idx", "phase")))
     got = units.groupBy(*keys).agg(F.transform(rows, lambda x: x["phase"]).alias("phases"), F.bool_and(F.col("length").between(low, high)).alias("in_range"))
     return got.withColumn("complete", F.col("phases") == required).withColumn("phases", F.concat_ws(">", "phases"))
+
+
+def plan_windows(candidates: DataFrame, activity: DataFrame, keys: list[str], pad: int, gap: int, longest: int, cap: int, controls: int, apart: int, hi: int) -> DataFrame:
+    """Windows to watch around candidates (id, t, types, confidence), and quiet ones for control from ``activity`` (t, act).
+
+    Candidates in time order join the last window if they start less than ``gap`` after it and it stays within ``longest``. Of more than ``cap``
+    windows, those that add most types not yet covered (then the surest, then the earliest) come first, then the surest. The quietest points
+    ``apart`` or more from every window, control ones included, become ``controls`` more. Windows are clipped to [0, hi].
+    """
+    spans = candidates.withColumns({"s": F.col("t") - pad, "e": F.col("t") + pad})
+    runs = islands(spans, keys, gap, strict=True, out="_run")
+    rows = F.array_sort(F.collect_list(F.struct("t", "id", "types", "confidence")))
+    kind = "struct<s:bigint,e:bigint,types:array<string>,confidence:double,n:bigint>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        fits = (x["t"] - pad - last["e"] < gap) & (x["t"] + pad - last["s"] <= longest)
+        fresh = F.struct((x["t"] - pad).alias("s"), (x["t"] + pad).alias("e"), x["types"].alias("types"), x["confidence"].alias("confidence"), F.lit(1).cast("long").alias("n"))
+        more = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["t"] + pad).alias("e"), F.array_union(last["types"], x["types"]).alias("types"), F.greatest(last["confidence"], x["confidence"]).alias("confidence"), (last["n"] + 1).alias("n"))
+        return F.when(F.size(acc) == 0, F.array(fresh)).when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(more))).otherwise(F.concat(acc, F.array(fresh)))
+
+    made = runs.groupBy(*keys, "_run").agg(F.aggregate(rows, none, step).alias("w")).select(*keys, F.explode("w").alias("w"))
+    listed = made.groupBy(*keys).agg(F.array_sort(F.collect_list("w")).alias("w")).withColumn("every", F.array_distinct(F.flatten(F.transform("w", lambda x: x["types"]))))
+    start = F.struct(F.array().cast("array<string>").alias("covered"), F.array().cast("array<int>").alias("kept"))
+
+    def cover(acc: Column, _: Column) -> Column:
+        worth = lambda x, i: F.struct(F.size(F.array_except(x["types"], acc["covered"])).alias("new"), x["confidence"].alias("confidence"), (-i).alias("k"))
+        at = -F.array_max(F.transform("w", lambda x, i: F.when(~F.array_contains(acc["kept"], i), worth(x, i))))["k"]
+        more = F.struct(F.array_union(acc["covered"], F.get("w", at)["types"]).alias("covered"), F.concat(acc["kept"], F.array(at)).alias("kept"))
+        return F.when((F.size(acc["covered"]) >= F.size("every")) | (F.size(acc["kept"]) >= cap), acc).otherwise(more)
+
+    first = F.when(F.size("w") > cap, F.aggregate(F.sequence(F.lit(1), F.size("every")), start, cover)["kept"]).otherwise(F.array().cast("array<int>"))
+    by_sureness = F.transform(F.array_sort(F.transform("w", lambda x, i: F.struct((-x["confidence"]).alias("c"), i.alias("i")))), lambda x: x["i"])
+    picked = listed.withColumn("first", first).withColumn("kept", F.concat("first", F.slice(F.array_except(by_sureness, F.col("first")), 1, F.greatest(F.lit(0), F.lit(cap) - F.size("first")))))
+    chosen = picked.select(*keys, F.array_sort(F.transform("kept", lambda i: F.get("w", i))).alias("w"))
+    quiet = activity.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("act", "t"))), lambda x: x["t"]).alias("_t"))
+
+    def control(acc: Column, t: Column) -> Column:
+        near = F.exists(acc, lambda x: (x["s"] - apart <= t) & (t <= x["e"] + apart))
+        fresh = F.struct((t - pad).alias("s"), (t + pad).alias("e"), F.array().cast("array<string>").alias("types"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("n"))
+        return F.when(near | (F.size(F.filter(acc, lambda x: x["n"] == 0)) >= controls), acc).otherwise(F.concat(acc, F.array(fresh)))
+
+    whole = chosen.join(quiet, keys, "left").select(*keys, F.aggregate(F.coalesce("_t", F.array().cast("array<bigint>")), F.col("w"), control).alias("w"))
+    rows = whole.select(*keys, F.explode("w").alias("w")).select(*keys, "w.*")
+    return rows.withColumns({"s": F.greatest(F.col("s"), F.lit(0)), "e": F.least(F.col("e"), F.lit(hi)), "control": F.col("n") == 0})

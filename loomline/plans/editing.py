@@ -114,16 +114,24 @@ def phase_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.partition_phases(turns, ["conv_id"], asked, 4, 1500)
 
 
+def watch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve windows of each user around events other than views, covering all kinds, and three quiet ones at short views."""
+    rows = _ivl(spark, sf_dir)
+    seen = rows.where("kind <> 'view'").select("key", "id", F.col("s").alias("t"), F.array("kind").alias("types"), (F.col("id") % 100 / 100.0).alias("confidence"))
+    quiet = rows.where("kind = 'view'").select("key", F.col("s").alias("t"), (F.col("e") - F.col("s")).alias("act"))
+    out = ed.plan_windows(seen, quiet, ["key"], 30 * MINUTE, 25 * MINUTE, 125 * MINUTE, 12, 3, HOUR, MONTH)
+    return out.select("key", "s", "e", F.concat_ws(",", F.array_sort("types")).alias("types"), "confidence", "n", "control")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        merge_compatible, merge_gap_questions, role_units, split_shots, tiled_ends, flat_timeline, fitted_intervals, issue_cuts, covered_claims, beat_cuts,
+        watch_windows, merge_compatible, merge_gap_questions, role_units, split_shots, tiled_ends, flat_timeline, fitted_intervals, issue_cuts, covered_claims, beat_cuts,
         evidence_windows, edit_plans, role_montage, phase_partitions,
     )
 }
 
 _IVL = f"WITH {EVENT_INTERVALS_SQL}"
-_GROUP = "STRUCT(s BIGINT, e BIGINT, form BIGINT, action VARCHAR, attrs BIGINT[], needed BOOLEAN, n BIGINT)"
 
 
 def _merge_sql(form: str, attrs: str, near: str) -> str:
@@ -144,6 +152,18 @@ def _shingles_sql(x: str) -> str:
 
 
 ORACLE_SQL = {
+    "watch_windows": f"""{_IVL}, l AS (SELECT key, list([{{'s': s - {30 * MINUTE}, 'e': s + {30 * MINUTE}, 'types': [kind], 'confidence': id % 100 / 100.0::DOUBLE, 'n': 1::BIGINT}}] ORDER BY s, id) AS l FROM ivl WHERE kind <> 'view' GROUP BY key),
+f AS (SELECT key, list_sort(list_reduce(l, lambda acc, y: CASE WHEN y[1].s - acc[-1].e < {25 * MINUTE} AND y[1].e - acc[-1].s <= {125 * MINUTE}
+THEN list_concat(acc[:-2], [{{'s': acc[-1].s, 'e': greatest(acc[-1].e, y[1].e), 'types': list_distinct(list_concat(acc[-1].types, y[1].types)), 'confidence': greatest(acc[-1].confidence, y[1].confidence), 'n': acc[-1].n + 1}}]) ELSE list_concat(acc, y) END)) AS w FROM l),
+a AS (SELECT key, w, list_distinct(flatten(list_transform(w, lambda x: x.types))) AS every FROM f),
+c AS (SELECT key, w, CASE WHEN len(w) <= 12 THEN []::BIGINT[] ELSE (list_reduce(list_transform(every, lambda z: {{'covered': []::VARCHAR[], 'kept': []::BIGINT[]}}), lambda acc, z: CASE WHEN len(acc.covered) >= len(every) OR len(acc.kept) >= 12 THEN acc ELSE
+ list_transform([-list_sort(list_filter(list_transform(w, lambda x, i: {{'new': len(list_filter(x.types, lambda q: NOT list_contains(acc.covered, q))), 'confidence': x.confidence, 'k': -i}}), lambda r: NOT list_contains(acc.kept, -r.k)), 'DESC')[1].k],
+ lambda p: {{'covered': list_distinct(list_concat(acc.covered, w[p].types)), 'kept': list_append(acc.kept, p)}})[1] END, {{'covered': []::VARCHAR[], 'kept': []::BIGINT[]}})).kept END AS first FROM a),
+k AS (SELECT key, list_sort(list_transform(list_concat(first, (list_filter(list_transform(list_sort(list_transform(w, lambda x, i: {{'c': -x.confidence, 'i': i}})), lambda r: r.i), lambda i: NOT list_contains(first, i)))[1:12 - len(first)]), lambda i: w[i])) AS w FROM c),
+q AS (SELECT key, list(s ORDER BY e - s, s) AS t FROM ivl WHERE kind = 'view' GROUP BY key),
+z AS (SELECT key, list_reduce(list_transform(coalesce(t, []), lambda v: [{{'s': v - {30 * MINUTE}, 'e': v + {30 * MINUTE}, 'types': []::VARCHAR[], 'confidence': 0.0::DOUBLE, 'n': 0::BIGINT}}]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda x: x.n = 0)) >= 3
+ OR len(list_filter(acc, lambda x: x.s - {HOUR} <= y[1].s + {30 * MINUTE} AND y[1].s + {30 * MINUTE} <= x.e + {HOUR})) > 0 THEN acc ELSE list_concat(acc, y) END, w) AS w FROM k LEFT JOIN q USING (key)),
+u AS (SELECT key, unnest(w) AS x FROM z) SELECT key, greatest(x.s, 0) AS s, least(x.e, {MONTH}) AS e, array_to_string(list_sort(x.types), ',') AS types, x.confidence AS confidence, x.n AS n, x.n = 0 AS control FROM u""",
     "merge_compatible": f"""{_merge_sql("id % 2", "[id % 5]", f"y[1].s <= g.e + {20 * MINUTE} AND g.s <= y[1].e + {20 * MINUTE}")}
 SELECT key, g.s AS s, g.e AS e, g.form AS form, g.action AS action, array_to_string(list_sort(g.attrs), ',') AS attrs, g.n AS n FROM u""",
     "merge_gap_questions": f"""{_merge_sql("0::BIGINT", "[]::BIGINT[]", "y[1].s < g.e AND g.s < y[1].e")} SELECT key, g.s AS s, g.e AS e, g.action AS action, g.needed AS needed, g.n AS n FROM u""",
