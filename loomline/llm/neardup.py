@@ -181,7 +181,7 @@ def _parts(df: DataFrame, of: list[str]) -> DataFrame:
     return df.groupBy(*of).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
 
 
-def _large_links(sets: DataFrame, keys: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+def _large_links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links inside clusters of more than BLOCK classes; ``sets``: (id, component, level, shingles).
 
     First every class is compared with one hub only, the one it shares most bands with: n comparisons for n near
@@ -189,8 +189,11 @@ def _large_links(sets: DataFrame, keys: DataFrame, hubs: DataFrame, percent: int
     group go on, in blocks of a group and a size level; blocks of one large group are not compared with each other.
     """
     ids = sets.select("id", "component", "level")
-    shared = keys.join(hubs.select("key", "hub"), "key").where("rep <> hub").groupBy(F.col("rep").alias("id"), "hub").agg(F.count(F.lit(1)).alias("bands"))
-    star = shared.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.max(F.struct("bands", (-F.col("hub")).alias("k"))).alias("b")).select("id", (-F.col("b.k")).alias("hub"))
+    mine = classes.join(ids.select(F.col("id").alias("rep")), "rep", "left_semi")  # a band's classes are all in one cluster
+    keys = durable(mine.select("rep", F.explode("bands").alias("key")), "dup-keys")
+    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"))
+    shared = keys.join(hubs, "key").where("rep <> hub").groupBy(F.col("rep").alias("id"), "hub").agg(F.count(F.lit(1)).alias("bands"))
+    star = shared.groupBy("id").agg(F.max(F.struct("bands", (-F.col("hub")).alias("k"))).alias("b")).select("id", (-F.col("b.k")).alias("hub"))
     star = durable(star, "dup-star")
     parts = _parts(star, ["hub"])
     name = lambda part: F.concat_ws("/", F.col("hub").cast("string"), part.cast("string"))
@@ -257,7 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = _links(sets.where(F.col("total") <= BLOCK).select(F.col("component").cast("string").alias("task"), F.lit("").alias("side"), "id", "shingles"), percent)
     large = sets.where(F.col("total") > BLOCK).select("id", "component", "level", "shingles")
     if not large.isEmpty():
-        links = links.unionByName(_large_links(large, keys, hubs, percent))
+        links = links.unionByName(_large_links(large, classes, percent))
     groups = connected_components(links, "dup-links")
     named = classes.select("cls", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
     return sketches.join(named, "cls", "left").select(
