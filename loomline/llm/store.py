@@ -16,8 +16,9 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loomline.llm.scratch import in_order, running_total
+from loomline.llm.scratch import durable, in_order, running_total
 from loomline.llm.textblocks import U64, blocks, mix, utf8
 from loomline.llm.tokens import byte_letters
 
@@ -211,8 +212,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     tiles = running_total(in_order(rows, [F.col("id"), F.col("key")], "store-order"), "n", "start")
     recipes = tiles.select("tile", "tile_row", "pos", "id", "start", F.col("n").alias("n_tokens"), "shas", "cuts", "root")
     recipes.repartitionByRange("pos").sortWithinPartitions("pos").write.parquet(f"{path}/recipes")
-    for level, digests in _levels(spark.read.schema(RECIPE).parquet(f"{path}/recipes")):
+    digests = _runs(spark.read.schema(RECIPE).parquet(f"{path}/recipes"))
+    for level, over, by in LEVELS:
+        digests = digests if level == "run" else _above(digests, over, by)
         digests.write.parquet(f"{path}/manifest/level={level}")
+        digests = _written(spark, path, level, digests.schema)
     head = spark.createDataFrame([(encoder(tokenizer, end_id).kind.itemsize, end_id)], "width int, end_id int")
     head.coalesce(1).write.parquet(f"{path}/head")
 
@@ -221,26 +225,29 @@ RECIPE = "tile int, tile_row long, pos long, id long, start long, n_tokens long,
 LEVELS = (("run", ["tile", "run"], "tile_row"), ("tile", ["tile"], "run"), ("all", [], "tile"))
 
 
-def _levels(recipes: DataFrame) -> Iterator[tuple[str, DataFrame]]:
-    """The manifest's levels over recipes: digests of runs of 1,024 recipes of a tile, of tiles, and of all.
+def _above(digests: DataFrame, over: list[str], by: str) -> DataFrame:
+    """The digests of groups of digests, in the order of ``by``."""
+    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(by, "mark"))), lambda x: x["mark"]))
+    return digests.groupBy(*over).agg(F.sha2(joined, 256).alias("mark"))
 
-    A recipe's leaf covers its place, id, start, length, chunk ends and Merkle root.
-    """
+
+def _runs(recipes: DataFrame) -> DataFrame:
+    """The manifest's lowest level: digests of runs of 1,024 recipes of a tile. A leaf covers a recipe's place, id, start, length, chunk ends and root."""
     leaf = F.sha2(F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("pos", "id", "start", "n_tokens")), F.hex("cuts"), F.hex("root")), 256)
-    digests = recipes.select("tile", F.floor(F.col("tile_row") / 1024).alias("run"), "tile_row", leaf.alias("mark"))
-    for level, over, by in LEVELS:
-        joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(by, "mark"))), lambda x: x["mark"]))
-        digests = digests.groupBy(*over).agg(F.sha2(joined, 256).alias("mark"))
-        yield level, digests
+    return _above(recipes.select("tile", F.floor(F.col("tile_row") / 1024).alias("run"), "tile_row", leaf.alias("mark")), *LEVELS[0][1:])
+
+
+def _written(spark: SparkSession, path: str, level: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/manifest/level={level}")
 
 
 def verify_manifest(spark: SparkSession, path: str) -> None:
     """Compare every digest of a store's manifest with the recipes found; a lost, added or changed recipe is an error."""
-    for level, digests in _levels(spark.read.schema(RECIPE).parquet(f"{path}/recipes")):
-        keys = digests.columns[:-1]
-        kinds = "".join(f"{k} {digests.schema[k].dataType.simpleString()}, " for k in keys)
-        written = spark.read.schema(f"{kinds}mark string").parquet(f"{path}/manifest/level={level}")
-        off = written.exceptAll(digests).unionAll(digests.exceptAll(written)).take(1)
+    digests = durable(_runs(spark.read.schema(RECIPE).parquet(f"{path}/recipes")), "store-runs")
+    for level, over, by in LEVELS:
+        digests = digests if level == "run" else _above(digests, over, by)
+        sides = _written(spark, path, level, digests.schema).withColumn("side", F.lit(1)).unionByName(digests.withColumn("side", F.lit(-1)))
+        off = sides.groupBy(*digests.columns).agg(F.sum("side").alias("side")).where("side <> 0").take(1)
         if off:
             raise ValueError(f"the recipes of {path} do not match its manifest: level {level}, {off[0]}")
 

@@ -633,7 +633,9 @@ def test_store_keeps_the_width_of_its_ids(spark, tmp_path, monkeypatch):
     for part in ("recipes", "manifest", "head"):
         shutil.rmtree(f"{wide}/{part}")
     recipes.write.parquet(f"{wide}/recipes")
-    for level, digests in store._levels(spark.read.schema(store.RECIPE).parquet(f"{wide}/recipes")):
+    digests = store._runs(spark.read.schema(store.RECIPE).parquet(f"{wide}/recipes"))
+    for level, over, by in store.LEVELS:
+        digests = digests if level == "run" else store._above(digests, over, by)
         digests.write.parquet(f"{wide}/manifest/level={level}")
     spark.createDataFrame([(4, 2)], "width int, end_id int").write.parquet(f"{wide}/head")
     assert sorted(map(tuple, store.read_digests(spark, wide).collect())) == sorted(map(tuple, store.read_digests(spark, plain).collect()))
@@ -805,9 +807,69 @@ def test_randomised_basis_spans_the_rows(spark):
     assert np.abs(a - a @ basis @ basis.T).max() < 1e-8
 
 
+# --- the registered queries
+
+
+def test_queries_keep_their_contracts(spark):
+    """Columns, folds, laws and totals of the registered queries over the smallest tables."""
+    from loomline.llm import queries
+
+    docs = {r.doc_id: r for r in real_docs(spark).collect()}
+    fold = lambda d, n: zlib.crc32(str(d).encode()) % n
+    out = {name: query(spark, SF) for name, query in queries.QUERIES.items() if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op7", "op9")}
+    rows = {name: {r.doc_id: r for r in df.collect()} for name, df in out.items()}
+    assert all(set(r) == set(docs) for r in rows.values())
+    for d, r in rows["op2_language"].items():
+        assert r.held_out == (fold(d, 3) == 1) and 0 <= r.score <= 1 and (r.lang_pred == "und") == (not any(c.isalpha() for c in docs[d].text or ""))
+    for d, r in rows["op3_token_counts"].items():
+        assert r.n_bytes == len((docs[d].text or "").encode()) and r.over_limit == (r.n_tokens > 1024)
+    shards = Counter(r.shard for r in rows["op4_sharding"].values())
+    assert set(shards) <= set(range(24)) and max(shards.values()) - min(shards.values()) <= 1
+    for k in shards:
+        assert sorted(r.slot for r in rows["op4_sharding"].values() if r.shard == k) == list(range(shards[k]))
+    for d, r in rows["op4_sharding"].items():
+        t = (docs[d].text or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(t) + 8, zlib.crc32(t), "rows", None)
+    taken, target = Counter(), {}
+    for d, r in rows["op5_mixing"].items():
+        assert r.size == len(ascii_words(docs[d].text)) and r.taken <= 3 * r.size
+        taken[docs[d].source] += r.taken
+        target[docs[d].source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    for r in rows["op7_quality_rules"].values():
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
+    for d, r in rows["op9_quality_score"].items():
+        assert r.held_out == (fold(d, 4) == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    assert all(r.kept == (r.component_id == d) for d, r in rows["op1_near_duplicates"].items())
+
+
+def test_store_query_contract(spark):
+    from tokenizers import Tokenizer
+
+    from loomline.llm import queries
+
+    library, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    rows = {r.doc_id: r for r in queries.op8_token_store(spark, SF).collect()}
+    for r in real_docs(spark).orderBy("doc_id").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids + [2]
+        assert (rows[r.doc_id].start, rows[r.doc_id].n_tokens, rows[r.doc_id].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 # --- the pipeline
 
 
+def test_pipeline_run(spark):
+    """The whole run: every document that it returns was kept by each stage, clean ones among them, with its digest."""
+    import corpus_pipeline as p
+
+    out = p.run(spark, SF).collect()
+    docs = real_docs(spark)
+    kept = p.decontamination(spark, p.near_duplicate(spark, p.language(spark, docs, SF), SF), SF)
+    assert {r.doc_id for r in out} <= {r.doc_id for r in kept.collect()} and len(out) > 0.3 * docs.count()
+    assert min(r.start for r in out) == 0 and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
