@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.scratch import durable
@@ -16,7 +16,7 @@ from loomline.llm.textblocks import utf8
 
 LETTERS = "a-zÀ-ÿ"
 PREFIX = 3  # bigrams of a word that are joined: one edit touches two at most, so near words share one of their three rarest
-HOT = 200  # words under one positional bigram from which they are told apart by what one deletion leaves
+HOT = 100  # words under one key from which they are told apart by what one deletion leaves
 FLUSH = 200_000  # different words that a task counts before it hands them on
 
 
@@ -77,52 +77,71 @@ def rarest(word: str, ranks: dict[str, int]) -> list[tuple[str, int]]:
 def _prefixes(ranks: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size = len(word)
-                for gram, at in rarest(word, ranks):
-                    rows.append((word, n, False, gram, at, size))
-                    rows += ((word, n, True, gram, at - back, size - 1) for back in (0, 1) if at >= back)
-            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32())
-            names = ["word", "n", "longer", "gram", "at", "size"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names)
+            found = [rarest(word, ranks) for word in batch.column(0).to_pylist()]
+            grams, places = [[g for g, _ in f] for f in found], [[at for _, at in f] for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))], ["word", "gram", "at"])
 
     return run
 
 
-def _parts(words: Column, size: Column, replaced: bool, inserted: str) -> Column:
-    """What tells apart the words under one bigram: itself without one code point, and where it was for a replacement."""
-    places = F.sequence(F.lit(1), size)
-    without = lambda i: F.concat(F.substring(words, F.lit(1), i - 1), F.substring(words, i + 1, size))
-    swapped = F.transform(places, lambda i: F.xxhash64(without(i), i)) if replaced else F.array().cast("array<long>")
+def _keys(prefixes: DataFrame, longer: bool) -> DataFrame:
+    """(word, key, edits): a row for each rare bigram and each half that an edit may leave as it is.
+
+    The key is bigram, place, length and half of the shorter word; ``longer`` gives a word the keys of words it has one code point more than. Its bigrams stand
+    at the same place there or one before; inside the half that is the same only one of these is possible. ``edits`` are the places of the other half.
+    """
+    rows = prefixes.select("word", F.inline(F.arrays_zip("gram", "at")))
+    extra = 1 if longer else 0
+    size = F.length("word") - extra
+    half = F.floor(size / 2).cast("int")
+    inside = (F.col("at") + 2 <= half, F.col("at") >= half + 1)
+    option = lambda side, back: F.struct(F.lit(side).alias("side"), F.lit(back).alias("back"))
+    if longer:
+        sides = F.concat(
+            F.when(inside[0], F.array(option(0, 0))).otherwise(F.array(option(0, 0), option(0, 1))),
+            F.when(inside[1], F.array(option(1, 1))).otherwise(F.array(option(1, 0), option(1, 1))),
+        )
+    else:
+        sides = F.array(option(0, 0), option(1, 0))
+    same = F.when(F.col("o.side") == 0, F.substring("word", F.lit(1), half)).otherwise(F.substring("word", half + 1 + extra, size))
+    edits = F.when(F.col("o.side") == 0, F.sequence(half + 1, size + extra)).otherwise(F.sequence(F.lit(1), half + extra))
+    spread = rows.withColumn("o", F.explode(sides)).where(F.col("at") >= F.col("o.back"))
+    return spread.select("word", F.xxhash64("gram", F.col("at") - F.col("o.back"), size, "o.side", same).alias("key"), edits.alias("edits"))
+
+
+def _parted(rows: DataFrame, hot: DataFrame | None, replaced: bool, inserted: str) -> DataFrame:
+    """(key, word), a row each, or under a hot key a row for each place that an edit may have: the key with what is left without that code point."""
+    if hot is None:
+        return rows.select("key", "word")
+    word = F.col("word")
+    without = lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word)))
+    parts = [F.transform("edits", lambda i: F.xxhash64("key", without(i), i))] if replaced else []
     if inserted == "whole":
-        return F.concat(swapped, F.array(F.xxhash64(words, F.lit(0))))
-    return F.concat(swapped, F.array_distinct(F.transform(places, lambda i: F.xxhash64(without(i), F.lit(0))))) if inserted == "without" else swapped
+        parts.append(F.array(F.xxhash64("key", word, F.lit(0))))
+    elif inserted == "without":
+        parts.append(F.array_distinct(F.transform("edits", lambda i: F.xxhash64("key", without(i), F.lit(0)))))
+    keys = F.when(F.col("is_hot"), F.concat(*parts)).otherwise(F.array("key"))
+    return rows.join(hot, "key", "left").select("word", F.explode(keys).alias("key"))
 
 
-def near_words(words: DataFrame, hot: int | None = None) -> DataFrame:
-    """Pairs (word, near, near_n), both ways, of words that differ by exactly one inserted, deleted or replaced code point.
+def near_pairs(words: DataFrame, hot: int | None = None) -> DataFrame:
+    """Pairs (a, b) of words that differ by exactly one inserted, deleted or replaced code point; b is the longer one, or the later of equal length.
 
     Bigrams are ordered by how many words hold them. Of each word only the three rarest are joined: an edit touches at most two, so
-    two near words share one of these, at the same place in both or one further on in the longer one. The key is bigram, place and length, so only
-    words of the right length meet; each pair is verified by its edit distance. Words under a key of more than ``hot`` words also have to agree in what is left without one code
-    point, which near words do: such a key costs a few rows a word instead of a pair for each two words.
+    two near words share one of these, at the same place in both or one further on in the longer one. One half of the word is the same in both, so the key is
+    bigram, place, length and that half; each pair that meets is verified by its edit distance. Words under a key of more than ``hot`` words also have to agree in what is
+    left without one code point of the other half, which near words do: such a key costs a few rows a word instead of a pair for each two words.
     """
     hot = HOT if hot is None else hot
-    spark, ranks = words.sparkSession, gram_ranks(words)
-    keyed = words.select("word", "n").mapInArrow(_prefixes(ranks), "word string, n long, longer boolean, gram string, at int, size int")
-    rows = durable(keyed.select("word", "n", "longer", "size", F.xxhash64("gram", "at", "size").alias("key")), "spelling-keys")
-    many = durable(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("key", F.lit(True).alias("is_hot")), "spelling-hot")
-    marked = rows.join(many, "key", "left") if not many.isEmpty() else rows.withColumn("is_hot", F.lit(None).cast("boolean"))
-    whole = F.array(F.lit(0).cast("long"))
-    split = lambda hot_parts: F.explode(F.when(F.col("is_hot"), hot_parts).otherwise(whole)).alias("part")
-    word, size = F.col("word"), F.length("word")
-    left = marked.where("NOT longer").select("key", split(_parts(word, size, True, "whole")), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    other = F.when(F.col("longer"), _parts(word, size, False, "without")).otherwise(_parts(word, size, True, ""))
-    right = marked.select("key", split(other), F.col("word").alias("b"), F.col("n").alias("b_n"), "longer")
-    met = left.join(right, ["key", "part"]).where(F.col("longer") | (F.col("a") < F.col("b")))
-    pairs = durable(met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct(), "spelling-pairs")
-    return pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))
+    prefixes = durable(words.select("word").mapInArrow(_prefixes(gram_ranks(words)), "word string, gram array<string>, at array<int>"), "spelling-prefixes")
+    base, longer = _keys(prefixes, False), _keys(prefixes, True)
+    counts = base.select("key").unionByName(longer.select("key")).groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    many = durable(counts.where(F.col("_n") > hot).select("key", F.lit(True).alias("is_hot")), "spelling-hot")
+    many = None if many.isEmpty() else many
+    left = _parted(base, many, True, "whole").withColumnRenamed("word", "a")
+    right = _parted(base, many, True, "").unionByName(_parted(longer, many, False, "without")).withColumnRenamed("word", "b")
+    met = left.join(right, "key").where((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")))
+    return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
 
 
 def spelling_groups(words: DataFrame, ratio: int = 10, hot: int | None = None) -> DataFrame:
@@ -136,7 +155,9 @@ def spelling_groups(words: DataFrame, ratio: int = 10, hot: int | None = None) -
     words = durable(words.select("word", "n"), "spelling-words")
     if not words.where(F.length("word") < PREFIX + 1).isEmpty():
         raise ValueError(f"words of fewer than {PREFIX + 1} code points have too few bigrams")
-    near = near_words(words, hot).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
+    pairs = durable(near_pairs(words, hot), "spelling-pairs")
+    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
+    near = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     joined = words.join(near, "word", "left")
     formed = F.coalesce(-F.col("best.less") >= F.col("n") * ratio, F.lit(False))
     table = durable(
