@@ -15,8 +15,8 @@ PAYLOAD = T.StructType([T.StructField("code", T.LongType()), T.StructField("data
 
 
 def read_leaderboards(spark: SparkSession, path: str) -> DataFrame:
-    """Items of leaderboard documents; the list comes from the file name, the rank from the place, dropped items counted."""
-    docs = spark.read.schema(PAYLOAD).json(path, multiLine=True).withColumn("list_id", F.regexp_extract(F.input_file_name(), r"_(\d+)\.json$", 1).try_cast("long"))
+    """Items of leaderboard documents; the list comes from the name of the file (``_<list>.json``) or of its folder (``list=<list>``), the rank from the place, dropped items counted."""
+    docs = spark.read.schema(PAYLOAD).option("recursiveFileLookup", True).json(path, multiLine=True).withColumn("list_id", F.regexp_extract(F.input_file_name(), r"(?:_|/list=)(\d+)(?:\.json|/[^/]*)$", 1).try_cast("long"))
     items = docs.select(F.when(F.col("list_id").isNull(), F.raise_error(F.lit("no list in the file name"))).otherwise(F.col("list_id")).alias("list_id"), F.posexplode("data.objs").alias("place", "item"))
     known = items.where("item.item_id IS NOT NULL AND trim(item.item_id) <> ''")
     return known.select("item.item_id", "list_id", (F.col("place") + 1).cast("long").alias("rank"), F.col("item.like_cnt").alias("likes"), F.col("item.play_cnt").alias("views"), F.col("item.item_title").alias("title"), F.col("item.nick_name").alias("author"))
@@ -32,9 +32,33 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header and empty text for null."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+BOM = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """CSV files of fixed columns, each with a byte order mark, a header and empty text for null."""
+    chosen = df.select(*(columns or df.columns))
+    chosen.toDF(BOM + chosen.columns[0], *chosen.columns[1:]).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of ``write_csv``: the header is skipped, so its mark is too, and empty text is null."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", "").csv(path)
+
+
+def write_envelopes(df: DataFrame, path: str, folder: str) -> None:
+    """Envelopes (tool, source_id, output) as JSON, in a folder for each value of ``folder``."""
+    df.repartition(folder).write.mode("overwrite").partitionBy(folder).json(path)
+
+
+def read_envelopes(spark: SparkSession, path: str, tool: str, output: str) -> DataFrame:
+    """Envelopes of one tool from all folders under ``path``, with the folder, the file and when it changed.
+
+    ``output`` is the type of the payload. Files of other shapes, without a tool, or not JSON at all are passed over; the filter on the tool reaches the scan.
+    """
+    rows = spark.read.schema(f"tool string, source_id string, output {output}").option("recursiveFileLookup", True).option("mode", "DROPMALFORMED").json(path)
+    folder = F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)
+    return rows.where(F.col("tool") == tool).select(folder.alias("folder"), "tool", "source_id", "output", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"))
 
 
 def content_hash(df: DataFrame, columns: list[str]) -> Column:
