@@ -79,41 +79,63 @@ def _entities(spans: dict[str, Column]) -> Column:
     return F.array_distinct(F.concat(*(F.transform(v, keys(k)) for k, v in spans.items())))
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3, share: float = 0.5, bits: float = 4.0) -> DataFrame:
-    """One row (term) for the key of each term that discloses an entity by the rule of ``find_private``.
+FEW = 300_000  # terms up to which their keys are broadcast
 
-    Pairs come only from texts that hold an entity of ``support`` texts; the terms of these pairs alone are counted in all
-    texts. A text that stands in c rows weighs 1 / c in each, so every different text counts once without moving the texts:
-    what is joined to them is the table of repeated texts' keys.
+
+def _alike(rows: DataFrame, name: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(copy, class) and (class, docs) of what stands in ``least`` texts or more: things that stand in the same texts are one class, told by their number and a sum of hashes."""
+    sums = rows.groupBy(name).agg(F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("copy")).alias("a"), F.bit_xor(F.xxhash64("copy", F.lit(1))).alias("b")).where(F.col("docs") >= least)
+    of = durable(sums.select(name, F.xxhash64("docs", "a", "b").alias(f"{name}_class"), F.col("docs").alias(f"{name}_docs")), f"private-{name}")
+    return rows.join(of, name).select("copy", f"{name}_class", f"{name}_docs").distinct(), of
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3, share: float = 0.5, bits: float = 4.0, prior: float = 8.0) -> DataFrame:
+    """One row (term) for the key of each term that discloses an entity, or a kind of entities, by the rule of ``find_private``.
+
+    Pairs come only from texts that hold an entity. Entities that stand in the same texts are one, as are terms, so a directory that comes
+    in several versions is one pair instead of all its names with all its addresses. The terms of these pairs alone are counted in all
+    texts, by their broadcast keys up to FEW terms, beyond that by adding up all terms before the join. A text that stands in c rows weighs 1 / c in each, so every different
+    text counts once without moving the texts: what is joined to them is the table of repeated texts' keys.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("copy"))
     grouped = durable(rows.groupBy("copy").agg(F.count(F.lit(1)).alias("c")), "private-copies")
     copies, repeated = grouped.count(), durable(grouped.where("c > 1"), "private-repeated")
-    found = rows.withColumn("entities", _entities(base_spans(F.col("text")) | {"secret": _secrets(F.col("text"))})).where(F.size("entities") > 0)
+    spans = base_spans(F.col("text")) | {"secret": _secrets(F.col("text"))}
+    kinds = F.array_compact(F.array(*(F.when(F.size(v) > 0, k) for k, v in spans.items())))
+    found = rows.withColumns({"entities": _entities(spans), "kinds": kinds}).where(F.size("entities") > 0)
     places = durable(found.dropDuplicates(["copy"]), "private-places")
-    held = places.select("copy", F.explode("entities").alias("entity"))
-    protected = held.groupBy("entity").agg(F.count(F.lit(1)).alias("e_docs")).where(F.col("e_docs") >= support)
-    kept = durable(held.join(protected, "entity"), "private-entities")
-    bare = F.regexp_replace("text", EMAIL, " ")
-    beside = _terms(places.join(kept.select("copy").distinct(), "copy", "left_semi"), bare, "copy")
-    pairs = beside.join(kept, "copy").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("e_docs").alias("e_docs"))
+    bare = F.regexp_replace(F.regexp_replace("text", EMAIL, " "), SECRET, " ")
+    beside = durable(_terms(places, bare, "copy", "kinds"), "private-beside")
+    per_kind = places.select(F.explode("kinds").alias("kind")).groupBy("kind").agg((F.count(F.lit(1)) / F.lit(float(max(1, copies)))).alias("p_kind"))
+    by_kind = beside.select("term", F.explode("kinds").alias("kind")).groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both")).join(per_kind, "kind")
+    by_kind = durable(by_kind.where(F.col("both") * (1 - share) >= prior * (share - F.col("p_kind"))), "private-kinds")  # no term in fewer texts can reach the share
+    entities, _ = _alike(places.select("copy", F.explode("entities").alias("entity")), "entity", support)
+    entities = durable(entities, "private-entities")
+    terms, of_term = _alike(beside.select("copy", "term").join(entities.select("copy").distinct(), "copy", "left_semi"), "term", support)
+    pairs = terms.join(entities, "copy").groupBy("entity_class", "term_class").agg(F.count(F.lit(1)).alias("both"), F.first("entity_docs").alias("e_docs"))
     pairs = durable(pairs.where(F.col("both") >= support), "private-pairs")
-    asked = durable(pairs.select("term").distinct(), "private-terms")
+    named = durable(of_term.join(pairs.select("term_class").distinct(), "term_class", "left_semi").select("term", "term_class"), "private-named")
+    asked = durable(named.select("term").unionByName(by_kind.select("term")).distinct(), "private-terms")
     weighed = rows.join(repeated, "copy", "left").select("text", (F.lit(1.0) / F.coalesce("c", F.lit(1))).alias("weight"))
-    counted = _terms(weighed, F.col("text"), "weight").join(asked, "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("t_docs"))
+    words, few = _terms(weighed, F.col("text"), "weight"), asked.count() <= FEW
+    counted = (words.join(F.broadcast(asked), "term", "left_semi") if few else words).groupBy("term").agg(F.round(F.sum("weight")).alias("t_docs"))
+    counted = durable(counted if few else counted.join(asked, "term", "left_semi"), "private-counted")
     odds = F.col("both") / F.col("t_docs")
-    telling = pairs.join(counted, "term").where((odds >= share) & (F.log2(odds / (F.col("e_docs") / F.lit(copies))) >= bits))
-    return durable(telling.select("term").distinct(), "private-telling")
+    telling = named.join(counted, "term").join(pairs, "term_class").where((odds >= share) & (F.log2(odds / (F.col("e_docs") / F.lit(copies))) >= bits))
+    smooth = (F.col("both") + prior * F.col("p_kind")) / (F.col("t_docs") + prior)
+    of_kinds = by_kind.join(counted, "term").where((smooth >= share) & (F.log2(smooth / F.col("p_kind")) >= bits))
+    return durable(telling.select("term").unionByName(of_kinds.select("term")).distinct(), "private-telling")
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, share: float = 0.5, bits: float = 4.0) -> DataFrame:
-    """Base spans and secrets of every whole text and all places of the terms that disclose an entity.
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, share: float = 0.5, bits: float = 4.0, prior: float = 8.0) -> DataFrame:
+    """Base spans and secrets of every whole text and all places of the terms that disclose an entity or a kind of them.
 
     An entity is the normalised value of a base span or a secret (a long key of letters and digits). Over all different texts
     (copies of a text count once), a term t discloses an entity e if at least ``support`` texts hold both, if p(e | t) =
-    texts with both / texts with t is at least ``share``, and if log2(p(e | t) / p(e)) is at least ``bits``. Every place of
-    such a term, in any text, becomes a span of kind ``term``, unless it overlaps another span. Base spans always stay.
+    texts with both / texts with t is at least ``share``, and if log2(p(e | t) / p(e)) is at least ``bits``. It discloses a kind k (say, that
+    a secret stands there) by the same thresholds on p(k | t) = (texts with both + ``prior`` p(k)) / (texts with t + ``prior``), which a few
+    chance meetings do not lift. Every place of such a term, in any text, becomes a span of kind ``term``, unless it overlaps another span. Base spans always stay.
 
     Returns ``id_col`` and, by kind, arrays of (start, end, value) in code points, end exclusive, sorted; ties do not
     arise, since spans of a kind do not overlap.
@@ -123,7 +145,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     bare = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("copy"))
-    telling = disclosing_terms(docs, text_col, support, share, bits)
+    telling = disclosing_terms(docs, text_col, support, share, bits, prior)
     marked = _terms(bare, F.col("text"), "copy").join(telling, "term").groupBy("copy").agg(F.collect_set("term").alias("terms"))
     marked = durable(marked, "private-marked")
     spans = bare.join(marked, "copy", "left").select("id", "text", "terms", *(v.alias(k) for k, v in base_spans(F.col("text")).items()), _secrets(F.col("text")).alias("secret"))

@@ -436,6 +436,58 @@ def test_secrets_are_found_and_protected(spark):
     assert [x.value for x in by[9].term] == ["vault"] and not by[10].secret and not any(by[100 + i].term for i in range(200))
 
 
+def brute_kind_terms(texts, share=0.5, bits=4.0, prior=8.0):
+    """Terms that disclose a kind, by plain counting over different texts."""
+    texts = {t for t in texts if t}
+    secret = re.compile(r"(?<![A-Za-z0-9_])(?=(?:[0-9_]*[A-Za-z]){4})(?=(?:[A-Za-z_]*[0-9]){4})[A-Za-z0-9_]{32,}")
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    words = lambda t: {w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) > 2}
+    kinds = {t: {x.split(":")[0] for x in brute_private(t).split(",") if x} | ({"secret"} if secret.search(t) else set()) for t in texts}
+    count, out = Counter(w for t in texts for w in words(t)), set()
+    for k in set().union(*kinds.values()):
+        having = [t for t in texts if k in kinds[t]]
+        p = len(having) / len(texts)
+        for w, both in Counter(w for t in having for w in words(secret.sub(" ", email.sub(" ", t)))).items():
+            smooth = (both + prior * p) / (count[w] + prior)
+            if smooth >= share and math.log2(smooth / p) >= bits:
+                out.add(w)
+    return out
+
+
+def test_terms_that_disclose_a_kind(spark):
+    """A word that stands beside ever new addresses and hardly elsewhere is found; one that meets them by chance is not; a directory in versions stays small."""
+    r = random.Random(31)
+    noise = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = [f"{noise(5)} reach me: p{i}x@{noise(1)}.org {noise(3)}" for i in range(20)] + [f"{noise(9)} token 24be64439e3e49cf46b2d7c90f3602a3d0b9{i:04d}" for i in range(12)]
+    texts += [f"{noise(12)} reach" for _ in range(4)] + [f"{noise(12)} me again" for _ in range(900)] + [f"rare token {noise(4)}"] * 50
+    want = brute_kind_terms(texts) | brute_terms(texts)
+    assert want >= {"reach", "token"} and "again" not in want
+    got = {x.value.lower() for row in privacy.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for x in row.term}
+    assert got == want
+
+
+def test_a_directory_in_versions_is_one_pair(spark, monkeypatch):
+    names = ["".join(chr(97 + (i // 26**k) % 26) for k in range(5)) for i in range(0, 60_000, 97)]
+    page = " ".join(f"{n} {n}@x.org" for n in names)
+    texts = [f"{page} version {chr(97 + i)}" for i in range(4)] + [f"plain text {names[i][::-1]} of no one" for i in range(300)]
+    seen = []
+    monkeypatch.setattr(privacy, "durable", lambda df, name, real=privacy.durable: (lambda out: (seen.append((name, out.count())), out)[1])(real(df, name)))
+    found = privacy.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {len(x.term) for x in found if x.doc_id < 4} == {len(names) + 1}  # and "version"
+    assert dict(seen)["private-pairs"] < 5
+
+
+def test_query_marks_terms(spark):
+    """The registered query finds terms in the given tables: those of plain counting."""
+    from loomline.llm import queries
+
+    rows = queries.op6_private_data(spark, "/root/testdata/sf0.01").collect()
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = brute_kind_terms(texts)
+    assert want and sum(r.n_term for r in rows) >= 10
+    assert {r.doc_id for r in rows if r.n_term} <= {i for i, t in enumerate(texts) if set(re.findall(r"[^\W\d_]+", t.lower())) & want}
+
+
 def test_places_of_many_matches(spark):
     """A text of more matches than one fold takes has the same places as a plain search."""
     text = "é " + "me@x.org 漢 1.2.3.4, " * 900
