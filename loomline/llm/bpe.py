@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomline.llm.textblocks import utf8
 from loomline.llm.tokens import PIECE, PLAIN, SYNC, byte_letters
 
-MAX_UNITS, MAX_UNIT = 400_000, 64  # encodings that a worker remembers, and the characters of the longest one; all are forgotten beyond
+MAX_UNITS, MAX_UNIT = 500_000, 64  # encodings of each of the two generations that a worker remembers, and the characters of the longest one
 ROWS = 256  # documents of an Arrow batch of ids
 
 
@@ -40,7 +40,9 @@ class Codec:
         self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
         strings = sorted(self.special, key=len, reverse=True)
         self.split = re.compile(f"({'|'.join(map(re.escape, strings))})").split if strings else None
-        self.units: dict[str, bytes] = {}
+        self.four = [i.to_bytes(4, "little") for i in range(max(self.bytes_of) + 1)]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token: the pair of lowest rank, leftmost first, merges until none can.
@@ -79,24 +81,41 @@ class Codec:
                     heappush(queue, m[0] << 32 | h)
         return [s for s in symbol if s >= 0]
 
-    def unit(self, text: str) -> bytes:
-        """The ids of a stretch that no pre-token leaves."""
-        ids = [i for piece in PIECE.findall(text) for i in self.merge(piece.encode("utf-8", "surrogatepass"))]
-        out = np.array(ids, "<u4").tobytes()
+    def known(self, text: str) -> bytes | None:
+        """The remembered ids of a stretch. Of two generations the old one goes when the young one is full, so what keeps coming stays."""
+        ids = self.young.get(text)
+        if ids is None:
+            ids = self.old.get(text)
+            if ids is not None:
+                self.keep(text, ids)
+        return ids
+
+    def keep(self, text: str, ids: bytes) -> bytes:
         if len(text) <= MAX_UNIT:
-            if len(self.units) >= MAX_UNITS:
-                self.units.clear()
-            self.units[text] = out
-        return out
+            if len(self.young) >= MAX_UNITS:
+                self.old, self.young = self.young, {}
+            self.young[text] = ids
+        return ids
+
+    def unit(self, text: str) -> bytes:
+        """The ids of a stretch that no pre-token leaves, which is remembered, as are its pre-tokens."""
+        ids = self.known(text)
+        if ids is None:
+            pieces, four = PIECE.findall(text), self.four
+            if len(pieces) == 1:
+                ids = self.keep(text, b"".join([four[i] for i in self.merge(text.encode("utf-8", "surrogatepass"))]))
+            else:
+                ids = self.keep(text, b"".join([self.unit(p) for p in pieces]))
+        return ids
 
     def plain(self, text: str) -> list[bytes]:
         """The ids of a text without special strings, a stretch each; none spans a place where white space follows another character."""
         if not text:
             return []
         units = SYNC.split(text) if PLAIN.search(text) else [(" " if i else "") + w for i, w in enumerate(text.split(" "))]
-        get, out = self.units.get, []
+        out = []
         for u in units:
-            ids = get(u)
+            ids = self.young.get(u)
             out.append(self.unit(u) if ids is None else ids)
         return out
 
