@@ -47,8 +47,8 @@ def titles_agree(a: Column, b: Column) -> Column:
 
 
 def stems(x: Column, allowed: tuple[str, ...] = ()) -> Column:
-    """Distinct lower-case words of five letters or more, sorted; of those of seven or more a final ing, ed, es or s goes."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z]{5,}"), F.lit(0)))
+    """Distinct lower-case words of five letters or more and runs of two Chinese characters or more, sorted; of words of seven letters or more a final ing, ed, es or s goes."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z]{5,}|[\u4e00-\u9fff]{2,}"), F.lit(0)))
     cut = F.transform(words, lambda w: F.when(F.length(w) >= 7, F.regexp_replace(w, "(ing|ed|es|s)$", "")).otherwise(w))
     return F.array_sort(F.array_except(cut, F.array(*map(F.lit, allowed)).cast("array<string>")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,10 +12,10 @@ def version_states(log: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     A commit is active until a later commit makes it stale or a later revocation revokes it; a draft is superseded by any later row of its key.
     """
-    later = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    after = F.array_distinct(F.collect_list("op").over(later))
-    nxt = F.first(F.when(F.col("op") != "draft", F.col("op")), True).over(later)
-    state = F.when(F.col("op") == "revoke", "revocation").when((F.col("op") == "draft") & (F.size(after) > 0), "superseded").when(F.col("op") == "draft", "draft")
+    rows = Window.partitionBy(key).orderBy(*order)
+    more = F.lead("op").over(rows).isNotNull()
+    nxt = F.first(F.when(F.col("op") != "draft", F.col("op")), True).over(rows.rowsBetween(1, Window.unboundedFollowing))
+    state = F.when(F.col("op") == "revoke", "revocation").when((F.col("op") == "draft") & more, "superseded").when(F.col("op") == "draft", "draft")
     return log.withColumn("state", state.when(nxt == "commit", "stale").when(nxt == "revoke", "revoked").otherwise("active"))
 
 
@@ -43,13 +43,24 @@ def reusable(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(held, ["observation", "contract"], "left").withColumn("reuse", F.col("_held").isNotNull()).drop("_held")
 
 
-def suite_specs(spark: SparkSession, single: int = 96, paired: int = 24, compound: int = 24, seed: str = "suite-1") -> DataFrame:
-    """Specifications of a truth suite: single, paired and compound cases, their parameters drawn by md5 of seed and number."""
-    rows = spark.range(single + paired + compound)
+def suite_specs(sources: DataFrame, key: str, single: int = 96, paired: int = 24, compound: int = 24, operations: int = 12, seed: str = "suite-1") -> DataFrame:
+    """A truth suite for each recording (``key``, hi): single, paired and compound cases inside [0, hi], drawn by md5 of seed, recording and number.
+
+    A paired case comes twice at one place, with its operation and without; a compound one has a second operation, never the same. Rows: key, id, kind, variant, operation, second, s, e.
+    Draws follow the hash, so a rerun, or a suite with more cases of the last kind, gives the same ones again.
+    """
+    rows = sources.where("hi > 0").select(key, "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(single + paired + compound - 1).cast("long"))).alias("id"))
     kind = F.when(F.col("id") < single, "single").when(F.col("id") < single + paired, "paired").otherwise("compound")
-    mark = F.md5(F.concat_ws("/", F.lit(seed), F.col("id").cast("string")))
+    mark = F.md5(F.concat_ws("/", F.lit(seed), F.col(key).cast("string"), F.col("id").cast("string")))
     draw = lambda at, n: F.conv(F.substring(mark, at, 6), 16, 10).cast("long") % n
-    return rows.select("id", kind.alias("kind"), draw(1, 12).alias("operation"), (draw(7, 400) + 100).alias("start_cs"), (draw(13, 150) + 50).alias("length_cs"))
+    length = 1 + draw(1, F.greatest(F.lit(1), F.floor(F.col("hi") / 10)))
+    start = draw(7, F.greatest(F.lit(1), F.col("hi") - length))
+    first = draw(13, F.lit(operations))
+    second = F.when(kind == "compound", (first + 1 + draw(19, F.lit(operations - 1))) % operations)
+    cases = rows.select(key, "id", kind.alias("kind"), first.alias("operation"), second.alias("second"), start.alias("s"), F.least(start + length, F.col("hi")).alias("e"))
+    variants = F.when(F.col("kind") == "paired", F.array(F.lit("with"), F.lit("without"))).otherwise(F.array(F.lit("with")))
+    out = cases.withColumn("variant", F.explode(variants))
+    return out.withColumn("operation", F.when(F.col("variant") == "with", F.col("operation")))
 
 
 def rhythm_grammar(sections: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:

@@ -126,16 +126,20 @@ def cut_plan(beats: DataFrame, keys: list[str], hi: int, least: int, most: int)
 def evidence_window(shots: DataFrame, keys: list[str], wanted: DataFrame, budget: int) -> DataFrame:
     """The run of consecutive shots (idx, length, text) within ``budget`` that shares most shingles a shot with the wanted text (V9).
 
-    One shot alone may exceed the budget. Ties go to the longer run, then to the earlier start, then to the shorter one. Runs are found by a
-    join of each start with the ends that its running sum allows, inside one key.
+    One shot alone may exceed the budget. Ties go to the longer run, then to the earlier start, then to the shorter one. A run's end
+    lies within ``budget`` of its start in the running sum, so starts meet ends in the same or the next stretch of that length, not in the whole key.
     """
     query = wanted.select(*keys, mixed_shingles(F.col("text")).alias("_q"))
     order = Window.partitionBy(*keys).orderBy("idx")
     hits = F.size(F.array_intersect(mixed_shingles(F.col("text")), F.col("_q"))).cast("long")
     rows = shots.join(query, keys).select(*keys, "idx", "length", hits.alias("hits"), F.sum("length").over(order).alias("sum"), F.sum(hits).over(order).alias("sum_hits"))
-    a = rows.select(*keys, F.col("idx").alias("first"), (F.col("sum") - F.col("length")).alias("lo"), (F.col("sum_hits") - F.col("hits")).alias("lo_hits"))
-    b = rows.select(*keys, F.col("idx").alias("last"), "sum", "sum_hits")
-    runs = a.join(b, keys).where((F.col("last") >= F.col("first")) & ((F.col("last") == F.col("first")) | (F.col("sum") - F.col("lo") <= budget)))
+    lo, lo_hits = F.col("sum") - F.col("length"), F.col("sum_hits") - F.col("hits")
+    alone = rows.select(*keys, F.col("idx").alias("first"), F.col("idx").alias("last"), lo.alias("lo"), lo_hits.alias("lo_hits"), "sum", "sum_hits")
+    at = F.floor(lo / budget)
+    a = rows.select(*keys, F.col("idx").alias("first"), lo.alias("lo"), lo_hits.alias("lo_hits"), F.explode(F.array(at, at + 1)).alias("_at"))
+    b = rows.select(*keys, F.col("idx").alias("last"), "sum", "sum_hits", F.floor(F.col("sum") / budget).alias("_at"))
+    longer = a.join(b, [*keys, "_at"]).where((F.col("last") > F.col("first")) & (F.col("sum") - F.col("lo") <= budget))
+    runs = alone.unionByName(longer.drop("_at"))
     score = (F.col("sum_hits") - F.col("lo_hits")) / (F.col("last") - F.col("first") + 1)
     best = runs.groupBy(*keys).agg(F.min(F.struct((-score).alias("k"), (-F.least(F.col("sum") - F.col("lo"), F.lit(budget))).alias("l"), "first", "last")).alias("b"))
     return best.select(*keys, "b.first", "b.last", F.round(-F.col("b.k"), 6).alias("score"))
@@ -148,22 +152,43 @@ def candidate_plans(moments: DataFrame, keys: list[str], phases: DataFrame) -> D
     asked = moments.join(phases, ["section", "phase"], "left_semi")
     picks = None
     for name, order in orders.items():
-        part = asked.groupBy(*keys, "section", "phase").agg(F.min_by(F.struct("id", "s", "e"), order).alias("m")).select(*keys, F.lit(name).alias("strategy"), "section", "phase", "m.*")
+        part = asked.groupBy(*keys, "section", "phase").agg(F.min_by(F.struct("id", "s", "e", "take"), order).alias("m")).select(*keys, F.lit(name).alias("strategy"), "section", "phase", "m.*")
         picks = part if picks is None else picks.unionByName(part)
-    counts = picks.groupBy(*keys, "strategy").agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(phases.agg(F.count(F.lit(1)).alias("_all"))))
+    counts = picks.groupBy(*keys, "strategy").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(phases.count()))
     return picks.join(counts.where("_n = _all").drop("_n", "_all"), [*keys, "strategy"])
 
 
-def select_plan(plans: DataFrame, keys: list[str], unit: int, low: int, high: int) -> DataFrame:
-    """The best legal plan of a key: total length in [low, high], then 2 x variety - overlap - 1.5 x uneven sections (V12); the first by name on ties."""
-    order = Window.partitionBy(*keys, "strategy", "section").orderBy("s", "id")
-    rows = plans.withColumn("over", F.greatest(F.lit(0), F.lag("e").over(order) - F.col("s")))
-    sections = rows.groupBy(*keys, "strategy", "section").agg(F.sum(F.col("e") - F.col("s")).alias("span"), F.sum("over").alias("over"), F.count(F.lit(1)).alias("n"))
-    whole = sections.groupBy(*keys, "strategy").agg(F.sum("span").alias("total"), F.sum("over").alias("over"), F.sum("n").alias("n"), F.max("span").alias("widest"), F.count(F.lit(1)).alias("parts"))
-    uneven = F.col("widest") / F.greatest(F.col("total"), F.lit(1)) - 1.0 / F.col("parts")
-    score = F.least(F.col("n"), F.lit(12)) / 12.0 * 2.0 - F.coalesce("over", F.lit(0)) / float(unit) - 1.5 * uneven
-    legal = whole.where((F.col("total") >= low) & (F.col("total") <= high)).withColumn("score", F.round(score, 4))
-    return legal.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("k"), "strategy")).alias("b")).select(*keys, F.col("b.strategy").alias("strategy"), (-F.col("b.k")).alias("score"))
+STRATEGIES = ("shortest", "longest", "earliest")
+
+
+def plan_scores(plans: DataFrame, keys: list[str], shape: DataFrame, unit: int, low: int, high: int, slack: float = 0.05) -> DataFrame:
+    """Problems and score of every plan of ``candidate_plans`` with a ``take`` a moment.
+
+    ``shape``: (section, ratio, least, most), the sections' shares of the whole as the reference has them. A plan must last [``low``, ``high``], each section keep its
+    range within ``slack``, and no two moments of a take overlap, anywhere in the plan. The score is 2 x variety (moments, up to 12, of 12) - overlap inside sections in
+    ``unit`` - 1.5 x the sum of how far shares are from the given ratios.
+    """
+    section = Window.partitionBy(*keys, "strategy", "section").orderBy("s", "id")
+    take = Window.partitionBy(*keys, "strategy", "take").orderBy("s", "e")
+    rows = plans.withColumns({"over": F.greatest(F.lit(0), F.lag("e").over(section) - F.col("s")), "clash": F.coalesce(F.lead("s").over(take) < F.col("e"), F.lit(False))})
+    sections = rows.groupBy(*keys, "strategy", "section").agg(F.sum(F.col("e") - F.col("s")).alias("span"), F.sum("over").alias("over"), F.count(F.lit(1)).alias("n"), F.bool_or("clash").alias("clash"))
+    total = F.sum("span").over(Window.partitionBy(*keys, "strategy"))
+    shares = sections.withColumn("total", total).join(shape, "section", "left").withColumn("share", F.col("span") / F.greatest(F.col("total"), F.lit(1)))
+    outside = ~F.col("share").between(F.col("least") - slack, F.col("most") + slack)
+    whole = shares.groupBy(*keys, "strategy").agg(
+        F.first("total").alias("total"), F.sum(F.coalesce("over", F.lit(0))).alias("over"), F.sum("n").alias("n"), F.bool_or("clash").alias("clash"),
+        F.bool_or(F.coalesce(outside, F.lit(False))).alias("outside"), F.sum(F.abs(F.col("share") - F.col("ratio"))).alias("error"),
+    )
+    problems = F.array_compact(F.array(F.when(~F.col("total").between(low, high), "length"), F.when(F.col("outside"), "section budget"), F.when(F.col("clash"), "overlap in a take")))
+    score = F.least(F.col("n"), F.lit(12)) / 12.0 * 2.0 - F.col("over") / float(unit) - 1.5 * F.coalesce("error", F.lit(0.0))
+    return whole.select(*keys, "strategy", F.concat_ws(",", problems).alias("problems"), F.round(score, 4).alias("score"))
+
+
+def select_plan(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """The best plan of a key without a problem; of equal ones the first strategy (V12). A key without a legal plan has no row."""
+    turn = F.array_position(F.array(*map(F.lit, STRATEGIES)), F.col("strategy"))
+    legal = scored.where("problems = ''")
+    return legal.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("k"), turn.alias("turn"), "strategy")).alias("b")).select(*keys, F.col("b.strategy").alias("strategy"), (-F.col("b.k")).alias("score"))
 
 
 def montage(units: DataFrame, keys: list[str], roles: list[str], fill: int, preferred: int, least: int, most: int) -> DataFrame:
@@ -195,12 +220,13 @@ def partition_phases(units: DataFrame, keys: list[str], required: Column, low: i
     return got.withColumn("complete", F.col("phases") == required).withColumn("phases", F.concat_ws(">", "phases"))
 
 
-def plan_windows(candidates: DataFrame, activity: DataFrame, keys: list[str], pad: int, gap: int, longest: int, cap: int, controls: int, apart: int, hi: int) -> DataFrame:
+def plan_windows(candidates: DataFrame, activity: DataFrame, keys: list[str], pad: int, gap: int, longest: int, cap: int, controls: int, apart: int, between: int, hi: int) -> DataFrame:
     """Windows to watch around candidates (id, t, types, confidence), and quiet ones for control from ``activity`` (t, act).
 
     Candidates in time order join the last window if they start less than ``gap`` after it and it stays within ``longest``. Of more than ``cap``
     windows, those that add most types not yet covered (then the surest, then the earliest) come first, then the surest. The quietest points
-    ``apart`` or more from every window, control ones included, become ``controls`` more. Windows are clipped to [0, hi].
+    ``apart`` or more from every window, control ones included, become ``controls`` more; a point before the end of the window taken last
+    also has to be ``between`` from the middle of every control window. Windows are clipped to [0, hi]. A key is one recording, whose windows are one list.
     """
     spans = candidates.withColumns({"s": F.col("t") - pad, "e": F.col("t") + pad})
     runs = islands(spans, keys, gap, strict=True, out="_run")
@@ -233,9 +259,11 @@ def plan_windows(candidates: DataFrame, activity: DataFrame, keys: list[str], pa
 
     def control(acc: Column, t: Column) -> Column:
         near = F.exists(acc, lambda x: (x["s"] - apart <= t) & (t <= x["e"] + apart))
-        fresh = F.struct((t - pad).alias("s"), (t + pad).alias("e"), F.array().cast("array<string>").alias("types"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("n"))
-        return F.when(near | (F.size(F.filter(acc, lambda x: x["n"] == 0)) >= controls), acc).otherwise(F.concat(acc, F.array(fresh)))
+        beside = (t < F.get(acc, F.size(acc) - 1)["e"]) & F.exists(acc, lambda x: (x["n"] == 0) & (F.abs(2 * t - x["s"] - x["e"]) < 2 * between))
+        fresh = F.struct(F.greatest(t - pad, F.lit(0)).alias("s"), F.least(t + pad, F.lit(hi)).alias("e"), F.array().cast("array<string>").alias("types"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("n"))
+        return F.when(near | beside | (F.size(F.filter(acc, lambda x: x["n"] == 0)) >= controls), acc).otherwise(F.concat(acc, F.array(fresh)))
 
-    whole = chosen.join(quiet, keys, "left").select(*keys, F.aggregate(F.coalesce("_t", F.array().cast("array<bigint>")), F.col("w"), control).alias("w"))
+    inside = F.transform("w", lambda x: F.struct(F.greatest(x["s"], F.lit(0)).alias("s"), F.least(x["e"], F.lit(hi)).alias("e"), x["types"].alias("types"), x["confidence"].alias("confidence"), x["n"].alias("n")))
+    whole = chosen.withColumn("w", inside).join(quiet, keys, "left").select(*keys, F.aggregate(F.coalesce("_t", F.array().cast("array<bigint>")), F.col("w"), control).alias("w"))
     rows = whole.select(*keys, F.explode("w").alias("w")).select(*keys, "w.*")
-    return rows.withColumns({"s": F.greatest(F.col("s"), F.lit(0)), "e": F.least(F.col("e"), F.lit(hi)), "control": F.col("n") == 0})
+    return rows.withColumn("control", F.col("n") == 0)

@@ -70,13 +70,18 @@ def three_state(low: Column, high: Column, threshold: float, false_merges: Colum
     return F.when((false_merges > 0) | (high < threshold), "FAIL").when(low >= threshold, "PASS").otherwise("INSUFFICIENT_EVIDENCE")
 
 
-def bootstrap_interval(rows: DataFrame, replicates: int = 2000) -> DataFrame:
+REVIEWED = 100_000  # rows of a reviewed sample at most
+
+
+def bootstrap_interval(rows: DataFrame, replicates: int = 2000, most: int = REVIEWED) -> DataFrame:
     """Interval of a weighted ratio by resampling within strata, widened to Wilson's.
 
-    ``rows``: a reviewed sample (id, stratum, weight, num, den). Every replicate draws as many rows of each stratum, with
+    ``rows``: a reviewed sample (id, stratum, weight, num, den), as ``stratified_sample`` draws it, of ``most`` rows at most, else it fails. Every replicate draws as many rows of each stratum, with
     replacement, as it has: draw j of replicate b takes the row at md5(b/stratum/j) modulo the stratum's size. Bounds are the sorted ratios at
     .025 n - 1 and .975 n; Wilson's interval at Kish's size keeps an all-success sample from claiming certainty. The work is rows x replicates.
     """
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: bootstrap a stratified sample")
     place = Window.partitionBy("stratum").orderBy("id")
     sized = rows.withColumn("pos", (F.row_number().over(place) - 1).cast("long")).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("stratum")))
     sized = durable(sized, "bootstrap")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.tables import running
+from loomline.operators.tables import largest_key, running
 
 LONG = 64
 
@@ -84,8 +84,9 @@ def islands(df: DataFrame, keys: list[str], gap: int = 0, strict: bool = False,
     order = ["s", "e", "id"]
     reach = F.col("_reach") + gap
     apart = (F.col("s") >= reach) if strict else (F.col("s") > reach)
-    marked = running(df, keys, order, {"_reach": ("max", F.col("e"))}).withColumn("_new", F.coalesce(apart, F.lit(True)).cast("long"))
-    summed = running(marked, keys, order, {"_before": ("sum", F.col("_new"))})
+    most = largest_key(df, keys)
+    marked = running(df, keys, order, {"_reach": ("max", F.col("e"))}, most=most).withColumn("_new", F.coalesce(apart, F.lit(True)).cast("long"))
+    summed = running(marked, keys, order, {"_before": ("sum", F.col("_new"))}, most=most)
     return summed.withColumn(out, F.coalesce("_before", F.lit(0)) + F.col("_new")).drop("_reach", "_new", "_before")
 
 

@@ -39,38 +39,87 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(edges without their chains, chains, rings): nodes of one edge in and one out are joined to chains (node, first, last), whose edge first -> last takes their place; rings are (node, part).
+
+    Each round doubles how far a node of a chain sees, so that a chain takes as many rounds as its length has digits; what still sees a chain's
+    node after them lies on a ring of such nodes, whose part is the least node seen. None if there is no such node.
+    """
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.first("dst").alias("last")).where("n = 1").drop("n")
+    back = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.first("src").alias("first")).where("n = 1").drop("n")
+    links = durable(out.join(back, "node").withColumn("low", F.col("node")), "cycle-links")
+    n = links.count()
+    if not n:
+        return None
+    inner = links.select("node")
+    for _ in range(n.bit_length()):
+        ahead = links.select(F.col("node").alias("last"), F.col("last").alias("next"), F.col("low").alias("next_low"))
+        behind = links.select(F.col("node").alias("first"), F.col("first").alias("before"))
+        jumped = links.join(ahead, "last", "left").join(behind, "first", "left")
+        links = durable(jumped.select("node", F.coalesce("before", "first").alias("first"), F.coalesce("next", "last").alias("last"), F.least("low", "next_low").alias("low")), "cycle-links")
+        if links.join(inner.toDF("last"), "last", "left_semi").isEmpty():
+            break
+    rings = links.join(inner.toDF("last"), "last", "left_semi").select("node", F.col("low").alias("part"))
+    chains = links.join(inner.toDF("last"), "last", "left_anti").select("node", "first", "last")
+    rest = edges.join(inner.toDF("src"), "src", "left_anti").join(inner.toDF("dst"), "dst", "left_anti").select("src", "dst")
+    kept = rest.unionByName(chains.where("first <> last").select(F.col("first").alias("src"), F.col("last").alias("dst"))).distinct()
+    return durable(kept, "cycle-edges"), durable(chains, "cycle-chains"), durable(rings, "cycle-rings")
+
+
+def _peel(edges: DataFrame, steps: int) -> DataFrame:
+    """Without the edges from nodes that none leads to and to nodes that lead to none, ``steps`` times."""
+    for _ in range(steps):
+        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    return durable(edges, "cycle-edges")
+
+
 def on_cycle(edges: DataFrame) -> DataFrame:
     """Nodes that reach themselves: those of strongly connected parts of two nodes or more, and of loops.
 
-    Nodes without an edge in or out leave first. Then every node takes the largest name that reaches it; what a name's
-    own node is reached from among those of its name is a strongly connected part, which is taken away. Each round is a table.
+    Chains become one edge (``_contract``), and nodes without an edge in or out leave. Then every node takes the largest name that reaches it; what a name's
+    own node is reached from among those of its name is a strongly connected part, which is taken away. A chain lies on a cycle if its ends are one node or in one part.
+    Each table covers several steps, so that long chains and rings take few.
     """
-    loops = edges.where("src = dst").select(F.col("src").alias("node"))
-    left, found = durable(edges.where("src <> dst").select("src", "dst").distinct(), "cycle-edges"), [loops]
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    left, chains = durable(edges.where("src <> dst").select("src", "dst").distinct(), "cycle-edges"), []
+    parts = [loops.withColumn("part", F.col("node")).limit(0)]
     while not left.isEmpty():
-        n, before = left.count(), -1
-        while n and n != before:
-            inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            left = durable(inner.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cycle-edges")
-            n, before = left.count(), n
-        if not n:
-            break
+        n = left.count()
+        while (found := _contract(left)) is not None:
+            left = found[0]
+            chains.append(found[1])
+            parts.append(found[2])
+        left = _peel(left, 2)
+        after = left.count()
+        if not after or after < n:
+            continue
         names = durable(left.select(F.col("src").alias("node")).distinct().withColumn("name", F.col("node")), "cycle-names")
         while True:
-            moved = left.join(names, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "name")
-            after = durable(names.unionByName(moved).groupBy("node").agg(F.max("name").alias("name")), "cycle-names")
-            if after.exceptAll(names).isEmpty():
+            step = names
+            for _ in range(HOPS):
+                moved = left.join(step, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "name")
+                step = step.unionByName(moved).groupBy("node").agg(F.max("name").alias("name"))
+            reached = durable(step, "cycle-names")
+            same = reached.join(names, ["node", "name"], "left_anti").isEmpty()
+            names = reached
+            if same:
                 break
-            names = after
         inside = left.join(names.toDF("src", "name"), "src").join(names.toDF("dst", "to_name"), "dst").where("name = to_name").select("src", "dst")
         back = closure(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), names.where("node = name").select("node"))
-        back = durable(back.select("seed", "node"), "cycle-parts")
-        large = back.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-        found.append(back.join(large, "seed", "left_semi").select("node"))
+        back = durable(back.select(F.col("seed").alias("part"), "node"), "cycle-parts")
+        large = back.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
+        parts.append(back.join(large, "part", "left_semi").select("node", "part"))
         gone = back.select("node").distinct()
         kept = left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst")
         left = durable(kept, "cycle-edges")
-    return reduce(DataFrame.unionByName, found).distinct()
+    known = durable(reduce(DataFrame.unionByName, parts), "cycle-known")
+    for chain in reversed(chains):
+        ends = chain.join(known.toDF("first", "a"), "first", "left").join(known.toDF("last", "b"), "last", "left").where("first = last OR a = b")
+        node = ends.select("node", F.coalesce("a", "first").alias("part"))
+        end = ends.where("a IS NULL").select(F.col("first").alias("node"), F.col("first").alias("part")).distinct()
+        known = durable(known.unionByName(node).unionByName(end), "cycle-known")
+    return known.select("node").unionByName(loops).distinct()
 
 
 def effective_status(versions: DataFrame, deps: DataFrame) -> DataFrame:
@@ -82,13 +131,6 @@ def effective_status(versions: DataFrame, deps: DataFrame) -> DataFrame:
     return joined.withColumn("effective", status).drop("tainted")
 
 
-def claim_conflicts(claims: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of active claims on the same thing with opposite polarity (the first id smaller)."""
-    a = claims.where("active").select(*keys, F.col("id").alias("id_a"), F.col("polarity").alias("pol_a"))
-    b = claims.where("active").select(*keys, F.col("id").alias("id_b"), F.col("polarity").alias("pol_b"))
-    return a.join(b, keys).where("pol_a <> pol_b AND id_a < id_b").select(*keys, "id_a", "id_b")
-
-
 def conflict_counts(claims: DataFrame, keys: list[str]) -> DataFrame:
     """How many pairs of active claims of each thing contradict each other, and the first claim in one: from counts by polarity, not pairs."""
     by = claims.where("active").groupBy(*keys, "polarity").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))

@@ -44,17 +44,22 @@ def numbered(df: DataFrame, order: list[Column], out: str = "pos") -> DataFrame:
     return tiles.join(F.broadcast(counts), "tile").withColumn(out, F.col("_start") + F.col("tile_row")).drop("tile", "tile_row", "_start")
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], hot: int | None = None) -> DataFrame:
+def largest_key(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the key that has most."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], hot: int | None = None, most: int | None = None) -> DataFrame:
     """Add running values over the earlier rows of each key in ``order``, or over this and the later ones.
 
     ``values``: name -> (kind, value), kind one of ``max`` and ``sum`` (rows before this one), ``upto`` (the maximum up to this
-    one) and ``after`` (the minimum from this one on). If no key has more than ``hot`` rows, each key is one window. Else rows are cut into ranges of
+    one) and ``after`` (the minimum from this one on). If no key has more than ``hot`` rows, each key is one window (``most`` is that number, if the caller knows it). Else rows are cut into ranges of
     (keys, order), so that a hot key is many windows, and what a range hands to the next is one row for each key that
     goes on in it: at most one a range, so it is broadcast.
     """
     if hot is None:
         hot = HOT
-    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = largest_key(df, keys) if most is None else most
     use = {"max": F.max, "sum": F.sum, "upto": F.max, "after": F.min}
     rows = {"max": (Window.unboundedPreceding, -1), "sum": (Window.unboundedPreceding, -1), "upto": (Window.unboundedPreceding, 0), "after": (0, Window.unboundedFollowing)}
     if most <= hot:

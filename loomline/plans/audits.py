@@ -46,11 +46,6 @@ def resumable_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.pending(table(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
-def suite_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The truth suite's 144 specifications."""
-    return au.suite_specs(spark)
-
-
 def rhythm_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's weeks as sections: from its first event to the next week's, clicks as cuts, days as units."""
     rows = event_intervals(spark, sf_dir).withColumn("section", F.floor(F.col("s") / WEEK))
@@ -155,10 +150,15 @@ def scaled_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_intervals(spark, sf_dir).select("id", F.floor(F.col("s") * 2 / 3).alias("s"), F.floor(F.col("e") * 2 / 3).alias("e"))
 
 
+def suite_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The truth suite of each user's recording."""
+    return au.suite_specs(event_intervals(spark, sf_dir).groupBy("key").agg(F.max("e").alias("hi")), "key")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        version_states, ledger_states, catalogue_faults, reusable_answers, resumable_tasks, suite_specs, rhythm_grammar, pilot_shots, next_spans, goal_plans, nested_intervals,
+        version_states, suite_specs, ledger_states, catalogue_faults, reusable_answers, resumable_tasks, rhythm_grammar, pilot_shots, next_spans, goal_plans, nested_intervals,
         scope_relations, rule_drafts, pilot_windows, recall_at_five, story_faults, box_overlaps, series_stats, shared_parts, clean_values, scaled_intervals,
     )
 }
@@ -166,6 +166,11 @@ QUERIES = {
 _IVL = f"WITH {EVENT_INTERVALS_SQL}"
 
 ORACLE_SQL = {
+    "suite_specs": f"""WITH {EVENT_INTERVALS_SQL}, b AS (SELECT key, max(e) AS hi FROM ivl GROUP BY key), m AS (SELECT key, hi, id, md5('suite-1/' || key || '/' || id) AS m FROM b, range(144) t(id) WHERE hi > 0),
+d AS (SELECT key, hi, id, CAST('0x' || substring(m, 1, 6) AS BIGINT) AS d1, CAST('0x' || substring(m, 7, 6) AS BIGINT) AS d2, CAST('0x' || substring(m, 13, 6) AS BIGINT) AS d3, CAST('0x' || substring(m, 19, 6) AS BIGINT) AS d4 FROM m),
+l AS (SELECT *, 1 + d1 % greatest(1, hi // 10) AS len, CASE WHEN id < 96 THEN 'single' WHEN id < 120 THEN 'paired' ELSE 'compound' END AS kind FROM d), s AS (SELECT *, d2 % greatest(1, hi - len) AS s FROM l),
+v AS (SELECT *, unnest(CASE WHEN kind = 'paired' THEN ['with', 'without'] ELSE ['with'] END) AS variant FROM s)
+SELECT key, id, kind, CASE WHEN variant = 'with' THEN d3 % 12 END AS operation, CASE WHEN kind = 'compound' THEN (d3 % 12 + 1 + d4 % 11) % 12 END AS second, s, least(s + len, hi) AS e, variant FROM v""",
     "version_states": """WITH l AS (SELECT *, CASE o_orderstatus WHEN 'O' THEN 'draft' WHEN 'F' THEN 'commit' ELSE 'revoke' END AS op, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
 x AS (SELECT a.o_orderkey, a.op, count(b.n) AS later, arg_min(b.op, b.n) FILTER (b.op <> 'draft') AS nxt FROM l a LEFT JOIN l b ON b.o_custkey = a.o_custkey AND b.n > a.n GROUP BY 1, 2)
 SELECT o_orderkey, CASE WHEN op = 'revoke' THEN 'revocation' WHEN op = 'draft' AND later > 0 THEN 'superseded' WHEN op = 'draft' THEN 'draft' WHEN nxt = 'commit' THEN 'stale' WHEN nxt = 'revoke' THEN 'revoked' ELSE 'active' END AS state FROM x""",
@@ -176,8 +181,6 @@ SELECT o_orderkey AS id, CASE WHEN NOT active THEN 'inactive' WHEN sides > 1 THE
 SELECT coalesce(array_to_string(list_filter([CASE WHEN c > 1 THEN 'repeated' END, CASE WHEN bad THEN 'contradicts' END, CASE WHEN NOT starts_with(id, 'brand#1') THEN 'namespace' END], lambda x: x IS NOT NULL), ','), '') AS faults, count(*) AS n FROM n GROUP BY 1""",
     "reusable_answers": f"""{_IVL} SELECT id, EXISTS (SELECT 1 FROM ivl b WHERE b.kind = 'view' AND (b.e - b.s) // {MINUTE} = (a.e - a.s) // {MINUTE} AND b.key % 2 = a.key % 2) AS reuse FROM ivl a WHERE kind = 'purchase'""",
     "resumable_tasks": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')",
-    "suite_specs": """WITH r AS (SELECT id, md5('suite-1/' || id) AS m FROM range(144) t(id)) SELECT id, CASE WHEN id < 96 THEN 'single' WHEN id < 120 THEN 'paired' ELSE 'compound' END AS kind,
-CAST('0x' || substring(m, 1, 6) AS BIGINT) % 12 AS operation, CAST('0x' || substring(m, 7, 6) AS BIGINT) % 400 + 100 AS start_cs, CAST('0x' || substring(m, 13, 6) AS BIGINT) % 150 + 50 AS length_cs FROM r""",
     "rhythm_grammar": f"""{_IVL}, x AS (SELECT *, CAST(floor(s / {WEEK}) AS BIGINT) AS section FROM ivl), g AS (SELECT key, section, min(s) AS s, max(s) AS e FROM x GROUP BY 1, 2 HAVING max(s) > min(s)),
 c AS (SELECT g.key, g.section, count(x.id) AS cuts FROM g LEFT JOIN x ON x.key = g.key AND x.section = g.section AND x.kind = 'click' AND x.s > g.s AND x.s < g.e GROUP BY 1, 2),
 r AS (SELECT key, section, (e - s) / sum(e - s) OVER (PARTITION BY key) AS ratio, cuts, cuts / ((e - s) / {24 * HOUR}::DOUBLE) AS rate FROM g JOIN c USING (key, section))

@@ -94,11 +94,25 @@ def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.evidence_window(shots, ["conv_id"], turns.where("turn = 0").select("conv_id", "text"), 400)
 
 
+#: Sections of the month and their shares of a plan: ratio, least, most.
+SHAPE = ((0, 0.3, 0.1, 0.45), (1, 0.25, 0.1, 0.4), (2, 0.2, 0.05, 0.35), (3, 0.15, 0.0, 0.3), (4, 0.1, 0.0, 0.3))
+
+
+def _plan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ivl(spark, sf_dir).withColumns({"section": F.least(F.lit(4), F.floor(F.col("s") * 5 / MONTH)), "phase": F.col("kind"), "take": F.col("id") % 2})
+    shape = spark.createDataFrame(SHAPE, "section long, ratio double, least double, most double")
+    phases = shape.select("section", F.explode(F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))).alias("phase"))
+    return ed.plan_scores(ed.candidate_plans(rows, ["key"], phases), ["key"], shape, HOUR, 2 * HOUR, 60 * HOUR)
+
+
+def edit_plan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and problems of each plan of each user: one event of each kind for each fifth of the month."""
+    return _plan_scores(spark, sf_dir)
+
+
 def edit_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best legal plan of each user: one event of each kind for each week."""
-    rows = _ivl(spark, sf_dir).withColumns({"section": F.floor(F.col("s") / (7 * DAY)), "phase": F.col("kind")})
-    phases = spark.range(4).select(F.col("id").alias("section"), F.explode(F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))).alias("phase"))
-    return ed.select_plan(ed.candidate_plans(rows, ["key"], phases), ["key"], HOUR, 2 * HOUR, 24 * HOUR)
+    """Best legal plan of each user."""
+    return ed.select_plan(_plan_scores(spark, sf_dir), ["key"])
 
 
 def role_montage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +133,7 @@ def watch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ivl(spark, sf_dir)
     seen = rows.where("kind <> 'view'").select("key", "id", F.col("s").alias("t"), F.array("kind").alias("types"), (F.col("id") % 100 / 100.0).alias("confidence"))
     quiet = rows.where("kind = 'view'").select("key", F.col("s").alias("t"), (F.col("e") - F.col("s")).alias("act"))
-    out = ed.plan_windows(seen, quiet, ["key"], 30 * MINUTE, 25 * MINUTE, 125 * MINUTE, 12, 3, HOUR, MONTH)
+    out = ed.plan_windows(seen, quiet, ["key"], 30 * MINUTE, 25 * MINUTE, 125 * MINUTE, 12, 3, HOUR, 2 * HOUR, MONTH)
     return out.select("key", "s", "e", F.concat_ws(",", F.array_sort("types")).alias("types"), "confidence", "n", "control")
 
 
@@ -127,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         watch_windows, merge_compatible, merge_gap_questions, role_units, split_shots, tiled_ends, flat_timeline, fitted_intervals, issue_cuts, covered_claims, beat_cuts,
-        evidence_windows, edit_plans, role_montage, phase_partitions,
+        evidence_windows, edit_plans, edit_plan_problems, role_montage, phase_partitions,
     )
 }
 
@@ -151,6 +165,18 @@ def _shingles_sql(x: str) -> str:
     return f"list_distinct(list_concat(CASE WHEN len({han}) < 2 THEN []::VARCHAR[] ELSE list_transform(range(1, len({han})), lambda i: substring({han}, i, 2)) END, regexp_extract_all(lower({x}), '[a-z0-9]+')))"
 
 
+_PLANS_SQL = f"""{_IVL}, shape(section, ratio, lo, hi) AS (VALUES {', '.join(str(x) for x in SHAPE)}), m AS (SELECT *, least(4, s * 5 // {MONTH}) AS section, id % 2 AS take FROM ivl WHERE kind IN ('view', 'click', 'purchase')),
+p AS (SELECT key, 'shortest' AS strategy, section, id, s, e, take FROM m QUALIFY row_number() OVER (PARTITION BY key, section, kind ORDER BY e - s, s, id) = 1
+UNION ALL SELECT key, 'longest', section, id, s, e, take FROM m QUALIFY row_number() OVER (PARTITION BY key, section, kind ORDER BY e - s DESC, s, id) = 1
+UNION ALL SELECT key, 'earliest', section, id, s, e, take FROM m QUALIFY row_number() OVER (PARTITION BY key, section, kind ORDER BY s, id) = 1),
+o AS (SELECT *, greatest(0, lag(e) OVER (PARTITION BY key, strategy, section ORDER BY s, id) - s) AS over, count(*) OVER (PARTITION BY key, strategy) AS c FROM p),
+t AS (SELECT DISTINCT a.key, a.strategy FROM o a JOIN o b ON a.key = b.key AND a.strategy = b.strategy AND a.take = b.take AND a.id <> b.id AND a.s < b.e AND b.s < a.e),
+x AS (SELECT key, strategy, section, sum(e - s) AS span, coalesce(sum(over), 0) AS over, count(*) AS n FROM o WHERE c = 15 GROUP BY 1, 2, 3),
+w AS (SELECT key, strategy, any_value(total) AS total, sum(over) AS over, sum(n) AS n, bool_or(NOT span / greatest(total, 1) BETWEEN lo - 0.05::DOUBLE AND hi + 0.05::DOUBLE) AS outside, sum(abs(span / greatest(total, 1) - ratio::DOUBLE)) AS error
+ FROM (SELECT *, sum(span) OVER (PARTITION BY key, strategy) AS total FROM x) JOIN shape USING (section) GROUP BY 1, 2),
+z AS (SELECT key, strategy, array_to_string(list_filter([CASE WHEN NOT total BETWEEN {2 * HOUR} AND {60 * HOUR} THEN 'length' END, CASE WHEN outside THEN 'section budget' END, CASE WHEN (key, strategy) IN (SELECT (key, strategy) FROM t) THEN 'overlap in a take' END], lambda q: q IS NOT NULL), ',') AS problems,
+ round(least(n, 12) / 12.0::DOUBLE * 2 - over / {HOUR}::DOUBLE - 1.5::DOUBLE * error, 4) AS score FROM w)"""
+
 ORACLE_SQL = {
     "watch_windows": f"""{_IVL}, l AS (SELECT key, list([{{'s': s - {30 * MINUTE}, 'e': s + {30 * MINUTE}, 'types': [kind], 'confidence': id % 100 / 100.0::DOUBLE, 'n': 1::BIGINT}}] ORDER BY s, id) AS l FROM ivl WHERE kind <> 'view' GROUP BY key),
 f AS (SELECT key, list_sort(list_reduce(l, lambda acc, y: CASE WHEN y[1].s - acc[-1].e < {25 * MINUTE} AND y[1].e - acc[-1].s <= {125 * MINUTE}
@@ -159,11 +185,12 @@ a AS (SELECT key, w, list_distinct(flatten(list_transform(w, lambda x: x.types))
 c AS (SELECT key, w, CASE WHEN len(w) <= 12 THEN []::BIGINT[] ELSE (list_reduce(list_transform(every, lambda z: {{'covered': []::VARCHAR[], 'kept': []::BIGINT[]}}), lambda acc, z: CASE WHEN len(acc.covered) >= len(every) OR len(acc.kept) >= 12 THEN acc ELSE
  list_transform([-list_sort(list_filter(list_transform(w, lambda x, i: {{'new': len(list_filter(x.types, lambda q: NOT list_contains(acc.covered, q))), 'confidence': x.confidence, 'k': -i}}), lambda r: NOT list_contains(acc.kept, -r.k)), 'DESC')[1].k],
  lambda p: {{'covered': list_distinct(list_concat(acc.covered, w[p].types)), 'kept': list_append(acc.kept, p)}})[1] END, {{'covered': []::VARCHAR[], 'kept': []::BIGINT[]}})).kept END AS first FROM a),
-k AS (SELECT key, list_sort(list_transform(list_concat(first, (list_filter(list_transform(list_sort(list_transform(w, lambda x, i: {{'c': -x.confidence, 'i': i}})), lambda r: r.i), lambda i: NOT list_contains(first, i)))[1:12 - len(first)]), lambda i: w[i])) AS w FROM c),
+k AS (SELECT key, list_sort(list_transform(list_concat(first, (list_filter(list_transform(list_sort(list_transform(w, lambda x, i: {{'c': -x.confidence, 'i': i}})), lambda r: r.i), lambda i: NOT list_contains(first, i)))[1:12 - len(first)]), lambda i: {{'s': greatest(w[i].s, 0), 'e': least(w[i].e, {MONTH}), 'types': w[i].types, 'confidence': w[i].confidence, 'n': w[i].n}})) AS w FROM c),
 q AS (SELECT key, list(s ORDER BY e - s, s) AS t FROM ivl WHERE kind = 'view' GROUP BY key),
-z AS (SELECT key, list_reduce(list_transform(coalesce(t, []), lambda v: [{{'s': v - {30 * MINUTE}, 'e': v + {30 * MINUTE}, 'types': []::VARCHAR[], 'confidence': 0.0::DOUBLE, 'n': 0::BIGINT}}]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda x: x.n = 0)) >= 3
- OR len(list_filter(acc, lambda x: x.s - {HOUR} <= y[1].s + {30 * MINUTE} AND y[1].s + {30 * MINUTE} <= x.e + {HOUR})) > 0 THEN acc ELSE list_concat(acc, y) END, w) AS w FROM k LEFT JOIN q USING (key)),
-u AS (SELECT key, unnest(w) AS x FROM z) SELECT key, greatest(x.s, 0) AS s, least(x.e, {MONTH}) AS e, array_to_string(list_sort(x.types), ',') AS types, x.confidence AS confidence, x.n AS n, x.n = 0 AS control FROM u""",
+z AS (SELECT key, list_reduce(list_transform(coalesce(t, []), lambda v: [{{'s': v, 'e': v, 'types': []::VARCHAR[], 'confidence': 0.0::DOUBLE, 'n': 0::BIGINT}}]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda x: x.n = 0)) >= 3
+ OR len(list_filter(acc, lambda x: x.s - {HOUR} <= y[1].s AND y[1].s <= x.e + {HOUR})) > 0 OR (y[1].s < acc[-1].e AND len(list_filter(acc, lambda x: x.n = 0 AND abs(2 * y[1].s - x.s - x.e) < {4 * HOUR})) > 0) THEN acc
+ ELSE list_concat(acc, list_transform(y, lambda x: {{'s': greatest(0, x.s - {30 * MINUTE}), 'e': least({MONTH}, x.s + {30 * MINUTE}), 'types': x.types, 'confidence': x.confidence, 'n': x.n}})) END, w) AS w FROM k LEFT JOIN q USING (key)),
+u AS (SELECT key, unnest(w) AS x FROM z) SELECT key, x.s AS s, x.e AS e, array_to_string(list_sort(x.types), ',') AS types, x.confidence AS confidence, x.n AS n, x.n = 0 AS control FROM u""",
     "merge_compatible": f"""{_merge_sql("id % 2", "[id % 5]", f"y[1].s <= g.e + {20 * MINUTE} AND g.s <= y[1].e + {20 * MINUTE}")}
 SELECT key, g.s AS s, g.e AS e, g.form AS form, g.action AS action, array_to_string(list_sort(g.attrs), ',') AS attrs, g.n AS n FROM u""",
     "merge_gap_questions": f"""{_merge_sql("0::BIGINT", "[]::BIGINT[]", "y[1].s < g.e AND g.s < y[1].e")} SELECT key, g.s AS s, g.e AS e, g.action AS action, g.needed AS needed, g.n AS n FROM u""",
@@ -190,15 +217,8 @@ t AS (SELECT key, CASE WHEN len(p) <= 12 THEN p ELSE list_transform(range(0, 12)
 r AS (SELECT conv_id, turn AS idx, length(text) AS n, len(list_intersect({_shingles_sql("text")}, q)) AS h FROM conversations JOIN q USING (conv_id) WHERE turn > 0),
 w AS (SELECT a.conv_id, a.idx AS first, b.idx AS last, sum(c.n) AS n, sum(c.h) AS h FROM r a JOIN r b ON b.conv_id = a.conv_id AND b.idx >= a.idx JOIN r c ON c.conv_id = a.conv_id AND c.idx BETWEEN a.idx AND b.idx GROUP BY 1, 2, 3)
 SELECT conv_id, first, last, round(h / (last - first + 1), 6) AS score FROM w WHERE first = last OR n <= 400 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY h / (last - first + 1) DESC, least(n, 400) DESC, first, last) = 1""",
-    "edit_plans": f"""{_IVL}, m AS (SELECT *, s // {7 * DAY} AS section FROM ivl WHERE kind IN ('view', 'click', 'purchase') AND s // {7 * DAY} BETWEEN 0 AND 3),
-p AS (SELECT key, 'shortest' AS strategy, section, id, s, e FROM m QUALIFY row_number() OVER (PARTITION BY key, section, kind ORDER BY e - s, s, id) = 1
-UNION ALL SELECT key, 'longest', section, id, s, e FROM m QUALIFY row_number() OVER (PARTITION BY key, section, kind ORDER BY e - s DESC, s, id) = 1
-UNION ALL SELECT key, 'earliest', section, id, s, e FROM m QUALIFY row_number() OVER (PARTITION BY key, section, kind ORDER BY s, id) = 1),
-o AS (SELECT *, greatest(0, lag(e) OVER (PARTITION BY key, strategy, section ORDER BY s, id) - s) AS over, count(*) OVER (PARTITION BY key, strategy) AS c FROM p),
-x AS (SELECT key, strategy, section, sum(e - s) AS span, sum(over) AS over, count(*) AS n FROM o WHERE c = 12 GROUP BY 1, 2, 3),
-w AS (SELECT key, strategy, sum(span) AS total, sum(over) AS over, sum(n) AS n, max(span) AS widest, count(*) AS parts FROM x GROUP BY 1, 2),
-z AS (SELECT key, strategy, round(least(n, 12) / 12.0::DOUBLE * 2 - coalesce(over, 0) / {HOUR}::DOUBLE - 1.5::DOUBLE * (widest / greatest(total, 1) - 1.0::DOUBLE / parts), 4) AS score FROM w WHERE total BETWEEN {2 * HOUR} AND {24 * HOUR})
-SELECT key, strategy, score FROM z QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, strategy) = 1""",
+    "edit_plan_problems": f"{_PLANS_SQL} SELECT key, strategy, problems, score FROM z",
+    "edit_plans": f"""{_PLANS_SQL} SELECT key, strategy, score FROM z WHERE problems = '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, list_position(['shortest', 'longest', 'earliest'], strategy)) = 1""",
     "role_montage": f"""{_IVL}, u AS (SELECT key, id, s, e, kind AS role, CAST(floor((e - s) / {MINUTE}::DOUBLE % 97) AS BIGINT) AS value FROM ivl), k AS (SELECT *, CASE WHEN role IN ('view', 'click', 'purchase') AND row_number() OVER (PARTITION BY key, role ORDER BY value DESC, s, id) = 1 THEN 1 ELSE 0 END AS lead FROM u),
 l AS (SELECT key, list({{'length': e - s, 'roles': [role], 'ids': [id], 'lead': lead}} ORDER BY lead DESC, value DESC, s, id) AS l FROM k GROUP BY key),
 f AS (SELECT key, list_reduce(l, lambda acc, x: CASE WHEN x.lead = 0 AND (len(acc.ids) >= 8 OR acc.length + x.length > {10 * HOUR} OR (acc.length >= {2 * HOUR} AND len(acc.roles) >= 3 AND acc.length + x.length > {6 * HOUR})) THEN acc

@@ -72,9 +72,9 @@ def three_state_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap interval of the share of long texts among good ones, by toxicity, toxic ones weighing more."""
-    rows = _labelled(spark, sf_dir).where("quality = 1")
-    rows = rows.select(F.col("doc_id").alias("id"), F.col("toxic").alias("stratum"), (1 + F.col("toxic")).cast("double").alias("weight"), F.col("pred").alias("num"), F.lit(1).alias("den"))
+    """Bootstrap interval of the share of long texts among good ones, over the stratified sample of 40 of each label with its design weights."""
+    rows = _sampled(spark, sf_dir).where("quality = 1")
+    rows = rows.select(F.col("doc_id").alias("id"), F.col("toxic").alias("stratum"), F.col("weight").cast("double").alias("weight"), "num", "den")
     return el.bootstrap_interval(rows).select(*(F.round(c, 6).alias(c) for c in ("estimate", "low", "high")))
 
 
@@ -144,9 +144,9 @@ QUERIES = {
 }
 
 _LAB = "WITH lab AS (SELECT l.doc_id, quality, toxic, lang, CASE WHEN n_chars >= 500 THEN 1 ELSE 0 END AS pred FROM labels l JOIN documents d USING (doc_id))"
-_SAMPLE = f"""{_LAB}, drawn AS (SELECT *, quality AS den, quality * pred AS num, row_number() OVER (PARTITION BY quality, toxic ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS draw, count(*) OVER (PARTITION BY quality, toxic) AS size FROM lab),
-w AS (SELECT *, size / least(40, size) AS weight FROM drawn WHERE draw <= 40),
-r AS (SELECT sum(weight * num) / sum(weight * den) AS p, greatest(1.0, sum(weight * den) ^ 2 / sum((weight * den) ^ 2)) AS n FROM w)"""
+_DRAWN = f"""{_LAB}, drawn AS (SELECT *, quality AS den, quality * pred AS num, row_number() OVER (PARTITION BY quality, toxic ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS draw, count(*) OVER (PARTITION BY quality, toxic) AS size FROM lab),
+w AS (SELECT *, size / least(40, size) AS weight FROM drawn WHERE draw <= 40)"""
+_SAMPLE = f"""{_DRAWN}, r AS (SELECT sum(weight * num) / sum(weight * den) AS p, greatest(1.0, sum(weight * den) ^ 2 / sum((weight * den) ^ 2)) AS n FROM w)"""
 _WILSON = """(p + 3.841458881296 / (2 * n)) / (1 + 3.841458881296 / n) {0} 1.959964::DOUBLE * sqrt(p * (1 - p) / n + 3.841458881296 / (4 * n * n)) / (1 + 3.841458881296 / n)"""
 
 ORACLE_SQL = {
@@ -163,12 +163,12 @@ SELECT doc_id, draw, size / least(8, size) AS weight FROM d WHERE draw <= 8""",
     "three_state_gate": f"""{_LAB}, g AS (SELECT lang, avg(CAST(pred AS DOUBLE)) AS p, count(*) AS n FROM lab WHERE quality = 1 GROUP BY lang),
 b AS (SELECT lang, {_WILSON.format("-")} AS low, {_WILSON.format("+")} AS high FROM g)
 SELECT lang, CASE WHEN high < 0.8 THEN 'FAIL' WHEN low >= 0.8 THEN 'PASS' ELSE 'INSUFFICIENT_EVIDENCE' END AS state FROM b""",
-    "bootstrap_ci": f"""{_LAB}, r AS (SELECT toxic AS stratum, 1.0::DOUBLE + toxic AS weight, pred AS num, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY toxic) AS size FROM lab WHERE quality = 1),
+    "bootstrap_ci": f"""{_DRAWN}, r AS (SELECT toxic AS stratum, weight::DOUBLE AS weight, num, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY toxic) AS size FROM w WHERE quality = 1),
 d AS (SELECT b, stratum, CAST('0x' || left(md5(b || '/' || stratum || '/' || pos), 8) AS BIGINT) % size AS pos FROM r, range(2000) t(b)),
 v AS (SELECT b, sum(weight * num) / sum(weight) AS x FROM d JOIN r USING (stratum, pos) GROUP BY b), l AS (SELECT list_sort(list(x)) AS r FROM v),
-w AS (SELECT sum(weight * num) / sum(weight) AS p, greatest(1.0, sum(weight) ^ 2 / sum(weight * weight)) AS n FROM r)
+z AS (SELECT sum(weight * num) / sum(weight) AS p, greatest(1.0, sum(weight) ^ 2 / sum(weight * weight)) AS n FROM r)
 SELECT round(p, 6) AS estimate, round(least(r[greatest(0, CAST(floor(len(r) * 0.025::DOUBLE) AS INT) - 1) + 1], greatest(0.0, {_WILSON.format("-")})), 6) AS low,
-round(greatest(r[least(len(r) - 1, CAST(floor(len(r) * 0.975::DOUBLE) AS INT)) + 1], least(1.0, {_WILSON.format("+")})), 6) AS high FROM l, w""",
+round(greatest(r[least(len(r) - 1, CAST(floor(len(r) * 0.975::DOUBLE) AS INT)) + 1], least(1.0, {_WILSON.format("+")})), 6) AS high FROM l, z""",
     "ablation_gate": f"""{_LAB}, g AS (SELECT lang, avg(CAST(quality AS DOUBLE)) AS base, avg(CAST(quality AS DOUBLE)) FILTER (pred = 1) AS kept, count(*) AS n, count(*) FILTER (pred = 1) AS m FROM lab GROUP BY lang)
 SELECT lang, kept - base >= 0.1::DOUBLE OR (base - kept <= 0.01::DOUBLE AND m <= 0.8::DOUBLE * n) AS passes FROM g""",
     "downstream_invalidation": f"""WITH RECURSIVE {EDGES_SQL}, c(seed, node, steps) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region UNION SELECT c.seed, e.dst, c.steps + 1 FROM c JOIN edges e ON e.src = c.node)

@@ -142,7 +142,7 @@ def _shingles_sql(x: str) -> str:
 
 
 def _stems_sql(x: str) -> str:
-    return f"list_transform(list_distinct(regexp_extract_all(lower({x}), '[a-z]{{5,}}')), lambda w: CASE WHEN len(w) >= 7 THEN regexp_replace(w, '(ing|ed|es|s)$', '') ELSE w END)"
+    return f"list_transform(list_distinct(regexp_extract_all(lower({x}), '[a-z]{{5,}}|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}')), lambda w: CASE WHEN len(w) >= 7 THEN regexp_replace(w, '(ing|ed|es|s)$', '') ELSE w END)"
 
 
 _NORM = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
