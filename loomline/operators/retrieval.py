@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,7 +16,7 @@ from loomline.operators.tables import durable, numbered
 QUERY_BLOCK = 1024  # queries broadcast at a time; a block's size is bounded by this and the dimension
 
 
-def _block_scores(queries: Broadcast, k: int, bonus: Callable | None, least: float | None):
+def _block_scores(queries: Broadcast, k: int, bonus: Callable | None, least: float | None, digits: int | None):
     """Rows (id, embedding, tags...) -> each task's ``k`` best (qid, id, score) of every query of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,6 +30,8 @@ def _block_scores(queries: Broadcast, k: int, bonus: Callable | None, least: flo
             score = matrix @ flat.T
             if bonus is not None:
                 score = score + bonus(tags, {n: c[:, None] for n, c in wanted.items()})
+            if digits is not None:
+                score = np.round(score, digits)
             best_score = np.concatenate([best_score, score], axis=1)
             best_id = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), score.shape)], axis=1)
             order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
@@ -40,12 +42,12 @@ def _block_scores(queries: Broadcast, k: int, bonus: Callable | None, least: flo
     return run
 
 
-def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK, bonus: Callable | None = None, least: float | None = None) -> DataFrame:
+def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK, bonus: Callable | None = None, least: float | None = None, digits: int | None = None) -> DataFrame:
     """The ``k`` best rows (id, embedding, tags...) for each query (qid, query, tags...), by inner product of unit vectors, ties to the smaller id.
 
     Queries are a stated set, and every row is scored for every query: a block of ``query_block`` queries is one broadcast matrix,
     each pass reads the rows once, and a task sends on k rows a query, so the passes grow with the queries only. ``bonus`` (arrays of row tags and
-    columns of query tags -> matrix) is added before the choice; scores below ``least`` are dropped. Rows with null vectors must be left out.
+    columns of query tags -> matrix) is added before the choice, and scores are rounded to ``digits`` then; scores below ``least`` are dropped. Rows with null vectors must be left out.
     """
     spark = rows.sparkSession
     placed = durable(numbered(queries, [F.col("qid")]).withColumn("_block", F.floor(F.col("pos") / query_block)), "queries")
@@ -54,7 +56,7 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, query_block: int =
         part = placed.where(F.col("_block") == r["_block"]).orderBy("pos").toArrow()
         tags = {n: part[n].to_numpy() for n in queries.columns[2:]}
         block = part["qid"].to_numpy(), np.array(part["query"].to_pylist(), np.float64), tags
-        scored = rows.mapInArrow(_block_scores(spark.sparkContext.broadcast(block), k, bonus, least), schema)
+        scored = rows.mapInArrow(_block_scores(spark.sparkContext.broadcast(block), k, bonus, least, digits), schema)
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -93,6 +95,81 @@ def pick_without_reuse(candidates: DataFrame, n_queries: int) -> DataFrame:
     return candidates.groupBy("plan").agg(F.aggregate(rows, start, step).alias("p")).select("plan", F.explode("p").alias("p")).select("plan", "p.qid", "p.id")
 
 
+def _picks(candidates: DataFrame, segments: DataFrame, row: list[str], state: str, choose: Callable[[Column, Column], Column], keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """A fold over the segments of each plan: ``choose(used, segment)`` gives a struct (id, reason), ``keep(used, id)`` what is used from then on. A plan is a short list of segments, each with a bounded number of candidates."""
+    lists = candidates.groupBy("plan", "seg").agg(F.array_sort(F.collect_list(F.struct("rank", *row))).alias("rows"))
+    whole = segments.join(lists, ["plan", "seg"], "left").withColumn("rows", F.coalesce("rows", F.array().cast(lists.schema["rows"].dataType)))
+    start = F.struct(F.array().cast(state).alias("used"), F.array().cast("array<struct<seg:bigint,id:bigint,reason:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        pick = choose(acc["used"], x)
+        told = F.struct(x["seg"].cast("long").alias("seg"), pick["id"].alias("id"), pick["reason"].alias("reason"))
+        return F.struct(F.when(pick["id"].isNull(), acc["used"]).otherwise(keep(acc["used"], pick["id"])).alias("used"), F.concat(acc["out"], F.array(told)).alias("out"))
+
+    folded = whole.groupBy("plan").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("seg", *(c for c in segments.columns if c not in ("plan", "seg")), "rows"))), start, step)["out"].alias("o"))
+    return folded.select("plan", F.explode("o").alias("o")).select("plan", "o.*")
+
+
+def _first(rows: Column, ok: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(rows, ok), F.lit(0))
+
+
+def _lately(n: int) -> Callable[[Column, Column], Column]:
+    """The last ``n`` picks."""
+    return lambda used, x: F.slice(F.concat(used, F.array(x)), F.greatest(F.lit(1), F.size(used) + 2 - n), n)
+
+
+def retrieve_segments(candidates: DataFrame, segments: DataFrame, least: float = 0.18, window: int = 2, shortest: float = 0.4) -> DataFrame:
+    """The shot of each segment of a plan (V2).
+
+    ``segments``: plan, seg, need. ``candidates``: plan, seg, rank (by cosine), id, score (cosine with a bonus for a word in the caption), length; the four times k best by cosine. Those are
+    tried by rank: a shot of the last ``window`` picks is passed over, one that scores below ``least`` ends the search, and the first of ``shortest`` and four fifths of the need or longer is taken. Else
+    the best by cosine is taken as "too short", unless it scores below ``least`` or there is none: "insufficient". Returns plan, seg, id, reason.
+    """
+
+    def choose(used: Column, x: Column) -> Column:
+        fresh = F.filter(x["rows"], lambda r: ~F.array_contains(used, r["id"]))
+        stop = F.array_position(F.transform(fresh, lambda r: r["score"] < least), True)
+        tried = F.when(stop > 0, F.slice(fresh, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(fresh)
+        good = _first(tried, lambda r: r["length"] >= F.greatest(x["need"] * 0.8, F.lit(shortest)))
+        best = F.get(x["rows"], F.lit(0))
+        poor = F.coalesce(best["score"] < least, F.lit(True))
+        return F.struct(F.coalesce(good["id"], F.when(~poor, best["id"])).alias("id"), F.when(good.isNotNull(), "").when(poor, "insufficient").otherwise("too short").alias("reason"))
+
+    return _picks(candidates, segments, ["id", "score", "length"], "array<bigint>", choose, _lately(window))
+
+
+def fill_asset_slots(candidates: DataFrame, segments: DataFrame, least: float = 0.18, window: int = 2) -> DataFrame:
+    """The asset of each slot of a plan (V3).
+
+    ``segments``: plan, seg. ``candidates``: plan, seg, rank, id, score, fits (long enough): the ``window`` + 1 best that fit and the best of all decide. Taken is the best that fits, was not among the
+    last ``window`` picks and scores ``least``; else the best of all as "relaxed", if it scores that; else none: "insufficient". Returns plan, seg, id, reason.
+    """
+
+    def choose(used: Column, x: Column) -> Column:
+        good = _first(x["rows"], lambda r: r["fits"] & (r["score"] >= least) & ~F.array_contains(used, r["id"]))
+        best = _first(x["rows"], lambda r: r["score"] >= least)
+        return F.struct(F.coalesce(good["id"], best["id"]).alias("id"), F.when(good.isNotNull(), "").when(best.isNotNull(), "relaxed").otherwise("insufficient").alias("reason"))
+
+    return _picks(candidates, segments, ["id", "score", "fits"], "array<bigint>", choose, _lately(window))
+
+
+def pick_shots(candidates: DataFrame, segments: DataFrame, shortest: float) -> DataFrame:
+    """A shot no earlier segment of the plan took for each segment (V4).
+
+    ``segments``: plan, seg, need. ``candidates``: plan, seg, rank, id, length, junk; the best by cosine that are looked at. First one of ``shortest`` or the need is taken, else any as "relaxed"; junk
+    captions never. A segment without one is "black". Returns plan, seg, id, reason.
+    """
+
+    def choose(used: Column, x: Column) -> Column:
+        open_ = F.filter(x["rows"], lambda r: ~r["junk"] & ~F.array_contains(used, r["id"]))
+        good = _first(open_, lambda r: r["length"] >= F.least(x["need"], F.lit(shortest)))
+        other = F.get(open_, F.lit(0))
+        return F.struct(F.coalesce(good["id"], other["id"]).alias("id"), F.when(good.isNotNull(), "").when(other.isNotNull(), "relaxed").otherwise("black").alias("reason"))
+
+    return _picks(candidates, segments, ["id", "length", "junk"], "array<bigint>", choose, lambda used, x: F.concat(used, F.array(x)))
+
+
 def best_path(states: DataFrame, steps: DataFrame, n_slots: int) -> DataFrame:
     """Max-sum path: one candidate a slot, candidate scores plus transition scores.
 
