@@ -53,8 +53,13 @@ def sampling_audit(samples: DataFrame, keys: list[str], low: float, high: float)
     return out.withColumn("in_range", F.coalesce((rate >= low) & (rate <= high), F.lit(False)))
 
 
+KINDS = 10_000  # kinds of a vocabulary at most
+
+
 def unclaimed(claims: DataFrame, kinds: DataFrame, key: str) -> DataFrame:
-    """Kinds that a key never claims: the vocabulary, one row of kinds, less those seen."""
+    """Kinds that a key never claims: the vocabulary, one row of KINDS kinds at most, else it fails, less those seen."""
+    if kinds.select("kind").distinct().limit(KINDS + 1).count() > KINDS:
+        raise ValueError(f"more than {KINDS} kinds")
     every = kinds.agg(F.array_sort(F.collect_set("kind")).alias("_every"))
     seen = claims.groupBy(key).agg(F.collect_set("kind").alias("_seen")).crossJoin(F.broadcast(every))
     return seen.select(key, F.explode(F.array_except("_every", "_seen")).alias("kind"))

@@ -9,11 +9,16 @@ from pyspark.sql.window import Window
 from loomline.operators.lineage import closure
 
 
+NAMES = 10_000  # names of a library at most, as each text is searched for all of them
+
+
 def drop_suppressed(rows: DataFrame, text: str, terms: DataFrame, names: DataFrame, most: int) -> DataFrame:
     """Mark rows (``dropped``) whose text has one of the first ``most`` terms and none of the names.
 
-    Terms are cut to ``most`` and names are the entities of one library; both are one row each when they meet the texts.
+    Terms are cut to ``most``; names are the entities of one library, NAMES at most, else it fails. Both are one row each when they meet the texts.
     """
+    if names.select("name").distinct().limit(NAMES + 1).count() > NAMES:
+        raise ValueError(f"more than {NAMES} names")
     few = terms.select("term").distinct().orderBy("term").limit(most).agg(F.collect_list("term").alias("_terms"))
     known = names.agg(F.collect_set("name").alias("_names"))
     joined = rows.crossJoin(F.broadcast(few)).crossJoin(F.broadcast(known))

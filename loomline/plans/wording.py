@@ -40,8 +40,8 @@ def library_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppressed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that use a long word of the first benchmark item and name no nation."""
-    item = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("term"))
+    """Turns that use one of the first sixty long words of the benchmark and name no nation."""
+    item = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("term"))
     names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"))
     kept = rules.drop_suppressed(table(spark, sf_dir, "conversations").withColumn("text", F.lower("text")), "text", item, names, 60)
     return kept.groupBy("role", "dropped").agg(F.count(F.lit(1)).alias("n"))
@@ -153,7 +153,7 @@ ORACLE_SQL = {
 SELECT key, s * 10 <= {MONTH} * 3 AND e * 10 >= {MONTH} * 7 AND (e - s) * 2 >= {MONTH} AS covered FROM g""",
     "junk_captions": "SELECT source, coalesce(contains(text, '|') OR contains(text, '&&&') OR contains(text, '###'), false) AS junk, count(*) AS n FROM documents GROUP BY 1, 2",
     "library_scope": "SELECT concat_ws('__', source, lang) AS name, count(*) AS n FROM documents WHERE concat_ws('__', source, lang) IN ('src1', 'src2__fr') OR starts_with(concat_ws('__', source, lang), 'src1__') OR starts_with(concat_ws('__', source, lang), 'src2__fr__') GROUP BY 1",
-    "suppressed_terms": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark WHERE item_id = 0), terms AS (SELECT list(term) AS l FROM (SELECT term FROM w ORDER BY term LIMIT 60)),
+    "suppressed_terms": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark), terms AS (SELECT list(term) AS l FROM (SELECT term FROM w ORDER BY term LIMIT 60)),
 names AS (SELECT list(lower(n_name)) AS l FROM nation)
 SELECT role, coalesce(len(list_filter(terms.l, lambda x: contains(lower(text), x))) > 0 AND len(list_filter(names.l, lambda x: contains(lower(text), x))) = 0, false) AS dropped, count(*) AS n FROM conversations, terms, names GROUP BY 1, 2""",
     "grounded_turns": f"""{_TURNS}, c AS (SELECT conv_id, turn, text, len(list_intersect({_shingles_sql("text")}, {_shingles_sql("before")})) AS shared FROM t WHERE before IS NOT NULL)
