@@ -102,8 +102,15 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3,
     grouped = durable(rows.groupBy("copy").agg(F.count(F.lit(1)).alias("c")), "private-copies")
     copies, repeated = grouped.count(), durable(grouped.where("c > 1"), "private-repeated")
     spans = base_spans(F.col("text")) | {"secret": _secrets(F.col("text"))}
-    kinds = F.array_compact(F.array(*(F.when(F.size(v) > 0, k) for k, v in spans.items())))
-    found = rows.withColumns({"entities": _entities(spans), "kinds": kinds}).where(F.size("entities") > 0)
+
+    def told(x: Column) -> Column:
+        kinds = F.array_compact(F.array(*(F.when(F.size(x[k]) > 0, k) for k in spans)))
+        row = F.struct(_entities({k: x[k] for k in spans}).alias("entities"), kinds.alias("kinds"))
+        return F.when(F.size(kinds) > 0, F.array(row))
+
+    # a generator instead of a filter, which Spark would push below the patterns and so search each text again
+    searched = let(F.struct(*(v.alias(k) for k, v in spans.items())), told)
+    found = rows.select("text", "copy", F.explode_outer(searched).alias("found")).where("found IS NOT NULL").select("text", "copy", "found.*")
     places = durable(found.dropDuplicates(["copy"]), "private-places")
     bare = F.regexp_replace(F.regexp_replace("text", EMAIL, " "), SECRET, " ")
     beside = durable(_terms(places, bare, "copy", "kinds"), "private-beside")
