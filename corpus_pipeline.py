@@ -20,9 +20,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by five-word shingles at a similarity of 0.8 or more; rows with a null id stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
+    """Keep one document of each group linked by five-word shingles at a similarity of 0.8 or more.
+
+    A row goes by its id and its text together, so another text under a repeated id stays; rows with a null id stay, and equal rows stay or go together.
+    """
+    found = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct()
+    text = F.xxhash64(F.col("text").cast("string"))
+    return docs.join(durable(found, "pipeline-gone"), (F.col("doc_id") == F.col("gone")) & (text == F.col("gone_text")), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

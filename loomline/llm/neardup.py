@@ -78,8 +78,9 @@ def _sketches(k: int, bands: int, rows: int):
                         pa.array(sizes, pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         list_array([next(keys) if n else np.zeros(0, np.int64) for n in sizes], pa.int64()),
+                        batch.column(2).slice(lo, hi - lo),
                     ],
-                    ["id", "n", "cls", "bands"],
+                    ["id", "n", "cls", "bands", "mark"],
                 )
 
     return run
@@ -186,7 +187,7 @@ def _large_links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
     First every class is compared with one hub only, the one it shares most bands with: n comparisons for n near
     copies. What is linked to a hub is settled among itself. Then only classes that share a band with a class of another
-    group go on, in blocks of a group and a size level; blocks of one large group are not compared with each other.
+    group go on, in blocks of a group and a size level; blocks of one large group are not compared with each other, nor are blocks no two classes of which share a band.
     """
     ids = sets.select("id", "component", "level")
     mine = classes.join(ids.select(F.col("id").alias("rep")), "rep", "left_semi")  # a band's classes are all in one cluster
@@ -210,14 +211,13 @@ def _large_links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     wide = left.groupBy("component", "group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).drop("n").withColumn("label", F.col("group").cast("string"))
     left = left.join(wide, ["component", "group"], "left").withColumn("label", F.coalesce("label", F.lit("all")))  # all: small groups together
     sides = _parts(left, ["component", "label", "level"])
-    shape = sides.groupBy("component").agg(F.collect_list(F.struct("label", "level", "parts")).alias("sides"))
-    side = lambda label, level, part: F.concat_ws(".", label, level.cast("string"), part.cast("string"))
-    own = side(F.col("label"), F.col("level"), F.pmod(F.xxhash64("id"), F.col("parts")))
-    placed = left.join(sides, ["component", "label", "level"]).select("id", "component", "label", "level", own.alias("side"))
-    near = lambda x: (F.abs(x["level"] - F.col("level")) <= 1) & ((x["label"] != F.col("label")) | (x["label"] == "all"))
-    every = lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda j: side(x["label"], x["level"], j))
-    partners = F.flatten(F.transform(F.filter("sides", near), every))
-    dealt = placed.join(shape, "component").select("id", "component", "side", F.explode(partners).alias("partner"))
+    side = F.concat_ws(".", "label", F.col("level").cast("string"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("string"))
+    placed = durable(left.join(sides, ["component", "label", "level"]).select("id", "component", "label", "level", side.alias("side")), "dup-placed")
+    meet = keyed.join(mixed, "key", "left_semi").select("key", F.col("rep").alias("id")).join(placed, "id").select("key", "component", "label", "level", "side").distinct()
+    other = meet.select("key", F.col("label").alias("label_b"), F.col("level").alias("level_b"), F.col("side").alias("partner"))
+    near = (F.abs(F.col("level") - F.col("level_b")) <= 1) & ((F.col("label") != F.col("label_b")) | (F.col("label") == "all"))
+    partners = durable(meet.join(other, "key").where(near).select("component", "side", "partner").distinct(), "dup-partners")
+    dealt = placed.join(partners, ["component", "side"]).select("id", "component", "side", "partner")
     task = F.concat_ws("/", F.col("component").cast("string"), F.least("side", "partner"), F.greatest("side", "partner"))
     return first.unionByName(_links(sets.select("id", "shingles").join(dealt.select("id", "side", task.alias("task")), "id"), percent))
 
@@ -234,14 +234,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     whole, only blocks whose sizes rule out a link are skipped, and each task sends on a spanning
     forest of its links, not the pairs.
 
-    Returns ``id_col``, n_shingles, component_id (smallest id reachable) and kept (id equals
-    component_id). Null and empty texts have no shingles, link with nothing and are kept; rows of
+    Returns ``id_col``, n_shingles, component_id (smallest id reachable), kept (id equals
+    component_id) and text_hash (xxhash64 of the row's text, which tells rows of one id apart). Null and empty texts have no shingles, link with nothing and are kept; rows of
     one id count as one document in the links; a row with a null id keeps a null
     component_id and is kept; an empty table gives no rows; other columns are ignored.
     """
     bands, rows = banding(percent)
     table = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = durable(table.mapInArrow(_sketches(shingle, bands, rows), "id long, n long, cls binary, bands array<long>"), "dup-sketches")
+    marked = table.withColumn("mark", F.xxhash64("text"))
+    sketches = durable(marked.mapInArrow(_sketches(shingle, bands, rows), "id long, n long, cls binary, bands array<long>, mark long"), "dup-sketches")
     classes = durable(
         sketches.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "dup-classes"
     )
@@ -268,4 +269,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("mark").alias("text_hash"),
     )

@@ -30,7 +30,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document: three-word shingles, Jaccard similarity of 0.85 or more."""
-    return near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
+    return near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85).drop("text_hash")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
