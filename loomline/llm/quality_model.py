@@ -93,13 +93,15 @@ def train_quality_model(
 ) -> QualityModel:
     """Train on at most ``max_rows`` labelled rows, the first by a hash of their id, with their whole texts.
 
-    The sample is bounded, so it is broadcast to find its texts and one task fits the model. Rows
+    The sample is bounded, so it is broadcast to find its texts and one task fits the model. An id counts once, however often it
+    stands in ``labels`` (the smallest label) or in ``docs`` (the text of the smallest hash, found before the texts move). Rows
     with a null label or id are left out; without labelled rows the model scores 0.5.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("k"), "k", "label").limit(max_rows)
+    sample = known.groupBy("k").agg(F.min("label").alias("label")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "k")
-    rows = texts.select("text", "label").repartition(1).mapInArrow(_fit, "weight binary, bias double").collect()
+    once = texts.groupBy("k").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    rows = once.select("text", "label").repartition(1).mapInArrow(_fit, "weight binary, bias double").collect()
     if not rows:
         return QualityModel(np.zeros(BUCKETS, np.float32), 0.0)
     return QualityModel(np.frombuffer(rows[0].weight, np.float32), rows[0].bias)
