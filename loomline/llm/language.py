@@ -120,12 +120,12 @@ def _scores(freq: np.ndarray) -> np.ndarray:
     return np.log(freq + UNSEEN * freq.sum(axis=1, keepdims=True) + 1e-300)
 
 
-def train_language_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = 2) -> LanguageModel:
+def train_language_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = 2, known_share: float = KNOWN) -> LanguageModel:
     """Count words and character n-grams of all rows with a non-null ``lang_col``.
 
-    A word is known in a language if it occurs there ``min_count`` times and is at least the share KNOWN of
-    its running words; the rest are unseen words, which the n-grams score. The rule does not depend on the
-    corpus's size, and since shares add up to one, a language has at most 1 / KNOWN known words: the model that
+    A word is known in a language if it occurs there ``min_count`` times and is at least the share ``known_share`` of
+    its running words; the rest are unseen words, which the n-grams score. Up to ``min_count`` / ``known_share`` running words the count decides,
+    beyond that the share. Since shares add up to one, a language has at most 1 / ``known_share`` known words: the model that
     reaches the driver and the workers is bounded by the number of languages. Each n-gram length
     has a table of ``BUCKETS`` cells. Null texts count nothing; without languages the model knows none.
     """
@@ -138,7 +138,7 @@ def train_language_model(docs: DataFrame, lang_col: str = "lang", text_col: str
     code = {lang: k for k, lang in enumerate(langs)}
     known = F.lit(False)
     for lang in langs:
-        known = known | ((F.col("lang") == lang) & (F.col("count") >= max(min_count, KNOWN * totals.get((lang, 0), 0))))
+        known = known | ((F.col("lang") == lang) & (F.col("count") >= max(min_count, known_share * totals.get((lang, 0), 0))))
     rows = counts.where("n = 0").where(known).select("lang", "key", "count").toArrow()
     key = rows["key"].to_numpy().view(np.uint64)
     lang_of = np.array([code[x] for x in rows["lang"].to_pylist()], np.int64)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -938,3 +939,36 @@ def test_pipeline_stages(spark):
     for _, stage in p.STAGES:
         assert stage(spark, edge, SF).count() >= 0
         assert stage(spark, edge.limit(0), SF).count() == 0
+
+
+def test_pipeline_keeps_unique_texts_of_a_repeated_id(spark):
+    import corpus_pipeline as p
+
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words[:40])), (2, " ".join(words[:40])), (2, " ".join(words[50:90])), (2, " ".join(words[100:140])), (3, " ".join(words[100:140])), (None, " ".join(words[:40])), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in p.near_duplicate(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([rows[0], rows[2], rows[3], rows[5], rows[6], rows[7]], key=repr)
+
+
+def test_quality_sample_takes_an_id_once(spark, monkeypatch):
+    """An id that stands a thousand times sends one text to the fit."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(1000)] + [(2, "other words"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+
+    def count_rows(batches):
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([np.array([n], np.float32).tobytes()], pa.binary()), pa.array([0.0])], ["weight", "bias"])
+
+    monkeypatch.setattr(quality_model, "_fit", count_rows)
+    assert quality_model.train_quality_model(docs, labels).weight.tolist() == [3.0]
+
+
+@pytest.mark.parametrize("share", [2.0**-10, 2.0**-14, 2.0**-18, 0.0])
+def test_language_accuracy_by_known_share(spark, share):
+    """The share that makes a word known moves words between the dictionary and the n-grams, not the accuracy."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = language.fold_of("doc_id", 3)
+    model = language.train_language_model(docs.where(fold != 1), known_share=share)
+    rows = language.identify_language(docs.where(fold == 1), model).join(docs.where("lang IS NOT NULL"), "doc_id").select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.99 * len(rows)
