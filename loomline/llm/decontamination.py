@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.scratch import durable, in_order
-from loomline.llm.textblocks import blocks, letter_words, utf8
+from loomline.llm.textblocks import blocks, letter_words, list_array, utf8
 
 LISTED = 4  # one part in so many of the words needed of a copied passage must be listed ones, its rarest
 PASSAGE = 128  # words of a benchmark passage at most; longer items are cut into even parts
 ALIGNED, SHORT = 7, 4  # words aligned at least; items of fewer count as an unbroken run of all their words, below SHORT not at all
-ITEMS = 1000  # benchmark items that share a latent space
+PASSAGES = 1000  # benchmark passages that share a latent space
 TOGETHER = 4  # latent spaces searched in one pass over the documents
 SHARED_RANK = 8  # passages to a latent dimension at most, where that is more than the rank asked for
 ANSWER = 5  # one part in so many of a passage's words, the rarest, three at least, stands for its answer
@@ -30,7 +30,7 @@ ROWS = 4096  # windows compared with all passages of a space at a time
 
 @dataclass
 class Index:
-    """The passages of one block of benchmark items in their latent space. Its size is bounded by ITEMS and PASSAGE."""
+    """The passages of one block in their latent space. PASSAGES x PASSAGE words bound its size, however long the items."""
 
     local: np.ndarray  # this block's word number for each word of the whole benchmark, -1 for those of other blocks
     idf: np.ndarray
@@ -42,7 +42,7 @@ class Index:
     strength: np.ndarray  # latent lengths of the passages
     answers: list[np.ndarray]
     mass: np.ndarray  # sums of the passages' idf
-    member: np.ndarray  # passages x words: whether the passage has the word; one word more for none
+    member: np.ndarray  # sorted passage x (words + 1) + word of the words that passages have
     lists: tuple[np.ndarray, np.ndarray]  # passages by listed word: offsets and passage numbers
     least: np.ndarray  # places of listed words that a window must have to hold a copy
     window: np.ndarray  # words of a passage's windows: a power of two above its length, and a half
@@ -118,12 +118,20 @@ def _document_frequency(n_words: int):
     return run
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column end to end, as a view of its buffer, and the rows' bounds."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    off = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[off[0] : off[-1]], off - off[0]
+
+
 def randomised_basis(rows: DataFrame, n_words: int, rank: int, rounds: int = 2, seed: int = 5) -> np.ndarray:
     """An orthonormal basis (words x rank) of the leading right singular space of sparse rows.
 
     ``rows``: (at array<int>, weight array<double>), one a passage. Randomised range finding on the
     word side: each round multiplies a words x (rank + 8) block by A^T A, a sum over rows that Spark adds up
-    by word; only the block and its small Gram matrix reach the driver.
+    by word; only the block and its small Gram matrix reach the driver, in buffers of numbers.
     """
     width = min(rank + 8, n_words)
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_words, width)))[0]
@@ -132,20 +140,22 @@ def randomised_basis(rows: DataFrame, n_words: int, rank: int, rounds: int = 2,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((width if gram else n_words, width))
             for batch in batches:
-                for at, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    y = np.array(weight) @ q[at]
+                (at_all, off), weights = _flat(batch.column(0)), _flat(batch.column(1))[0]
+                for lo, hi in zip(off[:-1], off[1:], strict=True):
+                    at, weight = at_all[lo:hi], weights[lo:hi]
+                    y = weight @ q[at]
                     if gram:
                         total += np.outer(y, y)
                     else:
                         total[at] += np.outer(weight, y)
             keep = np.flatnonzero(np.abs(total).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(total[keep].tolist(), pa.list_(pa.float64()))], ["row", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), list_array(list(total[keep]), pa.float64())], ["row", "values"])
 
         parts = rows.mapInArrow(run, "row long, values array<double>")
         sums = parts.groupBy("row").agg(F.array(*(F.sum(F.col("values")[j]) for j in range(width))).alias("values")).toArrow()
         out = np.zeros((width if gram else n_words, width))
         if len(sums):
-            out[sums["row"].to_numpy()] = np.array(sums["values"].to_pylist())
+            out[sums["row"].to_numpy()] = _flat(sums["values"].combine_chunks())[0].reshape(-1, width)
         return out
 
     for _ in range(rounds):
@@ -160,22 +170,29 @@ def _needed(length: int, part: float) -> int:
     return min(length, max(ALIGNED, int(np.ceil(part * length - 1e-9))))
 
 
-def build_index(items: list, words: np.ndarray, idf: np.ndarray, spark: SparkSession, rank: int, copied: float) -> Index | None:
-    """The latent index of one block of benchmark items (item, text); None if no item has enough words.
+def _cut(shared: Broadcast):
+    """(item, text) -> (item, part, numbers): items of SHORT words or more in even parts of PASSAGE words at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(1))
+            numbers, bounds = number_words(shared.value, data, off)
+            for i, item in enumerate(batch.column(0).to_pylist()):
+                mine = numbers[bounds[i] : bounds[i + 1]]
+                if len(mine) >= SHORT:
+                    parts = [p.tobytes() for p in np.array_split(mine, -(-len(mine) // PASSAGE))]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["item", "part", "numbers"])
+
+    return run
+
+
+def build_index(rows: list, words: np.ndarray, idf: np.ndarray, spark: SparkSession, rank: int, copied: float) -> Index:
+    """The latent index of one block of passages (item, numbers).
 
     ``words`` and ``idf``: of the whole benchmark. The rarest words of a passage are listed, so many that any part of
     ``copied`` of its words holds ``least`` places of them.
     """
-    passages, of = [], []
-    for r in items:
-        raw = np.frombuffer((r.text or "").encode("utf-8"), np.uint8)
-        numbers = number_words(words, raw, np.array([0, len(raw)]))[0]
-        if len(numbers) >= SHORT:
-            parts = np.array_split(numbers, -(-len(numbers) // PASSAGE))
-            passages += parts
-            of += [r.item] * len(parts)
-    if not passages:
-        return None
+    passages, of = [np.frombuffer(r.numbers, np.int32) for r in rows], [r.item for r in rows]
     mine = np.unique(np.concatenate(passages))
     local = np.full(len(words), -1, np.int32)
     local[mine] = np.arange(len(mine))
@@ -184,8 +201,8 @@ def build_index(items: list, words: np.ndarray, idf: np.ndarray, spark: SparkSes
     sparse = [np.unique(x, return_counts=True) for x in numbers]
     norms = np.array([float(np.sqrt(((c * idf[a]) ** 2).sum())) for a, c in sparse])
     table = [(a.tolist(), (c * idf[a] / n).tolist()) for (a, c), n in zip(sparse, norms, strict=True)]
-    rows = spark.createDataFrame(table, "at array<int>, weight array<double>")
-    basis = randomised_basis(rows, len(mine), min(max(rank, len(passages) // SHARED_RANK), len(passages)))
+    sparse_rows = spark.createDataFrame(table, "at array<int>, weight array<double>")
+    basis = randomised_basis(sparse_rows, len(mine), min(max(rank, len(passages) // SHARED_RANK), len(passages)))
     latent = np.array([np.array(w) @ basis[a] for a, w in table])
     held = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
     listed, least, answers = [], np.ones(len(sparse), np.int64), []
@@ -201,9 +218,7 @@ def build_index(items: list, words: np.ndarray, idf: np.ndarray, spark: SparkSes
     lists = np.searchsorted(pairs[:, 0], np.arange(len(mine) + 1)), pairs[:, 1].copy()
     doubled = np.maximum(0, np.ceil(np.log2(np.array([len(x) for x in numbers]) / (2 * STEP)))).astype(np.int64)
     mass = np.array([(c * idf[a]).sum() for a, c in sparse])
-    member = np.zeros((len(sparse), len(mine) + 1), bool)
-    for k, (a, _) in enumerate(sparse):
-        member[k, a] = True
+    member = np.concatenate([k * (len(mine) + 1) + a.astype(np.int64) for k, (a, _) in enumerate(sparse)])
     return Index(
         local, idf, (basis * idf[:, None]).astype(np.float32), np.array(of), numbers, sparse, (latent / held[:, None]).astype(np.float32),
         (norms * held).astype(np.float32), answers, mass, member, lists, least, 3 * STEP * 2**doubled, doubled,
@@ -285,7 +300,9 @@ def _near(index: Index, numbers: np.ndarray, bounds: np.ndarray, cosine: float)
             held = np.zeros(len(row), np.float32)
             for i in range(0, len(row), ROWS):
                 words = texts[(row[i : i + ROWS] << k) * STEP]
-                held[i : i + ROWS] = (idf[words] * index.member[p[i : i + ROWS, None], words]).sum(axis=1)
+                key = p[i : i + ROWS, None] * len(idf) + words
+                has = index.member[np.minimum(np.searchsorted(index.member, key), len(index.member) - 1)] == key
+                held[i : i + ROWS] = (idf[words] * has).sum(axis=1)
             good = held >= WEIGHT * index.mass[p] - 1e-3
             found.append(np.stack([row[good], p[good]]))
         if not found:
@@ -346,7 +363,7 @@ def _align(index: Index, numbers: np.ndarray, p: int, starts: np.ndarray, copied
 
 
 def indexes(numbered: DataFrame, items: DataFrame, words: np.ndarray, rank: int, copied: float) -> Iterator[Index]:
-    """The indexes of the benchmark's blocks of ITEMS items, with document frequencies of all numbered documents."""
+    """The indexes of the benchmark's blocks of PASSAGES passages, with document frequencies of all numbered documents."""
     spark = numbered.sparkSession
     df, n_docs = np.zeros(len(words)), 0
     for r in numbered.select("numbers").mapInArrow(_document_frequency(len(words)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
@@ -355,11 +372,10 @@ def indexes(numbered: DataFrame, items: DataFrame, words: np.ndarray, rank: int,
         else:
             df[r.word] = r.n
     idf = np.log(1 + (n_docs + 1) / (df + 1))
-    placed = durable(in_order(items, [F.col("item"), F.col("text")], "leak-items").withColumn("block", F.floor(F.col("pos") / ITEMS)), "leak-blocks")
+    passages = items.mapInArrow(_cut(spark.sparkContext.broadcast(words)), "item long, part long, numbers binary")
+    placed = durable(in_order(passages, [F.col("item"), F.col("part"), F.col("numbers")], "leak-items").withColumn("block", F.floor(F.col("pos") / PASSAGES)), "leak-blocks")
     for r in placed.groupBy("block").count().orderBy("block").collect():
-        index = build_index(placed.where(F.col("block") == r.block).orderBy("pos").collect(), words, idf, spark, rank, copied)
-        if index:
-            yield index
+        yield build_index(placed.where(F.col("block") == r.block).orderBy("pos").collect(), words, idf, spark, rank, copied)
 
 
 def matches(found: list[Index], numbers: np.ndarray, bounds: np.ndarray, cosine: float, copied: float, shared: float) -> Iterator[tuple]:
@@ -405,7 +421,7 @@ def find_contamination(
 ) -> DataFrame:
     """Documents that hold a benchmark item: one row (``id_col``, ``item_col``, cosine, lcs_share, answer_share) for each pair.
 
-    All texts are numbered once by the benchmark's words. Blocks of ITEMS items each get a latent space by distributed
+    All texts are numbered once by the benchmark's words. Blocks of PASSAGES passages each get a latent space by distributed
     randomised SVD of their TF-IDF passages (document frequencies of all ``docs``; ``rank`` dimensions, more for a block of many
     passages), and TOGETHER blocks are searched in one pass. All windows of all documents are projected; those within ``cosine`` of a
     passage are candidates. The words around a candidate are aligned with the passage: the longest common subsequence must hold

@@ -834,13 +834,40 @@ def test_benchmark_of_several_blocks(spark, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     docs = real_docs(spark).select("doc_id", "text")
     whole = {(x.doc_id, x.item_id) for x in decontamination.find_contamination(docs, bench).where("lcs_share = 1").collect()}
-    monkeypatch.setattr(decontamination, "ITEMS", 9)
+    monkeypatch.setattr(decontamination, "PASSAGES", 9)
     monkeypatch.setattr(decontamination, "TOGETHER", 2)
     assert whole == {(x.doc_id, x.item_id) for x in decontamination.find_contamination(docs, bench.limit(60), rank=4).where("lcs_share = 1").collect()} | {
         p for p in whole if p[1] not in {r.item_id for r in bench.limit(60).collect()}
     }
 
 
+def test_benchmark_item_of_very_many_words(spark):
+    """An item of a hundred thousand words is 782 passages in one bounded block; a document that holds one of them holds the item."""
+    r = random.Random(41)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(20_000)]
+    item = [r.choice(words) for _ in range(100_000)]
+    docs = [(k, " ".join([*(r.choice(words) for _ in range(50)), *item[at : at + 256], *(r.choice(words) for _ in range(50))])) for k, at in enumerate(range(0, 99_000, 9_000))]
+    docs += [(100 + k, " ".join(r.choice(words) for _ in range(300))) for k in range(40)]
+    benchmark = spark.createDataFrame([(7, " ".join(item)), (8, "too short")], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert got == {(k, 7) for k in range(11)}
+
+
+def test_contamination_recall_over_two_thousand_items(spark):
+    """Two blocks of a thousand passages: paraphrases with three words in ten replaced are found, and strangers are not."""
+    r = random.Random(43)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(9_000)]
+    items = [[r.choice(words) for _ in range(40)] for _ in range(2_000)]
+    docs = []
+    for k in range(0, 2_000, 10):
+        changed = [r.choice(words) if r.random() < 0.3 else w for w in items[k]]
+        docs.append((k, " ".join([*(r.choice(words) for _ in range(60)), *changed, *(r.choice(words) for _ in range(60))])))
+    docs += [(10_000 + k, " ".join(r.choice(words) for _ in range(160))) for k in range(200)]
+    found = decontamination.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string"))
+    pairs = {(x.doc_id, x.item_id) for x in found.collect()}
+    assert sum((k, k) in pairs for k in range(0, 2_000, 10)) >= 0.9 * 200 and not any(d >= 10_000 for d, _ in pairs)
+
+
 def test_common_subsequence():
     r = random.Random(9)
     for _ in range(60):
