@@ -1,6 +1,7 @@
 """Every registered timeline query against its DuckDB oracle on the smallest tables."""
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -23,11 +24,22 @@ def plain(v):
     return ("float", "nan" if math.isnan(v) else round(v, 9)) if isinstance(v, float) else v
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """Columns and rows of every query, several at a time."""
+
+    def run(name):
+        df = catalogue.QUERIES[name](spark, SF)
+        columns = sorted(df.columns)
+        return columns, sorted((tuple(map(plain, r)) for r in df.select(*(f"`{c}`" for c in columns)).collect()), key=repr)
+
+    with ThreadPoolExecutor(8) as pool:
+        yield {name: pool.submit(run, name) for name in catalogue.QUERIES}
+
+
 @pytest.mark.parametrize("name", list(catalogue.QUERIES))
-def test_matches_oracle(spark, con, name):
-    df = catalogue.QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    got = sorted((tuple(map(plain, r)) for r in df.select(*(f"`{c}`" for c in columns)).collect()), key=repr)
+def test_matches_oracle(results, con, name):
+    columns, got = results[name].result()
     if name not in catalogue.ORACLE_SQL:
         assert got
         return
