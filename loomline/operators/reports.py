@@ -13,11 +13,13 @@ from pyspark.sql.window import Window
 
 from loomline.functions.wording import titles_agree
 from loomline.operators.intervals import merge_within, nearest, overlap_join
+from loomline.operators.lineage import on_cycle
 from loomline.operators.tables import durable, numbered, running
 
-#: Roles of a story in their order, and of a template's segments (fixed values).
+#: Roles of a story in their order, statuses of its slots, and a title in a file's name (fixed values).
 ARC_ROLES = ("hook", "context", "conflict", "choice", "climax", "consequence", "resolution")
 STATUSES = ("supported", "uncertain", "unsupported")
+TITLE = "[一-鿿]{2,}[0-9ⅠⅡⅢ]?"
 
 
 def passes_content_gate(row: Mapping[str, Column], categories: tuple[str, ...]) -> Column:
@@ -34,7 +36,7 @@ def passes_content_gate(row: Mapping[str, Column], categories: tuple[str, ...])
 
 def title_from_file(name: Column) -> Column:
     """The longest run of two Chinese characters or more in a file's name, with a number after it; the first of equally long ones; empty without one."""
-    runs = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit("[一-鿿]{2,}[0-9ⅠⅡⅢ]?"), F.lit(0))
+    runs = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(TITLE), F.lit(0))
     best = F.array_max(F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("r"))))
     return F.coalesce(best["r"], F.lit(""))
 
@@ -235,6 +237,50 @@ def template_violations(templates: DataFrame, segments: DataFrame, edges: DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
+def recipe_violations(recipes: DataFrame, assets: DataFrame, tracks: DataFrame, operations: DataFrame, key: str, types: tuple[str, ...], points: tuple[str, ...], track_types: tuple[str, ...]) -> DataFrame:
+    """Rules that edit recipes break, as rows (key, part, id, violation, n).
+
+    ``recipes``: key, duration, fps, digest; ``assets``: key, id, uri, s, e (a range may be null); ``tracks``: key, id, type, z; ``operations``: key, id, type, status, s, e, track, confidence, evidence (array of
+    sources), inputs, depends (arrays of ids). Ids are there and stand once; types and statuses are known; intervals lie in the recipe and last, but for ``points``; tracks, inputs (assets or operations) and dependencies
+    exist, by anti joins; a supported operation has evidence, each with a source; no operation depends on itself by any way, by ``on_cycle``.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+
+    def rows(df: DataFrame, part: str, name: Column, rules: Mapping[str, Column]) -> DataFrame:
+        names = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules.items())))
+        return df.select(key, F.lit(part).alias("part"), name.cast("string").alias("id"), F.explode(names).alias("violation"))
+
+    def repeated(df: DataFrame, part: str) -> DataFrame:
+        counts = df.where(~blank(F.col("id"))).groupBy(key, "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return counts.select(key, F.lit(part).alias("part"), "id", F.lit("repeated id").alias("violation"))
+
+    ops = operations.join(recipes.select(key, "duration"), key)
+    ids = operations.select(key, "id").distinct()
+    known = ids.unionByName(assets.select(key, "id")).distinct()
+    of = lambda c, out: operations.select(key, F.col("id").alias("of"), F.explode(c).alias(out))
+    depends, inputs = of("depends", "id"), of("inputs", "id")
+    lost = lambda refs, there, why: refs.join(there, [key, "id"], "left_anti").select(key, F.lit("operation").alias("part"), F.col("of").alias("id"), F.lit(why).alias("violation"))
+    node = lambda c: F.struct(F.col(key), F.col(c).alias("id"))
+    circles = on_cycle(depends.join(ids, [key, "id"], "left_semi").select(node("of").alias("src"), node("id").alias("dst")))
+    starts, ends = F.col("s"), F.col("e")
+    parts = [
+        rows(recipes, "recipe", F.lit(None), {"duration": F.coalesce(F.col("duration") <= 0, F.lit(True)), "fps": F.coalesce(F.col("fps") <= 0, F.lit(True)), "digest": F.col("digest").isNull() | ((F.col("digest") != "") & (F.length("digest") != 64))}),
+        rows(assets, "asset", F.col("id"), {"no id": blank(F.col("id")), "no uri": blank(F.col("uri")), "range": (starts.isNull() != ends.isNull()) | (ends <= starts)}),
+        rows(tracks, "track", F.col("id"), {"no id": blank(F.col("id")), "type": ~F.coalesce(F.col("type").isin(*track_types), F.lit(False)), "no order": F.col("z").isNull()}),
+        rows(ops, "operation", F.col("id"), {
+            "no id": blank(F.col("id")), "type": ~F.coalesce(F.col("type").isin(*types), F.lit(False)), "status": ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "interval": starts.isNull() | ends.isNull(),
+            "outside": (starts < 0) | (ends < starts) | (ends > F.col("duration")), "no length": (starts == ends) & ~F.coalesce(F.col("type").isin(*points), F.lit(False)),
+            "confidence": F.coalesce(~F.col("confidence").between(0, 1), F.lit(True)), "no evidence": (F.col("status") == "supported") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0),
+            "no source": F.exists("evidence", lambda x: blank(x)),
+        }),
+        recipes.join(tracks.select(key).distinct(), key, "left_anti").select(key, F.lit("recipe").alias("part"), F.lit(None).cast("string").alias("id"), F.lit("no tracks").alias("violation")),
+        repeated(assets, "asset"), repeated(tracks, "track"), repeated(operations, "operation"),
+        operations.join(tracks.select(key, F.col("id").alias("track")).distinct(), [key, "track"], "left_anti").select(key, F.lit("operation").alias("part"), "id", F.lit("unknown track").alias("violation")),
+        lost(inputs, known, "unknown input"), lost(depends, ids, "unknown dependency"), circles.select(f"node.{key}", F.lit("operation").alias("part"), "node.id", F.lit("cycle").alias("violation")),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy(key, "part", "id", "violation").agg(F.count(F.lit(1)).alias("n"))
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, percent: int) -> DataFrame:
     """A percentile of each key by five rules (X17): ``even`` takes the index (n - 1) p rounded half to even, ``floor`` int(n p), ``upper`` the upper median, ``linear`` interpolates, ``ceil`` is the nearest rank.
 

@@ -121,6 +121,22 @@ def template_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.template_violations(templates, segments, points("purchase", "t"), points("signup", "t"), points("error", "t2"), "key", 36 * HOUR, ("view", "setup"))
 
 
+def recipe_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that orders read as edit recipes break: suppliers are assets, ship-flag tracks, lines operations that depend on the line before."""
+    rows, k = _segments(spark, sf_dir), F.col("l_partkey")
+    text = lambda c: c.cast("string")
+    recipes = rows.groupBy("l_orderkey").agg(F.sum("length").alias("duration"), F.min("l_partkey").alias("k"))
+    recipes = recipes.select("l_orderkey", "duration", F.when(F.col("k") % 61 != 0, F.col("k") % 59).alias("fps"), F.when(F.col("k") % 7 != 0, F.sha2(text(F.col("k")), 256)).otherwise("ab").alias("digest"))
+    assets = rows.where("idx <= 2").select("l_orderkey", F.concat(F.lit("a"), text(k % 5)).alias("id"), F.when(k % 31 != 0, F.lit("file")).alias("uri"), F.when(k % 3 != 0, k % 11).alias("s"), F.when(k % 3 != 0, k % 13).alias("e"))
+    tracks = rows.where("idx <> 1").select("l_orderkey", F.col("l_linestatus").alias("id"), F.when(k % 17 == 0, "smoke").otherwise("video").alias("type"), F.when(k % 19 != 0, F.col("idx")).alias("z")).dropDuplicates(["l_orderkey", "id", "type", "z"])
+    operations = rows.select(
+        "l_orderkey", F.concat(F.lit("o"), text(F.when(k % 43 == 0, 1).otherwise(F.col("idx")))).alias("id"), "role", F.when(k % 5 == 0, "uncertain").when(k % 41 == 0, "lost").otherwise("supported").alias("status"), (k % 9 - 1).alias("s"),
+        (k % 9 - 1 + k % 4).alias("e"), F.col("l_linestatus").alias("track"), (k % 23 / 20.0).alias("confidence"), F.when(k % 6 == 0, F.array().cast("array<string>")).when(k % 11 == 0, F.array(F.lit(""))).otherwise(F.array(F.lit("frame"))).alias("evidence"),
+        F.array(F.concat(F.lit("a"), text(k % 5))).alias("inputs"), F.when(F.col("idx") > 1, F.array(F.concat(F.lit("o"), text(F.when(k % 3 == 0, F.col("idx") + 1).otherwise(F.col("idx") - 1))))).otherwise(F.array().cast("array<string>")).alias("depends"),
+    ).withColumnRenamed("role", "type")
+    return rp.recipe_violations(recipes, assets, tracks, operations, "l_orderkey", ("setup", "twist"), ("twist",), ("video",))
+
+
 def percentile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ninetieth percentile of event values by user, by five rules."""
     rows = event_intervals(spark, sf_dir).select("key", F.floor((F.col("e") - F.col("s")) / MINUTE).alias("v"))
@@ -139,7 +155,7 @@ def grid_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        content_gates, identity_tiers, template_fit, template_report, library_summary, browse_arms, goal_recall, preflight_faults, plan_violations, template_violations, percentile_rules,
+        content_gates, identity_tiers, template_fit, template_report, library_summary, browse_arms, goal_recall, preflight_faults, plan_violations, template_violations, recipe_violations, percentile_rules,
         grid_differences,
     )
 }
@@ -216,6 +232,23 @@ x AS (SELECT g.key, g.id, min(abs(g.s - p.s)) AS far FROM g JOIN ivl p ON p.key
 c AS (SELECT key, count(*) AS n, count(DISTINCT role) AS k, min(role) AS role, any_value(d) AS d FROM v GROUP BY key), bt AS (SELECT a.key, a.id, min(abs(a.s - p.s)) AS far FROM ivl a LEFT JOIN ivl p ON p.key = a.key AND p.kind = 'error' WHERE a.kind = 'signup' GROUP BY 1, 2)
 {_rule("v", "interval", "NOT ok")} UNION ALL {_rule("g", "overlap", f"s < b - {36 * HOUR // 100}")} UNION ALL {_rule("g", "role", "role NOT IN ('view', 'setup')")} UNION ALL {_rule("x", "far from an edge", f"far > {18 * HOUR}")} UNION ALL {_rule("g", "gap", f"s - b > {18 * HOUR}")}
 UNION ALL {_rule("z", "tail", f"d - fin > {36 * HOUR}")} UNION ALL {_rule("c", "not divided", f"d > {216 * HOUR} AND n < 3")} UNION ALL {_rule("c", "one role", f"d > {216 * HOUR} AND k = 1 AND role IN ('setup', 'other')")} UNION ALL {_rule("bt", "beat", f"coalesce(far > {36 * HOUR // 20}, true)")}""",
+    "recipe_violations": f"""WITH RECURSIVE {_SEG}, rc AS (SELECT l_orderkey, sum(length) AS duration, min(l_partkey) AS k FROM seg GROUP BY 1),
+a AS (SELECT l_orderkey, 'a' || l_partkey % 5 AS id, l_partkey AS k FROM seg WHERE idx <= 2), t AS (SELECT DISTINCT l_orderkey, l_linestatus AS id, l_partkey % 17 = 0 AS bad, CASE WHEN l_partkey % 19 <> 0 THEN idx END AS z FROM seg WHERE idx <> 1),
+o AS (SELECT l_orderkey, 'o' || CASE WHEN l_partkey % 43 = 0 THEN 1 ELSE idx END AS id, idx, role, l_partkey AS k, l_linestatus AS track, CASE WHEN l_partkey % 5 = 0 THEN 'uncertain' WHEN l_partkey % 41 = 0 THEN 'lost' ELSE 'supported' END AS status,
+ 'a' || l_partkey % 5 AS input, CASE WHEN idx > 1 THEN 'o' || CASE WHEN l_partkey % 3 = 0 THEN idx + 1 ELSE idx - 1 END END AS dep FROM seg),
+ed AS (SELECT DISTINCT l_orderkey, id AS x, dep AS y FROM o WHERE dep IS NOT NULL AND (l_orderkey, dep) IN (SELECT (l_orderkey, id) FROM o)), reach AS (SELECT * FROM ed UNION SELECT r.l_orderkey, r.x, e.y FROM reach r JOIN ed e ON e.l_orderkey = r.l_orderkey AND e.x = r.y),
+v AS (SELECT l_orderkey, 'recipe' AS part, NULL AS id, unnest([CASE WHEN k % 61 = 0 OR k % 59 = 0 THEN 'fps' END, CASE WHEN k % 7 = 0 THEN 'digest' END]) AS violation FROM rc
+UNION ALL SELECT l_orderkey, 'asset', id, unnest([CASE WHEN k % 31 = 0 THEN 'no uri' END, CASE WHEN k % 3 <> 0 AND k % 13 <= k % 11 THEN 'range' END]) FROM a
+UNION ALL SELECT l_orderkey, 'track', id, unnest([CASE WHEN bad THEN 'type' END, CASE WHEN z IS NULL THEN 'no order' END]) FROM t
+UNION ALL SELECT o.l_orderkey, 'operation', id, unnest([CASE WHEN role = 'ending' THEN 'type' END, CASE WHEN status = 'lost' THEN 'status' END, CASE WHEN o.k % 9 < 1 OR o.k % 9 - 1 + o.k % 4 > duration THEN 'outside' END, CASE WHEN o.k % 4 = 0 AND role <> 'twist' THEN 'no length' END,
+ CASE WHEN o.k % 23 > 20 THEN 'confidence' END, CASE WHEN status = 'supported' AND o.k % 6 = 0 THEN 'no evidence' END, CASE WHEN o.k % 6 <> 0 AND o.k % 11 = 0 THEN 'no source' END]) FROM o JOIN rc USING (l_orderkey)
+UNION ALL SELECT l_orderkey, 'recipe', NULL, 'no tracks' FROM rc WHERE l_orderkey NOT IN (SELECT l_orderkey FROM t)
+UNION ALL SELECT l_orderkey, 'asset', id, 'repeated id' FROM a GROUP BY 1, 3 HAVING count(*) > 1 UNION ALL SELECT l_orderkey, 'track', id, 'repeated id' FROM t GROUP BY 1, 3 HAVING count(*) > 1 UNION ALL SELECT l_orderkey, 'operation', id, 'repeated id' FROM o GROUP BY 1, 3 HAVING count(*) > 1
+UNION ALL SELECT l_orderkey, 'operation', id, 'unknown track' FROM o WHERE (l_orderkey, track) NOT IN (SELECT (l_orderkey, id) FROM t)
+UNION ALL SELECT l_orderkey, 'operation', id, 'unknown input' FROM o WHERE (l_orderkey, input) NOT IN (SELECT (l_orderkey, id) FROM a)
+UNION ALL SELECT l_orderkey, 'operation', id, 'unknown dependency' FROM o WHERE dep IS NOT NULL AND (l_orderkey, dep) NOT IN (SELECT (l_orderkey, id) FROM o)
+UNION ALL SELECT l_orderkey, 'operation', x, 'cycle' FROM reach WHERE x = y)
+SELECT l_orderkey, part, id, violation, count(*) AS n FROM v WHERE violation IS NOT NULL GROUP BY 1, 2, 3, 4""",
     "percentile_rules": f"""{_IVL}, g AS (SELECT key, list(v ORDER BY v) AS l, count(*) AS n FROM (SELECT key, (e - s) // {MINUTE} AS v FROM ivl) GROUP BY key)
 SELECT key, l[CAST(round_even((n - 1) * 0.9::DOUBLE, 0) AS BIGINT) + 1] AS even, l[least(n - 1, n * 90 // 100) + 1] AS floor, l[n // 2 + 1] AS upper, round(l[(n - 1) * 90 // 100 + 1] + (l[least(n - 1, (n - 1) * 90 // 100 + 1) + 1] - l[(n - 1) * 90 // 100 + 1]) * ((n - 1) * 0.9::DOUBLE - (n - 1) * 90 // 100), 6) AS linear,
  l[greatest(0, CAST(ceil(n * 90 / 100.0::DOUBLE) AS BIGINT) - 1) + 1] AS ceil FROM g""",

@@ -97,3 +97,24 @@ def test_templates_and_arms(spark):
     assert pending["A"].duplicate_rate == 0.5 and pending["C"].candidates == 0 and pending["A"].diagnosis == "pending truth"
     truth = spark.createDataFrame([(1, 1, 11, 12, 0)], empty.schema)
     assert {r.arm: (r.recall, r.diagnosis) for r in rp.browse_arms(arms, truth, ["key"], ["A", "B", "C"], 1, 10).collect()} == {"A": (1.0, "mixed bottleneck"), "B": (0.0, "mixed bottleneck"), "C": (0.0, "mixed bottleneck")}
+
+
+def test_recipes_with_planted_faults(spark):
+    recipes = spark.createDataFrame([(1, 100, 25.0, "a" * 64), (2, 0, None, "short"), (3, 10, 1.0, "")], "k long, duration long, fps double, digest string")
+    assets = spark.createDataFrame([(1, "x", "file", None, None), (1, "y", " ", 5, 5), (1, "x", "file", 0, 9)], "k long, id string, uri string, s long, e long")
+    tracks = spark.createDataFrame([(1, "v", "video", 0), (3, "v", "fog", None)], "k long, id string, type string, z long")
+    kinds = "k long, id string, type string, status string, s long, e long, track string, confidence double, evidence array<string>, inputs array<string>, depends array<string>"
+    good = (1, "o1", "cut", "supported", 5, 5, "v", 1.0, ["frame"], ["x"], [])
+    bad = [
+        (1, "o2", "zoom", "supported", 5, 5, "v", 0.5, [], ["o1", "q"], ["o4"]), (1, "o3", "warp", "lost", -1, 101, "w", 1.5, [""], [], ["o9"]), (1, "o4", "zoom", "uncertain", None, 7, "v", None, None, None, ["o5"]),
+        (1, "o5", "zoom", "uncertain", 1, 7, "v", 0.0, None, None, ["o2"]), (3, "", "zoom", "uncertain", 1, 7, "v", 0.0, None, None, ["o2"]),
+    ]
+    got = rp.recipe_violations(recipes, assets, tracks, spark.createDataFrame([good, *bad], kinds), "k", ("cut", "zoom"), ("cut",), ("video", "audio"))
+    want = {
+        (1, "asset", "x", "repeated id"), (1, "asset", "y", "no uri"), (1, "asset", "y", "range"), (1, "operation", "o2", "no length"), (1, "operation", "o2", "no evidence"), (1, "operation", "o2", "unknown input"),
+        (1, "operation", "o3", "type"), (1, "operation", "o3", "status"), (1, "operation", "o3", "outside"), (1, "operation", "o3", "confidence"), (1, "operation", "o3", "no source"), (1, "operation", "o3", "unknown track"),
+        (1, "operation", "o3", "unknown dependency"), (1, "operation", "o4", "interval"), (1, "operation", "o4", "confidence"), *((1, "operation", f"o{i}", "cycle") for i in (2, 4, 5)),
+        (2, "recipe", None, "duration"), (2, "recipe", None, "fps"), (2, "recipe", None, "digest"), (2, "recipe", None, "no tracks"), (3, "track", "v", "type"), (3, "track", "v", "no order"), (3, "operation", "", "no id"),
+        (3, "operation", "", "unknown dependency"),
+    }
+    assert {(r.k, r.part, r.id, r.violation) for r in got.collect()} == want
