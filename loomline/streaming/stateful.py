@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _waiting(ids: list[int], times: list[int], tags: list[str], chunks: Iterator[pd.DataFrame], mark: int) -> tuple[list[tuple], list[tuple]]:
-    """(rows that no later one can precede, rows that still wait), each in order of (time, id); rows behind the watermark are late and left out."""
+    """(rows that no later one can precede, rows that still wait), each in order of (time, id); rows behind the watermark are late and left out, as Spark itself does with those at it."""
     rows = list(zip(times, ids, tags, strict=True))
     for chunk in chunks:
         rows += [(t, i, g) for i, t, g in zip(chunk["id"].tolist(), chunk["t"].tolist(), chunk["tag"].tolist(), strict=True) if t >= mark]
