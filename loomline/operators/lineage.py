@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,6 +125,73 @@ def on_cycle(edges: DataFrame) -> DataFrame:
     return known.select("node").unionByName(loops).distinct()
 
 
+SMALL = 1000  # edges of one key up to which its graph is searched as one row
+
+
+def _circles(src: list[str], dst: list[str]) -> list[str]:
+    """Nodes of one small graph that reach themselves: Tarjan's strongly connected parts, with a stack in place of recursion."""
+    out: dict[str, list[str]] = {}
+    for a, b in zip(src, dst, strict=True):
+        out.setdefault(a, []).append(b)
+    number, low, open_, waiting, found = {}, {}, set(), [], {a for a, b in zip(src, dst, strict=True) if a == b}
+    for root in out:
+        if root in number:
+            continue
+        stack = [(root, iter(out[root]))]
+        number[root] = low[root] = len(number)
+        waiting.append(root)
+        open_.add(root)
+        while stack:
+            node, ahead = stack[-1]
+            step = next(ahead, None)
+            if step is None:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
+                if low[node] == number[node]:
+                    part = waiting[waiting.index(node):]
+                    del waiting[-len(part):]
+                    open_.difference_update(part)
+                    found.update(part if len(part) > 1 else ())
+            elif step not in number:
+                number[step] = low[step] = len(number)
+                waiting.append(step)
+                open_.add(step)
+                stack.append((step, iter(out.get(step, ()))))
+            elif step in open_:
+                low[node] = min(low[node], number[step])
+    return sorted(found)
+
+
+def _search_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, src, dst), both arrays of strings -> (key, node)."""
+    for batch in batches:
+        keys, src, dst = batch.columns
+        at, a, b = src.offsets.to_pylist(), src.values.to_pylist(), dst.values.to_pylist()
+        nodes = [_circles(a[i:j], b[i:j]) for i, j in zip(at, at[1:])]
+        rows = np.repeat(np.arange(len(nodes)), [len(n) for n in nodes])
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array([x for n in nodes for x in n], pa.string())], ["key", "node"])
+
+
+def on_cycle_by(edges: DataFrame, key: str, most: int = SMALL) -> DataFrame:
+    """``on_cycle`` for graphs that no edge leaves: edges (``key``, src, dst), src and dst strings; returns (``key``, node).
+
+    The graph of a key of up to ``most`` edges is one row and is searched where it lies, so that many small graphs cost one pass; those of more go through ``on_cycle``.
+    """
+    edges = edges.select(key, "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    large = durable(edges.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col(key).alias("_key")), "large-graphs")
+    is_large, some = F.col(key).eqNullSafe(F.col("_key")), not large.isEmpty()
+    small = edges.join(large, is_large, "left_anti") if some else edges
+    rows = small.groupBy(key).agg(F.collect_set(F.struct("src", "dst")).alias("e")).select(F.col(key).alias("key"), F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
+    kind = edges.schema[key].dataType.simpleString()
+    found = rows.mapInArrow(_search_small, f"key {kind}, node string").withColumnRenamed("key", key)
+    if not some:
+        return found
+    node = lambda c: F.struct(F.col(key).alias("key"), F.col(c).alias("id"))
+    rest = on_cycle(edges.join(large, is_large, "left_semi").select(node("src").alias("src"), node("dst").alias("dst")))
+    return found.unionByName(rest.select(F.col("node.key").alias(key), F.col("node.id").alias("node")))
+
+
 def effective_status(versions: DataFrame, deps: DataFrame) -> DataFrame:
     """committed only if the node is and everything upstream is; else stale (or its own status)."""
     bad = versions.where("status <> 'committed'").select("node")

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from loomline.functions.wording import titles_agree
 from loomline.operators.intervals import merge_within, nearest, overlap_join
-from loomline.operators.lineage import on_cycle
+from loomline.operators.lineage import on_cycle_by
 from loomline.operators.tables import durable, numbered, running
 
 #: Roles of a story in their order, statuses of its slots, and a title in a file's name (fixed values).
@@ -242,7 +242,7 @@ def recipe_violations(recipes: DataFrame, assets: DataFrame, tracks: DataFrame,
 
     ``recipes``: key, duration, fps, digest; ``assets``: key, id, uri, s, e (a range may be null); ``tracks``: key, id, type, z; ``operations``: key, id, type, status, s, e, track, confidence, evidence (array of
     sources), inputs, depends (arrays of ids). Ids are there and stand once; types and statuses are known; intervals lie in the recipe and last, but for ``points``; tracks, inputs (assets or operations) and dependencies
-    exist, by anti joins; a supported operation has evidence, each with a source; no operation depends on itself by any way, by ``on_cycle``.
+    exist: ids are counted once, and all references meet the counts in one join; a supported operation has evidence, each with a source; no operation depends on itself by any way, by ``on_cycle_by``.
     """
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
 
@@ -250,18 +250,21 @@ def recipe_violations(recipes: DataFrame, assets: DataFrame, tracks: DataFrame,
         names = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules.items())))
         return df.select(key, F.lit(part).alias("part"), name.cast("string").alias("id"), F.explode(names).alias("violation"))
 
-    def repeated(df: DataFrame, part: str) -> DataFrame:
-        counts = df.where(~blank(F.col("id"))).groupBy(key, "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return counts.select(key, F.lit(part).alias("part"), "id", F.lit("repeated id").alias("violation"))
+    def defined(df: DataFrame, part: str) -> DataFrame:
+        return df.select(key, F.col("id").cast("string").alias("id"), *(F.lit(int(p == part)).alias(p) for p in places))
 
+    def refs(df: DataFrame, ref: Column, why: str, *there: str) -> DataFrame:
+        return df.select(key, ref.alias("id"), F.col("id").cast("string").alias("of"), F.lit(why).alias("why"), F.array(*map(F.lit, there)).alias("there"))
+
+    places = ("asset", "track", "operation")
     ops = operations.join(recipes.select(key, "duration"), key)
-    ids = operations.select(key, "id").distinct()
-    known = ids.unionByName(assets.select(key, "id")).distinct()
-    of = lambda c, out: operations.select(key, F.col("id").alias("of"), F.explode(c).alias(out))
-    depends, inputs = of("depends", "id"), of("inputs", "id")
-    lost = lambda refs, there, why: refs.join(there, [key, "id"], "left_anti").select(key, F.lit("operation").alias("part"), F.col("of").alias("id"), F.lit(why).alias("violation"))
-    node = lambda c: F.struct(F.col(key), F.col(c).alias("id"))
-    circles = on_cycle(depends.join(ids, [key, "id"], "left_semi").select(node("of").alias("src"), node("id").alias("dst")))
+    ids = reduce(DataFrame.unionByName, (defined(df, part) for df, part in ((assets, "asset"), (tracks, "track"), (operations, "operation"))))
+    ids = ids.groupBy(key, "id").agg(*(F.sum(p).alias(p) for p in places))
+    asked = refs(operations, F.col("track").cast("string"), "unknown track", "track").unionByName(refs(operations, F.explode(F.col("inputs").cast("array<string>")), "unknown input", "asset", "operation")).unionByName(refs(operations, F.explode(F.col("depends").cast("array<string>")), "unknown dependency", "operation"))
+    there = reduce(Column.__or__, (F.array_contains("there", p) & (F.coalesce(F.col(p), F.lit(0)) > 0) for p in places))
+    lost = asked.join(ids, [key, "id"], "left").where(~there).select(key, F.lit("operation").alias("part"), F.col("of").alias("id"), F.col("why").alias("violation"))
+    repeated = ids.where(~blank(F.col("id"))).select(key, F.explode(F.array_compact(F.array(*(F.when(F.col(p) > 1, p) for p in places)))).alias("part"), "id", F.lit("repeated id").alias("violation"))
+    circles = on_cycle_by(operations.select(key, F.col("id").cast("string").alias("src"), F.explode(F.col("depends").cast("array<string>")).alias("dst")), key)
     starts, ends = F.col("s"), F.col("e")
     parts = [
         rows(recipes, "recipe", F.lit(None), {"duration": F.coalesce(F.col("duration") <= 0, F.lit(True)), "fps": F.coalesce(F.col("fps") <= 0, F.lit(True)), "digest": F.col("digest").isNull() | ((F.col("digest") != "") & (F.length("digest") != 64))}),
@@ -274,9 +277,7 @@ def recipe_violations(recipes: DataFrame, assets: DataFrame, tracks: DataFrame,
             "no source": F.exists("evidence", lambda x: blank(x)),
         }),
         recipes.join(tracks.select(key).distinct(), key, "left_anti").select(key, F.lit("recipe").alias("part"), F.lit(None).cast("string").alias("id"), F.lit("no tracks").alias("violation")),
-        repeated(assets, "asset"), repeated(tracks, "track"), repeated(operations, "operation"),
-        operations.join(tracks.select(key, F.col("id").alias("track")).distinct(), [key, "track"], "left_anti").select(key, F.lit("operation").alias("part"), "id", F.lit("unknown track").alias("violation")),
-        lost(inputs, known, "unknown input"), lost(depends, ids, "unknown dependency"), circles.select(f"node.{key}", F.lit("operation").alias("part"), "node.id", F.lit("cycle").alias("violation")),
+        repeated, lost, circles.select(key, F.lit("operation").alias("part"), F.col("node").alias("id"), F.lit("cycle").alias("violation")),
     ]
     return reduce(DataFrame.unionByName, parts).groupBy(key, "part", "id", "violation").agg(F.count(F.lit(1)).alias("n"))
 

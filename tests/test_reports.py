@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.operators import lineage as li
 from loomline.operators import reports as rp
 
 
@@ -118,3 +119,33 @@ def test_recipes_with_planted_faults(spark):
         (3, "operation", "", "unknown dependency"),
     }
     assert {(r.k, r.part, r.id, r.violation) for r in got.collect()} == want
+
+
+def test_many_small_graphs_are_searched_as_rows(spark, monkeypatch):
+    """Graphs of at most ``most`` edges never start the search by rounds; larger ones do; both agree with reachability."""
+    r = random.Random(5)
+    edges, want = [], set()
+    for k in range(60):
+        m = 40 if k % 20 == 0 else r.randint(1, 9)
+        mine = [(f"o{r.randrange(m)}", f"o{r.randrange(m)}") for _ in range(m)]
+        edges += [(k, a, b) for a, b in mine]
+        reach = {x: {b for a, b in mine if a == x} for p in mine for x in p}
+        for _ in reach:
+            reach = {x: y | {c for b in y for c in reach[b]} for x, y in reach.items()}
+        want |= {(k, x) for x in reach if x in reach[x]}
+    df = spark.createDataFrame([*edges, (99, None, "o1"), (99, "o1", None)], "k long, src string, dst string")
+    assert {tuple(x) for x in li.on_cycle_by(df, "k", 20).collect()} == want
+    monkeypatch.setattr(li, "on_cycle", lambda edges: pytest.fail("rounds for small graphs"))
+    got = [tuple(x) for x in li.on_cycle_by(df, "k", 40).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_recipes_of_small_graphs_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(li, "on_cycle", lambda edges: pytest.fail("rounds for small graphs"))
+    monkeypatch.setattr(rp, "on_cycle", lambda edges: pytest.fail("rounds for small graphs"), raising=False)
+    recipes = spark.createDataFrame([(1, 10, 25.0, "")], "k long, duration long, fps double, digest string")
+    none = spark.createDataFrame([], "k long, id string, uri string, s long, e long, type string, z long")
+    kinds = "k long, id string, type string, status string, s long, e long, track string, confidence double, evidence array<string>, inputs array<string>, depends array<string>"
+    ops = spark.createDataFrame([(1, f"o{i}", "cut", "uncertain", 1, 2, None, 1.0, ["x"], [], [f"o{3 - i}"]) for i in (1, 2)], kinds)
+    got = rp.recipe_violations(recipes, none, none, ops, "k", ("cut",), (), ("video",))
+    assert {(r.id, r.violation) for r in got.collect()} == {("o1", "cycle"), ("o2", "cycle"), ("o1", "unknown track"), ("o2", "unknown track"), (None, "no tracks")}
