@@ -14,30 +14,54 @@ from pyspark.sql.window import Window
 from loomline.operators.tables import durable, numbered
 
 QUERY_BLOCK = 1024  # queries broadcast at a time; a block's size is bounded by this and the dimension
+ROW_BLOCK = 512  # rows scored at a time in a task
+
+
+def _padded(matrix: np.ndarray, n: int) -> np.ndarray:
+    """``matrix`` with rows of zeros up to ``n``, so that equal vectors give equal products wherever they stand."""
+    return np.concatenate([matrix, np.zeros((n - len(matrix), matrix.shape[1]))]) if len(matrix) < n else matrix
+
+
+def _best(qs: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best triples of each query, best first, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, qs))
+    qs, ids, scores = qs[order], ids[order], scores[order]
+    first = np.searchsorted(qs, qs)
+    keep = np.arange(len(qs)) - first < k
+    return qs[keep], ids[keep], scores[keep]
 
 
 def _block_scores(queries: Broadcast, k: int, bonus: Callable | None, least: float | None, digits: int | None):
-    """Rows (id, embedding, tags...) -> each task's ``k`` best (qid, id, score) of every query of the block."""
+    """Rows (id, embedding, tags...) -> each task's ``k`` best (qid, id, score) of every query of the block.
+
+    Scores stand for ``ROW_BLOCK`` rows at a time, however large a batch is; of those only the ones that reach a query's k-th best are sorted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, wanted = queries.value
-        best_score, best_id = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            vectors = batch.column(1)
-            dim = matrix.shape[1]
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            tags = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names[2:]}
-            score = matrix @ flat.T
+        n, dim = matrix.shape
+        matrix = _padded(matrix, -(-n // 64) * 64)
+        wanted = {name: c[:, None] for name, c in wanted.items()}
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        bar = np.full(n, -np.inf)  # the k-th best score of each query, once there are k
+        for batch in (b.slice(i, ROW_BLOCK) for b in batches for i in range(0, b.num_rows, ROW_BLOCK)):
+            rows = batch.num_rows
+            flat = _padded(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim), ROW_BLOCK)
+            score = (matrix @ flat.T)[:n, :rows]
             if bonus is not None:
-                score = score + bonus(tags, {n: c[:, None] for n, c in wanted.items()})
+                score = score + bonus({name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names[2:]}, wanted)
             if digits is not None:
                 score = np.round(score, digits)
-            best_score = np.concatenate([best_score, score], axis=1)
-            best_id = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), score.shape)], axis=1)
-            order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
-        keep = np.ones(best_score.shape, bool) if least is None else best_score >= least
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_score.shape[1])[keep.ravel()]), pa.array(best_id[keep]), pa.array(best_score[keep])], ["qid", "id", "score"])
+            score = np.where(np.isnan(score), -np.inf, score)
+            reach = np.maximum(bar, np.partition(score, rows - k, axis=1)[:, rows - k]) if rows > k else bar
+            if least is not None:
+                reach = np.maximum(reach, least)
+            q, r = np.nonzero(score >= reach[:, None])
+            found = q, batch.column(0).to_numpy()[r], score[q, r]
+            best = _best(*(np.concatenate(pair) for pair in zip(best, found, strict=True)), k)
+            full = np.flatnonzero(np.bincount(best[0], minlength=n) == k)
+            bar[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["qid", "id", "score"])
 
     return run
 

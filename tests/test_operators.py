@@ -1,7 +1,10 @@
 """Operators on hand-made rows, with slow models of the greedy folds."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +210,30 @@ def test_numbering_without_one_task(spark):
     assert sorted((r.v, r.pos) for r in got) == [(v, 100 - v) for v in range(101)]
 
 
+def test_scores_of_a_batch_stand_for_bounded_blocks():
+    """A batch of twenty thousand rows never has all its scores in memory; ties across blocks, thresholds and missing numbers keep their order."""
+    r = np.random.default_rng(4)
+    n, dim, asked = 20_000, 8, 200
+    vectors = np.round(r.normal(size=(n, dim)), 1)
+    vectors[7::500] = vectors[7]
+    vectors[19_990, 0] = np.nan
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)[::-1].copy()), pa.array(list(vectors.tolist())), pa.array(np.arange(n) % 3)], ["id", "embedding", "tag"])
+    queries = np.vstack([vectors[7:8], vectors[:asked - 1]])
+    value = type("B", (), {"value": (np.arange(asked), queries, {"wanted": np.arange(asked) % 3})})
+    bonus = lambda row, query: 0.5 * (row["tag"] == query["wanted"])
+    for k, least in ((5, None), (3, 6.0)):
+        tracemalloc.start()
+        (out,) = retrieval._block_scores(value, k, bonus, least, 4)(iter([batch, batch.slice(0, 0)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < n * asked * 8
+        got = list(zip(*(c.to_pylist() for c in out.columns)))
+        score = np.round(queries @ vectors.T + bonus({"tag": np.arange(n) % 3}, {"wanted": (np.arange(asked) % 3)[:, None]}), 4)
+        for q in (0, 1, 8, 150):
+            best = sorted((-s, n - 1 - i) for i, s in enumerate(score[q].tolist()) if not np.isnan(s) and (least is None or s >= least))[:k]
+            assert [(i, s) for qq, i, s in got if qq == q] == [(i, -s) for s, i in best]
+
+
 def test_cosine_top_k_equals_all_pairs(spark):
     r = random.Random(8)
     vectors = [(i, [r.uniform(-1, 1) for _ in range(6)], i % 3) for i in range(90)]
