@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.operators.tables import durable
+from loomline.operators.tables import durable, numbered
 
 Z95 = 1.959964
 
@@ -70,25 +75,41 @@ def three_state(low: Column, high: Column, threshold: float, false_merges: Colum
     return F.when((false_merges > 0) | (high < threshold), "FAIL").when(low >= threshold, "PASS").otherwise("INSUFFICIENT_EVIDENCE")
 
 
-REVIEWED = 100_000  # rows of a reviewed sample at most
+NEAR = 2_000_000  # rows up to which the values that draws look up are broadcast
+DRAWS = 4_000_000  # draws of one task
+
+
+def _draws(replicates: int):
+    """Rows (stratum, its name, size, pos) -> (b, stratum, pos drawn), a batch a replicate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stratum, name, size, pos = batch.columns
+            tails, sizes = [f"/{s}/{p}".encode() for s, p in zip(name.to_pylist(), pos.to_pylist(), strict=True)], size.to_numpy()
+            for b in range(replicates):
+                head = str(b).encode()
+                marks = np.frombuffer(b"".join([md5(head + t).digest() for t in tails]), ">u4")[::4].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(marks), b)), stratum, pa.array(marks % sizes)], ["b", "stratum", "pos"])
+
+    return run
 
 
-def bootstrap_interval(rows: DataFrame, replicates: int = 2000, most: int = REVIEWED) -> DataFrame:
+def bootstrap_interval(rows: DataFrame, replicates: int = 2000) -> DataFrame:
     """Interval of a weighted ratio by resampling within strata, widened to Wilson's.
 
-    ``rows``: a reviewed sample (id, stratum, weight, num, den), as ``stratified_sample`` draws it, of ``most`` rows at most, else it fails. Every replicate draws as many rows of each stratum, with
+    ``rows``: (id, stratum, weight, num, den), of any number. Every replicate draws as many rows of each stratum, with
     replacement, as it has: draw j of replicate b takes the row at md5(b/stratum/j) modulo the stratum's size. Bounds are the sorted ratios at
-    .025 n - 1 and .975 n; Wilson's interval at Kish's size keeps an all-success sample from claiming certainty. The work is rows x replicates.
+    .025 n - 1 and .975 n; Wilson's interval at Kish's size keeps an all-success sample from claiming certainty. The work is rows x replicates, dealt out in tasks of ``DRAWS``; places
+    are ranges, so that a stratum is many tasks, and the values of up to ``NEAR`` rows, which are counted first, are broadcast.
     """
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows: bootstrap a stratified sample")
-    place = Window.partitionBy("stratum").orderBy("id")
-    sized = rows.withColumn("pos", (F.row_number().over(place) - 1).cast("long")).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("stratum")))
-    sized = durable(sized, "bootstrap")
-    dealt = sized.select("stratum", "size", "pos", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    mark = F.md5(F.concat_ws("/", F.col("b").cast("string"), F.col("stratum").cast("string"), F.col("pos").cast("string")))
-    drawn = dealt.select("b", "stratum", (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % F.col("size")).alias("pos"))
-    hit = drawn.join(sized.select("stratum", "pos", (F.col("weight") * F.col("num")).alias("n"), (F.col("weight") * F.col("den")).alias("d")), ["stratum", "pos"])
+    placed = durable(numbered(rows, [F.col("stratum"), F.col("id")]), "bootstrap-rows")
+    strata = placed.groupBy("stratum").agg(F.min("pos").alias("_from"), F.count(F.lit(1)).alias("size"))
+    sized = durable(placed.join(F.broadcast(strata), "stratum").withColumn("pos", F.col("pos") - F.col("_from")).drop("_from"), "bootstrap")
+    n = sized.count()
+    dealt = sized.select("stratum", F.col("stratum").cast("string").alias("name"), F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos")).repartition(max(1, n * replicates // DRAWS))
+    drawn = dealt.mapInArrow(_draws(replicates), f"b long, stratum {sized.schema['stratum'].dataType.simpleString()}, pos long")
+    values = sized.select("stratum", "pos", (F.col("weight") * F.col("num")).alias("n"), (F.col("weight") * F.col("den")).alias("d"))
+    hit = drawn.join(F.broadcast(values) if n <= NEAR else values, ["stratum", "pos"])
     ratios = hit.groupBy("b").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).where("d > 0")
     boot = ratios.agg(F.array_sort(F.collect_list(F.col("n") / F.col("d"))).alias("r"))
     w = F.col("weight") * F.col("den")

@@ -1,5 +1,6 @@
 """Operators on hand-made rows, with slow models of the greedy folds."""
 
+import hashlib
 import random
 import tracemalloc
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as tx
 from loomline.functions import wording
 from loomline.operators import evaluation, evidence, folds, intervals, lineage, ranking, retrieval, rules, series, tables
+from loomline.plans import evaluation as plans
 
 
 def rows(df):
@@ -210,6 +212,28 @@ def test_numbering_without_one_task(spark):
     assert sorted((r.v, r.pos) for r in got) == [(v, 100 - v) for v in range(101)]
 
 
+def test_bootstrap_takes_every_row(spark):
+    """More rows than a reviewed sample has, in two strata; draws follow md5, so a slow model gives the same bounds. The query's SQL draws no sample."""
+    big = spark.range(0, 100_001).selectExpr("id", "id % 2 AS stratum", "1.0D AS weight", "id % 4 AS num", "3 AS den")
+    assert evaluation.bootstrap_interval(big, 2).first().estimate == pytest.approx(149_999 / 300_003, abs=1e-5)
+    data = [(i, i % 3 // 2, 1.0 + i % 3 // 2, i % 5 // 2, 2) for i in range(60)]
+    ratios = []
+    for b in range(40):
+        n = d = 0
+        for stratum in (0, 1):
+            mine = [x for x in data if x[1] == stratum]
+            drawn = [mine[int(hashlib.md5(f"{b}/{stratum}/{j}".encode()).hexdigest()[:8], 16) % len(mine)] for j in range(len(mine))]
+            n, d = n + sum(x[2] * x[3] for x in drawn), d + sum(x[2] * x[4] for x in drawn)
+        ratios.append(n / d)
+    for near in (evaluation.NEAR, 10):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(evaluation, "NEAR", near)
+            got = evaluation.bootstrap_interval(spark.createDataFrame(data, "id long, stratum int, weight double, num int, den int"), 40).first()
+        assert got.low <= sorted(ratios)[0] and got.high >= sorted(ratios)[39]
+        assert got.estimate == pytest.approx(sum(x[2] * x[3] for x in data) / sum(x[2] * x[4] for x in data))
+    assert "draw <=" not in plans.ORACLE_SQL["bootstrap_ci"]
+
+
 def test_scores_of_a_batch_stand_for_bounded_blocks():
     """A batch of twenty thousand rows never has all its scores in memory; ties across blocks, thresholds and missing numbers keep their order."""
     r = np.random.default_rng(4)
