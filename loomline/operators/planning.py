@@ -47,6 +47,8 @@ def assign_slots(fits: DataFrame, slots: DataFrame, keys: list[str], most: int,
     """
     if (slots.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > most:
         raise ValueError(f"a plan has more than {most} slots")
+    bars = slots.groupBy("slot").agg(F.min("threshold").alias("_bar"))  # what reaches no plan's threshold is not sent
+    fits = fits.join(F.broadcast(bars), "slot").where(F.col("fit") >= F.col("_bar")).select(fits.columns)
     joined = fits.join(slots, [*keys, "slot"]).where(F.col("fit") >= F.col("threshold"))
     allowed = F.array_contains("forms", F.col("form"))
     counts = joined.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("n_fit"), F.count_if(~allowed).alias("n_form"))

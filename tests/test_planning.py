@@ -364,3 +364,10 @@ def test_table_function_in_sql(spark):
     register_table_functions(spark)
     assert [tuple(x) for x in spark.sql("SELECT * FROM loom_windows(5, 5, 2, 1)").collect()] == []
     assert [tuple(x) for x in spark.sql("SELECT * FROM loom_windows(5, 6, 20, 1)").collect()] == [(0, 5, 6)]
+
+
+def test_fits_below_every_threshold_are_dropped_before_the_join(spark):
+    from loomline.plans import planning as plans
+
+    plan = plans.slot_assignment(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "fit" in plan and ">= _bar" in plan
