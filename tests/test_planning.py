@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from loomline.functions.registered import REGISTRY, Registry, Skill, SkillBlocked, register_table_functions
 from loomline.operators import observation as ob
 from loomline.operators import planning as pl
-from loomline.streaming.stateful import run_appended, stream_min_spacing
+from loomline.streaming.stateful import GROUPS, run_appended, stream_min_spacing, stream_stalls
 
 SLOT = "plan long, slot long, threshold long, forms array<string>, grp string, required boolean, fusable boolean, modes array<string>"
 FIT = "plan long, slot long, id long, fit long, form string, subject long, strength long, confidence long, s long, e long, box_s long, box_e long"
@@ -325,6 +326,26 @@ def test_late_rows_are_left_out_and_state_goes(spark, tmp_path):
     assert sorted(r.id for r in kept.collect()) == [1, 3, 6, 7]
 
 
+def test_stream_state_is_a_row_for_many_keys(spark, tmp_path):
+    """Rows of state and calls are bounded by the groups, not by the keys; a null key and one beyond 2^53 keep their own."""
+    keys = [None, (1 << 60) + 1, (1 << 60) + 2, *range(2 * GROUPS)]
+    rows = [(n * 10 + j, k, datetime(2024, 1, 1, 3 * j), "ab"[j // 2 if k in keys[:2] else j % 2]) for n, k in enumerate(keys) for j in range(3)]
+    frame = spark.createDataFrame(rows, "id long, user long, ts timestamp, kind string")
+    frame.write.parquet(str(tmp_path / "in/0"))
+    spark.createDataFrame([(-1, -1, datetime(2025, 1, 1), "end")], frame.schema).write.parquet(str(tmp_path / "in/1"))
+
+    def told(op, name):
+        stream = spark.readStream.schema(frame.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")).withWatermark("ts", "4 hours")
+        q = op(stream).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= GROUPS
+        return spark.table(name).collect()
+
+    kept = {(r.user, r.id) for r in told(lambda x: stream_min_spacing(x, "user", 5 * 3_600_000_000), "spaced")}
+    assert kept == {(k, n * 10 + j) for n, k in enumerate(keys) for j in (0, 2)}
+    assert {(r.user, r.stalled_at) for r in told(lambda x: stream_stalls(x, "user", "kind", 2), "stalled")} == {(None, 1), (keys[1], 11)}
+
+
 def test_skills_fail_before_any_job(spark):
     spans = spark.createDataFrame([(1, 0, 10, 4, 1)], "key long, lo long, hi long, width long, shared long")
     states = {"spans": "committed"}
