@@ -10,7 +10,7 @@ from loomline.llm.decontamination import drop_contaminated
 from loomline.llm.language import keep_identified, train_language_model
 from loomline.llm.mixing import mixed_documents
 from loomline.llm.neardup import near_duplicates
-from loomline.llm.scratch import durable, new_path
+from loomline.llm.scratch import durable, may_match, new_path
 from loomline.llm.store import read_digests, write_store
 
 
@@ -25,8 +25,10 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A row goes by its id and its text together, so another text under a repeated id stays; rows with a null id stay, and equal rows stay or go together.
     """
     found = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct()
-    text = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(durable(found, "pipeline-gone"), (F.col("doc_id") == F.col("gone")) & (text == F.col("gone_text")), "left_anti")
+    gone = durable(found, "pipeline-gone")
+    marked, text = may_match(docs, F.col("doc_id"), gone, "gone"), F.xxhash64(F.col("text").cast("string"))
+    asked = marked.where("may_match").join(gone.hint("merge"), (F.col("doc_id") == F.col("gone")) & (text == F.col("gone_text")), "left_anti")
+    return marked.where("not may_match").unionByName(asked).select(*docs.columns)  # only texts under an id that may go are shuffled
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.components import connected_components
-from loomline.llm.scratch import durable
+from loomline.llm.scratch import durable, may_match
 from loomline.llm.textblocks import U64, blocks, list_array, mix, shingle_sets, utf8
 
 BLOCK = 256  # texts on each side of a verification task
@@ -257,7 +257,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     members = durable(members.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / size_step).cast("int")), "dup-members")
     total = members.groupBy("component").agg(F.count(F.lit(1)).alias("total"))
     placed = members.join(total, "component").select(F.col("node").alias("id"), "component", "total", "level")
-    sets = placed.hint("merge").join(table, "id").select("id", "component", "total", "level", "text")
+    asked = may_match(table, F.col("id"), members, "node").where("may_match").drop("may_match")  # most texts are in no cluster and stay where they are
+    sets = placed.hint("merge").join(asked, "id").select("id", "component", "total", "level", "text")
     sets = durable(sets.mapInArrow(_sets(shingle), "id long, component long, total long, level int, shingles array<long>"), "dup-sets")
     links = _links(sets.where(F.col("total") <= BLOCK).select(F.col("component").cast("string").alias("task"), F.lit("").alias("side"), "id", "shingles"), percent)
     large = sets.where(F.col("total") > BLOCK).select("id", "component", "level", "shingles")

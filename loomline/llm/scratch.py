@@ -37,6 +37,21 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+CELLS = 1 << 22  # of a table that tells which keys may be there: 65,536 rows of 64 cells at most, whatever the input
+
+
+def may_match(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """Add ``may_match`` to ``df``: false where ``key`` is surely not in the column ``name`` of ``keys``, so that such rows need no join and no shuffle.
+
+    Keys fall into ``CELLS`` cells by hash, 64 to a row, and the rows are broadcast: their number is bounded. A cell may hold other keys too, so what may match goes on to an exact join.
+    """
+    cell, bit = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)), F.expr("cast(_cell & 63 as int)")
+    full = keys.select(cell(F.col(name).cast("long")).alias("_cell")).groupBy(F.shiftright("_cell", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    here = df.withColumn("_cell", cell(key.cast("long"))).withColumn("_word", F.shiftright("_cell", 6)).join(F.broadcast(full), "_word", "left")
+    there = F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1
+    return here.withColumn("may_match", F.coalesce(there, F.lit(False))).drop("_cell", "_word", "_bits")
+
+
 def in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Range-partition a narrow table by ``order`` and add ``pos``, each row's index in that order.
 

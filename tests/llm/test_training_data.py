@@ -999,3 +999,15 @@ def test_language_accuracy_by_known_share(spark, share):
     model = language.train_language_model(docs.where(fold != 1), known_share=share)
     rows = language.identify_language(docs.where(fold == 1), model).join(docs.where("lang IS NOT NULL"), "doc_id").select("lang", "lang_pred").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.99 * len(rows)
+
+
+def test_only_rows_that_may_match_are_shuffled(spark):
+    """No key that is there is screened out, nearly all others are, and the table that is broadcast is bounded."""
+    from loomline.llm.scratch import CELLS, may_match
+
+    df = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.lit("x").alias("text"))
+    keys = df.where("id % 10 = 3").select(F.col("id").alias("k"))
+    got = {r.id: r.may_match for r in may_match(df, F.col("id"), keys, "k").collect()}
+    assert len(got) == 20_000 and all(got[k] for k in range(3, 20_000, 10))
+    assert sum(got.values()) < 2_000 + 100 and CELLS // 64 == 65_536
+    assert not any(r.may_match for r in may_match(df, F.col("id"), keys.limit(0), "k").collect())
