@@ -189,9 +189,10 @@ def search_in_layers(asks: DataFrame, layers: list[Callable[[DataFrame], DataFra
     found, left = [], asks
     walls = blocked.select("ask", "source", (F.col("s2") - radius).alias("s2"), (F.col("e2") + radius).alias("e2"))
     for number, layer in enumerate(layers, 1):
-        rows = layer(left).select("ask", "source", "id", "s", "e", "score")
+        rows = durable(layer(left).select("ask", "source", "id", "s", "e", "score"), "search-rows")
         grown = rows.select("ask", "source", "id", (F.col("s") - radius).alias("s"), (F.col("e") + radius).alias("e"))
-        near = overlap_join(grown, walls, ["ask", "source"], width).select("ask", "source", "id").distinct()
+        near_walls = walls.join(rows.select("ask").distinct(), "ask", "left_semi")  # only asks that this layer has candidates for
+        near = overlap_join(grown, near_walls, ["ask", "source"], width).select("ask", "source", "id").distinct()
         free = rows.join(near, ["ask", "source", "id"], "left_anti")
         best = free.groupBy("ask").agg(F.min_by(F.struct("source", "id", "s", "e", "score"), F.struct((-F.col("score")).alias("k"), "s", "id")).alias("b"))
         served = durable(best.select("ask", F.lit(number).cast("long").alias("layer"), "b.*"), "search-layer")

@@ -346,6 +346,19 @@ def test_stream_state_is_a_row_for_many_keys(spark, tmp_path):
     assert {(r.user, r.stalled_at) for r in told(lambda x: stream_stalls(x, "user", "kind", 2), "stalled")} == {(None, 1), (keys[1], 11)}
 
 
+def test_layers_meet_walls_of_asks_with_candidates_only(spark, monkeypatch):
+    """Places taken go into a layer's join only for asks that have a candidate in it."""
+    met, real = [], pl.overlap_join
+    monkeypatch.setattr(pl, "overlap_join", lambda left, right, keys, width: met.append({r.ask for r in right.collect()}) or real(left, right, keys, width))
+    asks = spark.createDataFrame([(k,) for k in range(4)], "ask long")
+    kind = "ask long, source long, id long, s long, e long, score long"
+    layers = [lambda a, rows=rows: spark.createDataFrame(rows, kind).join(a, "ask") for rows in ([(0, 7, 1, 0, 5, 1), (1, 7, 2, 0, 5, 1)], [(1, 7, 3, 90, 95, 1), (2, 7, 4, 50, 55, 1)])]
+    blocked = spark.createDataFrame([(k, 7, 2, 3) for k in (1, 2, 3)], "ask long, source long, s2 long, e2 long")
+    got = {r.ask: (r.layer, r.id) for r in pl.search_in_layers(asks, layers, blocked, 2, 50).collect()}
+    assert got == {0: (1, 1), 1: (2, 3), 2: (2, 4), 3: (None, None)}
+    assert met == [{1}, {1, 2}]
+
+
 def test_skills_fail_before_any_job(spark):
     spans = spark.createDataFrame([(1, 0, 10, 4, 1)], "key long, lo long, hi long, width long, shared long")
     states = {"spans": "committed"}
