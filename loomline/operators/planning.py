@@ -210,8 +210,12 @@ def directed_clique(seeds: DataFrame, candidates: DataFrame, answers: DataFrame,
     over before a member came stays out, as more members only ask more of it, so each member is one join with the answers of the member before, and no list is folded. The
     counter-example comes from the other candidates, hard ones first, then by distance and time. Returns keys, ids (seed first), negative, passed.
     """
-    flipped = answers.select(*keys, F.col("left").alias("right"), F.col("right").alias("left"), F.col("result").alias("back"))
-    both = durable(answers.join(flipped, [*keys, "left", "right"]).where("result = back").select(*keys, F.col("left").alias("member"), F.col("right").alias("id"), "result"), "clique-answers")
+    told = answers.where("result IN ('same', 'different')").select(*keys, F.least("left", "right").alias("lo"), F.greatest("left", "right").alias("hi"), "left", "right", "result")
+    forth, back = (F.max(F.when(c, F.col("result"))) for c in (F.col("left") <= F.col("right"), F.col("left") >= F.col("right")))
+    mutual = told.groupBy(*keys, "lo", "hi").agg(forth.alias("result"), back.alias("back")).where("result = back").drop("back")
+    mutual = durable(mutual, "clique-answers")  # one row for both directions, from one shuffle
+    ways = F.array_distinct(F.array(F.struct(F.col("lo").alias("member"), F.col("hi").alias("id")), F.struct(F.col("hi").alias("member"), F.col("lo").alias("id"))))
+    both = mutual.select(*keys, "result", F.explode(ways).alias("w")).select(*keys, "w.member", "w.id", "result")
     hints = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for x in ("possible", 0, "unsure", 1, "hard", 2))), F.col("hint")), F.lit(1))
     seed = seeds.select(*keys, F.col("id").alias("seed_id"), F.col("t").alias("seed_t"))
     far = F.abs(F.col("t") - F.col("seed_t"))

@@ -346,6 +346,19 @@ def test_stream_state_is_a_row_for_many_keys(spark, tmp_path):
     assert {(r.user, r.stalled_at) for r in told(lambda x: stream_stalls(x, "user", "kind", 2), "stalled")} == {(None, 1), (keys[1], 11)}
 
 
+def test_clique_answers_are_one_row_a_pair(spark, monkeypatch):
+    """What is written of the answers is a row for both directions of those that can be used; a row that answers of itself counts once."""
+    kept, real = {}, pl.durable
+    monkeypatch.setattr(pl, "durable", lambda df, name: kept.setdefault(f"{name}-{len(kept)}", real(df, name)))
+    said = {(1, 2): "same", (1, 3): "unsure", (2, 3): "different", (3, 3): "same"}
+    rows = [(0, a, b, x) for (a, b), x in said.items()] + [(0, b, a, x) for (a, b), x in said.items() if a != b] + [(0, 1, 4, "same"), (0, 4, 1, "different"), (0, 5, 1, "same")]
+    people = spark.createDataFrame([(0, k, 10 * k, "possible") for k in range(1, 6)], "key long, id long, t long, hint string")
+    got = pl.directed_clique(people.where("id = 1").select("key", "id", "t"), people, spark.createDataFrame(rows, "key long, left long, right long, result string"), ["key"], 3, 2).collect()
+    answers = next(v for k, v in kept.items() if k.startswith("clique-answers"))
+    assert sorted(tuple(r) for r in answers.select("lo", "hi", "result").collect()) == [(1, 2, "same"), (2, 3, "different"), (3, 3, "same")]
+    assert [(r.ids, r.negative, r.passed) for r in got] == [([1, 2], None, False)]
+
+
 def test_layers_meet_walls_of_asks_with_candidates_only(spark, monkeypatch):
     """Places taken go into a layer's join only for asks that have a candidate in it."""
     met, real = [], pl.overlap_join
