@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,6 +141,40 @@ def _related(texts: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, F.col("short").alias("norm"), F.col("long").alias("other")).unionByName(pairs.select(*keys, F.col("long").alias("norm"), F.col("short").alias("other")))
 
 
+RECORDINGS = 64  # that a task has as Python objects at a time
+
+
+def _merge(seen: list[dict] | None, heard: list[dict] | None) -> list[tuple]:
+    """The entries (text, s, e, n_marks, n_speech) of one recording."""
+    out = [[x["text"], x["s"], x["e"], x["n"], 0] for x in seen or ()]
+    place = {x["norm"]: i for i, x in enumerate(seen or ())}
+    for x in heard or ():
+        at = place.get(x["norm"])
+        if at is None:
+            near = sorted(place[k] for k in x["others"] if k in place)
+            at = next((i for i in near if min(out[i][2], x["e"]) > max(out[i][1], x["s"])), None)
+        if at is None:
+            place[x["norm"]] = len(out)
+            out.append([x["text"], x["s"], x["e"], 0, 1])
+        else:
+            old = out[at]
+            old[1], old[2], old[4] = min(old[1], x["s"]), max(old[2], x["e"]), old[4] + 1
+    return out
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recordings (keys, seen, heard) -> keys, entry and its columns, RECORDINGS at a time, so that what Python holds does not grow with a batch."""
+    kinds = (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, RECORDINGS):
+            part = batch.slice(lo, RECORDINGS)
+            lists = zip(part.column("seen").to_pylist(), part.column("heard").to_pylist(), strict=True)
+            rows = [(r, i, *x) for r, (seen, heard) in enumerate(lists) for i, x in enumerate(_merge(seen, heard))]
+            of, *columns = (pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True))
+            own = part.drop_columns(["seen", "heard"])
+            yield pa.RecordBatch.from_arrays([*(c.take(of) for c in own.columns), *columns], [*own.schema.names, "entry", "text", "s", "e", "n_marks", "n_speech"])
+
+
 def merge_signals(marks: DataFrame, speech: DataFrame, keys: list[str]) -> DataFrame:
     """Texts seen (``marks``) and heard (``speech``), each id, text, s, e, as one list a recording in which every text stands once.
 
@@ -158,27 +194,9 @@ def merge_signals(marks: DataFrame, speech: DataFrame, keys: list[str]) -> DataF
     known = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("f.id", "norm", "f.text", "s", "e", "n"))).alias("seen"))
     lines = asked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "norm", "text", "s", "e", F.coalesce("others", F.array().cast("array<string>")).alias("others")))).alias("heard"))
 
-    @F.pandas_udf("array<struct<text:string,s:bigint,e:bigint,n_marks:bigint,n_speech:bigint>>")
-    def merged(known: pd.Series, lines: pd.Series) -> pd.Series:
-        def one(seen, heard) -> list[dict]:
-            out = [{"text": x["text"], "s": x["s"], "e": x["e"], "n_marks": x["n"], "n_speech": 0} for x in (seen if seen is not None else ())]
-            place = {x["norm"]: i for i, x in enumerate(seen if seen is not None else ())}
-            for x in heard if heard is not None else ():
-                at = place.get(x["norm"])
-                if at is None:
-                    near = sorted(place[k] for k in x["others"] if k in place)
-                    at = next((i for i in near if min(out[i]["e"], x["e"]) > max(out[i]["s"], x["s"])), None)
-                if at is None:
-                    place[x["norm"]] = len(out)
-                    out.append({"text": x["text"], "s": x["s"], "e": x["e"], "n_marks": 0, "n_speech": 1})
-                else:
-                    out[at].update(s=min(out[at]["s"], x["s"]), e=max(out[at]["e"], x["e"]), n_speech=out[at]["n_speech"] + 1)
-            return out
-
-        return pd.Series([one(a, b) for a, b in zip(known, lines, strict=True)])
-
-    whole = known.join(lines, keys, "full").select(*keys, F.posexplode(merged("seen", "heard")).alias("entry", "x"))
-    return whole.select(*keys, F.col("entry").cast("long").alias("entry"), "x.*")
+    whole = known.join(lines, keys, "full").select(*keys, "seen", "heard")
+    kinds = ", ".join(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in keys)
+    return whole.mapInArrow(_merged, f"{kinds}, entry long, text string, s long, e long, n_marks long, n_speech long")
 
 
 def unique_claims(claims: DataFrame, keys: list[str], num: int = 1, den: int = 2) -> DataFrame:

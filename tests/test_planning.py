@@ -346,6 +346,22 @@ def test_stream_state_is_a_row_for_many_keys(spark, tmp_path):
     assert {(r.user, r.stalled_at) for r in told(lambda x: stream_stalls(x, "user", "kind", 2), "stalled")} == {(None, 1), (keys[1], 11)}
 
 
+def test_texts_merge_a_few_recordings_at_a_time():
+    """However many recordings a batch has, few are Python objects at once; nothing seen, nothing heard and neither are recordings too."""
+    import pyarrow as pa
+
+    seen = [{"id": 1, "norm": "ab", "text": "Ab", "s": 0, "e": 5, "n": 2}]
+    heard = [{"id": 2, "norm": "abc", "text": "abc", "s": 4, "e": 9, "others": ["ab"]}, {"id": 3, "norm": "z", "text": "z", "s": 1, "e": 2, "others": []}]
+    n = 3 * ob.RECORDINGS + 1
+    batch = pa.RecordBatch.from_pydict({"key": list(range(n)), "seen": [None if k % 3 == 1 else seen for k in range(n)], "heard": [None if k % 3 == 2 else heard for k in range(n)]})
+    parts = list(ob._merged(iter([batch])))
+    assert len(parts) == 4 and all(len(set(p.column("key").to_pylist())) <= ob.RECORDINGS for p in parts)
+    want = {0: [("Ab", 0, 9, 2, 1), ("z", 1, 2, 0, 1)], 1: [("abc", 4, 9, 0, 1), ("z", 1, 2, 0, 1)], 2: [("Ab", 0, 5, 2, 0)]}
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert rows == [(k, i, *x) for k in range(n) for i, x in enumerate(want[k % 3])]
+    assert ob._merge(None, None) == []
+
+
 def test_clique_answers_are_one_row_a_pair(spark, monkeypatch):
     """What is written of the answers is a row for both directions of those that can be used; a row that answers of itself counts once."""
     kept, real = {}, pl.durable
