@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from loomline.llm.scratch import durable
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return row[0], row[1]
+def _stars(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), u > v, are stars: no u has two v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not sums.agg(F.coalesce(F.bool_or(F.expr("up > 1 or up = 1 and down = 1")), F.lit(False))).first()[0]
+
+
+ROWS = 100_000  # edges of a task that writes them
+
+
+def _written(edges: DataFrame, rows: int, name: str) -> DataFrame:
+    """``edges`` in distinct rows, written by as many tasks as ``rows`` need, not one for each shuffle partition: small tables are read again and again."""
+    return durable(edges.distinct().coalesce(max(2 * edges.sparkSession.sparkContext.defaultParallelism, rows // ROWS)), name)
 
 
 HUBS = 1000  # nodes at most whose edges stay where they are
@@ -34,21 +44,17 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """Label the nodes of ``edges`` (columns a, b; long) with the smallest node reachable.
 
     Returns (node, component), one row per node that has an edge to another one. Each round
-    joins and aggregates only the edges left, O(log^2 n) rounds; nothing but a row count and a
-    checksum reaches the driver. Nulls, loops and repeated edges are ignored.
+    joins and aggregates only the edges left, O(log^2 n) rounds, until the edges are stars; nothing but a row count and that
+    answer reaches the driver. Nulls, loops and repeated edges are ignored.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = durable(e, name)
-    seen = _signature(e)
-    while seen[0]:
+    while not _stars(e):
+        rows = e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _lowest(both, 2 * seen[0]).where("v > u")
-        large = durable(low.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), name)
-        low = _lowest(large, seen[0])
+        low = _lowest(both, 2 * rows).where("v > u")
+        large = _written(low.select(F.col("v").alias("u"), F.least("m", "u").alias("v")), rows, name)
+        low = _lowest(large, rows)
         small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = durable(small.distinct(), name)
-        now = _signature(e)
-        if now == seen:
-            break
-        seen = now
+        e = _written(small, rows, name)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select("v", "v").distinct().toDF("node", "component"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.llm import decontamination, language, mixing, neardup, privacy, quality_model, quality_rules, sharding, store, tokens
+from loomline.llm import components, decontamination, language, mixing, neardup, privacy, quality_model, quality_rules, scratch, sharding, store, tokens
 from loomline.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -116,6 +116,19 @@ def test_components_of_a_hub(spark):
     assert set(got.values()) == {0} and len(got) == 2999 + 401
 
 
+def test_components_end_when_the_edges_are_stars(spark, monkeypatch):
+    written = []
+    durable = lambda df, name: written.append(df.rdd.getNumPartitions()) or scratch.durable(df, name)
+    monkeypatch.setattr(components, "durable", durable)
+    stars = spark.range(1, 500).selectExpr("id AS a", "id - id % 10 AS b")
+    got = {r.node: r.component for r in connected_components(stars).collect()}
+    assert got == {i: i - i % 10 or 0 for i in range(500) if i or i % 10 == 0} and len(written) == 1
+    written.clear()
+    chain = connected_components(spark.range(0, 40).selectExpr("id AS a", "id + 1 AS b"))
+    assert {r.component for r in chain.collect()} == {0}
+    assert max(written[1:]) <= 2 * spark.sparkContext.defaultParallelism  # not a file for each shuffle partition
+
+
 def test_near_duplicates_edges(spark):
     docs = edge_docs(spark)
     got = neardup.near_duplicates(docs).collect()
