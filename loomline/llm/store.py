@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from loomline.llm.textblocks import U64, blocks, mix, utf8
 from loomline.llm.tokens import byte_letters
 
 MAX_PIECES = 350_000
+ENCODED = 4_000_000  # bytes of text whose ids a worker gathers at a time
 WINDOW, AVERAGE_BITS, SHORTEST, LONGEST = 32, 9, 64, 4096  # of a chunk, in ids
 #: White space of Python that the tokenizer does not split at.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -36,7 +38,7 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, asked once for each distinct word.
 
     For a vocabulary that drops white space, pieces between white space encode independently, so
-    a text's ids are its pieces' ids in a row. Latin pieces are cut into words here and
+    a text's ids are its pieces' ids in a row. Pieces are kept in two generations of MAX_PIECES at most and a block's. Latin pieces are cut into words here and
     the library's model encodes each new word; other pieces go through all of the library's
     steps. Texts that hold special strings or ASCII separators go to the library whole.
     """
@@ -48,52 +50,86 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # every word is asked once; the library's own cache only costs time
+        self.tokenize = self.model.tokenize
         self.letters = {b: c for c, b in byte_letters().items()}
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
         """Ids of one lower-cased word by the library's model."""
-        known = self.known.get(word)  # a word alone is also a piece with the same ids
-        if known is None:
+        raw = self.known.get(word) or self.older.get(word)  # a word alone is also a piece with the same ids
+        if raw is None:
             as_letters = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.letters)
-            known = self.known[word] = array(self.code, [t.id for t in self.model.tokenize(as_letters)]).tobytes()
-        return known
+            raw = array(self.code, [t.id for t in self.tokenize(as_letters)]).tobytes()
+        self.known[word] = raw
+        return raw
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece of Latin letters and below."""
+        low = piece.lower()
+        if low.isalpha():
+            return self._word(low)
+        if low[-1] in ".,!" and low[:-1].isalpha():
+            return self._word(low[:-1]) + self._word(low[-1])
+        return b"".join(map(self._word, WORD.findall(low)))
 
     def _learn(self, new: list[str]) -> None:
-        other = [p for p in new if NOT_LATIN.search(p)]
-        self.known.update(zip(other, self._library(other), strict=True))
-        latin = set(new).difference(other) if other else new
-        for piece in latin:
-            low = piece.lower()
-            if low.isalpha():
-                self.known[piece] = self._word(low)
-            elif low[-1] in ".,!" and low[:-1].isalpha():
-                self.known[piece] = self._word(low[:-1]) + self._word(low[-1])
+        """Make different pieces known that no white space of any kind splits."""
+        other = [p for p in new if not p.isascii() and NOT_LATIN.search(p)]
+        if other:
+            self.known.update(zip(other, self._library(other), strict=True))
+            new = set(new).difference(other)
+        self.known.update((p, self._piece(p)) for p in new)
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces between ASCII white space; what the two generations of known pieces do not hold is learned."""
+        if len(self.known) > MAX_PIECES:
+            self.older, self.known = self.known, {"": b""}
+        raw = list(map(self.known.get, pieces))
+        missing = [i for i, r in enumerate(raw) if r is None]
+        new = []
+        for i in missing:
+            old = raw[i] = self.older.get(pieces[i])
+            if old is None:
+                new.append(i)
             else:
-                self.known[piece] = b"".join(map(self._word, WORD.findall(low)))
+                self.known[pieces[i]] = old
+        parts = {i: p for i in new if not (w := pieces[i]).isascii() and (p := w.split()) != [w]}  # other white space stands inside
+        inner = {w for p in parts.values() for w in p if w not in self.known}
+        self._learn(list(inner.union(pieces[i] for i in new if i not in parts)) if parts else [pieces[i] for i in new])
+        self.known.update((pieces[i], b"".join(map(self.known.__getitem__, p))) for i, p in parts.items())
+        for i in new:
+            raw[i] = self.known[pieces[i]]
+        return raw
 
     def block(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, with the end id."""
-        whole = [bool(SEPARATORS.search(t) or self.special and "<" in t and self.special.search(t)) for t in texts]
-        texts = [t if w else _folded(t) for t, w in zip(texts, whole, strict=True)]
-        pieces = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        new = set().union(*pieces)
-        if len(self.known) > MAX_PIECES:
-            self.known.clear()
-        self._learn(list(new.difference(self.known)))
-        get = self.known.__getitem__
-        out = []
-        for t, w, p in zip(texts, whole, pieces, strict=True):
-            raw = self._library([t])[0] if w else b"".join(map(get, p))
-            out.append(np.frombuffer(raw + self.end, self.kind))
+        """The ids of each text, with the end id.
+
+        Arrow splits the texts at ASCII white space and numbers the different pieces; their ids are laid end to end once and gathered by number.
+        """
+        whole = {i for i, t in enumerate(texts) if SEPARATORS.search(t) or self.special and "<" in t and self.special.search(t)}
+        lists = pc.ascii_split_whitespace(pa.array(["" if i in whole else _folded(t) for i, t in enumerate(texts)], pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        raw = [*self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), self.end]
+        table = np.frombuffer(b"".join(raw), self.kind)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.kind.itemsize
+        starts = np.cumsum(sizes) - sizes
+        bounds = lists.offsets.to_numpy()[1:]
+        piece = np.insert(coded.indices.to_numpy(), bounds, len(raw) - 1)
+        n = sizes[piece]
+        till = np.cumsum(n)
+        ids = table[np.repeat(starts[piece] - till + n, n) + np.arange(till[-1])]
+        out = np.split(ids, till[bounds + np.arange(len(bounds))][:-1])
+        for i in whole:
+            out[i] = np.frombuffer(self._library([texts[i]])[0] + self.end, self.kind)
         return out
 
 
@@ -165,7 +201,7 @@ def _objects(path: str, end_id: int):
         for batch in batches:
             data, off = utf8(batch.column(1))
             keys = batch.column(0).to_pylist()
-            for lo, hi in blocks(off):
+            for lo, hi in blocks(off, ENCODED):
                 raw = data[off[lo] : off[hi]].tobytes()
                 texts = [raw[off[i] - off[lo] : off[i + 1] - off[lo]].decode("utf-8", "replace") for i in range(lo, hi)]
                 docs, out = encode.block(texts), []

@@ -1024,3 +1024,17 @@ def test_only_rows_that_may_match_are_shuffled(spark):
     assert len(got) == 20_000 and all(got[k] for k in range(3, 20_000, 10))
     assert sum(got.values()) < 2_000 + 100 and CELLS // 64 == 65_536
     assert not any(r.may_match for r in may_match(df, F.col("id"), keys.limit(0), "k").collect())
+
+
+def test_store_keeps_words_that_were_used_when_many_came(monkeypatch):
+    monkeypatch.setattr(store, "MAX_PIECES", 300)
+    e, asked = store.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2), Counter()
+    tokenize = e.model.tokenize
+    e.tokenize = lambda w: asked.update([w]) or tokenize(w)
+    often = [f"often{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(100)]
+    for k in range(20):
+        rare = ["".join("abcdefghij"[int(d)] for d in f"{k}{i:03d}") for i in range(100)]
+        texts = [" ".join(often + rare), "Mixed\u00a0white\u3000space\there\x1cand \u4e16\u754c, \u0130 <|endoftext|>", "", "\n"]
+        assert [x.tolist() for x in e.block(texts)] == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert max(asked[w] for w in often) == 1  # known words were cleared and asked again, block after block
+    assert len(e.known) + len(e.older) < 2 * (300 + 250)
