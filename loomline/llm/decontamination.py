@@ -101,13 +101,17 @@ def _numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.int32)[off[0] : off[-1]], off - off[0]
 
 
-def _document_frequency(n_words: int):
-    """Documents of the task that hold each word, as rows (word, n), with (-1, n) for all documents."""
+def _document_frequency(n_words: int, shared: Broadcast | None = None):
+    """Documents of the task that hold each word, as rows (word, n), with (-1, n) for all documents.
+
+    The rows end with their numbers, or, with the ``shared`` words, with texts: then the worker that numbers them also counts,
+    for two Python operators in a stage are two workers a core, which Spark keeps.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = np.zeros(n_words, np.int64), 0
-        for batch in batches:
-            numbers, bounds = _numbers_of(batch.column(0))
+        for batch in _number(shared)(batches) if shared else batches:
+            numbers, bounds = _numbers_of(batch.column(batch.num_columns - 1))
             seen += len(bounds) - 1
             hit = np.flatnonzero(numbers >= 0)
             doc = np.searchsorted(bounds, hit, "right")
@@ -362,11 +366,11 @@ def _align(index: Index, numbers: np.ndarray, p: int, starts: np.ndarray, copied
     return best
 
 
-def indexes(numbered: DataFrame, items: DataFrame, words: np.ndarray, rank: int, copied: float) -> Iterator[Index]:
-    """The indexes of the benchmark's blocks of PASSAGES passages, with document frequencies of all numbered documents."""
-    spark = numbered.sparkSession
+def indexes(frequency: DataFrame, items: DataFrame, words: np.ndarray, rank: int, copied: float) -> Iterator[Index]:
+    """The indexes of the benchmark's blocks of PASSAGES passages, with the tasks' document frequencies (word, n) of all documents."""
+    spark = frequency.sparkSession
     df, n_docs = np.zeros(len(words)), 0
-    for r in numbered.select("numbers").mapInArrow(_document_frequency(len(words)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in frequency.groupBy("word").agg(F.sum("n").alias("n")).collect():
         if r.word < 0:
             n_docs = r.n
         else:
@@ -455,7 +459,8 @@ def find_contamination(
 
             return run
 
-        for part in _groups(indexes(numbered, items, words, rank, copied)):
+        frequency = numbered.select("numbers").mapInArrow(_document_frequency(len(words)), "word long, n long")
+        for part in _groups(indexes(frequency, items, words, rank, copied)):
             out = out.unionByName(numbered.where("id is not null").mapInArrow(search(spark.sparkContext.broadcast(part)), schema))
     best = out.groupBy("id", "item").agg(F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "m.cosine", "m.lcs_share", "m.answer_share")
@@ -473,22 +478,19 @@ def drop_contaminated(
     if not len(words):
         return docs
     shared_words = spark.sparkContext.broadcast(words)
-    numbered = docs.select(F.lit(0).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_number(shared_words), "id long, numbers binary")
+    texts = docs.select(F.lit(0).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    frequency = texts.mapInArrow(_document_frequency(len(words), shared_words), "word long, n long")
+    parts = [spark.sparkContext.broadcast(part) for part in _groups(indexes(frequency, items, words, rank, copied))]
 
-    def search(shared_part: Broadcast):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, off = utf8(batch.column(batch.schema.get_field_index(text_col)))
-                good = np.ones(batch.num_rows, bool)
-                for lo, hi in blocks(off):
-                    numbers, bounds = number_words(shared_words.value, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                    for row in matches(shared_part.value, numbers, bounds, cosine, copied, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(batch.schema.get_field_index(text_col)))
+            good = np.ones(batch.num_rows, bool)
+            for lo, hi in blocks(off):
+                numbers, bounds = number_words(shared_words.value, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                for part in parts:
+                    for row in matches(part.value, numbers, bounds, cosine, copied, shared):
                         good[lo + row[0]] = False
-                yield batch.filter(pa.array(good))
-
-        return run
+            yield batch.filter(pa.array(good))
 
-    out = docs
-    for part in _groups(indexes(numbered, items, words, rank, copied)):
-        out = out.mapInArrow(search(spark.sparkContext.broadcast(part)), docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema) if parts else docs

@@ -1038,3 +1038,22 @@ def test_store_keeps_words_that_were_used_when_many_came(monkeypatch):
         assert [x.tolist() for x in e.block(texts)] == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     assert max(asked[w] for w in often) == 1  # known words were cleared and asked again, block after block
     assert len(e.known) + len(e.older) < 2 * (300 + 250)
+
+
+def test_no_stage_of_decontamination_runs_two_python_operators(spark, monkeypatch):
+    seen, kind = [], type(spark.range(0))
+    plain = kind.mapInArrow
+
+    def spied(self, *a, **b):
+        out = plain(self, *a, **b)
+        seen.append(out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", spied)
+    words = [f"w{i}" for i in range(300)]
+    bench = spark.createDataFrame([(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(15)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[40:60])), (2, "other words " * 20), (3, None)], "doc_id long, text string")
+    monkeypatch.setattr(decontamination, "PASSAGES", 4)
+    monkeypatch.setattr(decontamination, "TOGETHER", 2)
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()} == {2, 3}
+    assert len(seen) > 3 and max(seen) == 1
